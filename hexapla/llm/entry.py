@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from hexapla.llm import line_dedup
+import public_tokenizers
+
+from hexapla.llm import byte_bpe, html_text, line_dedup
 from hexapla.llm.common import table
 
 
@@ -10,6 +12,14 @@ def op2_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark, sf_dir):
+    return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_html_extraction(spark, sf_dir):
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
