@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from hexapla.llm import byte_bpe, html_text, line_dedup
+from hexapla.llm import byte_bpe, decontaminate, html_text, line_dedup, order_minhash, projection_dedup
 from hexapla.llm.common import table
 
 
@@ -12,10 +12,22 @@ def op2_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_order_minhash(spark, sf_dir):
+    return order_minhash.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark, sf_dir):
     return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_decontamination(spark, sf_dir):
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_embedding_near_dup(spark, sf_dir):
+    return projection_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_html_extraction(spark, sf_dir):
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 

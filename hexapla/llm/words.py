@@ -1,7 +1,7 @@
 """Words of whole texts as 64-bit hashes, from the UTF-8 bytes of an Arrow batch with a few array operations.
 
 A word is a run of ASCII letters, digits, underscores and bytes of non-ASCII characters; ASCII letters are
-folded to lower case. Each ideograph or kana (lead bytes E3 to E9) begins a word of its own.
+folded to lower case, as are the accented letters of Latin-1. Each ideograph or kana (lead bytes E3 to E9) begins a word of its own.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ def _power_table(n: int) -> np.ndarray:
 
 def _words_of(raw: np.ndarray, forced: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     c = _FOLD[raw]
+    capital = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    c[1:] += capital.view(np.uint8) << 5
     w = c != 0
     starts = w.copy()
     starts[1:] &= ~w[:-1]
