@@ -25,14 +25,14 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from hexapla.llm.common import connected_components, cut, doc_groups, map_arrow, utf8_buffer
 from hexapla.llm.words import labelled, mix, shingles, word_hashes
 
 SHINGLE, MIN_SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 16, 3
-ALL_PAIRS, ROUNDS = 12, 3
+ALL_PAIRS, ROUNDS, BLOCK = 12, 3, 64
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _SLICE = 1 << 15
 
@@ -118,10 +118,16 @@ def _candidates(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a < b) from bands (k, value, doc), and the members of large groups."""
     sizes = bands.groupBy("k", "value").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(bands.join(sizes, ["k", "value"]))
-    fame = shared.groupBy("doc").agg(F.sum("n").alias("fame"))
-    famed = shared.where(F.col("n") > ALL_PAIRS).join(fame, "doc")
+    # A document has at most SKETCHES rows here, so a window over it is small.
+    fame = F.sum("n").over(Window.partitionBy("doc"))
+    famed = shared.withColumn("fame", fame).where(F.col("n") > ALL_PAIRS)
     hubs = famed.groupBy("k", "value").agg(F.max_by("doc", F.struct("fame", -F.col("doc"))).alias("hub"))
-    star = famed.select("k", "value", "doc").join(hubs, ["k", "value"]).where("doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
+    # Members go to their hub in blocks: fewer rows meet, and no task holds a large group.
+    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK))
+    blocks = famed.groupBy("k", "value", block.alias("block")).agg(F.collect_list("doc").alias("docs"))
+    parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = blocks.join(hubs, ["k", "value"]).repartition(parts, "k", "value", "block")
+    star = met.select("hub", F.explode("docs").alias("doc")).where("doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
     small = shared.where(F.col("n") <= ALL_PAIRS).groupBy("k", "value").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
     first = small.select("docs", F.posexplode("docs").alias("i", "a"))
     pairs = first.select("a", F.explode(F.slice("docs", F.col("i") + 2, F.size("docs"))).alias("b"))
