@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     rows = sorted(((r.doc_id, r.content, r.metadata) for r in features(sample).toLocalIterator()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
     quality = {r.id: r.quality for r in labelled.toLocalIterator()}
     known, free = [r for r in rows if r[0] in quality], [r for r in rows if r[0] not in quality]
-    view = lambda rs, k: np.array([r[k] for r in rs]).reshape(len(rs), -1)
+    view = lambda rs, k: np.array([r[k] for r in rs], float) if rs else np.zeros((0, 1))
     return CoTrained((view(known, 1), view(known, 2)), np.array([quality[r[0]] for r in known], float), (view(free, 1), view(free, 2)))
 
 

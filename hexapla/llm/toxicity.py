@@ -1,14 +1,14 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence kernel with Nyström landmarks.
 
 The kernel compares words by their subsequences of three letters within a span of `SPAN`, each weighted by
-`DECAY` to the power of its span, so inserted, dropped or spaced-out letters cost little. Letters are folded first:
+`DECAY` to the power of its span, so inserted, dropped or spaced-out letters cost little. A mark before the first letter takes part, so beginnings count. Letters are folded first:
 case, digits that stand for letters, punctuation inside a word, and runs of single letters become one word.
 Landmarks are words of the training sentences; Nyström features K(x, L) K(L, L)^-1/2 feed a linear SVM with
 squared hinge loss. As a linear function of K(x, L) is one of the subsequence weights, scoring a word is a sum over
 a fixed table, divided by the word's own kernel norm.
 
 Labels belong to whole texts. Training words are found by multiple-instance rounds: in each toxic text the word
-whose letter groups are most typical of toxic texts, later the one with the highest margin; in clean texts random
+whose letter groups and beginnings are most typical of toxic texts, later the one with the highest margin; in clean texts random
 words, later those with the highest margin. A text's score is a logistic function, fitted on texts left out of the
 SVM, of its two highest word margins over all words of the whole text.
 
@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from hexapla.llm.common import map_arrow
 
-SPAN, DECAY, LETTERS, LONGEST = 6, 0.7, 64, 24
-LANDMARKS, ROUNDS = 192, 3
+SPAN, DECAY, LETTERS, LONGEST = 6, 0.7, 64, 25
+ANCHOR, END = "^", "$"  # stand before the first letter and, in counts, after the last
+LANDMARKS, ROUNDS = 256, 3
+LEAST_ODDS = 1.5
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 3000
 THRESHOLD = 0.3
 CACHE = 400_000
@@ -62,7 +64,7 @@ def _codes(words: list[str], width: int) -> np.ndarray:
     out = np.zeros((len(words), width), np.int64)
     for i, w in enumerate(words):
         x = np.frombuffer(w.encode("utf-32-le"), np.uint32).astype(np.int64)
-        out[i, : len(x)] = np.where((x >= 97) & (x <= 122), x - 96, 27 + x % (LETTERS - 27))
+        out[i, : len(x)] = np.where((x >= 97) & (x <= 122), x - 96, np.where(x == ord(ANCHOR), LETTERS - 1, 27 + x % (LETTERS - 28)))
     return out
 
 
@@ -105,11 +107,11 @@ def _pieces(word: str) -> list[str]:
 
 def _table_scores(words: list[str], table: np.ndarray) -> np.ndarray:
     """Normalised table sums: for each word the largest over its pieces."""
-    parts = [p for w in words for p in _pieces(w)]
-    owner = np.repeat(np.arange(len(words)), [len(_pieces(w)) for w in words])
+    parts = [p for w in words for p in _pieces(ANCHOR + w)]
+    owner = np.repeat(np.arange(len(words)), [len(_pieces(ANCHOR + w)) for w in words])
     flat = np.zeros(len(parts))
     lens = np.array([len(p) for p in parts])
-    for lo, hi in ((0, 6), (6, 9), (9, 12), (12, 16), (16, LONGEST)):
+    for lo, hi in ((0, 7), (7, 10), (10, 13), (13, 17), (17, LONGEST)):
         own = np.flatnonzero((lens > lo) & (lens <= hi))
         for a in range(0, len(own), 20_000):
             some = own[a : a + 20_000]
@@ -126,7 +128,7 @@ def _kernel(words: list[str], phi: np.ndarray) -> np.ndarray:
     by_code = np.ascontiguousarray(phi.T)
     out = np.zeros((len(words), len(phi)))
     for a in range(0, len(words), 200):
-        codes, weights = _subsequences([w[:LONGEST] for w in words[a : a + 200]])
+        codes, weights = _subsequences([(ANCHOR + w)[:LONGEST] for w in words[a : a + 200]])
         raw = np.einsum("ijk,j->ik", by_code[codes], weights.astype(np.float32), optimize=True)
         out[a : a + 200] = raw / np.maximum(_norms(codes, weights), 1e-12)[:, None]
     return out
@@ -205,8 +207,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def _trigrams(word: str) -> set[str]:
-    return {word[i : i + 3] for i in range(len(word) - 2)}
+def _grams(word: str) -> set[str]:
+    """Beginnings of a word, its letter trigrams, and the word."""
+    whole = ANCHOR + word
+    return {whole + END, *(whole[:k] for k in range(3, 9)), *(word[i : i + 3] for i in range(len(word) - 2))}
 
 
 def train(rows: list[tuple[int, str, int]]) -> Model:
@@ -221,24 +225,29 @@ def train(rows: list[tuple[int, str, int]]) -> Model:
     seen = [Counter(), Counter()]
     for own, label, used in zip(words, y, fit, strict=True):
         if used:
-            seen[label].update({g for w in own for g in _trigrams(w)})
+            seen[label].update({g for w in own for g in _grams(w)})
     n = [int((fit & (y == c)).sum()) for c in (0, 1)]
-    odds = {g: np.log((seen[1][g] + 0.2) / (n[1] + 0.4)) - np.log((seen[0][g] + 0.2) / (n[0] + 0.4)) for g in seen[1]}
-    rarest = min(odds.values(), default=0.0)
+    odds = {g: np.log((k + 0.2) / (n[1] + 0.4)) - np.log((seen[0][g] + 0.2) / (n[0] + 0.4)) for g, k in seen[1].items()}
+    strength = {g: seen[1][g] * o for g, o in odds.items() if o >= LEAST_ODDS and seen[1][g] > 1}
 
     def typical(word: str) -> float:
-        return float(np.mean([odds.get(g, rarest) for g in _trigrams(word)]))
+        return max((strength.get(g, 0.0) for g in _grams(word)), default=0.0)
+
+    def innocent(word: str) -> bool:
+        whole = ANCHOR + word + END
+        return seen[0][whole] > 0 and odds.get(whole, 0.0) < LEAST_ODDS
 
     toxic = [own for own, label, used in zip(words, y, fit, strict=True) if used and label and own]
     clean = [own for own, label, used in zip(words, y, fit, strict=True) if used and not label and own]
-    known_clean = set(chain.from_iterable(clean))
+    known_clean = {w for w in chain.from_iterable(clean) if innocent(w)}
     positive: Counter = Counter()
     for own in toxic:
-        ranked = sorted(((typical(w), w) for w in own if w not in known_clean), reverse=True)[:3]
-        positive.update(w for s, w in ranked if s > 1.0)
+        ranked = sorted(((typical(w), w) for w in own if w not in known_clean), reverse=True)[:2]
+        positive.update(w for s, w in ranked if s >= 2 * LEAST_ODDS)
     rng = np.random.default_rng(11)
     pool = sorted(known_clean)
     negative = set(rng.choice(pool, min(3000, len(pool)), replace=False).tolist()) if pool else set()
+    negative |= set(sorted(pool, key=lambda w: (-seen[0][ANCHOR + w + END], w))[:1000])
     model = Model(np.zeros(LETTERS**3), 0.0, np.zeros(3))
     for turn in range(ROUNDS):
         if not positive:
@@ -247,10 +256,12 @@ def train(rows: list[tuple[int, str, int]]) -> Model:
         landmarks = common + sorted(negative)[:: max(1, len(negative) // (LANDMARKS - len(common)))][: LANDMARKS - len(common)]
         sample = sorted(positive) + sorted(negative)
         label = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        weight = np.array([float(positive[w]) for w in sorted(positive)] + [1.0] * len(negative))
-        weight[label > 0] *= len(negative) / weight[label > 0].sum()
+        weight = np.array([float(positive[w]) for w in sorted(positive)] + [float(seen[0][ANCHOR + w + END]) for w in sorted(negative)])
+        weight[label > 0] *= 3000 / weight[label > 0].sum()
+        weight[label < 0] *= 3000 / weight[label < 0].sum()
+        weight = np.maximum(weight, 0.2)
         phi = np.zeros((len(landmarks), LETTERS**3), np.float32)
-        codes, weights = _subsequences([w[:LONGEST] for w in landmarks])
+        codes, weights = _subsequences([(ANCHOR + w)[:LONGEST] for w in landmarks])
         np.add.at(phi, (np.arange(len(landmarks))[:, None], codes), weights)
         phi[:, 0] = 0
         phi /= np.maximum(np.linalg.norm(phi, axis=1, keepdims=True), 1e-12)
@@ -265,8 +276,8 @@ def train(rows: list[tuple[int, str, int]]) -> Model:
         fresh = sorted(set(chain.from_iterable(toxic)) | known_clean)
         margin = dict(zip(fresh, model.margins(fresh).tolist(), strict=True))
         for own in toxic:
-            best = max((w for w in own if w not in known_clean), key=lambda w: (margin[w] + 0.3 * typical(w), w), default=None)
-            if best and (margin[best] > 0 or typical(best) > 1.0):
+            best = max((w for w in own if w not in known_clean), key=lambda w: (margin[w] + np.tanh(typical(w) / 30), w), default=None)
+            if best and (margin[best] > 0 or typical(best) >= 2 * LEAST_ODDS):
                 positive[best] += 1
         negative |= set(sorted(known_clean, key=lambda w: -margin[w])[:1500])
         positive = Counter({w: k for w, k in positive.items() if w not in negative})
