@@ -113,8 +113,8 @@ def _table_scores(words: list[str], table: np.ndarray) -> np.ndarray:
     lens = np.array([len(p) for p in parts])
     for lo, hi in ((0, 7), (7, 10), (10, 13), (13, 17), (17, LONGEST)):
         own = np.flatnonzero((lens > lo) & (lens <= hi))
-        for a in range(0, len(own), 20_000):
-            some = own[a : a + 20_000]
+        for a in range(0, len(own), 5000):
+            some = own[a : a + 5000]
             codes, weights = _subsequences([parts[i] for i in some])
             norm = _norms(codes, weights)
             flat[some] = (table[codes] * weights).sum(axis=1) / np.maximum(norm, 1e-12)
@@ -123,13 +123,14 @@ def _table_scores(words: list[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
-def _kernel(words: list[str], phi: np.ndarray) -> np.ndarray:
-    """Normalised kernel of words (their first pieces) with landmarks given by their subsequence weights."""
+def _kernel(words: list[str], phi: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Normalised kernel of words (their first pieces) with landmarks given by their subsequence weights; `place` has
+    the column of each code (0, of zeros, for those that no landmark has)."""
     by_code = np.ascontiguousarray(phi.T)
     out = np.zeros((len(words), len(phi)))
     for a in range(0, len(words), 200):
         codes, weights = _subsequences([(ANCHOR + w)[:LONGEST] for w in words[a : a + 200]])
-        raw = np.einsum("ijk,j->ik", by_code[codes], weights.astype(np.float32), optimize=True)
+        raw = np.einsum("ijk,j->ik", by_code[place[codes]], weights.astype(np.float32), optimize=True)
         out[a : a + 200] = raw / np.maximum(_norms(codes, weights), 1e-12)[:, None]
     return out
 
@@ -260,17 +261,22 @@ def train(rows: list[tuple[int, str, int]]) -> Model:
         weight[label > 0] *= 3000 / weight[label > 0].sum()
         weight[label < 0] *= 3000 / weight[label < 0].sum()
         weight = np.maximum(weight, 0.2)
-        phi = np.zeros((len(landmarks), LETTERS**3), np.float32)
         codes, weights = _subsequences([(ANCHOR + w)[:LONGEST] for w in landmarks])
-        np.add.at(phi, (np.arange(len(landmarks))[:, None], codes), weights)
+        own = np.unique(np.append(codes, 0))  # code 0 is none
+        place = np.zeros(LETTERS**3, np.int32)
+        place[own] = np.arange(len(own))
+        phi = np.zeros((len(landmarks), len(own)), np.float32)
+        np.add.at(phi, (np.arange(len(landmarks))[:, None], place[codes]), weights)
         phi[:, 0] = 0
         phi /= np.maximum(np.linalg.norm(phi, axis=1, keepdims=True), 1e-12)
         value, vector = np.linalg.eigh((phi @ phi.T).astype(float))
         ok = value > 1e-4 * value.max()
         root = vector[:, ok] / np.sqrt(value[ok])
-        kernel = _kernel(sample, phi)
+        kernel = _kernel(sample, phi, place)
         w = _svm(np.column_stack([kernel @ root, np.ones(len(sample))]), label, weight)
-        model = Model((root @ w[:-1]) @ phi, float(w[-1]), np.zeros(3))
+        table = np.zeros(LETTERS**3)
+        table[own] = (root @ w[:-1]) @ phi
+        model = Model(table, float(w[-1]), np.zeros(3))
         if turn == ROUNDS - 1:
             break
         fresh = sorted(set(chain.from_iterable(toxic)) | known_clean)
