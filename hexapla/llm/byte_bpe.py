@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hexapla.llm.common import map_arrow
 
-CACHE_ENTRIES, CACHED_LENGTH = 300_000, 48
+CACHE_ENTRIES, CACHED_LENGTH = 450_000, 48
 #: Two bitmap levels of 256 bits hold 65,536 ranks; a larger vocabulary only widens the upper one.
 WIDTH = 8
 MASK = (1 << WIDTH) - 1
