@@ -10,8 +10,12 @@ links two documents. Classes are the connected components of links.
 
 Exact copies (equal word sequences) collapse first, with map-side combine. A vector shared by up to `ALL_PAIRS`
 distinct texts yields all their pairs. A larger group yields a star around the text whose vectors are most common
-over the whole corpus (the hub that edited copies of one original have in it); texts that remain without a link
-after verification go through further rounds among themselves, until no large group remains or nothing is found.
+over the whole corpus (the hub that edited copies of one original have in it). Stars alone would lose links between
+texts that both differ from their hub, so the rest follows without a cap: members outside the component that most of
+their group is in are held, block by block, against the whole group by `SIGNATURE` one-byte minima. Only pairs of two
+components whose estimated Jaccard index, which no aligned similarity exceeds, is `LEAST_ESTIMATE` or more (four
+standard deviations below `MIN_SIMILARITY`) become rows. Each text's best such pair is aligned first; then all pairs
+that are still of two components. Links inside one component wouldn't change a class and aren't looked for.
 
 Defined results: texts without words (null and empty ones too) are classes of their own; a text of one to four
 words is one shingle; rows of one doc_id belong together; rows with a null doc_id have a null class and are kept;
@@ -32,8 +36,10 @@ from hexapla.llm.words import labelled, mix, shingles, word_hashes
 
 SHINGLE, MIN_SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 16, 3
-ALL_PAIRS, ROUNDS, BLOCK = 12, 3, 64
+ALL_PAIRS, BLOCK = 12, 64
+SIGNATURE, LEAST_ESTIMATE, MEMBERS = 256, 0.7, 512
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_MINIMA_SEEDS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _SLICE = 1 << 15
 
 
@@ -59,6 +65,14 @@ def sketch(seq: np.ndarray) -> np.ndarray:
     return x
 
 
+def signature(seq: np.ndarray) -> bytes:
+    """The low bytes of the smallest hash under each of SIGNATURE seeds."""
+    least = np.full(SIGNATURE, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(seq), 1 << 12):
+        np.minimum(least, mix(seq[None, a : a + (1 << 12)] ^ _MINIMA_SEEDS[:, None]).min(axis=1), out=least)
+    return least.astype(np.uint8).tobytes()
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Banded alignment of two labelled sequences; below MIN_SIMILARITY any lower bound may be returned."""
     m, n = len(a), len(b)
@@ -115,12 +129,12 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) from bands (k, value, doc), and the members of large groups."""
+    """Pairs (a < b) from bands (k, value, doc), and the members (k, value, n, doc) of large groups."""
     sizes = bands.groupBy("k", "value").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(bands.join(sizes, ["k", "value"]))
     # A document has at most SKETCHES rows here, so a window over it is small.
     fame = F.sum("n").over(Window.partitionBy("doc"))
-    famed = shared.withColumn("fame", fame).where(F.col("n") > ALL_PAIRS)
+    famed = cut(shared.withColumn("fame", fame).where(F.col("n") > ALL_PAIRS))
     hubs = famed.groupBy("k", "value").agg(F.max_by("doc", F.struct("fame", -F.col("doc"))).alias("hub"))
     # Members go to their hub in blocks: fewer rows meet, and no task holds a large group.
     block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK))
@@ -133,7 +147,7 @@ def _candidates(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = first.select("a", F.explode(F.slice("docs", F.col("i") + 2, F.size("docs"))).alias("b"))
     # Similar pairs share about half of their vectors; one shared vector alone is chance.
     both = pairs.unionByName(star).groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    return both, famed.select("doc").distinct()
+    return both, famed.select("k", "value", "n", "doc")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -153,25 +167,69 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     copied = worded.select("fp", "doc_id").join(reps.where("n > 1").select("fp", "rep"), "fp").select("doc_id", "rep")
     # The vectors of equal word sequences are equal, so any copy's will do.
     bands = worded.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.first("vectors").alias("vectors")).select("doc", F.posexplode("vectors").alias("k", "value"))
-    found, texts = None, None
-    for turn in range(ROUNDS):
-        pairs, grouped = _candidates(bands)
-        pairs, grouped = cut(pairs), cut(grouped)
-        if turn == 0:
-            involved = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(grouped).distinct()
-            texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).join(involved, "doc", "left_semi")
-            texts = cut(texts)
-        good = cut(_verified(pairs, texts).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        found = good if found is None else found.unionByName(good)
-        if turn == ROUNDS - 1:
-            break
-        left = cut(grouped.join(found.select(F.explode(F.array("u", "v")).alias("doc")).distinct(), "doc", "left_anti"))
-        if not left.head(1) or turn and not good.head(1):
-            break
-        bands = bands.join(left, "doc", "left_semi")
+    pairs, grouped = _candidates(bands)
+    pairs = cut(pairs)
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(grouped.select("doc")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).join(involved, "doc", "left_semi")
+    texts = cut(texts)
+    found = cut(_verified(pairs, texts).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    if grouped.head(1):
+        found = found.unionByName(_across_components(found, grouped, texts))
     return found, copied
 
 
+def _estimated(group: pa.Table) -> pa.Table:
+    """Pairs of one block of asking members and one of all members: different components, high estimate."""
+    asks = group.column("asks").to_numpy()
+    docs, parts = group.column("doc").to_numpy(), group.column("component").to_numpy()
+    minima = np.frombuffer(b"".join(group.column("minima").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+    ask, rest = np.flatnonzero(asks), np.flatnonzero(~asks)
+    others, chance = minima[rest], 1 / 256
+    left, right, estimate = [], [], []
+    for i in ask:
+        same = (np.count_nonzero(others == minima[i], axis=1) / SIGNATURE - chance) / (1 - chance)
+        hit = np.flatnonzero((same >= LEAST_ESTIMATE) & (parts[rest] != parts[i]))
+        left.append(np.full(len(hit), i))
+        right.append(rest[hit])
+        estimate.append(same[hit])
+    i, j = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (left, right))
+    swap = docs[i] > docs[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    return pa.table({"a": docs[i], "b": docs[j], "ca": parts[i], "cb": parts[j], "estimate": np.concatenate([np.zeros(0), *estimate])})
+
+
+def _across_components(found: DataFrame, grouped: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between different components of `found` among members of large groups."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        minima = [signature(sequence(words)) for words in _texts_words(batch.column("text"))]
+        return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(minima, pa.binary())], ["doc", "minima"])
+
+    minima = cut(map_arrow(texts.join(grouped.select("doc").distinct(), "doc", "left_semi").select("doc", "text"), run, "doc long, minima binary"))
+    component = connected_components(found).withColumnRenamed("node", "doc")
+    members = cut(grouped.join(component, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
+    held = members.groupBy("k", "value", "n", "component").agg(F.count("*").alias("m"))
+    most = held.groupBy("k", "value").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.sum("m").alias("all"), F.max("m").alias("top")).where("top < all")
+    rows = members.join(most, ["k", "value"]).join(minima, "doc")
+    # Every block of askers meets every block of the group in a task of its own, whatever the group's size.
+    ask_blocks, blocks = F.ceil((F.col("all") - F.col("top")) / MEMBERS).cast("int"), F.ceil(F.col("all") / MEMBERS).cast("int")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    mine = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
+    cols = ["k", "value", "doc", "component", "minima"]
+    askers = rows.where("component <> most").select(*cols, F.lit(True).alias("asks"), mine(ask_blocks).alias("x"), up_to(blocks).alias("y"))
+    asked = rows.select(*cols, F.lit(False).alias("asks"), up_to(ask_blocks).alias("x"), mine(blocks).alias("y"))
+    likely = askers.unionByName(asked).groupBy("k", "value", "x", "y").applyInArrow(_estimated, "a long, b long, ca long, cb long, estimate double")
+    likely = cut(likely.groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"), F.first("estimate").alias("estimate")))
+    best = F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("p")
+    first = likely.groupBy(F.col("a").alias("doc")).agg(best).select("p.*").unionByName(likely.groupBy(F.col("b").alias("doc")).agg(best).select("p.*")).distinct()
+    good = cut(_verified(first, texts).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    joined = cut(connected_components(good.join(likely, (F.col("u") == F.col("a")) & (F.col("v") == F.col("b"))).select(F.col("ca").alias("u"), F.col("cb").alias("v"))))
+    new = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"new_{c}"))
+    left = likely.join(new("ca"), "ca", "left").join(new("cb"), "cb", "left").where(F.coalesce("new_ca", "ca") != F.coalesce("new_cb", "cb")).select("a", "b")
+    last = cut(_verified(left.join(first, ["a", "b"], "left_anti"), texts).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return good.unionByName(last)
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for every distinct non-null doc_id: the smallest doc_id of its class."""
     sketched = cut(sketches(docs))

@@ -151,6 +151,31 @@ def test_large_group_finds_its_hub(spark):
     assert len({got[i] for i, _ in rows if i not in far}) == 1
 
 
+def test_large_groups_lose_no_class(spark):
+    """Texts that differ too much from their group's hub are still joined through others, as all pairs would."""
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(4000)]
+    rows = []
+    for family in range(3):
+        texts = [" ".join(rng.choice(vocab) for _ in range(80))]
+        for _ in range(59):
+            w = (texts[0] if family == 0 else rng.choice(texts)).split()
+            for _ in range(rng.randint(1, 2)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            texts.append(" ".join(w))
+        rows += texts
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    rows = list(zip(order, rows, strict=True))
+    assert {r.doc_id: r.class_id for r in order_minhash.digest(docs_of(spark, rows)).collect()} == plain_classes(rows)
+
+
+def test_signature_estimates_overlap():
+    a = np.arange(1000, dtype=np.uint64)
+    x, y = (np.frombuffer(order_minhash.signature(words.mix(v)), np.uint8) for v in (a, a + np.uint64(111)))
+    assert abs((x == y).mean() - 889 / 1111) < 0.1
+
+
 def test_similarity_of_sequences():
     a = np.arange(1, 101, dtype=np.uint64)
     assert order_minhash.similarity(a, a) == 1.0
