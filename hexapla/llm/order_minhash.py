@@ -12,10 +12,10 @@ Exact copies (equal word sequences) collapse first, with map-side combine. A vec
 distinct texts yields all their pairs. A larger group yields a star around the text whose vectors are most common
 over the whole corpus (the hub that edited copies of one original have in it). Stars alone would lose links between
 texts that both differ from their hub, so the rest follows without a cap: members outside the component that most of
-their group is in are held, block by block, against the whole group by `SIGNATURE` one-byte minima. Only pairs of two
-components whose estimated Jaccard index, which no aligned similarity exceeds, is `LEAST_ESTIMATE` or more (four
-standard deviations below `MIN_SIMILARITY`) become rows. Each text's best such pair is aligned first; then all pairs
-that are still of two components. Links inside one component wouldn't change a class and aren't looked for.
+their group is in are held, block by block, against the whole group. There `SIGNATURE` one-byte minima estimate the
+Jaccard index, which no aligned similarity exceeds; pairs of two components that reach `LEAST_ESTIMATE` (four standard
+deviations below `MIN_SIMILARITY`) are aligned in place, the likeliest first, each in the first large group that it shares.
+Only a link that joins two components of its block leaves the task, so its rows grow with members, not with pairs.
 
 Defined results: texts without words (null and empty ones too) are classes of their own; a text of one to four
 words is one shingle; rows of one doc_id belong together; rows with a null doc_id have a null class and are kept;
@@ -37,7 +37,7 @@ from hexapla.llm.words import labelled, mix, shingles, word_hashes
 SHINGLE, MIN_SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 16, 3
 ALL_PAIRS, BLOCK = 12, 64
-SIGNATURE, LEAST_ESTIMATE, MEMBERS = 256, 0.7, 512
+SIGNATURE, LEAST_ESTIMATE, MEMBERS, BLOCK_BYTES = 256, 0.7, 2048, 1 << 24
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _MINIMA_SEEDS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _SLICE = 1 << 15
@@ -178,24 +178,43 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, copied
 
 
-def _estimated(group: pa.Table) -> pa.Table:
-    """Pairs of one block of asking members and one of all members: different components, high estimate."""
-    asks = group.column("asks").to_numpy()
-    docs, parts = group.column("doc").to_numpy(), group.column("component").to_numpy()
+def _links_in_block(group: pa.Table) -> pa.Table:
+    """Links that join components, from one block of asking members and one of all members."""
+    docs, asks, minor = (group.column(c).to_numpy() for c in ("doc", "asks", "minor"))
+    first_k = group.column("k")[0].as_py()
     minima = np.frombuffer(b"".join(group.column("minima").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
-    ask, rest = np.flatnonzero(asks), np.flatnonzero(~asks)
-    others, chance = minima[rest], 1 / 256
-    left, right, estimate = [], [], []
-    for i in ask:
-        same = (np.count_nonzero(others == minima[i], axis=1) / SIGNATURE - chance) / (1 - chance)
-        hit = np.flatnonzero((same >= LEAST_ESTIMATE) & (parts[rest] != parts[i]))
-        left.append(np.full(len(hit), i))
-        right.append(rest[hit])
-        estimate.append(same[hit])
-    i, j = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (left, right))
-    swap = docs[i] > docs[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    return pa.table({"a": docs[i], "b": docs[j], "ca": parts[i], "cb": parts[j], "estimate": np.concatenate([np.zeros(0), *estimate])})
+    # Vectors that are in no large group match nothing: their place holds the row's own negative number.
+    vectors = np.broadcast_to(-1 - np.arange(len(docs))[:, None], (len(docs), SKETCHES)).copy()
+    known = np.zeros((len(docs), SKETCHES), bool)
+    for i, large in enumerate(group.column("large").to_pylist()):
+        for x in large:
+            vectors[i, x["k"]], known[i, x["k"]] = x["value"], True
+    seqs = [sequence(words) for words in _texts_words(group.column("text").combine_chunks())]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    parts = group.column("component").to_pylist()
+    found_u, found_v = [], []
+    for i in np.flatnonzero(asks):
+        # Two members of the minority meet twice; the one with the smaller doc_id asks.
+        rest = np.flatnonzero(~minor | (docs > docs[i]))
+        estimate = (np.count_nonzero(minima[rest] == minima[i], axis=1) / SIGNATURE - 1 / 256) / (1 - 1 / 256)
+        near = estimate >= LEAST_ESTIMATE
+        rest, estimate = rest[near], estimate[near]
+        shared = (vectors[rest] == vectors[i]) & known[rest] & known[i]
+        here = shared.argmax(axis=1) == first_k
+        rest, estimate = rest[here], estimate[here]
+        for j in rest[np.argsort(-estimate, kind="stable")]:
+            p, q = root(parts[i]), root(parts[j])
+            if p != q and similarity(seqs[i], seqs[j]) >= MIN_SIMILARITY:
+                parent[max(p, q)] = min(p, q)
+                found_u.append(int(docs[i]))
+                found_v.append(int(docs[j]))
+    return pa.table({"u": pa.array(found_u, pa.int64()), "v": pa.array(found_v, pa.int64())})
 
 
 def _across_components(found: DataFrame, grouped: DataFrame, texts: DataFrame) -> DataFrame:
@@ -203,31 +222,29 @@ def _across_components(found: DataFrame, grouped: DataFrame, texts: DataFrame) -
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         minima = [signature(sequence(words)) for words in _texts_words(batch.column("text"))]
-        return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(minima, pa.binary())], ["doc", "minima"])
+        return pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text"), pa.array(minima, pa.binary())], ["doc", "text", "minima"])
 
-    minima = cut(map_arrow(texts.join(grouped.select("doc").distinct(), "doc", "left_semi").select("doc", "text"), run, "doc long, minima binary"))
+    large = grouped.groupBy("doc").agg(F.collect_list(F.struct("k", "value")).alias("large"))  # SKETCHES at most
     component = connected_components(found).withColumnRenamed("node", "doc")
     members = cut(grouped.join(component, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
-    held = members.groupBy("k", "value", "n", "component").agg(F.count("*").alias("m"))
+    held = members.groupBy("k", "value", "component").agg(F.count("*").alias("m"))
     most = held.groupBy("k", "value").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.sum("m").alias("all"), F.max("m").alias("top")).where("top < all")
-    rows = members.join(most, ["k", "value"]).join(minima, "doc")
+    open_members = cut(members.join(most, ["k", "value"]))
+    wanted = texts.join(open_members.select("doc").distinct(), "doc", "left_semi").select("doc", "text")
+    known = cut(map_arrow(wanted, run, "doc long, text string, minima binary").join(large, "doc"))
+    longest = known.agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    size = int(max(1, min(MEMBERS, BLOCK_BYTES // max(longest, 1))))
     # Every block of askers meets every block of the group in a task of its own, whatever the group's size.
-    ask_blocks, blocks = F.ceil((F.col("all") - F.col("top")) / MEMBERS).cast("int"), F.ceil(F.col("all") / MEMBERS).cast("int")
+    ask_blocks, blocks = F.ceil((F.col("all") - F.col("top")) / size).cast("int"), F.ceil(F.col("all") / size).cast("int")
+    single = (blocks == 1) & (ask_blocks == 1)
     up_to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     mine = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
-    cols = ["k", "value", "doc", "component", "minima"]
-    askers = rows.where("component <> most").select(*cols, F.lit(True).alias("asks"), mine(ask_blocks).alias("x"), up_to(blocks).alias("y"))
-    asked = rows.select(*cols, F.lit(False).alias("asks"), up_to(ask_blocks).alias("x"), mine(blocks).alias("y"))
-    likely = askers.unionByName(asked).groupBy("k", "value", "x", "y").applyInArrow(_estimated, "a long, b long, ca long, cb long, estimate double")
-    likely = cut(likely.groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"), F.first("estimate").alias("estimate")))
-    best = F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("p")
-    first = likely.groupBy(F.col("a").alias("doc")).agg(best).select("p.*").unionByName(likely.groupBy(F.col("b").alias("doc")).agg(best).select("p.*")).distinct()
-    good = cut(_verified(first, texts).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    joined = cut(connected_components(good.join(likely, (F.col("u") == F.col("a")) & (F.col("v") == F.col("b"))).select(F.col("ca").alias("u"), F.col("cb").alias("v"))))
-    new = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"new_{c}"))
-    left = likely.join(new("ca"), "ca", "left").join(new("cb"), "cb", "left").where(F.coalesce("new_ca", "ca") != F.coalesce("new_cb", "cb")).select("a", "b")
-    last = cut(_verified(left.join(first, ["a", "b"], "left_anti"), texts).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return good.unionByName(last)
+    minor = F.col("component") != F.col("most")
+    cols = ["k", "value", "doc", "component", minor.alias("minor")]
+    askers = open_members.where(minor & ~single).select(*cols, F.lit(True).alias("asks"), mine(ask_blocks).alias("x"), up_to(blocks).alias("y"))
+    asked = open_members.select(*cols, (minor & single).alias("asks"), up_to(ask_blocks).alias("x"), mine(blocks).alias("y"))
+    met = askers.unionByName(asked).join(known, "doc")
+    return cut(met.groupBy("k", "value", "x", "y").applyInArrow(_links_in_block, "u long, v long"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
