@@ -29,15 +29,15 @@ def normalize(x: Column) -> Column:
     return collapse(F.translate(nfc(x), "﻿​", ""))
 
 
-#: Order matters: the header rule needs its page number, the footer rule its digits, and the hyphen rule line ends.
+#: Fixed values. Order matters: the header rule needs its capitals and page number, the footer rule its digits, the hyphen rule line ends.
 OCR_RULES = [
     (r"(?U)(\w)-\s*\n\s*(\w)", "$1$2"),
-    (r"(?m)^\s*\d{0,4}\s*(?:CAUSAE ET CURAE|HILDEGARDIS)[^\n]*$", " "),
-    (r"(?U)\b(?:\p{Lu}{2,}[ \t]+){3,}\p{Lu}{2,}\b", " "),
-    (r"(?im)^\s*digitized by[^\n]*\d*\s*$", " "),
+    (r"(?U)\b[A-Z]{4,}\s+ET\s+[A-Z]{4,}\s+\S{1,4}\.?\s+\S{1,4}\.?", " "),
+    (r"(?U)\b[A-Z]{4,}\b", " "),
+    (r"(?U)Hildegardis causae et curae ed\.\s*(Kaiser|Eaiser)\.\s*\d+", " "),
     (r"(?U)(?<=\s)\d{1,3}(?=\s)", " "),
-    (r"(?U)(?<=\p{L})\d+\b", ""),
-    (r"\^\)?", ""),
+    (r"(?U)(?<=[a-zA-Z])\d{1,3}(?=\s)", ""),
+    (r"(?U)\^?\)\s*", " "),
     (r"[\[\]<>*†]", ""),
 ]
 
@@ -73,15 +73,14 @@ def rerank_text(translation: Column, text: Column) -> Column:
 
 
 def parse_int_ref(x: Column) -> Column:
-    """struct(number: int, ref: string): the number of a date or chapter field, and the field where it isn't one."""
-    leading = F.regexp_extract(F.element_at(F.split(x, ":"), 5), r"^(\d+)", 1)
-    whole = F.regexp_extract(x, r"^\s*(-?\d+)\s*$", 1)
-    first = F.regexp_extract(x, r"(?<![\p{L}\p{N}_])(\d+)(?![\p{L}\p{N}_])", 1)
-    urn = x.startswith("urn:cts:") & (F.size(F.split(x, ":")) >= 5)
-    digits = F.when(x.startswith("urn:cts:"), F.when(urn, leading).otherwise("")).when(whole != "", whole).otherwise(first)
+    """struct(number: int, ref: string): the number of a date or chapter field, and the whole field; both null for ''."""
+    raw, parts = F.btrim(x), F.split(F.btrim(x), ":")
+    passage = F.regexp_extract(F.try_element_at(parts, F.lit(5)), r"^(\d+)", 1)
+    whole = F.regexp_extract(raw, r"^(-?\d+)$", 1)
+    first = F.regexp_extract(raw, r"(?<![\p{L}\p{N}_])(\d+)(?![\p{L}\p{N}_])", 1)
+    digits = F.when(raw.startswith("urn:cts:"), F.coalesce(passage, F.lit(""))).when(whole != "", whole).otherwise(first)
     value = F.nullif(digits, F.lit("")).try_cast("int")
-    blank = x.isNull() | (x == "")
-    return F.struct(F.when(~blank, value).alias("number"), F.when(~blank & (x.startswith("urn:cts:") | (whole == "")), x).alias("ref"))
+    return F.struct(F.when(x != "", value).alias("number"), F.when(x != "", raw).alias("ref"))
 
 
 def strip_think(x: Column) -> Column:

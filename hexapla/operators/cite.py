@@ -76,23 +76,53 @@ def citation_status(citations: DataFrame, verdicts: DataFrame) -> DataFrame:
     return citations.join(agreed, ["query_id", "source_n"], "left").withColumn("status", status).drop("disputed", "verified")
 
 
+#: How works of each kind are cited, and what is said of their translations. The first kind that fits holds.
+#: (marks in the tradition, beginning of the language, author, note)
+KINDS = [
+    (("chinese",), "zh", "", "English translation: LLM-assisted (unreviewed)."),
+    (("greek",), "grc", "Hippocrates, ", "Greek text and English translation: Perseus Digital Library."),
+    (("medieval", "european"), "la", "Hildegard of Bingen, ", "Latin from OCR; English translation: LLM-assisted (unreviewed)."),
+]
+NOTE_ORDER = (1, 0, 2)
+HAN_TITLE = " (黄帝内经素問)"
+
+
+def _kind(no: int) -> Column:
+    marks, language, _, _ = KINDS[no]
+    tradition = F.lower(F.coalesce(F.col("tradition"), F.lit("")))
+    fits = F.coalesce(F.col("language"), F.lit("")).startswith(language)
+    for mark in marks:
+        fits = fits | tradition.contains(mark)
+    return fits
+
+
+def _first_kind(order, value) -> Column:
+    out = F
+    for no in order:
+        out = out.when(_kind(no), value(no))
+    return out
+
+
 def reference(settings: Settings = DEFAULTS) -> Column:
-    """One formatted reference from chunk columns, by tradition."""
+    """One formatted reference from chunk columns (tradition, language, source_text, chapter_ref, section, section_ref, date_label, source_urn)."""
     filled = lambda c: F.nullif(F.btrim(F.col(c)), F.lit(""))
+    title = F.coalesce(filled("source_text"), F.lit("Untitled passage"))
+    han = F.when(_kind(0) & ~title.rlike("[\\u4e00-\\u9fff]"), HAN_TITLE).otherwise("")
+    author = _first_kind((0, 1, 2), lambda no: F.lit(KINDS[no][2])).otherwise("")
     locator = F.coalesce(filled("chapter_ref"), filled("section"), filled("section_ref"))
-    title = F.coalesce(filled("source_text"), F.lit("Untitled"))
-    language = F.coalesce(F.col("tradition"), F.lit(""))
-    named = F.when((language == "chinese-medicine") & ~title.rlike("[\\u4e00-\\u9fff]"), F.concat(title, F.lit(" (黃帝內經素問)"))).otherwise(title)
-    form = F.when(language == "chinese-medicine", F.concat_ws(", ", named, F.concat(F.lit("ch. "), locator)))
-    form = form.when(language == "greek-medicine", F.concat_ws(" ", named, locator))
-    form = form.otherwise(F.concat_ws(", ", named, locator))
-    whole = F.concat_ws("", form, F.concat(F.lit(" ("), filled("date_label"), F.lit(")")), F.concat(F.lit(". "), filled("source_urn")))
-    return F.concat(F.regexp_replace(whole, r"[.\s]+$", ""), F.lit("."))
+    note = _first_kind(NOTE_ORDER, lambda no: F.lit(KINDS[no][3]))
+    whole = F.concat_ws(
+        "", author, F.lit("*"), title, han, F.lit("*"), F.concat(F.lit(", "), locator), F.concat(F.lit(" ("), filled("date_label"), F.lit(")")),
+        F.concat(F.lit(". "), filled("source_urn")), F.concat(F.lit(". "), note),
+    )
+    return F.concat(F.regexp_replace(whole, r"[. ]+$", ""), F.lit("."))
 
 
 def context_block(source_n: Column, settings: Settings = DEFAULTS) -> Column:
     head = F.concat(F.lit("[SOURCE "), source_n.cast("string"), F.lit("] "), F.concat_ws(" | ", "source_text", "section", "tradition", "date_label", F.concat(F.lit("id="), F.col("chunk_id").cast("string"))))
-    return F.concat_ws("\n", head, F.concat(F.lit("English: "), F.nullif("text_translation", F.lit(""))), F.concat(F.lit("Original: "), F.col("text")))
+    translation, language = F.nullif(F.btrim("text_translation"), F.lit("")), F.coalesce("language", F.lit(""))
+    original = F.concat(F.lit("Original ("), language, F.when(translation.isNull(), ", no translation available").otherwise(""), F.lit("): "), F.btrim(F.coalesce("text", F.lit(""))))
+    return F.concat_ws("\n", head, F.concat(F.lit("English: "), translation), original)
 
 
 def context(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -102,16 +132,22 @@ def context(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 
 def reference_line(settings: Settings = DEFAULTS) -> Column:
-    return F.concat(F.lit("["), F.col("source_n").cast("string"), F.lit("] "), reference(settings), F.lit(" — "), F.col("status"), F.lit("\n> "), clip(F.coalesce(F.nullif("text_translation", F.lit("")), "text"), settings.clip))
+    """A reference with its mark, if disputed, and its clipped passages; fixed format."""
+    translation, original = (F.nullif(F.coalesce(c, F.lit("")), F.lit("")) for c in ("text_translation", "text"))
+    head = F.concat(F.lit("[SOURCE "), F.col("source_n").cast("string"), F.lit("] "), reference(settings), F.when(F.col("status") == "disputed", "  ⚠ unverified — see proofreading flags").otherwise(""))
+    return F.concat_ws(
+        "\n", head, F.concat(F.lit("    - *Translation:* "), clip(translation, settings.clip)),
+        F.concat(F.lit("    - *Original ("), F.coalesce("language", F.lit("")), F.lit("):* "), clip(original, settings.clip)),
+    )
 
 
 def final_answer(draft: Column, references: Column, n_uncited: Column, report: Column, flags: Column) -> Column:
-    """Draft, rule, references, uncited count, report, flags; empty parts go."""
+    """Draft, rule, references, uncited count, report, integrity; empty parts go. Fixed format."""
     parts = F.array(
-        draft, F.lit("---"),
-        F.when(F.size(references) > 0, F.concat(F.lit("## References\n\n"), F.array_join(references, "\n\n"))).otherwise(F.lit("## References\n\nNo sources were cited.")),
-        F.when(n_uncited > 0, F.concat(n_uncited.cast("string"), F.lit(" retrieved sources were not cited."))),
-        F.when(report != "", F.concat(F.lit("## Verification\n\n"), report)),
-        F.when(F.size(flags) > 0, F.concat(F.lit("## Integrity\n\n- "), F.array_join(flags, "\n- "))),
+        draft, F.lit("\n---"), F.lit("**References**"),
+        F.when(F.size(references) > 0, F.array_join(references, "\n\n")).otherwise(F.lit("_No sources were cited in the synthesis._")),
+        F.when(n_uncited > 0, F.concat(F.lit("_"), n_uncited.cast("string"), F.lit(" additional passage(s) retrieved but not cited._"))),
+        F.when(report != "", F.concat(F.lit("**Proofreading**: "), report)),
+        F.when(F.size(flags) > 0, F.concat(F.lit("⚠ **Citation integrity:**\n• "), F.array_join(flags, "\n• "))),
     )
     return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), "\n\n")

@@ -202,7 +202,8 @@ def citation_status(spark, sf_dir):
 def format_citation(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     rows = d.select("doc_id", F.element_at(F.array(*map(F.lit, ["chinese-medicine", "greek-medicine", "medieval-european"])), (F.col("doc_id") % 3 + 1).cast("int")).alias("tradition"), F.col("source").alias("source_text"),
-        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Chapter "), F.col("doc_id"))).alias("chapter_ref"), F.col("lang").alias("section"), F.lit(None).cast("string").alias("section_ref"), F.when(F.col("doc_id") % 5 == 0, F.lit("c. 400 BCE")).alias("date_label"), F.when(F.col("doc_id") % 7 == 0, F.lit("urn:x. ")).alias("source_urn"))
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Chapter "), F.col("doc_id"))).alias("chapter_ref"), F.col("lang").alias("section"), F.lit(None).cast("string").alias("section_ref"), F.when(F.col("doc_id") % 5 == 0, F.lit("c. 400 BCE")).alias("date_label"), F.when(F.col("doc_id") % 7 == 0, F.lit("urn:x. ")).alias("source_urn"),
+        F.lit(None).cast("string").alias("language"))
     return rows.select("doc_id", cite.reference().alias("reference"))
 
 
@@ -311,7 +312,7 @@ def oracle_sql() -> dict[str, str]:
         "point_id_uuid5": f"SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[(position(h[17] IN '0123456789abcdef') - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] AS point_id FROM (SELECT doc_id, {_UUID} AS h FROM documents)",
         "parse_int_ref": f"""SELECT n, CASE WHEN raw = '' THEN NULL WHEN raw LIKE 'urn:cts:%' THEN try_cast(nullif(regexp_extract(string_split(raw, ':')[5], '^(\\d+)', 1), '') AS INT)
   ELSE try_cast(nullif(coalesce(nullif(regexp_extract(raw, '^\\s*(-?\\d+)\\s*$', 1), ''), regexp_extract(raw, '\\b(\\d+)\\b', 1)), '') AS INT) END AS number,
-  CASE WHEN raw <> '' AND (raw LIKE 'urn:cts:%' OR NOT regexp_matches(raw, '^\\s*-?\\d+\\s*$')) THEN raw END AS ref FROM {_values([*enumerate(_REFS)], 'n, raw')}""",
+  CASE WHEN raw <> '' THEN trim(raw) END AS ref FROM {_values([*enumerate(_REFS)], 'n, raw')}""",
         "embedding_text": "SELECT conv_id, turn, CASE WHEN role = 'user' THEN role || chr(10) || chr(10) || trim(text) ELSE trim(text) END AS whole, trim(CASE WHEN role = 'user' THEN role ELSE text END) AS short FROM conversations",
         "align_left_join": "SELECT d.doc_id, lang, coalesce(quality::VARCHAR, '') AS text_translation, l.doc_id IS NOT NULL AS aligned FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
         "alignment_rate": f"SELECT lang, count(*) AS n, round(avg((l.doc_id IS NOT NULL)::DOUBLE), 6) AS rate, avg((l.doc_id IS NOT NULL)::DOUBLE) < {S.alignment_floor} AS warn FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang",
@@ -333,7 +334,9 @@ SELECT query_id, coalesce(array_to_string(c, ','), '') AS cited, coalesce(array_
   coalesce(array_to_string(list_filter(range(1, n_chunks + 1), lambda x: NOT list_contains(c, x::INT)), ','), '') AS uncited FROM d""",
         "citation_status": f"""WITH v AS (SELECT query_id, n, bool_or(NOT supported) AS bad, bool_or(supported) AS good FROM {_values(_VERDICTS, 'query_id, n, supported')} GROUP BY ALL), c AS (SELECT q AS query_id, n AS source_n FROM (VALUES (0), (1)) a(q), (VALUES (1), (2), (3), (4)) b(n))
 SELECT c.query_id, source_n, CASE WHEN bad THEN 'disputed' WHEN good THEN 'verified' ELSE 'cited' END AS status FROM c LEFT JOIN v ON v.query_id = c.query_id AND v.n = c.source_n""",
-        "format_citation": """SELECT doc_id, regexp_replace(CASE doc_id % 3 WHEN 0 THEN source || ' (黃帝內經素問), ch. ' || loc WHEN 1 THEN source || ' ' || loc ELSE source || ', ' || loc END || CASE WHEN doc_id % 5 = 0 THEN ' (c. 400 BCE)' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN '. urn:x.' ELSE '' END, '[.\\s]+$', '') || '.' AS reference
+        "format_citation": """SELECT doc_id, regexp_replace(CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Hippocrates, ' ELSE 'Hildegard of Bingen, ' END || '*' || source || CASE WHEN doc_id % 3 = 0 THEN ' (黄帝内经素問)' ELSE '' END || '*, ' || loc
+  || CASE WHEN doc_id % 5 = 0 THEN ' (c. 400 BCE)' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN '. urn:x.' ELSE '' END
+  || CASE doc_id % 3 WHEN 0 THEN '. English translation: LLM-assisted (unreviewed).' WHEN 1 THEN '. Greek text and English translation: Perseus Digital Library.' ELSE '. Latin from OCR; English translation: LLM-assisted (unreviewed).' END, '[. ]+$', '') || '.' AS reference
 FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'Chapter ' || doc_id ELSE lang END AS loc FROM documents)""",
         "suite_summary": _ALL + "SELECT query_id, count(*) AS n_retrieved, string_agg(DISTINCT tradition, ',' ORDER BY tradition) AS traditions, count(*) FILTER (score > 0) AS n_scored FROM chosen GROUP BY query_id",
     }

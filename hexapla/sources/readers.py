@@ -79,8 +79,8 @@ def between(text: Column, start: str, end: str) -> Column:
     return F.when((at > 0) & (stop > 0), F.substring(rest, F.lit(1), stop + F.lit(len(end) - 1))).otherwise(F.raise_error(F.lit("marker missing")))
 
 
-#: Element kinds whose content is no running text; what follows them stays.
-TEI_SKIPPED = frozenset("note bibl ref figure app rdg del gap milestone".split())
+#: Element kinds whose content is no running text; what follows them stays.
+TEI_SKIPPED = frozenset("note bibl ref head gap milestone figure label teiHeader".split())
 TEI_SECTIONS = ("div[@subtype='section']", "div[@type='textpart']", "div1[@type='section']", "div1", "div[@n]")
 
 
@@ -110,13 +110,15 @@ def tei_sections(xml: str) -> list[tuple[str, str]]:
     body = root.find(".//body")
     body = root if body is None else body
     for path in TEI_SECTIONS:
-        found = [s for s in body.findall(f".//{path}") if s.get("n")]
+        found = body.findall(f".//{path}")
         if found:
             break
     out = []
     for s in found:
+        if not (s.get("n") or "").strip():
+            continue
         text = unicodedata.normalize("NFC", " ".join(_flat(s))).replace("﻿", "").replace("​", "")
-        out.append((s.get("n"), re.sub(r"\s+", " ", text).strip()))
+        out.append((s.get("n").strip(), re.sub(r"\s+", " ", text).strip()))
     return out
 
 

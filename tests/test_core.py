@@ -154,6 +154,38 @@ def test_tei_keeps_tails_and_first_sections(spark):
     assert (rate.n, rate.rate, rate.warn) == (2, 0.5, True)
 
 
+def test_ocr_rules_in_order(spark):
+    for raw, clean in [
+        ("ante CAUSAE ET CURAE LIB. II. 45 post", "ante post"),
+        ("ante CAUSAE ET CURAE II. 45 post", "ante post"),
+        ("HILDEGABDIS sanguis ROMA est", "sanguis est"),
+        ("fel Hildegardis causae et curae ed. Eaiser. 12 aqua", "fel aqua"),
+        ("abs5 que 10 terra", "abs que terra"),
+        ("nam^) et 1) sic", "nam et 1 sic"),
+        ("[a] <b> *c* †d", "a b c d"),
+    ]:
+        assert one(spark, raw, tx.ocr_clean) == clean
+
+
+def test_references_by_kind(spark):
+    names = "tradition language source_text chapter_ref section section_ref date_label source_urn".split()
+    rows = [
+        ("chinese-medicine", "zh-classical", "Suwen", "Chapter 5", "x", None, "200 BCE", None),
+        ("chinese-medicine", "", "素問", None, None, None, None, None),
+        ("greek-medicine", "grc", "Airs", None, "Section 3", "3", "", "urn:cts:a"),
+        (None, "la-medieval", " ", "", "", "7", None, None),
+        (None, None, "Other.", None, None, None, None, None),
+    ]
+    got = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)).select(cite.reference().alias("r"))
+    assert [r.r for r in got.collect()] == [
+        "*Suwen (黄帝内经素問)*, Chapter 5 (200 BCE). English translation: LLM-assisted (unreviewed).",
+        "*素問*. English translation: LLM-assisted (unreviewed).",
+        "Hippocrates, *Airs*, Section 3. urn:cts:a. Greek text and English translation: Perseus Digital Library.",
+        "Hildegard of Bingen, *Untitled passage*, 7. Latin from OCR; English translation: LLM-assisted (unreviewed).",
+        "*Other.*.",
+    ]
+
+
 def test_ocr_page(spark):
     assert one(spark, "<x><pre>a &amp; b START c END d</pre>", readers.pre_text) == "a & b START c END d"
     assert one(spark, "a START c END d END", lambda x: readers.between(x, "START", "END")) == " c END"
