@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexapla.config import DEFAULTS as S
@@ -30,10 +32,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def asked(spark: SparkSession, sf_dir: str, n: int = N_QUERIES) -> DataFrame:
-    """The first benchmark items as questions, each with the vector of the same number."""
-    b, e = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "embeddings")
-    return b.where(F.col("item_id") < n).join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), "item_id").select(F.col("item_id").alias("query_id"), "text", "vector")
+def _items(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
+    b = _t(spark, sf_dir, "benchmark")
+    return b if n is None else b.where(F.col("item_id") < n)
+
+
+def asked(spark: SparkSession, sf_dir: str, n: int | None = N_QUERIES) -> DataFrame:
+    """Benchmark items below n, or all of them without n, as questions, each with the vector of the same number."""
+    b, e = _items(spark, sf_dir, n), _t(spark, sf_dir, "embeddings")
+    return b.join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), "item_id").select(F.col("item_id").alias("query_id"), "text", "vector")
 
 
 # --- text -------------------------------------------------------------------------------------------------------
@@ -112,19 +119,18 @@ def postings_stats(spark, sf_dir):
     return index.postings(d, "text", index.standard(F.col("text"))).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def _sparse(spark, sf_dir, fields=("text",)):
+def _sparse(spark, sf_dir, fields=("text",), n=N_QUERIES):
     c = corpus(spark, sf_dir).withColumn("translation", F.left("text", F.lit(200)))
     posts = stats = None
     for f in fields:
         p, s = index.postings(c, f, index.standard(F.col(f))), index.field_statistics(c, f, index.standard(F.col(f)))
         posts, stats = (p, s) if posts is None else (posts.unionByName(p), stats.unionByName(s))
-    b = _t(spark, sf_dir, "benchmark").where(F.col("item_id") < N_QUERIES)
-    terms = b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(index.standard(F.col("text")))).alias("term"))
+    terms = _items(spark, sf_dir, n).select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(index.standard(F.col("text")))).alias("term"))
     return retrieve.bm25_scores(posts, stats, terms)
 
 
-def bm25_topk(spark, sf_dir):
-    return retrieve.ranked(_sparse(spark, sf_dir).drop("field"), S.sparse_k, "score")
+def bm25_topk(spark, sf_dir, n=N_QUERIES):
+    return retrieve.ranked(_sparse(spark, sf_dir, n=n).drop("field"), S.sparse_k, "score")
 
 
 def bm25_best_fields(spark, sf_dir):
@@ -132,48 +138,48 @@ def bm25_best_fields(spark, sf_dir):
 
 
 # --- dense --------------------------------------------------------------------------------------------------------
-def dense_topk(spark, sf_dir):
-    return retrieve.dense_topk(corpus(spark, sf_dir), asked(spark, sf_dir))
+def dense_topk(spark, sf_dir, n=N_QUERIES):
+    return retrieve.dense_topk(corpus(spark, sf_dir), asked(spark, sf_dir, n))
 
 
-def dense_topk_filtered(spark, sf_dir):
+def dense_topk_filtered(spark, sf_dir, n=N_QUERIES):
     rows = corpus(spark, sf_dir).where(retrieve.facets(traditions=["en"], date_from=500, date_to=5000))
-    return retrieve.dense_topk(rows, asked(spark, sf_dir))
+    return retrieve.dense_topk(rows, asked(spark, sf_dir, n))
 
 
-def dense_topk_per_lang(spark, sf_dir):
-    return retrieve.dense_topk(corpus(spark, sf_dir), asked(spark, sf_dir), S.floor_pool, per="tradition")
+def dense_topk_per_lang(spark, sf_dir, n=N_QUERIES):
+    return retrieve.dense_topk(corpus(spark, sf_dir), asked(spark, sf_dir, n), S.floor_pool, per="tradition")
 
 
 # --- fusion, rerank, selection ------------------------------------------------------------------------------------
-def rrf_fusion(spark, sf_dir):
-    return retrieve.fuse(dense_topk(spark, sf_dir), bm25_topk(spark, sf_dir))
+def rrf_fusion(spark, sf_dir, n=N_QUERIES):
+    return retrieve.fuse(dense_topk(spark, sf_dir, n), bm25_topk(spark, sf_dir, n))
 
 
-def _pool(spark, sf_dir):
+def _pool(spark, sf_dir, n=N_QUERIES):
     langs = ["en", "de", "fr", "es"]
     place = F.array_position(F.array(*map(F.lit, langs)), F.col("tradition")) - 1
-    floors = dense_topk_per_lang(spark, sf_dir).select("query_id", "chunk_id", place.cast("int").alias("floor_no"), "rank").where("floor_no >= 0")
-    return retrieve.pool(rrf_fusion(spark, sf_dir), floors)
+    floors = dense_topk_per_lang(spark, sf_dir, n).select("query_id", "chunk_id", place.cast("int").alias("floor_no"), "rank").where("floor_no >= 0")
+    return retrieve.pool(rrf_fusion(spark, sf_dir, n), floors)
 
 
-def rerank_pool(spark, sf_dir):
-    d = dense_topk_per_lang(spark, sf_dir).select("query_id", "chunk_id", "score").unionByName(dense_topk(spark, sf_dir).select("query_id", "chunk_id", "score")).distinct()
-    pooled = _pool(spark, sf_dir).join(d.withColumnRenamed("score", "cosine"), ["query_id", "chunk_id"], "left")
+def rerank_pool(spark, sf_dir, n=N_QUERIES):
+    d = dense_topk_per_lang(spark, sf_dir, n).select("query_id", "chunk_id", "score").unionByName(dense_topk(spark, sf_dir, n).select("query_id", "chunk_id", "score")).distinct()
+    pooled = _pool(spark, sf_dir, n).join(d.withColumnRenamed("score", "cosine"), ["query_id", "chunk_id"], "left")
     return retrieve.rerank(pooled, F.coalesce("cosine", F.lit(0.0))).select("query_id", "chunk_id", "pool_pos", "score", "rank")
 
 
-def _scored(spark, sf_dir):
+def _scored(spark, sf_dir, n=N_QUERIES):
     c = corpus(spark, sf_dir).drop("vector")
-    return rerank_pool(spark, sf_dir).join(c, "chunk_id")
+    return rerank_pool(spark, sf_dir, n).join(c, "chunk_id")
 
 
-def dedup_collapse(spark, sf_dir):
-    return select.collapse_duplicates(_scored(spark, sf_dir), select.duplicate_key()).select("query_id", "chunk_id", "rank")
+def dedup_collapse(spark, sf_dir, n=N_QUERIES):
+    return select.collapse_duplicates(_scored(spark, sf_dir, n), select.duplicate_key()).select("query_id", "chunk_id", "rank")
 
 
-def diversified_select(spark, sf_dir):
-    rows = select.collapse_duplicates(_scored(spark, sf_dir), select.duplicate_key())
+def diversified_select(spark, sf_dir, n=N_QUERIES):
+    rows = select.collapse_duplicates(_scored(spark, sf_dir, n), select.duplicate_key())
     place = F.array_position(F.array(*map(F.lit, ["en", "de", "fr", "es"])), F.col("tradition")) - 1
     rows = rows.select("query_id", "chunk_id", F.col("source_text").alias("source"), "tradition", F.when(place >= 0, place.cast("int")).alias("floor_no"), "rank", "score")
     return select.select_windows(rows).select("query_id", "chunk_id", "source", "tradition", "sel_pos", "source_n", "score")
@@ -207,8 +213,8 @@ def format_citation(spark, sf_dir):
     return rows.select("doc_id", cite.reference().alias("reference"))
 
 
-def suite_summary(spark, sf_dir):
-    rows = diversified_select(spark, sf_dir)
+def suite_summary(spark, sf_dir, n=N_QUERIES):
+    rows = diversified_select(spark, sf_dir, n)
     return rows.groupBy("query_id").agg(F.count("*").alias("n_retrieved"), F.array_join(F.array_sort(F.collect_set("tradition")), ",").alias("traditions"), F.count_if(F.col("score") > 0).alias("n_scored"))
 
 
@@ -217,10 +223,10 @@ def html_pre_extract(spark, sf_dir):
     return wrapped.select("page_id", readers.pre_text(F.col("page")).alias("text"))
 
 
-def hybrid_answer(spark, sf_dir):
+def hybrid_answer(spark, sf_dir, n=N_QUERIES):
     """The whole way from questions to cited answers."""
     built = answer.build(corpus(spark, sf_dir))
-    out = answer.answer(built, asked(spark, sf_dir), Providers(), ["en", "de", "fr", "es"])
+    out = answer.answer(built, asked(spark, sf_dir, n), Providers(), ["en", "de", "fr", "es"])
     return out.select("query_id", "n_chunks", F.size("in_range").alias("n_cited"), "passed", "status", "iteration", "answer")
 
 
@@ -233,9 +239,12 @@ _NAMES = """normalize_text chunk_sentences chunk_with_ids slugify clip_text poin
 missing_enrichment reconcile_counts question_source postings_stats bm25_topk bm25_best_fields dense_topk dense_topk_filtered dense_topk_per_lang
 rrf_fusion rerank_pool dedup_collapse diversified_select resolve_markers citation_status format_citation suite_summary html_pre_extract hybrid_answer"""
 
+#: Searches that are also registered as NAME_all, over every benchmark item.
+_SEARCHES = "bm25_topk dense_topk dense_topk_filtered dense_topk_per_lang rrf_fusion rerank_pool dedup_collapse diversified_select suite_summary hybrid_answer".split()
+
 
 def queries() -> dict:
-    return {n: globals()[n] for n in _NAMES.split()}
+    return {n: globals()[n] for n in _NAMES.split()} | {f"{n}_all": partial(globals()[n], n=None) for n in _SEARCHES}
 
 
 # --- the same in SQL ----------------------------------------------------------------------------------------------
@@ -303,7 +312,7 @@ def _slug_sql(n: int) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    sql = {
         "normalize_text": "SELECT doc_id, trim(regexp_replace(translate(nfc_normalize(text), chr(65279) || chr(8203), ''), '\\s+', ' ', 'g')) AS clean FROM documents",
         "chunk_sentences": f"WITH {_CHUNKS} SELECT doc_id, ord, chunk, length(chunk)::INT AS char_count FROM chunks",
         "chunk_with_ids": f"WITH {_CHUNKS} SELECT 'doc' || doc_id || '_chunk_' || lpad(ord::VARCHAR, 4, '0') AS chunk_id, 'Passage ' || (ord + 1) AS label, length(chunk)::INT AS char_count FROM chunks WHERE length(chunk) >= {S.least_chunk}",
@@ -340,3 +349,4 @@ SELECT c.query_id, source_n, CASE WHEN bad THEN 'disputed' WHEN good THEN 'verif
 FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'Chapter ' || doc_id ELSE lang END AS loc FROM documents)""",
         "suite_summary": _ALL + "SELECT query_id, count(*) AS n_retrieved, string_agg(DISTINCT tradition, ',' ORDER BY tradition) AS traditions, count(*) FILTER (score > 0) AS n_scored FROM chosen GROUP BY query_id",
     }
+    return sql | {f"{n}_all": sql[n].replace(f" WHERE item_id < {N_QUERIES}", "") for n in _SEARCHES if n in sql}

@@ -39,6 +39,19 @@ def test_same_rows_as_sql(spark, duck, name):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == want
 
 
+def test_searches_over_every_item(spark):
+    items = {r.item_id for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id").collect()}
+    assert len(items) > q.N_QUERIES
+    for name in ("dense_topk_all", "bm25_topk_all", "suite_summary_all"):
+        assert {r.query_id for r in q.queries()[name](spark, SF).select("query_id").distinct().collect()} == items
+
+
+def test_query_blocks_equal_one_block(spark):
+    rows, asked = q.corpus(spark, SF), q.asked(spark, SF, None)
+    key = lambda n: sorted(tuple(r) for r in retrieve.dense_topk(rows, asked, 20, settings=Settings(query_block=n)).collect())
+    assert key(7) == key(1000)
+
+
 def one(spark, value, f):
     return spark.createDataFrame([(value,)], "x string").select(f(F.col("x"))).first()[0]
 
