@@ -1,11 +1,16 @@
 """Main text of web pages by composite text density.
 
-Elements that declare themselves to be no content (menus, footers, adverts, forms, scripts, comments and the
-like, by tag, role, class or id) go first. Then every DOM node gets a composite density: characters per tag,
-damped by the share of them in links. A node's density sum adds up those of its children; the node with the
-largest sum leads to the article. The threshold is the smallest density on the path from body to that node:
-the maximum-sum subtree below every node that reaches it is content. Where that node stands in an article or
-main element, this element bounds the content on both sides.
+Elements that are no content by tag or role, or hidden (menus, footers, scripts and the like), go first. Then every
+DOM node gets a composite density: characters per tag, damped by the share of them in links. A node's density sum
+adds up those of its children; the node with the largest sum leads to the article. The threshold is the smallest
+density on the path from body to that node: the maximum-sum subtree below every node that reaches it is content.
+Where that node stands in an article or main element, this element bounds the content on both sides: its blocks
+below the threshold go only if most of their text is in links, as short paragraphs fall below it too.
+
+Class and id names (advert, sidebar, comments, ...) and forms only cast suspicion. A suspect node goes if most of its
+text is in links, or if its density, times `NAMED`, is below the threshold of the page without the suspects. A
+name says nothing on a node that holds most of the page's text, and none where all nodes with it do so together,
+unless as much text as a quarter of theirs is in article or main elements elsewhere. A page of suspects alone is taken without names.
 
 Defined results: null or empty html gives an empty text; markup that the parser gives up on is stripped by
 pattern; a page without body counts as its own body; `br` and table cells are white space inside their block;
@@ -29,12 +34,13 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-DROPPED = frozenset("script style noscript template iframe svg canvas object nav footer aside form button select option textarea input head dialog menu".split())
+DROPPED = frozenset("script style noscript template iframe svg canvas object nav footer aside button select option textarea input head dialog menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 WORDS = frozenset("ad ads adv nav menu toc login signup tags share sharing byline meta pager pagination toolbar consent gdpr".split())
 STEMS = ("advert", "sponsor", "promo", "banner", "sidebar", "sidenav", "navbar", "navigation", "breadcrumb", "footer", "masthead", "comment", "respond",
     "disqus", "cookie", "notice", "popup", "modal", "overlay", "social", "related", "recommend", "newsletter", "subscri", "widget", "disclaimer", "siteheader")
 KEPT = frozenset("html body article main".split())
+NAMED = 0.2  # what a suspect node's density counts for
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag in the first set ends an open element of the second, up to the nearest element of the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -56,20 +62,31 @@ def _declared_noise(tag: str, attrs: list[tuple[str, str | None]], in_article: b
             return True
         if name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-        if name in ("class", "id"):
-            for word in value.split():
-                names = _NAME.findall(_CAMEL.sub("-", word).lower())
-                if any(n in WORDS or n.startswith(STEMS) for n in names):
-                    return True
     return False
 
 
+def _suspicions(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
+    """The words and stems of class and id that speak against the node."""
+    found = {"form"} if tag == "form" else set()
+    if tag in KEPT:
+        return found
+    for name, value in attrs:
+        if value and name in ("class", "id"):
+            for n in _NAME.findall(_CAMEL.sub("-", value).lower()):
+                if n in WORDS:
+                    found.add(n)
+                elif n.startswith(STEMS):
+                    found.add(next(x for x in STEMS if n.startswith(x)))
+    return found
+
+
 class _Tree(HTMLParser):
     """Nodes as parallel lists in page order; a node's text pieces are kept with their place."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.noise = ["#root"], [-1], [False]
+        self.suspect: dict[int, set[str]] = {}
         self.pieces: list[tuple[int, str, int]] = []  # (node, text, nodes begun so far), in page order
         self.open = [0]
         self.articles = 0
@@ -107,6 +124,8 @@ class _Tree(HTMLParser):
         node = self._add(tag, _declared_noise(tag, attrs, bool(self.articles)))
         if header:
             self.noise[node] = self.noise[self.parent[node]]
+        if words := _suspicions(tag, attrs):
+            self.suspect[node] = words
         if tag not in VOID:
             self.open.append(node)
             self.articles += tag == "article"
@@ -137,22 +156,97 @@ def _density(c: int, t: int, lc: int, lt: int, body_ratio: float) -> float:
     return c / t * max(math.log(c / max(lc, 1) * t / max(lt, 1)), 0.0) / max(math.log(base), 0.05) if lc or c > 1 else float(c)
 
 
-def _content(tree: _Tree) -> list[bool] | None:
-    """For each node, whether it is content; None if the page has no text."""
+def _own_counts(tree: _Tree) -> tuple[list[int], list[int], list[bool]]:
+    """Characters and linked characters of each node's own text, and whether it stands in a link."""
     n = len(tree.tag)
-    tag, parent = tree.tag, tree.parent
-    chars, links = [0] * n, [0] * n
-    linked = [False] * n
+    chars, links, linked = [0] * n, [0] * n, [False] * n
     for i in range(1, n):
-        linked[i] = linked[parent[i]] or tag[i] == "a"
+        linked[i] = linked[tree.parent[i]] or tree.tag[i] == "a"
     for node, text, _ in tree.pieces:
         size = len(text) - text.count(" ")
         chars[node] += size
         if linked[node]:
             links[node] += size
-    tags, link_tags = [0] * n, [0] * n
+    return chars, links, linked
+
+
+def _suspects(tree: _Tree, own: list[int]) -> set[int]:
+    """Nodes whose names count, see above."""
+    if not tree.suspect:
+        return set()
+    n, tag, parent = len(tree.tag), tree.tag, tree.parent
+    chars, stated = list(own), [0] * n  # text below each node, and that of it in article and main
+    in_article = [False] * n
+    for i in range(1, n):
+        in_article[i] = in_article[parent[i]] or tag[i] in ("article", "main")
+        stated[i] = own[i] if in_article[i] else 0
     for i in range(n - 1, 0, -1):
         if not tree.noise[i]:
+            chars[parent[i]] += chars[i]
+            stated[parent[i]] += stated[i]
+    most = lambda size, held: 2 * size > chars[0] and size > 4 * (stated[0] - held)
+    left = [i for i in sorted(tree.suspect) if not tree.noise[i] and not most(chars[i], stated[i])]
+    size, held, above = dict[str, int](), dict[str, int](), dict[int, frozenset[str]]()
+    for i in range(1, n):  # each name's outermost nodes
+        up = above.get(parent[i], frozenset())
+        new = tree.suspect[i] - up if i in tree.suspect and not tree.noise[i] and not most(chars[i], stated[i]) else set()
+        for w in new:
+            size[w] = size.get(w, 0) + chars[i]
+            held[w] = held.get(w, 0) + stated[i]
+        if up or new:
+            above[i] = up | new
+    void = {w for w in size if most(size[w], held[w])}
+    return {i for i in left if tree.suspect[i] - void}
+
+
+def _content(tree: _Tree) -> list[bool] | None:
+    """For each node, whether it is content; None if the page has no text."""
+    own = _own_counts(tree)
+    suspects = _suspects(tree, own[0])
+    found = _chosen(tree, own, suspects)
+    if not suspects:
+        return found and found[0]
+    if found is None:
+        found = _chosen(tree, own, set())
+        return found and found[0]
+    kept, threshold, bound = found
+    dense = _dense_suspects(tree, own, suspects, threshold)
+    if bound is not None:  # the others stay outside of the bound
+        below = [i == bound for i in range(len(tree.tag))]
+        for i in range(bound + 1, len(below)):
+            below[i] = below[tree.parent[i]]
+        dense = {i for i in dense if below[i]}
+    return _chosen(tree, own, suspects - dense)[0] if dense else kept
+
+
+def _dense_suspects(tree: _Tree, own: tuple[list[int], list[int], list[bool]], suspects: set[int], threshold: float) -> set[int]:
+    """Suspects that reach the threshold in spite of their names."""
+    n, parent = len(tree.tag), tree.parent
+    chars, links, tags, link_tags = list(own[0]), list(own[1]), [0] * n, [0] * n
+    for i in range(n - 1, 0, -1):
+        if not tree.noise[i]:
+            p = parent[i]
+            chars[p] += chars[i]
+            links[p] += links[i]
+            tags[p] += tags[i] + 1
+            link_tags[p] += link_tags[i] + own[2][i]
+    ratio = links[0] / max(chars[0], 1)
+    return {i for i in suspects if 2 * links[i] <= chars[i] and NAMED * _density(chars[i], tags[i], links[i], link_tags[i], ratio) >= threshold}
+
+
+def _chosen(tree: _Tree, own: tuple[list[int], list[int], list[bool]], suspects: set[int]) -> tuple[list[bool], float, int | None] | None:
+    """Whether each node is content without the suspects, the threshold, the bound; None if there is no text."""
+    n = len(tree.tag)
+    tag, parent = tree.tag, tree.parent
+    chars, links, linked = list(own[0]), list(own[1]), own[2]
+    noise = tree.noise
+    if suspects:
+        noise = list(noise)
+        for i in range(1, n):
+            noise[i] = noise[i] or i in suspects or noise[parent[i]]
+    tags, link_tags = [0] * n, [0] * n
+    for i in range(n - 1, 0, -1):
+        if not noise[i]:
             p = parent[i]
             chars[p] += chars[i]
             links[p] += links[i]
@@ -164,14 +258,14 @@ def _content(tree: _Tree) -> list[bool] | None:
     if not chars[body]:
         return None
     ratio = links[body] / chars[body]
-    density = [_density(chars[i], tags[i], links[i], link_tags[i], ratio) if not tree.noise[i] else 0.0 for i in range(n)]
+    density = [_density(chars[i], tags[i], links[i], link_tags[i], ratio) if not noise[i] else 0.0 for i in range(n)]
     sums = [0.0] * n
     for i in range(1, n):
         sums[parent[i]] += density[i]
     inside = [False] * n
     inside[body] = True
     for i in range(body + 1, n):
-        inside[i] = inside[parent[i]] and not tree.noise[i]
+        inside[i] = inside[parent[i]] and not noise[i]
     best = max((i for i in range(n) if inside[i]), key=lambda i: (sums[i], -i))
     path, bound, i = [], None, best
     while True:
@@ -181,11 +275,19 @@ def _content(tree: _Tree) -> list[bool] | None:
         if i == body or i < 0:
             break
         i = parent[i]
+    threshold = min(density[i] for i in path)
     kept = [False] * n
     if bound is not None:
         kept[bound] = True
+        drop, on_path = [False] * n, set(path)
+        for i in range(bound + 1, n):
+            drop[i] = inside[i] and i not in on_path and tag[i] in BLOCKS and tag[i] not in HEADINGS and density[i] < threshold and 2 * links[i] > chars[i]
+        within = [False] * n  # below the best node nothing goes by density
+        for i in range(1, n):
+            within[i] = i == best or within[parent[i]]
+            drop[i] = drop[parent[i]] or drop[i] and not within[i]
     else:
-        threshold = min(density[i] for i in path)
+        drop = noise
         top = list(range(n))  # the largest-sum node below each node, the first among equals
         for i in range(n - 1, body, -1):
             if inside[i] and (sums[top[i]], -top[i]) >= (sums[top[parent[i]]], -top[parent[i]]):
@@ -198,8 +300,8 @@ def _content(tree: _Tree) -> list[bool] | None:
             if inside[i] and tag[i] in HEADINGS and parent[i] in (holder, best):
                 kept[i] = True
     for i in range(1, n):
-        kept[i] = (kept[i] or kept[parent[i]]) and not tree.noise[i]
-    return kept
+        kept[i] = (kept[i] or kept[parent[i]]) and not noise[i] and not drop[i]
+    return kept, threshold, bound
 
 
 def extract(page: str | None) -> str:

@@ -379,6 +379,25 @@ def test_main_text():
     assert html_text.extract("<body><article><h1>T</h1><p>x" + "<div>" * 5000) == "T\nx"
 
 
+def test_main_text_under_suspect_names():
+    text = "<p>" + "Long article text of many words, with a comma. " * 6 + "</p>"
+    links = "<ul>" + "<li><a href=x>other story</a></li>" * 6 + "</ul>"
+    side = f"<div class=sidebar>{links}</div>"
+    talk = "<div class=comments>" + "<div><a href=u>joe</a><p>I like this a lot, thanks.</p></div>" * 5 + "</div>"
+    whole = [
+        f"<div id=page class='with-sidebar'><article><h1>T</h1>{text * 3}</article>{side}</div>",
+        f"<nav><a href=1>m</a></nav><div class='elementor-widget-container'><h2>T</h2>{text * 3}</div>{side}",
+        f"<div class=elementor-widget><h2>T</h2>{text}</div><div class=elementor-widget>{text}</div><div class=elementor-widget>{text}</div>",
+        f"<form id=aspnet><div><h1>T</h1>{text * 3}</div></form>{side}",
+        f"<article><h1>T</h1><div>{text * 3}</div><div>{links}</div></article>{talk}",
+        f"<div><h1>T</h1><div>{text * 3}</div></div>{talk}",
+    ]
+    for page in whole:
+        got = html_text.extract(f"<html><body>{page}</body></html>")
+        assert got.count("Long article text") == 18 and got.startswith("T\n") and "joe" not in got and "other story" not in got
+    assert html_text.extract(f"<body><article><h1>T</h1><p>short<div>{text * 3}</div><p>end</article>").endswith("\nend")
+
+
 def test_licences(spark):
     rows = [(0, "foo\nLicensed under the Apache License, Version 2.0."), (1, "Released under the MIT License."), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "Licensed under CC BY-NC 4.0."), (4, "He renewed his fishing licence at the office."), (5, None), (6, "SPDX-License-Identifier: BSD-3-Clause\nReleased under the MIT License.")]
     got = {r.doc_id: r.families for r in licences.scan(docs_of(spark, rows)).collect()}
