@@ -1,14 +1,15 @@
 """Licence scans by a trained paragraph classifier (native: DataFrame functions only on the data's path).
 
-Each line is a paragraph. Paragraphs with one of the stems in `SIGNALS` are classified; any other is of the unknown
-class by definition, as every notice that the classifier was trained on has a stem. A multinomial logistic
-regression on sparse word unigrams and bigrams, trained on notices of the families below and on ordinary
-prose that uses the same words, gives a probability for each family and for the unknown class; its temperature is
-calibrated on held-out variants. A prediction counts when its probability reaches `MIN_PROBABILITY` and a template
-of the family confirms it: at least `MIN_OVERLAP` of the template's distinctive words are in the paragraph.
+Each line is a paragraph. A multinomial logistic regression on sparse word unigrams and bigrams, trained on notices
+of the families below and on ordinary prose that uses the same words, gives a probability for each family and for
+the unknown class; its temperature is calibrated on held-out variants. A prediction counts when its probability reaches
+`MIN_PROBABILITY` and a template of the family confirms it: at least `MIN_OVERLAP` of the template's distinctive
+words are in the paragraph. As nothing else can count, paragraphs that no template of any family confirms aren't
+classified; there is no other gate. "mit" is a common word in German and a school: it needs a word of `CUES` beside it or,
+in capitals, one of `GRANTS` that isn't.
 
 The weights, some thousand numbers that don't depend on the data, are broadcast and joined to the n-grams of the few
-signalled paragraphs; n-grams of one paragraph are summed with map-side combine.
+confirmed paragraphs; n-grams of one paragraph are summed with map-side combine.
 
 Defined results: null and empty texts have no licence; all rows of a doc_id count together, and each gets the
 result; rows with a null doc_id count together too.
@@ -18,13 +19,15 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from math import ceil
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 MIN_PROBABILITY, MIN_OVERLAP = 0.6, 0.6
 UNKNOWN = "unknown"
-SIGNALS = ("licen", "copyright", "public domain", "permission", "redistribut", "spdx", "warrant", "creative commons", "all rights reserved")
+CUES = ("licen", "lizen", "copyright", "permission", "redistribut", "spdx", "warrant")
+GRANTS = "under distributed released published available covered code source unter veröffentlicht verfügbar bajo publicado distribuido sous publié distribué".split()
 #: Usual notices by family, in own words where there is no fixed wording; {} stands for a name or a year.
 NOTICES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0", "This project is released under the Apache 2.0 license", "Distributed under the terms of the Apache License 2.0", "You may obtain a copy of the Apache License at www.apache.org/licenses/LICENSE-2.0"],
@@ -41,11 +44,20 @@ NOTICES = {
     "cc0": ["Dedicated to the public domain under CC0 1.0", "To the extent possible under law the author has waived all copyright under CC0", "Released under the CC0 public domain licence", "This is free and unencumbered software released into the public domain"],
     "proprietary": ["Copyright {} {}. All rights reserved", "All rights reserved. No part of this work may be reproduced without permission of the publisher", "This software is proprietary and its license forbids redistribution"],
 }
+#: Short names of the families in the forms of `SHORT_FORMS`.
+SHORT = {
+    "apache-2.0": ["Apache 2.0", "Apache License 2.0"], "mit": ["MIT"], "gpl-3.0": ["GPLv3", "GPL 3", "GNU GPL version 3"], "gpl-2.0": ["GPLv2", "GPL 2", "GNU GPL version 2"], "lgpl": ["LGPL", "LGPL 2.1"], "agpl-3.0": ["AGPL", "AGPL 3.0", "GNU Affero GPL"],
+    "bsd": ["BSD", "BSD 3-Clause"], "mpl-2.0": ["MPL 2.0", "Mozilla Public License 2.0"], "cc-by-nc": ["CC BY-NC 4.0", "CC BY-NC-SA 4.0"], "cc-by-sa": ["CC BY-SA 4.0", "CC BY-SA 3.0"], "cc-by": ["CC BY 4.0", "CC BY 3.0"], "cc0": ["CC0 1.0", "CC0"],
+}
+SHORT_FORMS = ["{}", "Distributed under the {}", "Source code: {}", "Published under {}", "License: {}", "Lizenz: {}", "Veröffentlicht unter {}", "Licencia: {}", "Publicado bajo {}", "Licence : {}", "Publié sous {}"]
 #: Prose with the same words that grants nothing.
 PROSE = ["She lost her driving license near the bridge last week", "The committee discussed copyright in general terms", "Ask the owner for permission before you enter the field", "The warrant was signed by a judge in the morning",
     "He carries a fishing licence for the lake", "Wealth was redistributed among the villages", "Permission to land was given by the tower", "The warranty of the kettle ended in March", "The poet took some license with the dates", "A licensed plumber repaired the pipes",
     "Copyright law is taught in the second year", "They applied for a licence to sell wine and beer", "The taxi license costs more each year", "No permission was asked and none was given", "She studies the public domain in economics", "The restaurant is fully licensed and open until late",
-    "Creative commons rooms are open to all students", "You need written permission from your parents", "The police had no warrant to search the house", "Heat is redistributed by the ocean", "Licence fees for television went up", "The license of the pilot was renewed in version two of the form"]
+    "Creative commons rooms are open to all students", "You need written permission from your parents", "The police had no warrant to search the house", "Heat is redistributed by the ocean", "Licence fees for television went up", "The license of the pilot was renewed in version two of the form",
+    "Er kam mit dem Zug und mit der Tasche", "Mit freundlichen Grüßen", "Sie sprach mit einer Frau mit Hut", "Eine Lizenz mit dem Namen des Fahrers", "MIT DEM HUND UND MIT DER KATZE", "She studied physics at MIT in Boston", "The Apache lived in the plains of the west", "An Apache helicopter crossed the valley",
+    "The book was written by a friend of the public", "Three forms of the binary star in one source", "The general public has 3 doors and 2 gates", "A gnu stood by the river with 2 or 3 others", "Entry is free of charge and without restriction", "The seats are reserved and all rights of way were kept", "They sent cc by mail to the office",
+    "The creative attribution of the commons was discussed", "The house came into the public domain of the town", "A proprietary recipe of the baker", "The table was reserved for two by the general", "Mozilla met the public in the square"]
 #: Words that distinguish one family; a template match counts these.
 DISTINCTIVE = {
     "apache-2.0": [["apache"]], "mit": [["mit"], ["hereby", "granted", "free", "charge", "software", "restriction"]], "gpl-3.0": [["gnu", "general", "public", "3"], ["gpl", "3"], ["gplv3"], ["gnu", "gpl", "3"]],
@@ -74,6 +86,10 @@ def _variants() -> tuple[list[set[str]], np.ndarray, np.ndarray]:
             for tail in tails:
                 rows.append((_words(notice.replace("{}", "example")) + tail, FAMILIES.index(family)))
                 rows.append((tail + _words(notice.replace("{}", "2020")), FAMILIES.index(family)))
+        for name in SHORT.get(family, []):
+            for form in SHORT_FORMS:
+                for tail in (tails[0], tails[5]):
+                    rows.append((_words(form.format(name)) + tail, FAMILIES.index(family)))
     for line in PROSE:
         for tail in tails:
             rows += [(_words(line) + tail, len(FAMILIES) - 1), (tail + _words(line), len(FAMILIES) - 1)]
@@ -113,24 +129,27 @@ def model() -> tuple[dict[str, np.ndarray], np.ndarray]:
     return {g: w[i] for g, i in index.items()}, w[-1]
 
 
-def _signalled(text: Column) -> Column:
-    low = F.lower(text)
-    found = low.contains(SIGNALS[0])
-    for s in SIGNALS[1:]:
-        found = found | low.contains(s)
+def _cued(w: Column) -> Column:
+    found = w.startswith(CUES[0])
+    for c in CUES[1:]:
+        found = found | w.startswith(c)
     return found
 
 
-def _confirmed(words: Column) -> Column:
-    """For each family whether one of its templates has MIN_OVERLAP of its words in the paragraph, as a map."""
+def _confirmed(raw: Column, words: Column, hits: Column) -> Column:
+    """The families of which a template has MIN_OVERLAP of its words among `hits`, the templates' words in the paragraph."""
+    named = F.exists(words, _cued) | F.array_contains(raw, "MIT") & F.exists(raw, lambda w: F.lower(w).isin(GRANTS) & (w != F.upper(w)))
     entries = []
     for family, templates in DISTINCTIVE.items():
         hit = F.lit(False)
         for t in templates:
-            share = F.size(F.array_intersect(words, F.array(*map(F.lit, t)))) / len(t)
-            hit = hit | (share >= (1.0 if len(t) < 4 else MIN_OVERLAP)) & F.array_contains(words, t[-1])
-        entries += [F.lit(family), hit]
-    return F.create_map(*entries)
+            least = len(t) if len(t) < 4 else ceil(MIN_OVERLAP * len(t))
+            own = F.array_contains(hits, t[-1])
+            if least > 1:
+                own = own & (F.size(F.array_intersect(hits, F.array(*map(F.lit, t)))) >= least)
+            hit = hit | (own & named if t == ["mit"] else own)
+        entries.append(F.when(hit, F.lit(family)))
+    return F.array_compact(F.array(*entries))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -138,18 +157,27 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     weights, intercept = model()
     table = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in weights.items()], "gram string, w array<double>")
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(_signalled(F.col("text")))
-    lines = lines.select("doc_id", F.xxhash64("text").alias("fp"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(_signalled(F.col("line"))).distinct()
-    words = lines.select("doc_id", "fp", "pos", F.regexp_extract_all(F.lower("line"), F.lit(_WORD), 0).alias("words"))
+    # Every template needs its last word, so lines without any of these can't be confirmed; of the others the templates' words do.
+    ends = sorted({t[-1] for templates in DISTINCTIVE.values() for t in templates})
+    known = sorted({w for templates in DISTINCTIVE.values() for t in templates for w in t})
+    some = rf"(?<![a-z0-9])[{''.join(sorted({e[0] for e in ends}))}](?:{'|'.join(f'(?<={e[0]}){e[1:]}' for e in ends)})(?![a-z0-9])"
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    lines = lines.select("doc_id", F.xxhash64("text").alias("fp"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.lower("line").rlike(some))
+    # Generators keep the optimizer from repeating the words' extraction in each condition on them.
+    raw = lines.select("doc_id", "fp", "pos", F.explode(F.array(F.regexp_extract_all("line", F.lit(_WORD), 0))).alias("raw"))
+    words = raw.select("doc_id", "fp", "pos", "raw", F.explode(F.array(F.transform("raw", F.lower))).alias("words"))
+    words = words.select("*", F.explode(F.array(F.array_intersect("words", F.array(*map(F.lit, known))))).alias("hits")).where(F.arrays_overlap("hits", F.array(*map(F.lit, ends))))
+    words = words.select("*", F.explode(F.array(_confirmed(F.col("raw"), F.col("words"), F.col("hits")))).alias("confirmed")).where(F.size("confirmed") > 0)
+    words = words.dropDuplicates(["doc_id", "fp", "pos"])
     pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    grams = words.select("doc_id", "fp", "pos", _confirmed(F.col("words")).alias("confirmed"), F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
+    grams = words.select("doc_id", "fp", "pos", "confirmed", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
     hits = grams.join(F.broadcast(table), "gram", "left")  # a few thousand rows, the same for any data
     sums = [F.sum(F.coalesce(F.get("w", F.lit(k)), F.lit(0.0))).alias(f"z{k}") for k in range(len(FAMILIES))]
     per = hits.groupBy("doc_id", "fp", "pos").agg(F.first("confirmed").alias("confirmed"), *sums)
     logits = F.array(*[F.col(f"z{k}") + float(intercept[k]) for k in range(len(FAMILIES))])
     scored = per.select("doc_id", "pos", "confirmed", logits.alias("z")).withColumn("top", F.array_max("z"))
     best = scored.select("doc_id", "pos", "confirmed", F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position("z", F.col("top")).cast("int")).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("top")))).alias("probability"))
-    good = (F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY) & F.coalesce(F.col("confirmed")[F.col("family")], F.lit(False))
+    good = (F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY) & F.array_contains("confirmed", F.col("family"))
     return best.where(good).select("doc_id", "pos", "family", "probability")
 
 

@@ -404,6 +404,14 @@ def test_licences(spark):
     assert got == {0: ["apache-2.0"], 1: ["mit"], 2: ["gpl-3.0"], 3: ["cc-by-nc"], 4: [], 5: [], 6: ["bsd", "mit"]}
 
 
+def test_licences_without_stems(spark):
+    found = {"Distributed under the GPLv3": "gpl-3.0", "Source code: Apache 2.0": "apache-2.0", "Published under CC BY-SA 4.0": "cc-by-sa", "CC0 1.0": "cc0", "Lizenz: MIT": "mit", "Distributed under MIT": "mit", "Publié sous CC BY 4.0": "cc-by"}
+    none = ["Er ging mit dem Hund nach Hause", "Mit freundlichen Grüßen, Anna", "ER KAM MIT DEM HUND UNTER DIE BRÜCKE", "Das Kind spielte mit 2 Freunden und 3 Katzen", "He got a degree from MIT", "The general public has 3 doors", "The Apache lived in the plains"]
+    rows = list(enumerate([*found, *none]))
+    got = {r.doc_id: r.families for r in licences.scan(docs_of(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == [[f] for f in found.values()] + [[] for _ in none]
+
+
 # --- all of them --------------------------------------------------------------------------------------------------
 def runs(spark, docs, labels, bench):
     return {
