@@ -1,6 +1,8 @@
 """Licence scans by a trained paragraph classifier (native: DataFrame functions only on the data's path).
 
-Each line is a paragraph. A multinomial logistic regression on sparse word unigrams and bigrams, trained on notices
+Each line is a paragraph, and so is each line with those that follow it up to `SPAN` words, a line without words or one
+of more than `WRAPPED` characters, for notices wrapped over lines; there a family counts once for overlapping runs, and
+not where a line of the run has it alone. A multinomial logistic regression on sparse word unigrams and bigrams, trained on notices
 of the families below and on ordinary prose that uses the same words, gives a probability for each family and for
 the unknown class; its temperature is calibrated on held-out variants. A prediction counts when its probability reaches
 `MIN_PROBABILITY` and a template of the family confirms it: at least `MIN_OVERLAP` of the template's distinctive
@@ -22,10 +24,11 @@ from functools import cache
 from math import ceil
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MIN_PROBABILITY, MIN_OVERLAP = 0.6, 0.6
 UNKNOWN = "unknown"
+SPAN, WRAPPED = 40, 400  # no template's or notice's wording is longer than SPAN words; wrapped lines are shorter than WRAPPED
 CUES = ("licen", "lizen", "copyright", "permission", "redistribut", "spdx", "warrant")
 GRANTS = "under distributed released published available covered code source unter veröffentlicht verfügbar bajo publicado distribuido sous publié distribué".split()
 #: Usual notices by family, in own words where there is no fixed wording; {} stands for a name or a year.
@@ -152,6 +155,19 @@ def _confirmed(raw: Column, words: Column, hits: Column) -> Column:
     return F.array_compact(F.array(*entries))
 
 
+def _following(lines: Column, i: Column, line: Column) -> Column:
+    """struct(text, n, words, ended): the n lines that a notice begun in `line`, number `i`, may go on in."""
+    wordless = lambda x: ~x.rlike(r"[\p{L}\p{N}]") | (F.char_length(x) > WRAPPED)
+    state = lambda text, n, words, ended: F.struct(text.alias("text"), n.cast("int").alias("n"), words.cast("int").alias("words"), ended.alias("ended"))
+
+    def add(acc: Column, x: Column) -> Column:
+        words = acc["words"] + F.size(F.split(F.btrim(x), " "))
+        on = state(F.concat_ws("\n", acc["text"], x), acc["n"] + 1, words, words >= SPAN)
+        return F.when(acc["ended"], acc).when(wordless(x), state(acc["text"], acc["n"], acc["words"], F.lit(True))).otherwise(on)
+
+    return F.aggregate(F.slice(lines, i + 2, F.lit(SPAN)), state(F.lit(""), F.lit(0), F.lit(0), wordless(line)), add)
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, family, probability) of every paragraph that holds a confirmed licence notice."""
     spark = docs.sparkSession
@@ -162,23 +178,33 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     known = sorted({w for templates in DISTINCTIVE.values() for t in templates for w in t})
     some = rf"(?<![a-z0-9])[{''.join(sorted({e[0] for e in ends}))}](?:{'|'.join(f'(?<={e[0]}){e[1:]}' for e in ends)})(?![a-z0-9])"
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    lines = lines.select("doc_id", F.xxhash64("text").alias("fp"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.lower("line").rlike(some))
+    lines = lines.select("doc_id", F.xxhash64("text").alias("fp"), F.explode(F.array(F.split("text", "\n", -1))).alias("lines"))
+    lines = lines.select("doc_id", "fp", F.posexplode(F.transform("lines", lambda x, i: F.struct(x.alias("line"), _following(F.col("lines"), i, x).alias("more")))).alias("pos", "at"))
+    lines = lines.select("doc_id", "fp", "pos", F.explode(F.array(F.struct(F.col("pos").alias("last"), F.col("at.line")), F.struct((F.col("pos") + F.col("at.more.n")).alias("last"), F.concat_ws("\n", "at.line", "at.more.text").alias("line")))).alias("u"))
+    lines = lines.select("doc_id", "fp", "pos", "u.last", "u.line").where(F.lower("line").rlike(some))
     # Generators keep the optimizer from repeating the words' extraction in each condition on them.
-    raw = lines.select("doc_id", "fp", "pos", F.explode(F.array(F.regexp_extract_all("line", F.lit(_WORD), 0))).alias("raw"))
-    words = raw.select("doc_id", "fp", "pos", "raw", F.explode(F.array(F.transform("raw", F.lower))).alias("words"))
+    raw = lines.select("doc_id", "fp", "pos", "last", F.explode(F.array(F.regexp_extract_all("line", F.lit(_WORD), 0))).alias("raw"))
+    words = raw.select("doc_id", "fp", "pos", "last", "raw", F.explode(F.array(F.transform("raw", F.lower))).alias("words"))
     words = words.select("*", F.explode(F.array(F.array_intersect("words", F.array(*map(F.lit, known))))).alias("hits")).where(F.arrays_overlap("hits", F.array(*map(F.lit, ends))))
     words = words.select("*", F.explode(F.array(_confirmed(F.col("raw"), F.col("words"), F.col("hits")))).alias("confirmed")).where(F.size("confirmed") > 0)
-    words = words.dropDuplicates(["doc_id", "fp", "pos"])
+    words = words.dropDuplicates(["doc_id", "fp", "pos", "last"])
     pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    grams = words.select("doc_id", "fp", "pos", "confirmed", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
+    grams = words.select("doc_id", "fp", "pos", "last", "confirmed", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
     hits = grams.join(F.broadcast(table), "gram", "left")  # a few thousand rows, the same for any data
     sums = [F.sum(F.coalesce(F.get("w", F.lit(k)), F.lit(0.0))).alias(f"z{k}") for k in range(len(FAMILIES))]
-    per = hits.groupBy("doc_id", "fp", "pos").agg(F.first("confirmed").alias("confirmed"), *sums)
+    per = hits.groupBy("doc_id", "fp", "pos", "last").agg(F.first("confirmed").alias("confirmed"), *sums)
     logits = F.array(*[F.col(f"z{k}") + float(intercept[k]) for k in range(len(FAMILIES))])
-    scored = per.select("doc_id", "pos", "confirmed", logits.alias("z")).withColumn("top", F.array_max("z"))
-    best = scored.select("doc_id", "pos", "confirmed", F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position("z", F.col("top")).cast("int")).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("top")))).alias("probability"))
+    scored = per.select("doc_id", "fp", "pos", "last", "confirmed", logits.alias("z")).withColumn("top", F.array_max("z"))
+    best = scored.select("doc_id", "fp", "pos", "last", "confirmed", F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position("z", F.col("top")).cast("int")).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("top")))).alias("probability"))
     good = (F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY) & F.array_contains("confirmed", F.col("family"))
-    return best.where(good).select("doc_id", "pos", "family", "probability")
+    # A line's own notice answers for the runs that hold it; of overlapping runs the first counts.
+    by = Window.partitionBy("doc_id", "fp", "family")
+    before = by.orderBy("pos", "last").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.array_distinct(F.collect_list(F.when(F.col("pos") == F.col("last"), F.col("pos"))).over(by))
+    runs = best.where(good).withColumn("own", own).where((F.col("pos") == F.col("last")) | ~F.exists("own", lambda p: p.between(F.col("pos"), F.col("last"))))
+    seen = F.max(F.when(F.col("pos") < F.col("last"), F.col("last"))).over(before)
+    runs = runs.withColumn("seen", seen).where((F.col("pos") == F.col("last")) | F.col("seen").isNull() | (F.col("pos") > F.col("seen")))
+    return runs.select("doc_id", "pos", "family", "probability")
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -412,6 +412,14 @@ def test_licences_without_stems(spark):
     assert [got[i] for i, _ in rows] == [[f] for f in found.values()] + [[] for _ in none]
 
 
+def test_wrapped_licences(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal\nin the Software without restriction, including without limitation the rights"
+    rows = [(0, gpl), (1, mit), (2, f"{gpl}\n\n{mit}"), (3, "one\nLicensed under the MIT License\ntwo"), (4, "a GNU General Public License\n\nversion 3"), (5, "Licensed under GPLv3\nLicensed under the Apache License 2.0")]
+    got = {r.doc_id: (r.families, r.n_notices) for r in licences.scan(docs_of(spark, rows)).collect()}
+    assert got == {0: (["gpl-3.0"], 1), 1: (["mit"], 1), 2: (["gpl-3.0", "mit"], 2), 3: (["mit"], 1), 4: ([], 0), 5: (["apache-2.0", "gpl-3.0"], 2)}
+
+
 # --- all of them --------------------------------------------------------------------------------------------------
 def runs(spark, docs, labels, bench):
     return {
