@@ -21,15 +21,17 @@ class Corpus:
     chunks: DataFrame
     postings: DataFrame
     stats: DataFrame
+    english: tuple[str, ...] = ()  # fields that the English analyzer made
 
 
 def build(chunks: DataFrame, fields: dict | None = None) -> Corpus:
-    fields = fields or {"text": index.standard(F.col("text")), "section": index.standard(F.col("section"))}
+    english = () if fields else ("translation",)
+    fields = fields or {"translation": index.english(F.col("text_translation")), "text": index.standard(F.col("text")), "section": index.standard(F.col("section"))}
     posts = stats = None
     for name, analyzed in fields.items():
         p, s = index.postings(chunks, name, analyzed), index.field_statistics(chunks, name, analyzed)
         posts, stats = (p, s) if posts is None else (posts.unionByName(p), stats.unionByName(s))
-    return Corpus(chunks, posts, stats)
+    return Corpus(chunks, posts, stats, english)
 
 
 def analyse(questions: DataFrame, providers: Providers, traditions: list[str]) -> DataFrame:
@@ -70,11 +72,20 @@ def _dense(corpus: Corpus, queries: DataFrame, settings: Settings) -> tuple[Data
     return dense, floors
 
 
+def keyword_scores(corpus: Corpus, queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(query_id, field, chunk_id, score): the question's terms as each field's analyzer gives them."""
+    terms = lambda analyzer: queries.select("query_id", F.explode(F.array_distinct(analyzer(F.col("expanded_query")))).alias("term"))
+    if not corpus.english:
+        return retrieve.bm25_scores(corpus.postings, corpus.stats, terms(index.standard), settings)
+    own = F.col("field").isin(*corpus.english)
+    plain = retrieve.bm25_scores(corpus.postings.where(~own), corpus.stats, terms(index.standard), settings)
+    return plain.unionByName(retrieve.bm25_scores(corpus.postings.where(own), corpus.stats, terms(index.english), settings))
+
+
 def search(corpus: Corpus, queries: DataFrame, providers: Providers, settings: Settings = DEFAULTS) -> DataFrame:
     """Selected chunks of every query (query_id, text, expanded_query, traditions, date_from, date_to, vector), source_n in order."""
     dense, floors = _dense(corpus, queries, settings)
-    terms = queries.select("query_id", F.explode(F.array_distinct(index.standard(F.col("expanded_query")))).alias("term"))
-    scores = retrieve.best_field(retrieve.bm25_scores(corpus.postings, corpus.stats, terms, settings), settings)
+    scores = retrieve.best_field(keyword_scores(corpus, queries, settings), settings)
     if settings.filter_sparse:
         scores = _allowed(scores.join(corpus.chunks.select("chunk_id", "tradition", "date_approx"), "chunk_id"), queries).select("query_id", "chunk_id", "score")
     sparse = retrieve.ranked(scores, settings.sparse_k, "score")

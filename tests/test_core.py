@@ -249,6 +249,16 @@ def test_whole_answer(spark):
     assert all(sorted(r.in_range + r.uncited) == list(range(1, 13)) for r in out)
 
 
+def test_keywords_of_translations(spark):
+    rows = [(1, "黃帝問曰", "s", "The Emperor asks of burning fever and its remedies"), (2, "περὶ πυρετοῦ", "s", "Waters are to be drunk in summer"), (3, "fevers", "s", None)]
+    built = answer.build(spark.createDataFrame(rows, "chunk_id int, text string, section string, text_translation string"))
+    asked = spark.createDataFrame([(7, "What is the remedy of fevers?")], "query_id int, expanded_query string")
+    got = {(r.field, r.chunk_id): r.score for r in answer.keyword_scores(built, asked).collect()}
+    assert set(got) == {("translation", 1), ("text", 3)}
+    best = {r.chunk_id: r.score for r in retrieve.best_field(answer.keyword_scores(built, asked)).collect()}
+    assert best == {1: round(2 * got["translation", 1], 6), 3: got["text", 3]}
+
+
 def test_question_stream(spark, tmp_path):
     from hexapla.streaming.intake import answer_stream
 
