@@ -119,8 +119,8 @@ def postings_stats(spark, sf_dir):
     return index.postings(d, "text", index.standard(F.col("text"))).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def _sparse(spark, sf_dir, fields=("text",), n=N_QUERIES):
-    c = corpus(spark, sf_dir).withColumn("translation", F.left("text", F.lit(200)))
+def _sparse(spark, sf_dir, fields=("text",), n=N_QUERIES, second=None):
+    c = corpus(spark, sf_dir).withColumn("translation", F.left("text", F.lit(200)) if second is None else second)
     posts = stats = None
     for f in fields:
         p, s = index.postings(c, f, index.standard(F.col(f))), index.field_statistics(c, f, index.standard(F.col(f)))
@@ -137,6 +137,11 @@ def bm25_best_fields(spark, sf_dir):
     return retrieve.ranked(retrieve.best_field(_sparse(spark, sf_dir, ("text", "translation"))), S.sparse_k, "score")
 
 
+def bm25_best_fields_all(spark, sf_dir):
+    """Every item against two whole columns, the second one boosted."""
+    return retrieve.ranked(retrieve.best_field(_sparse(spark, sf_dir, ("text", "translation"), None, F.col("source_text"))), S.sparse_k, "score")
+
+
 # --- dense --------------------------------------------------------------------------------------------------------
 def dense_topk(spark, sf_dir, n=N_QUERIES):
     return retrieve.dense_topk(corpus(spark, sf_dir), asked(spark, sf_dir, n))
@@ -236,7 +241,7 @@ def flagship(spark, sf_dir):
 
 
 _NAMES = """normalize_text chunk_sentences chunk_with_ids slugify clip_text point_id_uuid5 parse_int_ref embedding_text align_left_join alignment_rate
-missing_enrichment reconcile_counts question_source postings_stats bm25_topk bm25_best_fields dense_topk dense_topk_filtered dense_topk_per_lang
+missing_enrichment reconcile_counts question_source postings_stats bm25_topk bm25_best_fields bm25_best_fields_all dense_topk dense_topk_filtered dense_topk_per_lang
 rrf_fusion rerank_pool dedup_collapse diversified_select resolve_markers citation_status format_citation suite_summary html_pre_extract hybrid_answer"""
 
 #: Searches that are also registered as NAME_all, over every benchmark item.
@@ -331,6 +336,7 @@ def oracle_sql() -> dict[str, str]:
         "postings_stats": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{Han}|[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY ALL) GROUP BY term",
         "bm25_topk": f"WITH {_C}, {_bm25_sql(_TEXT)} {_TOP}",
         "bm25_best_fields": f"WITH {_C}, {_bm25_sql({**_TEXT, 'translation': ('left(text, 200)', 2.0)})} {_TOP}",
+        "bm25_best_fields_all": f"WITH {_C}, {_bm25_sql({**_TEXT, 'translation': ('source_text', 2.0)})} {_TOP}".replace(f" WHERE item_id < {N_QUERIES}", ""),
         "dense_topk": f"WITH {_C}, {_Q} {_dense_sql()}",
         "dense_topk_filtered": f"WITH {_C}, {_Q} {_dense_sql(where=chr(39).join(['c.tradition = ', 'en', ' AND c.date_approx BETWEEN 500 AND 5000']))}",
         "dense_topk_per_lang": f"WITH {_C}, {_Q} {_dense_sql(per='tradition,', k=S.floor_pool)}",

@@ -42,7 +42,7 @@ def test_same_rows_as_sql(spark, duck, name):
 def test_searches_over_every_item(spark):
     items = {r.item_id for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id").collect()}
     assert len(items) > q.N_QUERIES
-    for name in ("dense_topk_all", "bm25_topk_all", "suite_summary_all"):
+    for name in ("dense_topk_all", "bm25_topk_all", "bm25_best_fields_all", "suite_summary_all"):
         assert {r.query_id for r in q.queries()[name](spark, SF).select("query_id").distinct().collect()} == items
 
 
