@@ -398,6 +398,71 @@ def test_main_text_under_suspect_names():
     assert html_text.extract(f"<body><article><h1>T</h1><p>short<div>{text * 3}</div><p>end</article>").endswith("\nend")
 
 
+def test_density_sums_equal_recursion():
+    """Densities and sums against a plain walk over each node's subtree, on pages of the tables."""
+    import math
+
+    def plain(tree, i, ratio, suspect):
+        below = [k for k in range(len(tree.tag)) if _ancestor(tree, k, i) and not tree.noise[k]]
+        linked = lambda k: any(tree.tag[a] == "a" for a in _up(tree, k))
+        size = lambda text: len(text) - text.count(" ")
+        w = lambda k: html_text.NAMED if suspect[k] else 1.0
+        c = sum(size(x) * w(k) for k, x, _ in tree.pieces if k in below) / w(i)
+        lc = sum(size(x) * w(k) for k, x, _ in tree.pieces if k in below and linked(k)) / w(i)
+        t = max(1.0, sum(w(k) for k in below if k != i) / w(i))
+        lt = sum(w(k) for k in below if k != i and linked(k)) / w(i)
+        if c <= 0:
+            return 0.0
+        if not lc and c <= 1:
+            return c * w(i)
+        base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
+        return w(i) * c / t * max(math.log(c / max(lc, 1) * t / max(lt, 1)), 0) / max(math.log(base), 0.05)
+
+    pages = ["<body><nav><a href=1>one</a> two</nav><div><h1>T</h1><p>some text <a href=2>and a link</a> more<ul><li>a<li>b c</ul></div><footer><p>small <b>print</b></footer>", "<p>x", "text <b>only</b>", "<div class=ad>buy <a href=1>now</a></div><main><p>word word word</main>"]
+    for page in pages:
+        tree = html_text._Tree()
+        tree.feed(page)
+        tree.close()
+        d = html_text.Densities(tree)
+        ratio = d.links[d.body] / d.chars[d.body]
+        want = [plain(tree, i, ratio, d.suspect) for i in range(len(tree.tag))]
+        assert d.density == pytest.approx(want, rel=1e-9)
+        for i in range(len(tree.tag)):
+            own = sum(len(x) - x.count(" ") for k, x, _ in tree.pieces if k == i)
+            children = sum(want[k] for k in range(1, len(tree.tag)) if tree.parent[k] == i)
+            assert d.sums[i] >= children * (1 - 1e-9) and (own or d.sums[i] == pytest.approx(children))
+
+
+def _up(tree, k):
+    while k > 0:
+        yield k
+        k = tree.parent[k]
+
+
+def _ancestor(tree, k, i):
+    return k == i or i == 0 or i in _up(tree, k)
+
+
+def test_density_decides_without_article_tags(spark):
+    """The same text when article and main are plain div elements, on every page."""
+    rename = lambda h: re.sub(r"<(/?)(article|main)\b", r"<\1div", h or "")
+    pages = [r.html for r in table(spark, "/root/testdata/sf0.01", "pages").collect()]
+    for h in pages:
+        inner = re.search(r"(?s)<article>(.*?)</article>", h)
+        got = html_text.extract(h)
+        assert got == html_text.extract(rename(h))
+        assert inner is None or got == html_text.extract(f"<body>{inner.group(1)}</body>")
+
+
+def test_awkward_pages(spark):
+    rows = [(1, None, None), (2, "u", ""), (3, "u", "   \n "), (4, "u", "no markup &amp; more"), (5, "u", "<p>same<p>text"), (5, "u", "<p>same<p>text"), (6, "u", "<script>only()</script>"), (7, "u", "<p>" + "long " * 200_000), (8, "u", "<nav>x</nav>"), (None, "u", "<p>a"), (9, "u", "<![x[ <p>broken")]
+    df = spark.createDataFrame([(*r, 1, "t") for r in rows], "page_id long, url string, html string, n_chars long, text string")
+    got = sorted(((r.page_id, r.text, r.n_chars) for r in html_text.extract_pages(df).collect()), key=str)
+    want = {1: "", 2: "", 3: "", 4: "no markup & more", 5: "same\ntext", 6: "", 7: ("long " * 200_000).strip(), 8: "x", None: "a"}
+    assert [g for g in got if g[0] != 9] == sorted(((i, want[i], len(want[i])) for i, _, _ in rows if i != 9), key=str)
+    assert html_text.extract_pages(df.limit(0)).count() == 0
+
+
 def test_licences(spark):
     rows = [(0, "foo\nLicensed under the Apache License, Version 2.0."), (1, "Released under the MIT License."), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "Licensed under CC BY-NC 4.0."), (4, "He renewed his fishing licence at the office."), (5, None), (6, "SPDX-License-Identifier: BSD-3-Clause\nReleased under the MIT License.")]
     got = {r.doc_id: r.families for r in licences.scan(docs_of(spark, rows)).collect()}
