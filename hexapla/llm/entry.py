@@ -53,4 +53,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_line_dedup": line_dedup.ORACLE_SQL, "op7_embedding_near_dup": projection_dedup.ORACLE_SQL}

@@ -1,26 +1,35 @@
 """Embedding near-duplicates by collision-counting projections.
 
-Vectors of one label are projected on many fixed random directions. Two unit vectors whose cosine reaches the
-threshold are at most one chord apart, so on every direction their projections differ by no more than the chord,
-and by about chord / sqrt(dimension) as a rule. Strips of one chord on two directions make cells such that linked
-vectors are in the same or in adjoining cells (without loss). Cells are packed into blocks of bounded size; for
-each pair of blocks, every vector of one opens a window around its value on each of `PROJECTIONS` sorted
-projections of the other, collisions are counted per pair, and pairs whose count reaches the calibrated minimum are
-verified by their cosine in double precision. The window is `SIGMAS` deviations of a pair just at the threshold;
-the minimum count is the largest that such a pair misses with probability under `MISS`.
-
-Blocks send back link counts of their vectors and a spanning forest, never pairs. Identical vectors collapse first
-(with map-side combine) and count by their number.
+Two unit vectors whose cosine is at the threshold are one chord apart; on a random direction they differ by about
+chord / sqrt(dimension), which two unrelated vectors seldom do on most of many directions. So vectors are projected on
+`PROJECTIONS` fixed directions, each projection is sorted, every vector opens a window of `SIGMAS` such deviations
+around its own value on each of them, and the collisions in these windows are counted per pair. Pairs whose count
+reaches the minimum, calibrated on random pairs just at the threshold so that under `MISS` of them fall below, are
+verified by their cosine in double precision. Below `PROJECTIONS` dimensions windows are a whole chord wide and all of
+them must collide, which loses nothing.
+
+Sorted lists are made for each label, and, where a label has so many vectors that fewer pairs meet that way, for each
+cell of a grid on `depth` further directions. A grid with a random shift parts some linked pairs, so there are as many
+lists, each with a grid of its own, as bring the chance that all of them part a pair at the threshold under `MISS`;
+`plan` chooses the depth that ships and compares least for the number of vectors of the largest label, from pair
+probabilities on the sphere. The work so grows like n to the power 1.2, not with the square. A cell of more than
+`BLOCK` vectors is dealt into blocks that meet pairwise; these grow with the square of a group only where its vectors
+are alike, as then its pairs are links, whose number the result has to state.
+
+Blocks send back link counts of their vectors and a spanning forest, never pairs; a pair counts in the first list that
+it shares. Identical vectors collapse first (with map-side combine) and count by their number.
 
 Defined results: a vector that is null, of length 0 or norm 0, or holds null or non-finite components, or whose
 label or vec_id is null, has no links and is its own component (null where vec_id is); vectors of different
-dimensions aren't compared; repeated equal rows count once and each gets the result; further columns are ignored.
+dimensions aren't compared; repeated equal rows count once and each gets the result; an empty table gives an empty
+one; a cosine just at the threshold counts; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -28,21 +37,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hexapla.llm.common import connected_components, cut, map_arrow
+from hexapla.llm.words import mix
 
-MIN_COSINE, PROJECTIONS, SIGMAS, MISS = 0.93, 32, 3.0, 1e-10
-BLOCK, STRIP_DIRECTIONS = 2048, 2
-_ROWS = 256
+MIN_COSINE, PROJECTIONS, SIGMAS, MISS = 0.93, 32, 1.5, 1e-7
+TAIL = 5.2  # standard deviations below the mean that MISS is of a normal distribution; the true tail is shorter
+BLOCK, GRID, DEEPEST = 2048, 5.0, 24  # GRID: width of a grid's cells in deviations of a pair at the threshold
+_CELLS = 1 << 21  # counters at a time
+
+
+def _directions(dim: int, n: int, seed: int) -> np.ndarray:
+    """(dim, n) fixed unit directions, orthogonal as far as the dimension allows."""
+    rng = np.random.default_rng(seed)
+    return np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(max(1, -(-n // dim)))], axis=1)[:, :n]
 
 
 @cache
 def directions(dim: int) -> np.ndarray:
-    """Fixed unit directions, orthogonal as far as the dimension allows."""
-    rng = np.random.default_rng(20240229)
-    columns = []
-    for _ in range(-(-PROJECTIONS // dim)):
-        q, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
-        columns.append(q)
-    return np.concatenate(columns, axis=1)[:, :PROJECTIONS]
+    return _directions(dim, PROJECTIONS, 20240229)
 
 
 @cache
@@ -51,19 +62,64 @@ def chord(min_cosine: float) -> float:
     return math.sqrt(max(2 - 2 * min_cosine, 0.0)) * (1 + 1e-6) + 1e-7
 
 
+@cache
+def _coordinate(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Absolute values of a coordinate of a random unit vector, and their probabilities."""
+    angle = (np.arange(20_000) + 0.5) * math.pi / 40_000
+    p = np.sin(angle) ** max(dim - 2, 0)  # of the angle to a fixed direction
+    return np.cos(angle), p / p.sum()
+
+
 @cache
 def calibration(dim: int, min_cosine: float) -> tuple[float, int]:
-    """Window half-width, and the number of windows a linked pair may miss."""
+    """Window half-width, and the number of collisions that a pair needs."""
     if dim < PROJECTIONS:
-        return chord(min_cosine), 0
-    p = math.erfc(SIGMAS / math.sqrt(2))
-    tail, missed = 1.0, 0
-    for k in range(PROJECTIONS + 1):
-        tail -= math.comb(PROJECTIONS, k) * p**k * (1 - p) ** (PROJECTIONS - k)
-        missed = k
-        if tail < MISS:
-            break
-    return min(1.0, SIGMAS / math.sqrt(dim)) * chord(min_cosine), missed
+        return chord(min_cosine), PROJECTIONS
+    # The difference of such a pair has a random direction: how many of its coordinates on the projections are in the window?
+    width = SIGMAS / math.sqrt(dim)
+    counts = []
+    rng = np.random.default_rng(20240301)
+    for _ in range(50):
+        v = rng.standard_normal((2000, dim))
+        v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+        counts.append((np.abs(v[:, :PROJECTIONS]) <= width).sum(axis=1))
+    count = np.concatenate(counts)
+    return width * chord(min_cosine), int(count.mean() - TAIL * count.std())
+
+
+@cache
+def plan(dim: int, n: int, min_cosine: float) -> tuple[int, int]:
+    """(depth, lists) for labels of up to n vectors."""
+    x, p = _coordinate(dim)
+    width = GRID * chord(min_cosine) / math.sqrt(dim)
+    near = float((p * np.maximum(0.0, 1 - x * chord(min_cosine) / width)).sum())
+    far = float((p * np.maximum(0.0, 1 - x * math.sqrt(2) / width)).sum())  # unrelated vectors are sqrt(2) apart
+    best = (math.inf, 0, 1)
+    for depth in range(DEEPEST + 1):
+        lists = math.ceil(math.log(MISS) / math.log1p(-(near**depth))) if depth else 1
+        best = min(best, (lists * max(1.0, n * far**depth / BLOCK), depth, lists))
+    return best[1:]
+
+
+@cache
+def _grids(dim: int, depth: int, lists: int, min_cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Directions over the cell width, and shifts, of all lists' grids."""
+    width = GRID * chord(min_cosine) / math.sqrt(dim)
+    return _directions(dim, depth * lists, 7) / width, np.random.default_rng(8).random(depth * lists)
+
+
+def cells(units: np.ndarray, n: int, min_cosine: float) -> np.ndarray:
+    """(vectors, lists): the number of each vector's cell in every list."""
+    dim = units.shape[1]
+    depth, lists = plan(dim, n, min_cosine)
+    if not depth:
+        return np.zeros((len(units), 1), np.int64)
+    way, shift = _grids(dim, depth, lists, min_cosine)
+    at = np.floor(units @ way + shift).astype(np.int64).view(np.uint64).reshape(len(units), lists, depth)
+    out = np.zeros((len(units), lists), np.uint64)
+    for k in range(depth):  # cells whose numbers happen to agree are one cell: more is compared, nothing less
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + at[:, :, k])
+    return out.view(np.int64)
 
 
 def _units(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -72,66 +128,75 @@ def _units(flat: np.ndarray, dim: int) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def items(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(vec_id, label, dim, fp, s1, s2, vec: binary of doubles) of the vectors that can have links."""
+def items(vectors: DataFrame) -> DataFrame:
+    """(vec_id, label, dim, fp, vec: binary of doubles) of the vectors that can have links."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        columns: list[list] = [[] for _ in range(7)]
+        columns: list[list] = [[] for _ in range(5)]
         for vec_id, label, values in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "label", "embedding")), strict=True):
             if not values or None in values:
                 continue
             v = np.array(values, np.float64)
             if not np.isfinite(v).all() or not v.any():
                 continue
-            at = (_units(v, len(v)) @ directions(len(v)))[0]
-            s = [math.floor(at[k] / chord(min_cosine)) for k in range(min(STRIP_DIRECTIONS, len(at)))]
             raw = v.tobytes()
-            for c, x in zip(columns, (vec_id, label, len(v), hashlib.blake2b(raw, digest_size=16).digest(), s[0], s[1], raw), strict=True):
+            for c, x in zip(columns, (vec_id, label, len(v), hashlib.blake2b(raw, digest_size=16).digest(), raw), strict=True):
                 c.append(x)
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["vec_id", "label", "dim", "fp", "s1", "s2", "vec"])
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["vec_id", "label", "dim", "fp", "vec"])
 
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>")).where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL")
-    return map_arrow(rows, run, "vec_id long, label long, dim int, fp binary, s1 int, s2 int, vec binary")
+    return map_arrow(rows, run, "vec_id long, label long, dim int, fp binary, vec binary")
+
 
+def blocks(groups: DataFrame, largest: int, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """Each distinct vector (label, dim, rep, n, vec) once for every block (list, cell, x, y) that it is in, and its chunk."""
 
-def blocks(groups: DataFrame) -> DataFrame:
-    """Rows of at most about BLOCK vectors: label, dim, s1, s2, chunk, ids, counts, vecs."""
-    cell = ["label", "dim", "s1", "s2"]
-    sizes = groups.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
-    dealt = groups.join(sizes, cell).withColumn("chunk", F.pmod(F.xxhash64("rep", "fp"), F.col("chunks")))
+    def place(batch: pa.RecordBatch) -> pa.Table:
+        dims = batch.column("dim").to_numpy()
+        parts = []
+        for dim in np.unique(dims).tolist():
+            rows = pa.Table.from_batches([batch]).take(pa.array(np.flatnonzero(dims == dim)))
+            at = cells(_units(np.frombuffer(b"".join(rows.column("vec").to_pylist()), np.float64), dim), largest, min_cosine)
+            parts.append(rows.append_column("cells", pa.array(list(at), pa.list_(pa.int64()))))
+        return pa.concat_tables(parts)
 
-    def pack(rows: pa.Table) -> pa.Table:
-        return pa.table({
-            **{c: rows.column(c)[:1] for c in [*cell, "chunk"]},
-            "ids": pa.array([rows.column("rep").to_numpy().tobytes()], pa.binary()),
-            "counts": pa.array([rows.column("n").to_numpy().tobytes()], pa.binary()),
-            "vecs": pa.array([b"".join(rows.column("vec").to_pylist())], pa.binary()),
-        })
+    placed = map_arrow(groups.select("label", "dim", "rep", "n", "vec"), place, "label long, dim int, rep long, n long, vec binary, cells array<long>")
+    cell = ["label", "dim", "list", "cell"]
+    listed = placed.select("label", "dim", "rep", "n", "vec", F.posexplode("cells").alias("list", "cell"))
+    sizes = listed.groupBy(*cell).agg(F.count("*").alias("m")).where("m > 1").select(*cell, F.ceil(F.col("m") / BLOCK).cast("int").alias("chunks"))
+    dealt = listed.join(sizes, cell).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return met.select(*cell, F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "rep", "n", "vec")
 
-    return dealt.groupBy(*cell, "chunk").applyInArrow(pack, "label long, dim int, s1 int, s2 int, chunk long, ids binary, counts binary, vecs binary")
+
+def collisions(ua: np.ndarray, ub: np.ndarray, min_cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs whose projections collide often enough, for a range of rows of `ua` at a time."""
+    dim = ua.shape[1]
+    width, least = calibration(dim, min_cosine)
+    values, asking = (ub @ directions(dim)).T, (ua @ directions(dim)).T
+    order = np.argsort(values, axis=1, kind="stable")
+    windows = []
+    for v, q, by in zip(values, asking, order, strict=True):
+        v = v[by]
+        windows.append((np.searchsorted(v, q - width - 1e-9), np.searchsorted(v, q + width + 1e-9, side="right")))
+    step = max(1, _CELLS // len(ub))
+    for a in range(0, len(ua), step):
+        rows = min(step, len(ua) - a)
+        count = np.zeros(rows * len(ub), np.uint8)
+        for by, (lo, hi) in zip(order, windows, strict=True):
+            lo, held = lo[a : a + rows], (hi - lo)[a : a + rows]
+            # Entries of all windows, one window after the other; none twice on one projection.
+            at = np.arange(int(held.sum())) + np.repeat(lo - (np.cumsum(held) - held), held)
+            count[by[at] + np.repeat(np.arange(rows) * len(ub), held)] += 1
+        i, j = np.divmod(np.flatnonzero(count >= least), len(ub))
+        yield i + a, j
 
 
 def _linked(ua: np.ndarray, ub: np.ndarray, same: bool, min_cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of linked vectors; in a block with itself each pair once, smaller index first."""
-    dim = ua.shape[1]
-    width, missed = calibration(dim, min_cosine)
-    pa_, pb = (ua @ directions(dim)).astype(np.float32), (ub @ directions(dim)).astype(np.float32)
-    width32 = np.float32(width + 1e-5)
-    by = np.argsort(pb[:, 0], kind="stable")
-    lead, pb = pb[by, 0], np.ascontiguousarray(pb[by].T)
-    queries = np.argsort(pa_[:, 0], kind="stable")
-    left, right = [], []
-    for a in range(0, len(ua), _ROWS):
-        rows = queries[a : a + _ROWS]
-        lo, hi = 0, len(lead)
-        if not missed:  # then a collision on the first projection is a must
-            lo, hi = np.searchsorted(lead, pa_[rows[0], 0] - width32), np.searchsorted(lead, pa_[rows[-1], 0] + width32, side="right")
-        count = np.zeros((len(rows), hi - lo), np.int8)
-        for k in range(PROJECTIONS):
-            count += np.abs(pa_[rows, k][:, None] - pb[k, lo:hi][None, :]) <= width32
-        i, j = np.nonzero(count >= PROJECTIONS - missed)
-        i, j = rows[i], by[lo + j]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in collisions(ua, ub, min_cosine):
         if same:
             once = i < j
             i, j = i[once], j[once]
@@ -140,8 +205,6 @@ def _linked(ua: np.ndarray, ub: np.ndarray, same: bool, min_cosine: float) -> tu
             good = np.einsum("ij,ij->i", ua[x], ub[y]) >= min_cosine
             left.append(x[good])
             right.append(y[good])
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -159,57 +222,37 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def compare(pairs: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
+def compare(met: DataFrame, largest: int, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(u, v, n): u has n links (v null), or u and v are connected (n = 0)."""
 
-    def run(batch: pa.RecordBatch) -> pa.Table:
-        us, vs, ns = [], [], []
-        for row in range(batch.num_rows):
-            g = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-            same, dim = g["same"], g["dim"]
-            ids = [np.frombuffer(g[f"ids_{s}"], np.int64) for s in "ab"]
-            counts = [np.frombuffer(g[f"counts_{s}"], np.int64) for s in "ab"]
-            unit = [_units(np.frombuffer(g[f"vecs_{s}"], np.float64), dim) for s in ("a" if same else "ab")]
-            i, j = _linked(unit[0], unit[-1], same, min_cosine)
-            if not len(i):
-                continue
-            m = len(ids[0])
-            nodes, number, shift = (ids[0], counts[0], 0) if same else (np.concatenate(ids), np.concatenate(counts), m)
-            j = j + shift
-            total = np.bincount(i, number[j], len(nodes)) + np.bincount(j, number[i], len(nodes))
-            held = np.flatnonzero(total)
-            root = _forest(i, j, len(nodes))
-            tied = np.flatnonzero(root != np.arange(len(nodes)))
-            us += [nodes[held], nodes[tied]]
-            vs += [np.full(len(held), -1), nodes[root[tied]]]
-            ns += [total[held].astype(np.int64), np.zeros(len(tied), np.int64)]
-        u, v, n = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (us, vs, ns))
-        return pa.table({"u": u, "v": pa.array(v, mask=n > 0), "n": n})
-
-    return map_arrow(pairs, run, "u long, v long, n long")
-
-
-def block_pairs(packed: DataFrame) -> DataFrame:
-    """Each pair of blocks in the same or adjoining cells once, with both contents."""
-    cell = ["label", "dim", "s1", "s2", "chunk"]
-    key = F.struct(*cell)
-    about = packed.select(*cell)
-    steps = F.array(*[F.struct(F.lit(a).alias("d1"), F.lit(b).alias("d2")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    ahead = about.select("label", "dim", key.alias("a"), F.explode(steps).alias("s"), "s1", "s2").select("label", "dim", "a", "s", (F.col("s1") + F.col("s.d1")).alias("s1"), (F.col("s2") + F.col("s.d2")).alias("s2"))
-    met = ahead.join(about.select("label", "dim", "s1", "s2", key.alias("b")), ["label", "dim", "s1", "s2"])
-    met = met.where("s.d1 <> 0 OR s.d2 <> 0 OR a.chunk <= b.chunk").select("a", "b", "dim", (F.col("a") == F.col("b")).alias("same"))
-    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(parts, "a", "b")
-    side = lambda s: packed.select(key.alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "counts", "vecs")])
-    return met.join(side("a"), "a").join(side("b"), "b").drop("a", "b")
+    def run(group: pa.Table) -> pa.Table:
+        rep, number, chunk = (group.column(c).to_numpy() for c in ("rep", "n", "chunk"))
+        dim, nth, x, y = (group.column(c)[0].as_py() for c in ("dim", "list", "x", "y"))
+        unit = _units(np.frombuffer(b"".join(group.column("vec").to_pylist()), np.float64), dim)
+        first, second = np.flatnonzero(chunk == x), np.flatnonzero(chunk == y)
+        i, j = _linked(unit[first], unit[second], x == y, min_cosine)
+        i, j = first[i], second[j]
+        if nth and len(i):  # those that share an earlier list's cell are counted there
+            at = cells(unit, largest, min_cosine)[:, :nth]
+            fresh = np.concatenate([~(at[i[s : s + 4096]] == at[j[s : s + 4096]]).any(axis=1) for s in range(0, len(i), 4096)])
+            i, j = i[fresh], j[fresh]
+        total = (np.bincount(i, number[j], len(rep)) + np.bincount(j, number[i], len(rep))).astype(np.int64)
+        held = np.flatnonzero(total)
+        root = _forest(i, j, len(rep))
+        tied = np.flatnonzero(root != np.arange(len(rep)))
+        u, n = np.concatenate([rep[held], rep[tied]]), np.concatenate([total[held], np.zeros(len(tied), np.int64)])
+        return pa.table({"u": u, "v": pa.array(np.concatenate([rep[held], rep[root[tied]]]), mask=n > 0), "n": n})
+
+    return met.groupBy("label", "dim", "list", "cell", "x", "y").applyInArrow(run, "u long, v long, n long")
 
 
 def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """The contract's row for each vector: vec_id, n_links, component_id, kept."""
     whole = vectors.select("vec_id", "label", "embedding")
-    own = cut(items(whole, min_cosine).dropDuplicates(["vec_id", "label", "dim", "fp"]))
-    groups = cut(own.groupBy("label", "dim", "fp").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("vec").alias("vec")))
-    found = cut(compare(block_pairs(cut(blocks(groups))), min_cosine))
+    own = cut(items(whole).dropDuplicates(["vec_id", "label", "dim", "fp"]))
+    groups = cut(own.groupBy("label", "dim", "fp").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")))
+    largest = groups.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    found = cut(compare(blocks(groups, largest, min_cosine), largest, min_cosine))
     links = found.where("n > 0").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("far"))
     members = own.select("vec_id", "label", "dim", "fp").join(groups.select("label", "dim", "fp", "rep", "n"), ["label", "dim", "fp"]).select("vec_id", "rep", "n")
     near = members.join(links, "rep", "left").groupBy("vec_id").agg(F.sum(F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
@@ -218,3 +261,19 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataF
     out = whole.select(F.col("vec_id").cast("long").alias("vec_id")).join(near, "vec_id", "left").join(parts, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {MIN_COSINE}
+), reach AS (
+  SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a
+), least AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least USING (vec_id)
+"""

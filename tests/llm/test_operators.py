@@ -277,9 +277,11 @@ def plain_links(rows):
     return {i: (n[i], root(i), root(i) == i) for i in parent}
 
 
-@pytest.mark.parametrize("dim", [2, 12, 64])
-def test_embedding_links_equal_all_pairs(spark, dim, monkeypatch):
+@pytest.mark.parametrize("dim, depth", [(2, 0), (12, 0), (64, 0), (64, 2)])
+def test_embedding_links_equal_all_pairs(spark, dim, depth, monkeypatch):
     monkeypatch.setattr(projection_dedup, "BLOCK", 40)
+    if depth:  # as for labels of many vectors
+        monkeypatch.setattr(projection_dedup, "plan", lambda *_: (depth, 30))
     rng = np.random.default_rng(dim)
     centres = rng.standard_normal((12, dim))
     rows = [(k, (centres[k % 12] * rng.uniform(0.5, 3) + rng.standard_normal(dim) * 0.25).tolist(), int(k % 12 % 3)) for k in range(240)]
@@ -290,6 +292,60 @@ def test_embedding_links_equal_all_pairs(spark, dim, monkeypatch):
     assert got == plain_links(rows)
 
 
+def test_collision_counts_equal_plain_windows():
+    rng = np.random.default_rng(5)
+    for dim in (3, 40):
+        u = rng.standard_normal((60, dim))
+        u[30:] = u[:30] + rng.standard_normal((30, dim)) * 0.05
+        u /= np.linalg.norm(u, axis=1)[:, None]
+        width, least = projection_dedup.calibration(dim, 0.93)
+        at = u @ projection_dedup.directions(dim)
+        count = (np.abs(at[:, None] - at[None]) <= width + 1e-9).sum(axis=2)
+        got = {(int(a), int(b)) for i, j in projection_dedup.collisions(u, u, 0.93) for a, b in zip(i, j, strict=True)}
+        assert got == set(zip(*(x.tolist() for x in np.nonzero(count >= least)), strict=True))
+
+
+@pytest.mark.parametrize("n", [1000, 4000])
+def test_few_pairs_pass_the_count_and_no_link_is_lost(n):
+    """On planted neighbours just over the threshold and unrelated vectors, as they are compared within one label."""
+    rng = np.random.default_rng(n)
+    u = rng.standard_normal((n, 64))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    side = rng.standard_normal((n // 2, 64))
+    side -= (side * u[: n // 2]).sum(axis=1)[:, None] * u[: n // 2]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = rng.uniform(0.9301, 0.95, n // 2)[:, None]
+    u[n // 2 :] = cosine * u[: n // 2] + np.sqrt(1 - cosine**2) * side
+    found = sum(len(i) for i, _ in projection_dedup.collisions(u, u, 0.93))
+    i, j = projection_dedup._linked(u, u, True, 0.93)
+    want = np.argwhere(np.triu(u @ u.T >= 0.93, 1))
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(map(tuple, want.tolist())) and len(want) >= n // 2
+    assert found / n < 0.01 * n
+
+
+def test_grids_part_few_linked_pairs():
+    """The chance that a pair at the threshold shares no list is what the plan says."""
+    rng = np.random.default_rng(3)
+    u = rng.standard_normal((4000, 64))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    side = rng.standard_normal((4000, 64))
+    side -= (side * u).sum(axis=1)[:, None] * u
+    w = 0.93 * u + np.sqrt(1 - 0.93**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    n = 1_000_000
+    depth, lists = projection_dedup.plan(64, n, 0.93)
+    a, b = (projection_dedup.cells(x, n, 0.93) for x in (u, w))
+    assert depth >= 4 and (a == b).any(axis=1).all() and a.shape == (4000, lists)
+    assert (a[:2000] == a[2000:]).mean() < 0.01  # unrelated vectors seldom meet
+
+
+def test_embedding_sql(spark):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF}/embeddings.parquet')")
+    cur = c.execute(projection_dedup.ORACLE_SQL)
+    names = [d[0] for d in cur.description]
+    assert sorted(map(tuple, entry.op7_embedding_near_dup(spark, SF).select(names).collect())) == sorted(cur.fetchall())
+
+
 def test_embedding_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1), (None, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in projection_dedup.near_duplicates(df).collect()), key=str)
