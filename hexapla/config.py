@@ -19,7 +19,6 @@ class Settings:
     dedup_prefix: int = 120
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
-    boosts: tuple[tuple[str, float], ...] = (("translation", 2.0), ("text", 1.0), ("section", 1.0))
     han_chunk: int = 400
     latin_chunk: int = 450
     greek_chunk: int = 1000
@@ -42,5 +41,4 @@ DEFAULTS = Settings()
 _STRINGS = "chunk_id source_text source_urn language script date_ref date_label tradition chapter_ref section section_ref text text_translation translation_source"
 _INTS = ("date_approx", "chapter_num", "char_count")
 CHUNK = T.StructType([T.StructField(c, T.StringType(), c != "chunk_id") for c in _STRINGS.split()] + [T.StructField(c, T.IntegerType()) for c in _INTS])
-CLAIMS = "struct<claim_checks: array<struct<claim: string, cited_sources: array<int>, supported: boolean, issue: string>>, report: string, needs_more_retrieval: boolean>"
 ANALYSIS = "struct<expanded_query: string, medical_concepts: array<string>, relevant_traditions: array<string>, relevant_languages: array<string>, date_from: int, date_to: int>"

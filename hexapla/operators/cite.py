@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hexapla.config import CLAIMS, DEFAULTS, Settings
-from hexapla.functions.text import clip, parsed
+from hexapla.config import DEFAULTS, Settings
+from hexapla.functions.text import clip, collapse, unfence
 
 #: Fixed format of a source marker: [SOURCE 1], [SOURCES 1, 2], [SOURCE 4, SOURCE 6].
 MARKER = r"(?i)\[\s*SOURCES?\s+([^\]]+?)\s*\]"
@@ -37,21 +37,54 @@ def resolve(df: DataFrame, draft: str = "draft", n: str = "n_chunks", settings:
 
 
 def provenance(source_n: Column) -> Column:
+    """Where a retrieved chunk comes from; a score of zero counts as none."""
     score = F.coalesce(F.nullif("score", F.lit(0.0)), F.nullif("rrf", F.lit(0.0)))
     names = ["chunk_id", "source_text", "source_urn", "language", "tradition", "date_approx", "date_label", "chapter_ref", "section", "section_ref"]
-    return F.struct(source_n.alias("source_n"), *[F.col(c) for c in names], score.alias("score"), F.col("text"))
+    return F.struct(source_n.alias("source_n"), *[F.col(c) for c in names], score.alias("score"))
+
+
+def _no(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _true(value: Column) -> Column:
+    """Whether a variant counts as true: not missing, null, false, zero or empty."""
+    json = F.to_json(value)
+    return F.coalesce(~json.isin("null", "false", '""', "[]", "{}") & ~json.rlike(r"^-?0+(\.0*)?([eE].*)?$"), F.lit(False))
+
+
+def _json_object(answer: Column) -> Column:
+    """A model's JSON answer as a variant; null for what isn't an object."""
+    v = F.try_parse_json(unfence(answer))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
 
 
 def claims(answer: Column, n: Column) -> Column:
-    """Verdicts of a verifier's JSON answer, typed; entries that aren't objects go, missing fields get defaults."""
-    checks = F.coalesce(parsed(answer, CLAIMS)["claim_checks"], F.from_json(F.lit("[]"), "array<struct<claim: string, cited_sources: array<int>, supported: boolean, issue: string>>"))
-    return F.transform(F.filter(checks, lambda c: c.isNotNull() & (c["claim"].isNotNull() | c["cited_sources"].isNotNull() | c["supported"].isNotNull())), lambda c: F.struct(
-        F.coalesce(c["claim"], F.lit("")).alias("claim"),
-        F.coalesce(F.filter(c["cited_sources"], lambda x: x.isNotNull()), F.array().cast("array<int>")).alias("cited_sources"),
-        F.coalesce(F.filter(c["cited_sources"], lambda x: (x < 1) | (x > n)), F.array().cast("array<int>")).alias("out_of_range"),
-        F.coalesce(c["supported"], F.lit(False)).alias("supported"),
-        F.coalesce(c["issue"], F.lit("")).alias("issue"),
-    ))
+    """Verdicts of a verifier's JSON answer, typed. Each entry stands alone: what isn't an object goes, sources may be
+    numbers or strings of digits, missing fields get defaults, and `supported` counts as true as in a condition."""
+    checks = F.coalesce(F.try_variant_get(_json_object(answer), "$.claim_checks", "array<variant>"), _no("variant"))
+    field = lambda c, name: F.coalesce(F.try_variant_get(c, f"$.{name}", "string"), F.lit(""))
+
+    def verdict(c: Column) -> Column:
+        listed = F.filter(F.coalesce(F.try_variant_get(c, "$.cited_sources", "array<string>"), _no("string")), lambda x: x.rlike("^[0-9]+$"))
+        sources = F.filter(F.transform(listed, lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+        return F.struct(
+            field(c, "claim").alias("claim"), sources.alias("cited_sources"), F.filter(sources, lambda x: (x < 1) | (x > n)).alias("out_of_range"),
+            _true(F.try_variant_get(c, "$.supported", "variant")).alias("supported"), field(c, "issue").alias("issue"),
+        )
+
+    return F.transform(F.filter(checks, lambda c: F.schema_of_variant(c).startswith("OBJECT")), verdict)
+
+
+#: Fixed text of a verifier's unreadable answer.
+UNREADABLE = "Proofreading parse failed; treated as inconclusive."
+
+
+def verdict(answer: Column) -> Column:
+    """struct(readable, report, needs_more) of a verifier's answer."""
+    v = _json_object(answer)
+    report = F.when(v.isNull(), F.lit(UNREADABLE)).otherwise(F.coalesce(F.try_variant_get(v, "$.report", "string"), F.lit("")))
+    return F.struct(v.isNotNull().alias("readable"), report.alias("report"), _true(F.try_variant_get(v, "$.needs_more_retrieval", "variant")).alias("needs_more"))
 
 
 def passed(verdicts: Column, structural: Column) -> Column:
@@ -59,11 +92,32 @@ def passed(verdicts: Column, structural: Column) -> Column:
     return F.forall(verdicts, lambda c: c["supported"]) & (F.size(structural) == 0)
 
 
-def structural_flags(in_range: Column, dangling: Column, n: Column) -> Column:
-    return F.filter(F.array(
-        F.when(F.size(dangling) > 0, F.concat(F.lit("cites sources that don't exist: "), F.array_join(dangling.cast("array<string>"), ", "))),
-        F.when((F.size(in_range) == 0) & (n > 0), F.lit("cites none of the sources")),
-    ), lambda x: x.isNotNull())
+def _listed(numbers: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(numbers.cast("array<string>"), ", "), F.lit("]"))
+
+
+def structural_flags(cited: Column, dangling: Column, n: Column) -> Column:
+    """What is wrong with a draft's markers. Fixed texts."""
+    return F.array_compact(F.array(
+        F.when(F.size(dangling) > 0, F.concat(F.lit("Draft cites nonexistent sources "), _listed(dangling), F.lit("; only [SOURCE 1]–[SOURCE "), n.cast("string"), F.lit("] were retrieved."))),
+        F.when((F.size(cited) == 0) & (n > 0), F.lit("Draft contains no [SOURCE N] citations.")),
+    ))
+
+
+def claim_flags(verdicts: Column) -> Column:
+    """A line for each unsupported claim. Fixed format."""
+    sources = lambda c: F.coalesce(F.nullif(F.array_join(c["cited_sources"].cast("array<string>"), ","), F.lit("")), F.lit("—"))
+    line = lambda c: F.concat(F.lit("[SOURCE "), sources(c), F.lit("] "), F.coalesce(F.nullif(c["issue"], F.lit("")), F.lit("unsupported")), F.lit(": "), c["claim"])
+    return F.transform(F.filter(verdicts, lambda c: ~c["supported"]), line)
+
+
+def whole_report(structural: Column, report: Column) -> Column:
+    """What is wrong with the structure, then the verifier's report."""
+    return F.array_join(F.filter(F.concat(structural, F.array(report)), lambda x: x != ""), " ")
+
+
+def integrity(structural: Column, dangling: Column) -> Column:
+    return F.concat(structural, F.array_compact(F.array(F.when(F.size(dangling) > 0, F.concat(F.lit("Citations to nonexistent sources: "), _listed(dangling), F.lit("."))))))
 
 
 def citation_status(citations: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -141,13 +195,20 @@ def reference_line(settings: Settings = DEFAULTS) -> Column:
     )
 
 
-def final_answer(draft: Column, references: Column, n_uncited: Column, report: Column, flags: Column) -> Column:
-    """Draft, rule, references, uncited count, report, integrity; empty parts go. Fixed format."""
+def citation_record(settings: Settings = DEFAULTS) -> Column:
+    """A cited source as a trace keeps it: with its status and its whole passages."""
+    score = F.coalesce(F.nullif("score", F.lit(0.0)), F.nullif("rrf", F.lit(0.0)))
+    whole = lambda c: collapse(F.coalesce(F.col(c), F.lit("")))
+    return F.struct("source_n", "chunk_id", "source_urn", reference(settings).alias("formatted"), F.col("status").alias("verification"), score.alias("score"), "language", whole("text").alias("original"), whole("text_translation").alias("translation"))
+
+
+def final_answer(draft: Column, references: Column, n_uncited: Column, report: Column, flagged: Column, broken: Column) -> Column:
+    """Draft, rule, references, uncited count, report, flags of claims, integrity; empty parts go. Fixed format."""
+    bullets = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.lit(f"⚠ **{title}:**\n• "), F.array_join(lines, "\n• ")))
     parts = F.array(
         draft, F.lit("\n---"), F.lit("**References**"),
         F.when(F.size(references) > 0, F.array_join(references, "\n\n")).otherwise(F.lit("_No sources were cited in the synthesis._")),
         F.when(n_uncited > 0, F.concat(F.lit("_"), n_uncited.cast("string"), F.lit(" additional passage(s) retrieved but not cited._"))),
-        F.when(report != "", F.concat(F.lit("**Proofreading**: "), report)),
-        F.when(F.size(flags) > 0, F.concat(F.lit("⚠ **Citation integrity:**\n• "), F.array_join(flags, "\n• "))),
+        F.when(report != "", F.concat(F.lit("**Proofreading**: "), report)), bullets("Proofreading flags", flagged), bullets("Citation integrity", broken),
     )
     return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), "\n\n")

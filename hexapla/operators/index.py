@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, functions as F
 
+BUCKETS = 64  # of a stored index's terms
 #: Ideographs are terms of their own; other letters and digits form words.
 WORD = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
 
@@ -95,14 +99,36 @@ def english(text: Column) -> Column:
     return stems(words)
 
 
-def postings(docs: DataFrame, field: str, analyzed: Column) -> DataFrame:
-    """(field, chunk_id, term, tf, dl) of one field; duplicates within a text are counted before any shuffle."""
-    terms = docs.select("chunk_id", analyzed.alias("terms")).where(F.size("terms") > 0)
-    one = terms.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return one.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")).select(F.lit(field).alias("field"), "chunk_id", "term", "tf", "dl")
+@dataclass(frozen=True)
+class Field:
+    """How a field is searched: its column, its analyzer and its boost."""
+
+    name: str
+    column: str
+    analyzer: Callable[[Column], Column]
+    boost: float = 1.0
+
+
+#: The searchable fields of a chunk; other columns are kept whole and filtered on.
+FIELDS = (Field("translation", "text_translation", english, 2.0), Field("text", "text", standard), Field("section", "section", standard))
+
 
+def _analyzed(docs: DataFrame, fields: Iterable[Field]) -> DataFrame:
+    each = [F.struct(F.lit(f.name).alias("field"), f.analyzer(F.col(f.column)).alias("terms")) for f in fields]
+    return docs.select("chunk_id", F.explode(F.array(*each)).alias("f")).select("chunk_id", "f.field", "f.terms").where(F.size("terms") > 0)
 
-def field_statistics(docs: DataFrame, field: str, analyzed: Column) -> DataFrame:
-    """(field, n, avgdl): texts that have the field, and their mean length; one row."""
-    sizes = docs.select(F.size(analyzed).alias("dl")).where("dl > 0")
-    return sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).select(F.lit(field).alias("field"), "n", "avgdl")
+
+def field_postings(docs: DataFrame, fields: Iterable[Field] = FIELDS) -> DataFrame:
+    """(field, chunk_id, term, tf, dl) of all fields, from one pass over the texts."""
+    one = _analyzed(docs, fields).select("field", "chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    return one.groupBy("field", "chunk_id", "dl", "term").agg(F.count("*").alias("tf")).select("field", "chunk_id", "term", "tf", "dl")
+
+
+def fields_statistics(docs: DataFrame, fields: Iterable[Field] = FIELDS) -> DataFrame:
+    """(field, n, avgdl): texts that have the field, and their mean length; a row for each field that occurs."""
+    return _analyzed(docs, fields).groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+
+
+def postings(docs: DataFrame, field: str, analyzed: Column) -> DataFrame:
+    """(field, chunk_id, term, tf, dl) of one field; duplicates within a text are counted before any shuffle."""
+    return field_postings(docs, (Field(field, "chunk_id", lambda _: analyzed),))

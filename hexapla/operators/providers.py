@@ -1,13 +1,14 @@
 """Model-backed stages behind small interfaces, with deterministic stand-ins that need no model.
 
-A provider is a function of a pandas Series (or two) run as an Arrow UDF, loaded once per worker. The stand-ins match
-the operators' shape, not any model's quality."""
+A provider is a function of one value (or two), run over Arrow batches; `Loaded` makes one of a model that each Python
+worker loads when it first needs it. The stand-ins match the operators' shape, not any model's quality."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,8 @@ def overlap(query: str, text: str) -> float:
 def extractive_draft(prompt: str) -> str:
     """The first sentence of each source block, with its marker."""
     out = []
-    for n, body in re.findall(r"\[SOURCE (\d+)\][^\n]*\n(.*?)(?=\n\n\[SOURCE |\Z)", prompt or "", re.S):
+    before, mark, passages = (prompt or "").partition("PASSAGES\n")
+    for n, body in re.findall(r"\[SOURCE (\d+)\][^\n]*\n(.*?)(?=\n\n\[SOURCE |\Z)", passages if mark else before, re.S):
         text = re.sub(r"^(?:English|Original): ", "", body.strip())
         out.append(f"{re.split(r'(?<=[.?!。])', text)[0].strip()[:200]} [SOURCE {n}]")
     return "\n".join(out)
@@ -44,7 +46,8 @@ def extractive_draft(prompt: str) -> str:
 
 def overlap_judge(prompt: str) -> str:
     """Every drafted line against the sources it cites: supported if most of its words are there."""
-    sources = dict(re.findall(r"\[SOURCE (\d+)\][^\n]*\n(.*?)(?=\n\n\[SOURCE |\n\nDRAFT|\Z)", prompt or "", re.S))
+    context = (prompt or "").partition("SOURCES\n")[2] or prompt or ""
+    sources = dict(re.findall(r"\[SOURCE (\d+)\][^\n]*\n(.*?)(?=\n\n\[SOURCE |\n\nDRAFT|\Z)", context, re.S))
     draft = (prompt or "").rpartition("DRAFT\n")[2]
     checks = []
     for line in filter(None, draft.split("\n")):
@@ -61,12 +64,30 @@ def echo_analysis(prompt: str) -> str:
 
 
 def _column(f: Callable, kind: str) -> Callable[..., Column]:
+    """Calls cost, and their answers differ: the optimizer may neither repeat nor move them."""
+
     @F.pandas_udf(kind)
     def one(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(f)
 
-    return one
+    return one.asNondeterministic()
+
+
+_models: dict[str, Callable] = {}
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """A provider whose model is built by `factory` once in each worker; `name` tells models apart."""
+
+    name: str
+    factory: Callable[[], Callable]
+
+    def __call__(self, *values):
+        if self.name not in _models:
+            _models[self.name] = self.factory()
+        return _models[self.name](*values)
 
 
 @dataclass(frozen=True)
@@ -88,23 +109,45 @@ class Providers:
             for q, t in batches:
                 yield pd.Series([f(a, b) for a, b in zip(q, t, strict=True)], dtype="float64")
 
-        return pairs(query, text)
+        return pairs.asNondeterministic()(query, text)
 
     def chat(self, f: Callable[[str], str], prompt: Column) -> Column:
         return _column(f, "string")(prompt)
 
 
-def enrich_missing(rows: DataFrame, translate: Callable[[str], str], attempts: int = 3) -> DataFrame:
-    """Fills text_translation where it is blank; a text that fails every attempt stays blank for the next run."""
+def is_missing(text: str = "text_translation") -> Column:
+    return F.coalesce(F.btrim(text), F.lit("")) == ""
+
+
+def enrich_missing(rows: DataFrame, translate: Callable[[str], str], attempts: int = 3, wait: float = 2.0, prompt: Column | None = None) -> DataFrame:
+    """Fills text_translation where it is blank from `prompt` (the text, if none is given). A call that fails or answers nothing is
+    repeated after `wait` times the number of the attempt seconds; a text that fails every attempt stays null for the next run."""
 
     def patient(text: str) -> str | None:
-        for _ in range(attempts):
+        for k in range(1, attempts + 1):
             try:
-                return translate(text)
+                if answer := (translate(text) or "").rpartition("</think>")[2].strip():
+                    return answer
             except Exception:  # noqa: BLE001  the provider's failures are data here
-                continue
+                pass
+            if k < attempts:
+                time.sleep(wait * k)
         return None
 
-    blank = F.coalesce(F.btrim("text_translation"), F.lit("")) == ""
+    blank = is_missing()
     todo, done = rows.where(blank), rows.where(~blank)
-    return done.unionByName(todo.withColumn("text_translation", _column(patient, "string")(F.col("text"))))
+    return done.unionByName(todo.withColumn("text_translation", _column(patient, "string")(F.col("text") if prompt is None else prompt)))
+
+
+def enrich_in_slices(rows: DataFrame, path: str, translate: Callable[[str], str], slices: int = 10, **how) -> DataFrame:
+    """Translations of the rows without one, kept at `path` (chunk_id, text_translation): each slice of the rest is written before the
+    next begins, so a run that fails loses a slice and the next one goes on with what isn't there. Returns the rows, filled."""
+    spark = rows.sparkSession
+    schema = f"chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, text_translation string"
+    for k in range(slices):
+        spark.createDataFrame([], schema).write.mode("append").parquet(path)  # there is something to read
+        known = spark.read.schema(schema).parquet(path).select("chunk_id")
+        todo = rows.where(is_missing() & (F.pmod(F.xxhash64("chunk_id"), F.lit(slices)) == k)).join(known, "chunk_id", "left_anti")
+        enrich_missing(todo, translate, **how).where(~is_missing()).select("chunk_id", "text_translation").write.mode("append").parquet(path)
+    found = spark.read.schema(schema).parquet(path).dropDuplicates(["chunk_id"]).select("chunk_id", F.col("text_translation").alias("_new"))
+    return rows.join(found, "chunk_id", "left").withColumn("text_translation", F.when(is_missing(), F.col("_new")).otherwise(F.col("text_translation"))).drop("_new").select(*rows.columns)

@@ -5,14 +5,16 @@ Ids travel; payload is joined last. Scores are rounded before they rank, and tie
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hexapla.config import DEFAULTS, Settings
+from hexapla.operators.index import BUCKETS, FIELDS, Field
 
 DIGITS = 6
 
@@ -40,64 +42,76 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.dense_k,
     """(query_id, [per,] chunk_id, score, rank): exact cosine over every row of `corpus` (chunk_id, vector).
 
     Queries are taken in blocks of bounded size and broadcast; each Arrow batch is one matrix product and sends on
-    at most k rows for each query (and value of `per`), so the shuffle carries candidates only.
+    at most k rows for each query (and value of `per`), so the shuffle carries candidates only. Vectors meet those of their
+    own length; one that is null, empty, or holds nulls or non-finite numbers, on either side, meets none. A zero vector scores 0.
     """
     spark = corpus.sparkSession
     n = -(-queries.count() // settings.query_block) or 1
     cols = ["chunk_id", "vector", *([per] if per else [])]
     group_type = corpus.schema[per].dataType.simpleString() if per else "string"
     id_type, query_type = corpus.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
+    schema = f"query_id {query_type}, chunk_id {id_type}, score double" + (f", grp {group_type}" if per else "")
     out = None
     for block in range(n):
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).select("query_id", "vector").collect()
-        ids = [r.query_id for r in own]
-        dim = len(own[0].vector) if own else 0
-        matrix = np.array([r.vector for r in own], np.float64).reshape(len(own), dim)
-        norms = np.sqrt((matrix * matrix).sum(axis=1))
-        shared = spark.sparkContext.broadcast((ids, matrix, norms))
+        lengths: dict[int, tuple[list, list]] = {}
+        for r in own:
+            if r.vector and None not in r.vector and np.isfinite(r.vector).all():
+                ids, vectors = lengths.setdefault(len(r.vector), ([], []))
+                ids.append(r.query_id)
+                vectors.append(r.vector)
+        asked = {d: (ids, v := np.array(vectors, np.float64), np.sqrt((v * v).sum(axis=1))) for d, (ids, vectors) in lengths.items()}
+        shared = spark.sparkContext.broadcast(asked)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.Table]:
-            ids, matrix, norms = shared.value
             for batch in batches:
-                table = pa.Table.from_batches([batch])
-                table = table.filter(pa.compute.equal(pa.compute.list_value_length(table["vector"]), matrix.shape[1] if len(ids) else -1))
-                if not table.num_rows:
-                    continue
-                flat = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                v = flat.reshape(table.num_rows, -1)
-                length = np.sqrt((v * v).sum(axis=1))
-                cosine = np.round(v @ matrix.T / np.maximum(length[:, None] * norms[None, :], 1e-300), DIGITS)
-                groups = np.array(table[per].to_pylist(), object) if per else np.zeros(table.num_rows, int)
-                names = np.array(table["chunk_id"].to_pylist(), object)
-                rows, qs = [], []
-                for g in sorted(set(groups.tolist()), key=str):
-                    at = np.flatnonzero(groups == g)
-                    for q in range(len(ids)):
-                        c = cosine[at, q]
-                        if len(at) > k:  # all ties of the k-th stay; the window settles them
-                            at_q = at[c >= np.partition(c, len(c) - k)[len(c) - k]]
-                        else:
-                            at_q = at
-                        rows.append(at_q)
-                        qs.append(np.full(len(at_q), q))
-                rows, qs = np.concatenate(rows), np.concatenate(qs)
-                cols = {"query_id": pa.array([ids[q] for q in qs]), "chunk_id": pa.array(names[rows].tolist()), "score": pa.array(cosine[rows, qs])}
-                if per:
-                    cols["grp"] = pa.array(groups[rows].tolist())
-                yield from pa.table(cols).to_batches()
-
-        schema = f"query_id {query_type}, chunk_id {id_type}, score double" + (f", grp {group_type}" if per else "")
-        part = corpus.where(F.col("vector").isNotNull()).select(*cols).mapInArrow(run, schema) if own else spark.createDataFrame([], schema)
+                sizes = pa.compute.fill_null(pa.compute.list_value_length(batch["vector"]), 0).to_numpy(zero_copy_only=False)
+                for dim, (ids, matrix, norms) in shared.value.items():
+                    table = pa.Table.from_batches([batch]).take(pa.array(np.flatnonzero(sizes == dim)))
+                    if table.num_rows:
+                        v = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                        good = np.flatnonzero(np.isfinite(v).all(axis=1))
+                        if len(good):
+                            yield from best(table.take(pa.array(good)), v[good], ids, matrix, norms).to_batches()
+
+        def best(table: pa.Table, v: np.ndarray, ids: list, matrix: np.ndarray, norms: np.ndarray) -> pa.Table:
+            length = np.sqrt((v * v).sum(axis=1))
+            cosine = np.round(v @ matrix.T / np.maximum(length[:, None] * norms[None, :], 1e-300), DIGITS)
+            groups = np.array(table[per].to_pylist(), object) if per else np.zeros(table.num_rows, int)
+            rows, qs = [], []
+            for g in sorted(set(groups.tolist()), key=str):
+                at = np.flatnonzero(groups == g)
+                for q in range(len(ids)):
+                    c = cosine[at, q]
+                    # All ties of the k-th stay; the window settles them.
+                    rows.append(at[c >= np.partition(c, len(c) - k)[len(c) - k]] if len(at) > k else at)
+                    qs.append(np.full(len(rows[-1]), q))
+            rows, qs = np.concatenate(rows), np.concatenate(qs)
+            out = {"query_id": pa.array([ids[q] for q in qs], kind), "chunk_id": table["chunk_id"].take(pa.array(rows)), "score": pa.array(cosine[rows, qs])}
+            return pa.table(out | ({"grp": table[per].take(pa.array(rows))} if per else {}))
+
+        part = corpus.where(F.col("vector").isNotNull()).select(*cols).mapInArrow(run, schema) if asked else spark.createDataFrame([], schema)
         out = part if out is None else out.unionByName(part)
     if per:
         out = out.withColumnRenamed("grp", per)
     return ranked(out, k, "score", ("query_id", per) if per else ("query_id",))
 
 
+def dense_and_floors(corpus: DataFrame, queries: DataFrame, per: str, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """Top-k of all rows and of each value of `per`, from one scan: the best of all are among the best of each."""
+    each = dense_topk(corpus, queries, max(settings.dense_k, settings.floor_pool), per, settings)
+    return ranked(each.drop("rank"), settings.dense_k, "score").drop(per), each.where(F.col("rank") <= settings.floor_pool)
+
+
 def bm25_scores(postings: DataFrame, stats: DataFrame, terms: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(query_id, field, chunk_id, score): `terms` (query_id, term) met with postings; document frequencies are
     counted for the queries' terms alone, and the few statistics rows and terms are small by nature."""
-    own = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    wanted = terms.select("term").distinct()
+    on = ["term"]
+    if "bucket" in postings.columns:  # a stored index: other buckets aren't read
+        wanted, on = wanted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")), ["term", "bucket"]
+    own = postings.join(wanted, on, "left_semi")
     df = own.groupBy("field", "term").agg(F.count("*").alias("df"))
     met = own.join(df, ["field", "term"]).join(stats, "field").join(terms, "term")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -105,9 +119,9 @@ def bm25_scores(postings: DataFrame, stats: DataFrame, terms: DataFrame, setting
     return met.groupBy("query_id", "field", "chunk_id").agg(F.sum(idf * weight).alias("raw")).select("query_id", "field", "chunk_id", F.round("raw", DIGITS).alias("score"))
 
 
-def best_field(scores: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def best_field(scores: DataFrame, settings: Settings = DEFAULTS, fields: Iterable[Field] = FIELDS) -> DataFrame:
     """The largest boosted field score of each text."""
-    boost = F.create_map(*[F.lit(x) for pair in settings.boosts for x in pair])
+    boost = F.create_map(*[F.lit(x) for f in fields for x in (f.name, f.boost)])
     boosted = F.round(F.coalesce(boost[F.col("field")], F.lit(1.0)) * F.col("score"), DIGITS)
     return scores.groupBy("query_id", "chunk_id").agg(F.max(boosted).alias("score"))
 

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hexapla.config import DEFAULTS, Settings
+from hexapla.functions.lineage import cut
 
 
 def collapse_duplicates(rows: DataFrame, key: list[Column]) -> DataFrame:
@@ -86,4 +87,6 @@ def select_greedy(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 
 def diversify(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """`rows` are materialised once, as the choice between both ways reads them too."""
+    rows = cut(rows)
     return select_windows(rows, settings) if is_functional(rows) else select_greedy(rows, settings)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hexapla.config import ANALYSIS, DEFAULTS, Settings
+from hexapla.functions.ids import trace_id
+from hexapla.functions.lineage import cut
 from hexapla.functions.text import parsed, rerank_text, strip_think
 from hexapla.operators import cite, index, retrieve, select
+from hexapla.operators.index import FIELDS, Field
 from hexapla.operators.providers import Providers
+from hexapla.plans import prompts
+from hexapla.sources import sinks
 
 NOTHING_FOUND = "No passage in the corpus bears on this question."
 
@@ -21,75 +27,86 @@ class Corpus:
     chunks: DataFrame
     postings: DataFrame
     stats: DataFrame
-    english: tuple[str, ...] = ()  # fields that the English analyzer made
+    fields: tuple[Field, ...] = FIELDS
 
 
-def build(chunks: DataFrame, fields: dict | None = None) -> Corpus:
-    english = () if fields else ("translation",)
-    fields = fields or {"translation": index.english(F.col("text_translation")), "text": index.standard(F.col("text")), "section": index.standard(F.col("section"))}
-    posts = stats = None
-    for name, analyzed in fields.items():
-        p, s = index.postings(chunks, name, analyzed), index.field_statistics(chunks, name, analyzed)
-        posts, stats = (p, s) if posts is None else (posts.unionByName(p), stats.unionByName(s))
-    return Corpus(chunks, posts, stats, english)
+def build(chunks: DataFrame, fields: Iterable[Field] = FIELDS) -> Corpus:
+    """With an index made on the spot, materialised once."""
+    fields = tuple(fields)
+    return Corpus(chunks, cut(index.field_postings(chunks, fields)), cut(index.fields_statistics(chunks, fields)), fields)
 
 
-def analyse(questions: DataFrame, providers: Providers, traditions: list[str]) -> DataFrame:
-    """Adds expanded_query and traditions; a missing, null or unreadable answer means the question and all of them."""
-    raw = strip_think(providers.chat(providers.analyse, F.concat(F.lit("Expand the question and name its traditions as JSON.\nQUESTION\n"), F.col("text"))))
-    found = questions.withColumn("_a", parsed(raw, ANALYSIS))
-    every = F.array(*map(F.lit, traditions))
-    wanted = F.coalesce(F.nullif(F.col("_a.relevant_traditions"), F.array().cast("array<string>")), every)
-    return found.withColumns({"expanded_query": F.coalesce(F.nullif(F.col("_a.expanded_query"), F.lit("")), "text"), "traditions": wanted, "date_from": F.col("_a.date_from"), "date_to": F.col("_a.date_to")}).drop("_a")
+def stored(chunks: DataFrame, path: str, fields: Iterable[Field] = FIELDS) -> Corpus:
+    """With the index that sinks.write_index has left at `path`."""
+    return Corpus(chunks, *sinks.read_index(chunks.sparkSession, path), tuple(fields))
 
 
-def _facets(queries: DataFrame):
+def analyse(questions: DataFrame, providers: Providers, traditions: list[str], languages: list[str] | None = None) -> DataFrame:
+    """Adds expanded_query, medical_concepts, traditions, relevant_languages and date bounds; what a missing, null or unreadable
+    answer leaves out is the question itself, no concepts, all traditions, all languages and no bounds."""
+    languages = languages or []
+    listed = lambda names: F.lit(", ".join(names))
+    prompt = prompts.filled(prompts.ANALYSIS, question=F.col("text"), traditions=listed(traditions), languages=listed(languages))
+    found = questions.withColumn("_a", parsed(strip_think(providers.chat(providers.analyse, prompt)), ANALYSIS))
+    none = F.array().cast("array<string>")
+    every = lambda names: F.array(*map(F.lit, names)) if names else none
+    given = lambda name, default: F.coalesce(F.nullif(F.col(f"_a.{name}"), none), default)
+    return found.withColumns({
+        "expanded_query": F.coalesce(F.nullif(F.col("_a.expanded_query"), F.lit("")), "text"), "medical_concepts": given("medical_concepts", none),
+        "traditions": given("relevant_traditions", every(traditions)), "relevant_languages": given("relevant_languages", every(languages)),
+        "date_from": F.col("_a.date_from"), "date_to": F.col("_a.date_to"),
+    }).drop("_a")
+
+
+def _facets(queries: DataFrame) -> DataFrame:
     """Per query: the hard filter where just one tradition is asked for, and open date bounds."""
     return queries.select("query_id", "traditions", "date_from", "date_to")
 
 
 def _allowed(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    q = F.broadcast(_facets(queries))  # a batch of questions
     ok = ((F.size("traditions") != 1) | (F.col("tradition") == F.col("traditions")[0])) & (F.col("date_from").isNull() | (F.col("date_approx") >= F.col("date_from"))) & (F.col("date_to").isNull() | (F.col("date_approx") <= F.col("date_to")))
-    return rows.join(q, "query_id").where(ok).drop("traditions", "date_from", "date_to")
+    return rows.join(_facets(queries), "query_id").where(ok).drop("traditions", "date_from", "date_to")
 
 
 def _dense(corpus: Corpus, queries: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame | None]:
     """Filtered top-k and floor candidates. Queries with the same hard filter share one search; there are few."""
-    combos = [r.asDict() for r in _facets(queries).select(F.when(F.size("traditions") == 1, F.col("traditions")[0]).alias("only"), "date_from", "date_to").distinct().collect()]
+    only = F.when(F.size("traditions") == 1, F.col("traditions")[0])
+    combos = [r.asDict() for r in _facets(queries).select(only.alias("only"), "date_from", "date_to").distinct().collect()]
     dense = floors = None
     for c in combos:
-        mine = queries.where(F.when(F.size("traditions") == 1, F.col("traditions")[0]).eqNullSafe(F.lit(c["only"])) & F.col("date_from").eqNullSafe(F.lit(c["date_from"]).cast("int")) & F.col("date_to").eqNullSafe(F.lit(c["date_to"]).cast("int")))
+        mine = queries.where(only.eqNullSafe(F.lit(c["only"])) & F.col("date_from").eqNullSafe(F.lit(c["date_from"]).cast("int")) & F.col("date_to").eqNullSafe(F.lit(c["date_to"]).cast("int")))
         cond = retrieve.facets(traditions=[c["only"]] if c["only"] else None, date_from=c["date_from"], date_to=c["date_to"])
         rows = corpus.chunks if cond is None else corpus.chunks.where(cond)
-        found = retrieve.dense_topk(rows, mine, settings.dense_k, settings=settings)
-        dense = found if dense is None else dense.unionByName(found)
         if c["only"] is None:
-            per = retrieve.dense_topk(rows, mine, settings.floor_pool, per="tradition", settings=settings)
+            found, per = retrieve.dense_and_floors(rows, mine, "tradition", settings)
             wanted = mine.select("query_id", F.posexplode("traditions").alias("floor_no", "tradition"))
             per = per.join(wanted, ["query_id", "tradition"]).select("query_id", "chunk_id", "floor_no", "rank")
             floors = per if floors is None else floors.unionByName(per)
+        else:
+            found = retrieve.dense_topk(rows, mine, settings.dense_k, settings=settings)
+        dense = found if dense is None else dense.unionByName(found)
     return dense, floors
 
 
 def keyword_scores(corpus: Corpus, queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(query_id, field, chunk_id, score): the question's terms as each field's analyzer gives them."""
-    terms = lambda analyzer: queries.select("query_id", F.explode(F.array_distinct(analyzer(F.col("expanded_query")))).alias("term"))
-    if not corpus.english:
-        return retrieve.bm25_scores(corpus.postings, corpus.stats, terms(index.standard), settings)
-    own = F.col("field").isin(*corpus.english)
-    plain = retrieve.bm25_scores(corpus.postings.where(~own), corpus.stats, terms(index.standard), settings)
-    return plain.unionByName(retrieve.bm25_scores(corpus.postings.where(own), corpus.stats, terms(index.english), settings))
+    out = None
+    for analyzer in {f.analyzer for f in corpus.fields}:
+        names = [f.name for f in corpus.fields if f.analyzer is analyzer]
+        terms = queries.select("query_id", F.explode(F.array_distinct(analyzer(F.col("expanded_query")))).alias("term"))
+        found = retrieve.bm25_scores(corpus.postings.where(F.col("field").isin(names)), corpus.stats, terms, settings)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def search(corpus: Corpus, queries: DataFrame, providers: Providers, settings: Settings = DEFAULTS) -> DataFrame:
     """Selected chunks of every query (query_id, text, expanded_query, traditions, date_from, date_to, vector), source_n in order."""
     dense, floors = _dense(corpus, queries, settings)
-    scores = retrieve.best_field(keyword_scores(corpus, queries, settings), settings)
+    scores = retrieve.best_field(keyword_scores(corpus, queries, settings), settings, corpus.fields)
     if settings.filter_sparse:
         scores = _allowed(scores.join(corpus.chunks.select("chunk_id", "tradition", "date_approx"), "chunk_id"), queries).select("query_id", "chunk_id", "score")
     sparse = retrieve.ranked(scores, settings.sparse_k, "score")
-    fused = retrieve.fuse(dense, sparse, settings)
+    fused = cut(retrieve.fuse(dense, sparse, settings))
     pooled = retrieve.pool(fused, floors, settings).join(fused.select("query_id", "chunk_id", "rrf"), ["query_id", "chunk_id"], "left")
     full = pooled.join(corpus.chunks.drop("vector"), "chunk_id").join(queries.select("query_id", F.col("text").alias("question"), "traditions"), "query_id")
     scored = retrieve.rerank(full, providers.reranked(F.col("question"), rerank_text(F.col("text_translation"), F.col("text"))))
@@ -99,43 +116,107 @@ def search(corpus: Corpus, queries: DataFrame, providers: Providers, settings: S
     return select.diversify(rows, settings).drop("source", "floor_no")
 
 
-def answer(corpus: Corpus, questions: DataFrame, providers: Providers | None = None, traditions: list[str] | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row for each question: draft, citations, verdicts, references, final answer, trace fields.
+def checked(drafts: DataFrame, raw_verdict: Column) -> DataFrame:
+    """Drafts (draft, n_chunks) with their markers resolved and a verifier's raw answer taken apart: claims, structural,
+    flagged, broken, report, passed, status and needs_more."""
+    out = cite.resolve(drafts).withColumn("raw_verdict", raw_verdict)
+    out = out.withColumns({"claims": cite.claims(F.col("raw_verdict"), F.col("n_chunks")), "structural": cite.structural_flags(F.col("cited"), F.col("dangling"), F.col("n_chunks")), "verdict": cite.verdict(F.col("raw_verdict"))})
+    status = F.when(~F.col("verdict.readable") | (F.size("claims") == 0), "inconclusive").otherwise("checked")
+    return out.withColumns({
+        "flagged": F.concat("structural", cite.claim_flags(F.col("claims"))), "broken": cite.integrity(F.col("structural"), F.col("dangling")), "report": cite.whole_report(F.col("structural"), F.col("verdict.report")),
+        "passed": cite.passed(F.col("claims"), F.col("structural")), "status": status, "needs_more": F.col("verdict.needs_more"),
+    }).drop("verdict", "raw_verdict")
+
+
+def assembled(done: DataFrame, found: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Checked drafts with references, records of the cited sources, and the final answer; `found` has the sources of each query."""
+    cited = done.select("query_id", F.explode("in_range").alias("source_n")).join(found, ["query_id", "source_n"])
+    stated = cite.citation_status(cited, done.select("query_id", "claims"))
+    lines = stated.select("query_id", F.struct("source_n", cite.reference_line(settings).alias("line"), cite.citation_record(settings).alias("record")).alias("r"))
+    refs = lines.groupBy("query_id").agg(F.array_sort(F.collect_list("r")).alias("_r"))  # at most top_k of each query
+    out = done.join(refs, "query_id", "left").withColumn("_r", F.coalesce("_r", F.filter(F.array(F.lit(None).cast(refs.schema["_r"].dataType.elementType)), lambda x: x.isNotNull())))
+    out = out.withColumns({"references": F.transform("_r", lambda r: r["line"]), "citation_records": F.transform("_r", lambda r: r["record"])}).drop("_r")
+    return out.withColumn("answer", cite.final_answer(F.col("draft"), F.col("references"), F.size("uncited"), F.col("report"), F.col("flagged"), F.col("broken")))
 
-    Retrieval has the same inputs in every pass, so it is done once; drafting and verification repeat for questions
-    whose verifier asks for more while few sources are there, at most `max_reretrievals` times."""
+
+RESULT = """query_id text expanded_query medical_concepts traditions relevant_languages date_from date_to n_chunks draft cited in_range dangling uncited claims
+structural flagged broken report passed status iteration references citation_records answer""".split()
+
+
+def run(corpus: Corpus, questions: DataFrame, providers: Providers | None = None, traditions: list[str] | None = None, settings: Settings = DEFAULTS, languages: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one row for each question as in RESULT, the sources found for them).
+
+    Model calls are made once: what depends on them is materialised. Retrieval has the same inputs in every pass, so it is done
+    once; drafting and verification repeat for questions whose verifier asks for more, at most `max_reretrievals` times."""
     providers = providers or Providers()
-    traditions = traditions or [r[0] for r in corpus.chunks.select("tradition").distinct().orderBy("tradition").collect()]
-    queries = analyse(questions, providers, traditions)
+    every = lambda c: [r[0] for r in corpus.chunks.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()]  # noqa: E731  kinds, of which there are few
+    traditions = traditions or every("tradition")
+    queries = analyse(questions, providers, traditions, languages or [])
     if "vector" not in queries.columns:
         queries = queries.withColumn("vector", providers.embedding(F.col("expanded_query")))
-    found = search(corpus, queries, providers, settings).cache()
+    queries = cut(queries)
+    found = cut(search(corpus, queries, providers, settings))
     counts = found.groupBy("query_id").agg(F.count("*").cast("int").alias("n_chunks"))
     base = queries.drop("vector").join(counts, "query_id", "left").join(cite.context(found, settings), "query_id", "left").withColumns({"n_chunks": F.coalesce("n_chunks", F.lit(0)), "context": F.coalesce("context", F.lit(""))})
     pending, done = base.withColumn("iteration", F.lit(0)), None
     for turn in range(settings.max_reretrievals + 1):
-        drafted = pending.withColumn("iteration", F.col("iteration") + 1).withColumn("draft", F.when(F.col("n_chunks") == 0, F.lit(NOTHING_FOUND)).otherwise(strip_think(providers.chat(providers.write, F.col("context")))))
-        checked = cite.resolve(drafted).withColumn("raw_verdict", strip_think(providers.chat(providers.judge, F.concat(F.col("context"), F.lit("\n\nDRAFT\n"), F.col("draft")))))
-        checked = checked.withColumns({"claims": cite.claims(F.col("raw_verdict"), F.col("n_chunks")), "flags": cite.structural_flags(F.col("in_range"), F.col("dangling"), F.col("n_chunks")), "verdict": parsed(F.col("raw_verdict"), "struct<report: string, needs_more_retrieval: boolean>")})
-        checked = checked.withColumns({"passed": cite.passed(F.col("claims"), F.col("flags")), "status": F.when(F.col("verdict").isNull() | (F.size("claims") == 0), "inconclusive").otherwise("checked")}).cache()
-        again = F.coalesce(F.col("verdict.needs_more_retrieval"), F.lit(False)) & F.lit(turn < settings.max_reretrievals)
-        settled = checked.where(~again)
+        write = prompts.filled(prompts.SYNTHESIS, question=F.col("text"), context=F.col("context"))
+        drafted = pending.withColumn("iteration", F.col("iteration") + 1).withColumn("draft", F.when(F.col("n_chunks") == 0, F.lit(NOTHING_FOUND)).otherwise(strip_think(providers.chat(providers.write, write))))
+        judge = prompts.filled(prompts.PROOFREADING, context=F.col("context"), draft=F.col("draft"))
+        now = cut(checked(drafted, strip_think(providers.chat(providers.judge, judge))))
+        again = F.col("needs_more") & F.lit(turn < settings.max_reretrievals)
+        settled = now.where(~again)
         done = settled if done is None else done.unionByName(settled)
-        pending = checked.where(again).select(*base.columns, "iteration")
+        pending = now.where(again).select(*base.columns, "iteration")
         if not pending.head(1):
             break
-    citations = done.select("query_id", F.explode("in_range").alias("source_n")).join(found, ["query_id", "source_n"])
-    stated = cite.citation_status(citations, done.select("query_id", "claims"))
-    lines = stated.select("query_id", F.struct("source_n", cite.reference_line(settings).alias("line")).alias("r"))
-    refs = lines.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]).alias("references"))
-    out = done.join(refs, "query_id", "left").withColumn("references", F.coalesce("references", F.array().cast("array<string>")))
-    final = cite.final_answer(F.col("draft"), F.col("references"), F.size("uncited"), F.coalesce("verdict.report", F.lit("")), F.col("flags"))
-    return out.withColumn("answer", final).select("query_id", F.col("text").alias("question"), "expanded_query", "traditions", "n_chunks", "draft", "cited", "in_range", "dangling", "uncited", "claims", "flags", "passed", "status", "iteration", "references", "answer")
+    return assembled(done, found, settings).select(*RESULT), found
+
+
+def answer(*args, **kwargs) -> DataFrame:
+    return run(*args, **kwargs)[0]
+
+
+BRIEF = "source_n chunk_id source_urn source_text section chapter_ref tradition score".split()
+
+
+def traces(answers: DataFrame, found: DataFrame, started: Column) -> DataFrame:
+    """A trace record of each answer: ids and times, analysis, retrieved sources with scores in order, answer, citations,
+    verification. The random id is drawn once."""
+    retrieved = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*BRIEF))).alias("retrieved"))  # at most top_k of each query
+    resolved = F.filter(F.col("retrieved"), lambda r: F.array_contains("in_range", r["source_n"]))
+    none = F.filter(F.array(F.lit(None).cast(retrieved.schema["retrieved"].dataType.elementType)), lambda x: x.isNotNull())
+    rows = answers.join(retrieved, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", none))
+    return cut(rows.select(
+        trace_id().alias("trace_id"), started.alias("started"), F.current_timestamp().alias("logged"), "query_id", F.col("text").alias("user_query"), "expanded_query", "medical_concepts", F.col("traditions").alias("relevant_traditions"), "relevant_languages",
+        "date_from", "date_to", "retrieved", F.col("draft").alias("synthesis_draft"), F.col("answer").alias("final_response"), F.col("cited").alias("cited_source_ns"), resolved.alias("resolved_citations"), F.col("dangling").alias("dangling_markers"),
+        F.col("uncited").alias("uncited_sources"), F.col("passed").alias("proofreading_passed"), F.col("report").alias("proofreading_report"), F.col("structural").alias("structural_issues"), F.col("claims").alias("claim_verifications"), F.col("flagged").alias("flagged_claims"),
+        "citation_records", F.col("iteration").alias("iteration_count"),
+    ))
+
+
+#: What a suite reads of a trace.
+SIGNALS = "query_id long, retrieved array<struct<tradition: string>>, cited_source_ns array<int>, proofreading_passed boolean, iteration_count int"
+
+
+def signals(rows: DataFrame) -> DataFrame:
+    """(query_id, n_retrieved, traditions, cited, passed, iters) of traces."""
+    names = F.array_sort(F.array_distinct(F.transform("retrieved", lambda r: F.coalesce(r["tradition"], F.lit("?")))))
+    return rows.select("query_id", F.size("retrieved").alias("n_retrieved"), F.array_join(names, ",").alias("traditions"), F.array_join(F.col("cited_source_ns").cast("array<string>"), ",").alias("cited"), F.col("proofreading_passed").alias("passed"), F.col("iteration_count").alias("iters"))
+
 
+def suite(questions: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of a suite's summaries from its questions (n, query_id, id, probes, question, started, ended, err) and traces;
+    a question without a trace went wrong."""
+    out = questions.join(signals(rows), "query_id", "left")
+    sec = F.round(F.unix_micros(F.col("ended").cast("timestamp")) / 1e6 - F.unix_micros(F.col("started").cast("timestamp")) / 1e6, 1)
+    status = F.when(F.coalesce("err", F.lit("")) != "", "error").otherwise("ok")
+    return out.withColumns({"sec": sec, "status": status})
 
-def suite(answers: DataFrame, found: DataFrame) -> DataFrame:
-    """Signals of each question: retrieved sources, their traditions, cited numbers, whether it passed."""
-    t = found.groupBy("query_id").agg(F.count("*").alias("n_retrieved"), F.array_join(F.array_sort(F.collect_set("tradition")), ",").alias("traditions"))
-    one = answers.select("query_id", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"), "passed", F.col("iteration").alias("iters"))
-    return one.join(t, "query_id", "left").withColumn("status", F.lit("ok"))
 
+def ask(spark: SparkSession, corpus: Corpus, text: str, **kwargs) -> str:
+    """One question's answer; a blank one is told so."""
+    text = (text or "").strip()
+    if not text:
+        return "Empty query — please enter a research question."
+    return answer(corpus, spark.createDataFrame([(0, text)], "query_id long, text string"), **kwargs).first().answer

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from functools import partial
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hexapla.config import DEFAULTS as S
 from hexapla.functions import text as tx
 from hexapla.functions.ids import NAMESPACE, uuid5
+from hexapla.functions.lineage import cut
 from hexapla.operators import chunk, cite, index, retrieve, select
 from hexapla.operators.providers import Providers
-from hexapla.plans import answer
+from hexapla.plans import answer, answer_queries, ingest_queries
 from hexapla.sources import readers, sinks
 
-N_QUERIES = 10
-
-
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,14 +28,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _items(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
-    b = _t(spark, sf_dir, "benchmark")
-    return b if n is None else b.where(F.col("item_id") < n)
-
-
-def asked(spark: SparkSession, sf_dir: str, n: int | None = N_QUERIES) -> DataFrame:
-    """Benchmark items below n, or all of them without n, as questions, each with the vector of the same number."""
-    b, e = _items(spark, sf_dir, n), _t(spark, sf_dir, "embeddings")
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a question, with the vector of the same number."""
+    b, e = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "embeddings")
     return b.join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), "item_id").select(F.col("item_id").alias("query_id"), "text", "vector")
 
 
@@ -70,12 +61,14 @@ def point_id_uuid5(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", uuid5(F.concat(F.lit("doc"), F.col("doc_id"))).alias("point_id"))
 
 
-_REFS = ["", "12", "-200", "-200 BCE", "urn:cts:greekLit:tlg0627.tlg002:12.3", "urn:cts:x", "Chapter 7", "none", "ca. 1155 CE"]
+#: Free-form dates and chapters, as formats of a document's number.
+_REFS = ["", "%d", "-%d", "-%d BCE", "urn:cts:greekLit:tlg0627.tlg002:%d.3", "urn:cts:x%d", "Chapter %d", "none", "ca. %d CE", " %d "]
 
 
 def parse_int_ref(spark, sf_dir):
-    rows = spark.createDataFrame([(i, r) for i, r in enumerate(_REFS)], "n int, raw string")
-    return rows.select("n", tx.parse_int_ref(F.col("raw")).alias("p")).select("n", "p.number", "p.ref")
+    form = F.element_at(F.array(*map(F.lit, _REFS)), (F.col("doc_id") % len(_REFS) + 1).cast("int"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.replace(form, F.lit("%d"), F.col("doc_id").cast("string")).alias("raw"))
+    return rows.select("doc_id", tx.parse_int_ref(F.col("raw")).alias("p")).select("doc_id", "p.number", "p.ref")
 
 
 def embedding_text(spark, sf_dir):
@@ -119,94 +112,90 @@ def postings_stats(spark, sf_dir):
     return index.postings(d, "text", index.standard(F.col("text"))).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def _sparse(spark, sf_dir, fields=("text",), n=N_QUERIES, second=None):
-    c = corpus(spark, sf_dir).withColumn("translation", F.left("text", F.lit(200)) if second is None else second)
-    posts = stats = None
-    for f in fields:
-        p, s = index.postings(c, f, index.standard(F.col(f))), index.field_statistics(c, f, index.standard(F.col(f)))
-        posts, stats = (p, s) if posts is None else (posts.unionByName(p), stats.unionByName(s))
-    terms = _items(spark, sf_dir, n).select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(index.standard(F.col("text")))).alias("term"))
-    return retrieve.bm25_scores(posts, stats, terms)
+def _sparse(spark, sf_dir, columns=(("text", "text"),)):
+    fields = [index.Field(name, column, index.standard) for name, column in columns]
+    c = corpus(spark, sf_dir).select("chunk_id", "text", "source_text")
+    terms = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(index.standard(F.col("text")))).alias("term"))
+    return retrieve.bm25_scores(index.field_postings(c, fields), index.fields_statistics(c, fields), terms)
 
 
-def bm25_topk(spark, sf_dir, n=N_QUERIES):
-    return retrieve.ranked(_sparse(spark, sf_dir, n=n).drop("field"), S.sparse_k, "score")
+def bm25_topk(spark, sf_dir):
+    return retrieve.ranked(_sparse(spark, sf_dir).drop("field"), S.sparse_k, "score")
 
 
 def bm25_best_fields(spark, sf_dir):
-    return retrieve.ranked(retrieve.best_field(_sparse(spark, sf_dir, ("text", "translation"))), S.sparse_k, "score")
-
-
-def bm25_best_fields_all(spark, sf_dir):
-    """Every item against two whole columns, the second one boosted."""
-    return retrieve.ranked(retrieve.best_field(_sparse(spark, sf_dir, ("text", "translation"), None, F.col("source_text"))), S.sparse_k, "score")
+    """Two whole columns, the second one boosted as a translation is."""
+    return retrieve.ranked(retrieve.best_field(_sparse(spark, sf_dir, (("text", "text"), ("translation", "source_text")))), S.sparse_k, "score")
 
 
 # --- dense --------------------------------------------------------------------------------------------------------
-def dense_topk(spark, sf_dir, n=N_QUERIES):
-    return retrieve.dense_topk(corpus(spark, sf_dir), asked(spark, sf_dir, n))
+def dense_topk(spark, sf_dir):
+    return retrieve.dense_topk(corpus(spark, sf_dir), asked(spark, sf_dir))
 
 
-def dense_topk_filtered(spark, sf_dir, n=N_QUERIES):
-    rows = corpus(spark, sf_dir).where(retrieve.facets(traditions=["en"], date_from=500, date_to=5000))
-    return retrieve.dense_topk(rows, asked(spark, sf_dir, n))
+def dense_topk_filtered(spark, sf_dir):
+    rows = corpus(spark, sf_dir).where(retrieve.facets(languages=["en", "de"], traditions=["en"], date_from=500, date_to=5000))
+    return retrieve.dense_topk(rows, asked(spark, sf_dir))
 
 
-def dense_topk_per_lang(spark, sf_dir, n=N_QUERIES):
-    return retrieve.dense_topk(corpus(spark, sf_dir), asked(spark, sf_dir, n), S.floor_pool, per="tradition")
+def dense_topk_per_lang(spark, sf_dir):
+    return retrieve.dense_topk(corpus(spark, sf_dir), asked(spark, sf_dir), S.floor_pool, per="tradition")
 
 
 # --- fusion, rerank, selection ------------------------------------------------------------------------------------
-def rrf_fusion(spark, sf_dir, n=N_QUERIES):
-    return retrieve.fuse(dense_topk(spark, sf_dir, n), bm25_topk(spark, sf_dir, n))
+LANGS = ["en", "de", "fr", "es"]
+
+
+def _floor_no() -> Column:
+    place = F.array_position(F.array(*map(F.lit, LANGS)), F.col("tradition")) - 1
+    return F.when(place >= 0, place.cast("int"))
 
 
-def _pool(spark, sf_dir, n=N_QUERIES):
-    langs = ["en", "de", "fr", "es"]
-    place = F.array_position(F.array(*map(F.lit, langs)), F.col("tradition")) - 1
-    floors = dense_topk_per_lang(spark, sf_dir, n).select("query_id", "chunk_id", place.cast("int").alias("floor_no"), "rank").where("floor_no >= 0")
-    return retrieve.pool(rrf_fusion(spark, sf_dir, n), floors)
+def rrf_fusion(spark, sf_dir):
+    return retrieve.fuse(dense_topk(spark, sf_dir), bm25_topk(spark, sf_dir))
 
 
-def rerank_pool(spark, sf_dir, n=N_QUERIES):
-    d = dense_topk_per_lang(spark, sf_dir, n).select("query_id", "chunk_id", "score").unionByName(dense_topk(spark, sf_dir, n).select("query_id", "chunk_id", "score")).distinct()
-    pooled = _pool(spark, sf_dir, n).join(d.withColumnRenamed("score", "cosine"), ["query_id", "chunk_id"], "left")
-    return retrieve.rerank(pooled, F.coalesce("cosine", F.lit(0.0))).select("query_id", "chunk_id", "pool_pos", "score", "rank")
+def rerank_pool(spark, sf_dir):
+    found, per = retrieve.dense_and_floors(corpus(spark, sf_dir), asked(spark, sf_dir), "tradition")
+    found, per = cut(found), cut(per)  # a few rows for each question, read again and again
+    floors = per.select("query_id", "chunk_id", _floor_no().alias("floor_no"), "rank").where("floor_no IS NOT NULL")
+    pooled = retrieve.pool(cut(retrieve.fuse(found, bm25_topk(spark, sf_dir))), floors)
+    known = per.select("query_id", "chunk_id", "score").unionByName(found.select("query_id", "chunk_id", "score")).distinct().withColumnRenamed("score", "cosine")
+    return retrieve.rerank(pooled.join(known, ["query_id", "chunk_id"], "left"), F.coalesce("cosine", F.lit(0.0))).select("query_id", "chunk_id", "pool_pos", "score", "rank")
 
 
-def _scored(spark, sf_dir, n=N_QUERIES):
-    c = corpus(spark, sf_dir).drop("vector")
-    return rerank_pool(spark, sf_dir, n).join(c, "chunk_id")
+def _scored(spark, sf_dir):
+    return rerank_pool(spark, sf_dir).join(corpus(spark, sf_dir).drop("vector"), "chunk_id")
 
 
-def dedup_collapse(spark, sf_dir, n=N_QUERIES):
-    return select.collapse_duplicates(_scored(spark, sf_dir, n), select.duplicate_key()).select("query_id", "chunk_id", "rank")
+def dedup_collapse(spark, sf_dir):
+    return select.collapse_duplicates(_scored(spark, sf_dir), select.duplicate_key()).select("query_id", "chunk_id", "rank")
 
 
-def diversified_select(spark, sf_dir, n=N_QUERIES):
-    rows = select.collapse_duplicates(_scored(spark, sf_dir, n), select.duplicate_key())
-    place = F.array_position(F.array(*map(F.lit, ["en", "de", "fr", "es"])), F.col("tradition")) - 1
-    rows = rows.select("query_id", "chunk_id", F.col("source_text").alias("source"), "tradition", F.when(place >= 0, place.cast("int")).alias("floor_no"), "rank", "score")
+def diversified_select(spark, sf_dir):
+    rows = select.collapse_duplicates(_scored(spark, sf_dir), select.duplicate_key())
+    rows = rows.select("query_id", "chunk_id", F.col("source_text").alias("source"), "tradition", _floor_no().alias("floor_no"), "rank", "score")
     return select.select_windows(rows).select("query_id", "chunk_id", "source", "tradition", "sel_pos", "source_n", "score")
 
 
 # --- citations ----------------------------------------------------------------------------------------------------
-_DRAFTS = [(0, "See [SOURCE 1].", 12), (1, "As in [SOURCE 7, 11, 9] and [SOURCES 1, 2]", 12), (2, "[SOURCE 4, SOURCE 6]", 12), (3, "range [SOURCE 6–8]", 12), (4, "Source 2 says", 12), (5, "[SOURCE1]", 12), (6, "[ source 99 ] and [SOURCE 3]", 12), (7, "nothing", 0)]
+#: Ends of drafts in the forms that markers take, as formats of a document's number.
+_MARKERS = ["[SOURCE %d].", "[SOURCE 7, %d, 9] and [SOURCES 1, 2]", "[SOURCE 4, SOURCE %d]", "[SOURCE 6–%d]", "Source %d says", "[SOURCE%d]", "[ source 99 ] and [SOURCE %d]", ""]
+_N_CHUNKS = 12
 
 
 def resolve_markers(spark, sf_dir):
-    d = spark.createDataFrame(_DRAFTS, "query_id int, draft string, n_chunks int")
+    form = F.element_at(F.array(*map(F.lit, _MARKERS)), (F.col("doc_id") % len(_MARKERS) + 1).cast("int"))
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.concat("text", F.lit(" "), F.replace(form, F.lit("%d"), (F.col("doc_id") % 17).cast("string"))).alias("draft"), F.when(F.col("doc_id") % 10 < 9, _N_CHUNKS).otherwise(0).alias("n_chunks"))
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return cite.resolve(d).select("query_id", *[join(c) for c in ("cited", "in_range", "dangling", "uncited")])
 
 
-_VERDICTS = [(0, 1, True), (0, 2, False), (0, 2, True), (0, 3, False), (1, 1, True), (1, 5, True)]
-
-
 def citation_status(spark, sf_dir):
-    v = spark.createDataFrame(_VERDICTS, "query_id int, n int, supported boolean")
-    v = v.groupBy("query_id").agg(F.collect_list(F.struct(F.array("n").alias("cited_sources"), "supported")).alias("claims"))
-    c = spark.createDataFrame([(q, n) for q in (0, 1) for n in (1, 2, 3, 4)], "query_id int, source_n int")
+    """Twelve labelled documents are a draft's claims, each on one source; its quality says whether it holds."""
+    v = _t(spark, sf_dir, "labels").select(F.floor(F.col("doc_id") / 12).alias("query_id"), F.array((F.col("doc_id") % 5 + 1).cast("int")).alias("cited_sources"), (F.col("quality") == 1).alias("supported"))
+    v = v.groupBy("query_id").agg(F.collect_list(F.struct("cited_sources", "supported")).alias("claims"))
+    c = _t(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 12).alias("query_id"), (F.col("doc_id") % 12 + 1).cast("int").alias("source_n"))
     return cite.citation_status(c, v)
 
 
@@ -218,8 +207,8 @@ def format_citation(spark, sf_dir):
     return rows.select("doc_id", cite.reference().alias("reference"))
 
 
-def suite_summary(spark, sf_dir, n=N_QUERIES):
-    rows = diversified_select(spark, sf_dir, n)
+def suite_summary(spark, sf_dir):
+    rows = diversified_select(spark, sf_dir)
     return rows.groupBy("query_id").agg(F.count("*").alias("n_retrieved"), F.array_join(F.array_sort(F.collect_set("tradition")), ",").alias("traditions"), F.count_if(F.col("score") > 0).alias("n_scored"))
 
 
@@ -228,10 +217,10 @@ def html_pre_extract(spark, sf_dir):
     return wrapped.select("page_id", readers.pre_text(F.col("page")).alias("text"))
 
 
-def hybrid_answer(spark, sf_dir, n=N_QUERIES):
+def hybrid_answer(spark, sf_dir):
     """The whole way from questions to cited answers."""
     built = answer.build(corpus(spark, sf_dir))
-    out = answer.answer(built, asked(spark, sf_dir, n), Providers(), ["en", "de", "fr", "es"])
+    out = answer.answer(built, asked(spark, sf_dir), Providers(), LANGS)
     return out.select("query_id", "n_chunks", F.size("in_range").alias("n_cited"), "passed", "status", "iteration", "answer")
 
 
@@ -241,20 +230,17 @@ def flagship(spark, sf_dir):
 
 
 _NAMES = """normalize_text chunk_sentences chunk_with_ids slugify clip_text point_id_uuid5 parse_int_ref embedding_text align_left_join alignment_rate
-missing_enrichment reconcile_counts question_source postings_stats bm25_topk bm25_best_fields bm25_best_fields_all dense_topk dense_topk_filtered dense_topk_per_lang
+missing_enrichment reconcile_counts question_source postings_stats bm25_topk bm25_best_fields dense_topk dense_topk_filtered dense_topk_per_lang
 rrf_fusion rerank_pool dedup_collapse diversified_select resolve_markers citation_status format_citation suite_summary html_pre_extract hybrid_answer"""
 
-#: Searches that are also registered as NAME_all, over every benchmark item.
-_SEARCHES = "bm25_topk dense_topk dense_topk_filtered dense_topk_per_lang rrf_fusion rerank_pool dedup_collapse diversified_select suite_summary hybrid_answer".split()
-
 
 def queries() -> dict:
-    return {n: globals()[n] for n in _NAMES.split()} | {f"{n}_all": partial(globals()[n], n=None) for n in _SEARCHES}
+    return {n: globals()[n] for n in _NAMES.split()} | ingest_queries.queries() | answer_queries.queries()
 
 
 # --- the same in SQL ----------------------------------------------------------------------------------------------
 _C = "corpus AS (SELECT d.doc_id AS chunk_id, lang AS tradition, lang || '/' || source AS source_text, n_chars AS date_approx, source AS section, text, e.embedding AS vector FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"
-_Q = f"asked AS (SELECT item_id AS query_id, text, embedding AS vector FROM benchmark JOIN embeddings ON item_id = vec_id WHERE item_id < {N_QUERIES})"
+_Q = "asked AS (SELECT item_id AS query_id, text, embedding AS vector FROM benchmark JOIN embeddings ON item_id = vec_id)"
 
 
 def _dense_sql(where: str = "true", per: str = "", k: int = S.dense_k) -> str:
@@ -264,7 +250,7 @@ def _dense_sql(where: str = "true", per: str = "", k: int = S.dense_k) -> str:
 
 def _bm25_sql(fields: dict[str, tuple[str, float]]) -> str:
     """CTEs up to scores(query_id, chunk_id, score)."""
-    out = ["terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '\\p{Han}|[\\p{L}\\p{N}]+')) AS term FROM benchmark WHERE item_id < %d)" % N_QUERIES]
+    out = ["terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '\\p{Han}|[\\p{L}\\p{N}]+')) AS term FROM benchmark)"]
     for f, (expr, _) in fields.items():
         out += [
             f"{f}_tok AS (SELECT chunk_id, regexp_extract_all(lower({expr}), '\\p{{Han}}|[\\p{{L}}\\p{{N}}]+') AS w FROM corpus)",
@@ -307,9 +293,10 @@ _UUID = f"sha1(from_hex('{NAMESPACE.hex}') || encode('doc' || doc_id))"
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    quote = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"(VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) v({names})"
+def _pick(forms: list[str], number: str) -> str:
+    """The form of a document's number, with `number` in it."""
+    quoted = ", ".join("'" + f + "'" for f in forms)
+    return f"replace([{quoted}][doc_id % {len(forms)} + 1], '%d', ({number})::VARCHAR)"
 
 
 def _slug_sql(n: int) -> str:
@@ -318,15 +305,16 @@ def _slug_sql(n: int) -> str:
 
 def oracle_sql() -> dict[str, str]:
     sql = {
+        "html_pre_extract": "SELECT page_id, regexp_replace(replace(replace(replace(regexp_replace(html, '(?i)</?pre>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g') AS text FROM pages",
         "normalize_text": "SELECT doc_id, trim(regexp_replace(translate(nfc_normalize(text), chr(65279) || chr(8203), ''), '\\s+', ' ', 'g')) AS clean FROM documents",
         "chunk_sentences": f"WITH {_CHUNKS} SELECT doc_id, ord, chunk, length(chunk)::INT AS char_count FROM chunks",
         "chunk_with_ids": f"WITH {_CHUNKS} SELECT 'doc' || doc_id || '_chunk_' || lpad(ord::VARCHAR, 4, '0') AS chunk_id, 'Passage ' || (ord + 1) AS label, length(chunk)::INT AS char_count FROM chunks WHERE length(chunk) >= {S.least_chunk}",
         "slugify": f"SELECT item_id, {_slug_sql(50)} AS slug, {_slug_sql(40)} AS short_slug FROM benchmark",
         "clip_text": f"SELECT doc_id, CASE WHEN length(f) > {S.clip} THEN rtrim(left(f, {S.clip})) || ' […]' ELSE f END AS clipped FROM (SELECT doc_id, {_FLAT} AS f FROM documents)",
         "point_id_uuid5": f"SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[(position(h[17] IN '0123456789abcdef') - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] AS point_id FROM (SELECT doc_id, {_UUID} AS h FROM documents)",
-        "parse_int_ref": f"""SELECT n, CASE WHEN raw = '' THEN NULL WHEN raw LIKE 'urn:cts:%' THEN try_cast(nullif(regexp_extract(string_split(raw, ':')[5], '^(\\d+)', 1), '') AS INT)
+        "parse_int_ref": f"""SELECT doc_id, CASE WHEN raw = '' THEN NULL WHEN raw LIKE 'urn:cts:%' THEN try_cast(nullif(regexp_extract(string_split(raw, ':')[5], '^(\\d+)', 1), '') AS INT)
   ELSE try_cast(nullif(coalesce(nullif(regexp_extract(raw, '^\\s*(-?\\d+)\\s*$', 1), ''), regexp_extract(raw, '\\b(\\d+)\\b', 1)), '') AS INT) END AS number,
-  CASE WHEN raw <> '' THEN trim(raw) END AS ref FROM {_values([*enumerate(_REFS)], 'n, raw')}""",
+  CASE WHEN raw <> '' THEN trim(raw) END AS ref FROM (SELECT doc_id, {_pick(_REFS, 'doc_id')} AS raw FROM documents)""",
         "embedding_text": "SELECT conv_id, turn, CASE WHEN role = 'user' THEN role || chr(10) || chr(10) || trim(text) ELSE trim(text) END AS whole, trim(CASE WHEN role = 'user' THEN role ELSE text END) AS short FROM conversations",
         "align_left_join": "SELECT d.doc_id, lang, coalesce(quality::VARCHAR, '') AS text_translation, l.doc_id IS NOT NULL AS aligned FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
         "alignment_rate": f"SELECT lang, count(*) AS n, round(avg((l.doc_id IS NOT NULL)::DOUBLE), 6) AS rate, avg((l.doc_id IS NOT NULL)::DOUBLE) < {S.alignment_floor} AS warn FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang",
@@ -335,19 +323,18 @@ def oracle_sql() -> dict[str, str]:
         "question_source": "SELECT conv_id, turn, length(text)::INT AS n FROM conversations WHERE role = 'user' AND trim(text) <> ''",
         "postings_stats": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{Han}|[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY ALL) GROUP BY term",
         "bm25_topk": f"WITH {_C}, {_bm25_sql(_TEXT)} {_TOP}",
-        "bm25_best_fields": f"WITH {_C}, {_bm25_sql({**_TEXT, 'translation': ('left(text, 200)', 2.0)})} {_TOP}",
-        "bm25_best_fields_all": f"WITH {_C}, {_bm25_sql({**_TEXT, 'translation': ('source_text', 2.0)})} {_TOP}".replace(f" WHERE item_id < {N_QUERIES}", ""),
+        "bm25_best_fields": f"WITH {_C}, {_bm25_sql({**_TEXT, 'translation': ('source_text', 2.0)})} {_TOP}",
         "dense_topk": f"WITH {_C}, {_Q} {_dense_sql()}",
-        "dense_topk_filtered": f"WITH {_C}, {_Q} {_dense_sql(where=chr(39).join(['c.tradition = ', 'en', ' AND c.date_approx BETWEEN 500 AND 5000']))}",
+        "dense_topk_filtered": f"WITH {_C}, {_Q} {_dense_sql(where="c.tradition = 'en' AND c.date_approx BETWEEN 500 AND 5000")}",
         "dense_topk_per_lang": f"WITH {_C}, {_Q} {_dense_sql(per='tradition,', k=S.floor_pool)}",
         "rrf_fusion": f"WITH {_C}, {_Q}, {_bm25_sql(_TEXT)}, {_FUSED} SELECT query_id, chunk_id, d_rank, s_rank, rrf, pos FROM fused",
         "rerank_pool": _ALL + "SELECT query_id, chunk_id, pool_pos, score, rank FROM reranked",
         "dedup_collapse": _ALL + "SELECT query_id, chunk_id, rank FROM once",
         "diversified_select": _ALL + "SELECT * FROM chosen",
-        "resolve_markers": f"""WITH d AS (SELECT *, list_sort(list_distinct(flatten(list_transform(regexp_extract_all(draft, '(?i)\\[\\s*SOURCES?\\s+([^\\]]+?)\\s*\\]', 1), lambda b: list_transform(regexp_extract_all(b, '\\d+'), lambda x: x::INT))))) AS c FROM {_values(_DRAFTS, 'query_id, draft, n_chunks')})
+        "resolve_markers": f"""WITH d AS (SELECT *, list_sort(list_distinct(flatten(list_transform(regexp_extract_all(draft, '(?i)\\[\\s*SOURCES?\\s+([^\\]]+?)\\s*\\]', 1), lambda b: list_transform(regexp_extract_all(b, '\\d+'), lambda x: x::INT))))) AS c FROM (SELECT doc_id AS query_id, text || ' ' || {_pick(_MARKERS, 'doc_id % 17')} AS draft, CASE WHEN doc_id % 10 < 9 THEN {_N_CHUNKS} ELSE 0 END AS n_chunks FROM documents))
 SELECT query_id, coalesce(array_to_string(c, ','), '') AS cited, coalesce(array_to_string(list_filter(c, lambda x: x BETWEEN 1 AND n_chunks), ','), '') AS in_range, coalesce(array_to_string(list_filter(c, lambda x: NOT x BETWEEN 1 AND n_chunks), ','), '') AS dangling,
   coalesce(array_to_string(list_filter(range(1, n_chunks + 1), lambda x: NOT list_contains(c, x::INT)), ','), '') AS uncited FROM d""",
-        "citation_status": f"""WITH v AS (SELECT query_id, n, bool_or(NOT supported) AS bad, bool_or(supported) AS good FROM {_values(_VERDICTS, 'query_id, n, supported')} GROUP BY ALL), c AS (SELECT q AS query_id, n AS source_n FROM (VALUES (0), (1)) a(q), (VALUES (1), (2), (3), (4)) b(n))
+        "citation_status": """WITH v AS (SELECT doc_id // 12 AS query_id, (doc_id % 5 + 1)::INT AS n, bool_or(quality <> 1) AS bad, bool_or(quality = 1) AS good FROM labels GROUP BY ALL), c AS (SELECT doc_id // 12 AS query_id, (doc_id % 12 + 1)::INT AS source_n FROM documents)
 SELECT c.query_id, source_n, CASE WHEN bad THEN 'disputed' WHEN good THEN 'verified' ELSE 'cited' END AS status FROM c LEFT JOIN v ON v.query_id = c.query_id AND v.n = c.source_n""",
         "format_citation": """SELECT doc_id, regexp_replace(CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Hippocrates, ' ELSE 'Hildegard of Bingen, ' END || '*' || source || CASE WHEN doc_id % 3 = 0 THEN ' (黄帝内经素問)' ELSE '' END || '*, ' || loc
   || CASE WHEN doc_id % 5 = 0 THEN ' (c. 400 BCE)' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN '. urn:x.' ELSE '' END
@@ -355,4 +342,4 @@ SELECT c.query_id, source_n, CASE WHEN bad THEN 'disputed' WHEN good THEN 'verif
 FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'Chapter ' || doc_id ELSE lang END AS loc FROM documents)""",
         "suite_summary": _ALL + "SELECT query_id, count(*) AS n_retrieved, string_agg(DISTINCT tradition, ',' ORDER BY tradition) AS traditions, count(*) FILTER (score > 0) AS n_scored FROM chosen GROUP BY query_id",
     }
-    return sql | {f"{n}_all": sql[n].replace(f" WHERE item_id < {N_QUERIES}", "") for n in _SEARCHES if n in sql}
+    return sql | ingest_queries.oracle_sql() | answer_queries.oracle_sql()

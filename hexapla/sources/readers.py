@@ -12,22 +12,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from hexapla.config import CHUNK, DEFAULTS
-from hexapla.functions.text import filled, nfc, parse_int_ref, unescape
+from hexapla.functions.text import filled, parse_int_ref, unescape
 
 
-def read_chunks(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(chunks, rejects). Strict: a malformed line fails the job. Else malformed lines and rows without chunk_id are rejects."""
-    if strict:
-        return with_refs(spark.read.schema(CHUNK).json(path, mode="FAILFAST").where(filled(F.col("text")).isNotNull())), spark.createDataFrame([], "_corrupt_record string, reason string")
+def parse_chunks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks, rejects) from JSON lines (value). Blank lines are skipped; malformed ones and those without chunk_id are rejects."""
     schema = T.StructType([*CHUNK.fields, T.StructField("_corrupt_record", T.StringType())])
     # Malformed lines and missing keys are told apart before columns are pruned.
-    rows = spark.read.text(path).where(F.btrim("value") != "").select("value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    rows = lines.where(F.btrim("value") != "").select("value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     reason = F.when(F.col("r._corrupt_record").isNotNull(), "malformed").when(filled(F.col("r.chunk_id")).isNull(), "no chunk_id")
     marked = rows.withColumn("reason", reason)
     good = marked.where("reason IS NULL").select("r.*").drop("_corrupt_record").where(filled(F.col("text")).isNotNull())
     return with_refs(good), marked.where("reason IS NOT NULL").select(F.col("value").alias("_corrupt_record"), "reason")
 
 
+def read_chunks(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(chunks, rejects) of JSON lines files. Strict: a malformed line fails the job."""
+    if strict:
+        return with_refs(spark.read.schema(CHUNK).json(path, mode="FAILFAST").where(filled(F.col("text")).isNotNull())), spark.createDataFrame([], "_corrupt_record string, reason string")
+    return parse_chunks(spark.read.text(path))
+
+
 def with_refs(chunks: DataFrame) -> DataFrame:
     """chapter_ref where it is missing, from the chapter number; blanks are nulls."""
     number = F.when(F.col("chapter_num").isNotNull(), F.concat(F.lit("Chapter "), F.col("chapter_num")))
@@ -46,23 +51,53 @@ def union_chunks(first: DataFrame, *more: DataFrame) -> DataFrame:
     return first
 
 
+def chapter_number(path: Column) -> Column:
+    """The number after "ch" in a file's name."""
+    return F.regexp_extract(path, r"ch(\d+)[^/]*$", 1).try_cast("int")
+
+
 def read_chapters(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, chapter_num, text): one row for each whole file."""
+    """(path, chapter_num, text): one row for each whole file, in the order of names."""
     files = spark.read.text(glob, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-    return files.withColumn("chapter_num", F.regexp_extract("path", r"ch(\d+)[^/]*$", 1).try_cast("int"))
+    return files.withColumn("chapter_num", chapter_number(F.col("path"))).orderBy("path")
+
+
+def newest_new(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The newest of the files that came between two listings (path, modificationTime); one row, or none."""
+    new = after.join(before.select("path"), "path", "left_anti")
+    return new.agg(F.max(F.struct("modificationTime", "path")).alias("f")).where("f IS NOT NULL").select("f.path", "f.modificationTime")
+
+
+def slugs(whole: Column) -> Column:
+    """array<struct<n, slug>>: first column of a headerless CSV text with its line number from 1; blank lines count but go."""
+    cell = lambda line: F.btrim(F.btrim(F.split(line, ",")[0]), F.lit('"'))
+    lines = F.transform(F.split(whole, r"\r?\n", -1), lambda line, i: F.struct((i + 1).alias("n"), cell(line).alias("slug"), line.alias("line")))
+    return F.transform(F.filter(lines, lambda x: F.btrim(x["line"]) != ""), lambda x: F.struct(x["n"].alias("n"), x["slug"].alias("slug")))
 
 
 def read_slugs(spark: SparkSession, path: str) -> DataFrame:
-    """(n, slug): first column of a headerless CSV with its line number from 1; a file of some lines, read whole."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("i", "line")).where(F.btrim("line") != "")
-    return lines.select((F.col("i") + 1).alias("n"), F.btrim(F.btrim(F.split("line", ",")[0]), F.lit('"')).alias("slug"))
+    """(n, slug) of a file of some lines, read whole."""
+    return spark.read.text(path, wholetext=True).select(F.inline(slugs(F.col("value"))))
 
 
-def questions(spark: SparkSession, texts: list[tuple[str, str]], numbers: list[int] | None = None) -> DataFrame:
-    """(n, query_id, text) of non-blank questions, optionally only some by number from 1."""
-    df = spark.createDataFrame([(i + 1, q, t) for i, (q, t) in enumerate(texts)], "n int, query_id string, text string").where(F.btrim("text") != "")
-    return df.where(F.col("n").isin(numbers)) if numbers else df
+def asked_questions(rows: DataFrame) -> DataFrame:
+    """Rows whose text isn't blank, trimmed."""
+    return rows.withColumn("text", F.btrim("text")).where("text <> ''")
+
+
+def numbered_questions(rows: DataFrame, order: str, numbers: list[int] | None = None) -> DataFrame:
+    """Non-blank questions with n, their number from 1 by `order`, optionally only some of the numbers.
+
+    Numbers are dealt without one task for all rows: ranges of `order` are counted, then numbered on their own."""
+    rows = asked_questions(rows)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_m"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    shift = F.broadcast(sizes.select("_p", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_shift")))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(order))
+    out = ranged.withColumn("_i", within).join(shift, "_p").withColumn("n", (F.col("_shift") + F.col("_i")).cast("long")).drop("_p", "_i", "_shift")
+    return out.where(F.col("n").isin(numbers)) if numbers else out
 
 
 def pre_text(page: Column) -> Column:
@@ -145,6 +180,3 @@ def alignment_rate(aligned: DataFrame, by: str, floor: float = DEFAULTS.alignmen
     rate = F.avg(F.col("aligned").cast("double"))
     return aligned.groupBy(by).agg(F.count("*").alias("n"), F.round(rate, 6).alias("rate"), (rate < floor).alias("warn"))
 
-
-def normalized_nfc(x: Column) -> Column:
-    return nfc(x)

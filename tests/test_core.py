@@ -13,12 +13,12 @@ from hexapla.config import Settings
 from hexapla.functions import text as tx
 from hexapla.functions.ids import NAMESPACE, uuid5
 from hexapla.operators import chunk, cite, index, retrieve, select
-from hexapla.operators.providers import Providers, enrich_missing
+from hexapla.operators.providers import Loaded, Providers, enrich_in_slices, enrich_missing
 from hexapla.plans import answer, queries as q
 from hexapla.sources import readers, sinks
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations events".split()
 
 
 @pytest.fixture(scope="module")
@@ -39,15 +39,8 @@ def test_same_rows_as_sql(spark, duck, name):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == want
 
 
-def test_searches_over_every_item(spark):
-    items = {r.item_id for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id").collect()}
-    assert len(items) > q.N_QUERIES
-    for name in ("dense_topk_all", "bm25_topk_all", "bm25_best_fields_all", "suite_summary_all"):
-        assert {r.query_id for r in q.queries()[name](spark, SF).select("query_id").distinct().collect()} == items
-
-
 def test_query_blocks_equal_one_block(spark):
-    rows, asked = q.corpus(spark, SF), q.asked(spark, SF, None)
+    rows, asked = q.corpus(spark, SF), q.asked(spark, SF)
     key = lambda n: sorted(tuple(r) for r in retrieve.dense_topk(rows, asked, 20, settings=Settings(query_block=n)).collect())
     assert key(7) == key(1000)
 
@@ -127,6 +120,45 @@ def test_claims(spark):
     assert one(spark, "garbage", lambda x: cite.claims(x, F.lit(5))) == []
 
 
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ({"claim_checks": ["x", 3, {"claim": "a", "cited_sources": [2], "supported": False, "issue": "i"}]}, [("a", [2], False, "i")]),
+        ({"claim_checks": [{"claim": "a", "cited_sources": ["1", 2, "x", -3, None], "supported": True}]}, [("a", [1, 2], True, "")]),
+        ({"claim_checks": [{"issue": "x"}]}, [("", [], False, "x")]),
+        ({"claim_checks": [{"claim": "a", "supported": "no"}, {"claim": "b", "supported": 0}, {"claim": "c", "supported": []}, {"claim": "d", "supported": 0.5}]}, [("a", [], True, ""), ("b", [], False, ""), ("c", [], False, ""), ("d", [], True, "")]),
+        ({"claim_checks": {"claim": "a"}}, []),
+        ([1], []),
+    ],
+)
+def test_claim_entries_stand_alone(spark, raw, want):
+    got = one(spark, "```json\n" + json.dumps(raw) + "\n```", lambda x: cite.claims(x, F.lit(5)))
+    assert [(c.claim, c.cited_sources, c.supported, c.issue) for c in got] == want
+
+
+def test_unreadable_verdict(spark):
+    got = one(spark, "garbage", cite.verdict)
+    assert (got.readable, got.report, got.needs_more) == (False, cite.UNREADABLE, False)
+
+
+def test_dense_topk_with_bad_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [1.0, i / 10]) for i in range(10)] + [(20, [nan, 1.0]), (21, None), (22, []), (23, [inf, 0.0]), (24, [1.0, 0.0, 0.0]), (25, [0.0, 0.0]), (26, [None, 1.0])]
+    c = spark.createDataFrame(rows, "chunk_id int, vector array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [nan, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [None, 1.0])], "query_id int, vector array<double>")
+    got = {(r.query_id, r.rank): r.chunk_id for r in retrieve.dense_topk(c, asked, 3).collect()}
+    assert got == {(1, 1): 0, (1, 2): 1, (1, 3): 2, (4, 1): 24}
+    assert retrieve.dense_topk(c, asked.where("query_id in (2, 3)"), 3).count() == 0
+
+
+def test_dense_and_floors_equal_two_searches(spark):
+    rows, asked = q.corpus(spark, SF), q.asked(spark, SF)
+    both, per = retrieve.dense_and_floors(rows, asked, "tradition")
+    key = lambda d: sorted(tuple(r[c] for c in ("query_id", "chunk_id", "score", "rank")) for r in d.collect())
+    assert key(both) == key(retrieve.dense_topk(rows, asked))
+    assert key(per) == key(retrieve.dense_topk(rows, asked, Settings().floor_pool, per="tradition"))
+
+
 def test_window_selection_equals_greedy(spark):
     rng = random.Random(9)
     s = Settings()
@@ -229,6 +261,87 @@ def test_sinks(spark, tmp_path):
     assert {r.part: r.agrees for r in sinks.reconcile(a=t, b=t).collect()} == {"a": True, "b": True}
 
 
+def test_replacing_a_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert sinks.ensure_table(spark, path, "a int") and not sinks.ensure_table(spark, path, "a int")
+    sinks.replace_table(spark.range(3), path)
+    with pytest.raises(Exception):  # noqa: B017  a job that fails leaves the old table
+        sinks.replace_table(spark.range(3).select(F.raise_error(F.lit("no"))), path)
+    assert spark.read.parquet(path).count() == 3
+    sinks.replace_table(spark.read.parquet(path).where("id > 0"), path)  # reads what it replaces
+    assert spark.read.parquet(path).count() == 2 and [x.name for x in tmp_path.iterdir() if "-" in x.name and "new" not in x.name] == []
+    assert sinks.ensure_table(spark, path, "a int", recreate=True) and spark.read.parquet(path).count() == 0
+
+
+def test_points_are_upserted(spark, tmp_path):
+    path = str(tmp_path / "p")
+    rows = lambda *r: spark.createDataFrame(list(r), "chunk_id string, tradition string, date_approx int, vector array<double>")
+    sinks.write_points(rows(("a", "x", 1, [1.0]), ("b", "y", 2, [1.0]), ("c", "y", 2, None)), path)
+    sinks.write_points(rows(("b", "y", 3, [2.0])), path)
+    assert {(r.chunk_id, r.date_approx, r.point_id) for r in spark.read.parquet(path).collect()} == {("a", 1, str(uuid.uuid5(NAMESPACE, "a"))), ("b", 3, str(uuid.uuid5(NAMESPACE, "b")))}
+
+
+def test_stored_index(spark, tmp_path):
+    path = str(tmp_path / "i")
+    rows = [("a", "waters of summer", "s one", None), ("b", "fevers", "s two", "The fever burns"), (None, "x", "s", None), ("c", " ", "s", None), ("a", "waters of summer", "s one", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, section string, text_translation string")
+    assert {r.part: r.n for r in sinks.write_index(chunks, path).collect()} == {"chunks": 5, "indexed": 2, "rejects": 2}
+    good = sinks.loadable(chunks)[0].dropDuplicates(["chunk_id"])
+    asked = spark.createDataFrame([(1, "burning fevers in summer")], "query_id int, expanded_query string")
+    key = lambda c: sorted((r.field, r.chunk_id, r.score) for r in answer.keyword_scores(c, asked).collect())
+    from_disk = answer.stored(good, path)
+    assert key(from_disk) == key(answer.build(good)) and len(key(from_disk)) >= 3
+    assert sinks.exists(spark, f"{path}/postings") and not sinks.exists(spark, f"{path}/none")
+
+
+def test_suite_folder(spark, tmp_path):
+    rows = [(2, "b c", "p", "ok", 1.5, 12, "x,y", "1,2", True, 1, "t", "e", "", "Q2", "A2"), (1, "a", "p", "error", 0.1, None, None, None, None, None, "t", "e", "broke", "Q1", None)]
+    df = spark.createDataFrame(rows, "n int, id string, probes string, status string, sec double, n_retrieved int, traditions string, cited string, passed boolean, iters int, trace string, export string, err string, question string, answer string")
+    sinks.write_suite(df, str(tmp_path))
+    table = "\n".join(r.value for r in spark.read.text(str(tmp_path / "summary.md")).collect()).split("\n")
+    assert table[0].startswith("| # | id | status") and table[2].startswith("| 1 | a | error | 0.1 |") and table[3] == "| 2 | b c | ok | 1.5 | x,y | 1,2 | true | 1 |"
+    assert spark.read.csv(str(tmp_path / "summary.tsv"), sep="\t", header=True).columns == sinks.SUITE_COLUMNS
+    assert sorted(p.name for p in (tmp_path / "pages").iterdir() if p.is_dir()) == ["name=01_a", "name=02_b-c"]
+
+
+def test_model_is_loaded_once_per_worker(spark, tmp_path):
+    mark = str(tmp_path / "loads")
+
+    def load():
+        with open(mark, "a") as f:
+            f.write("x")
+        return lambda text: text.upper()
+
+    p = Providers(write=Loaded(mark, load))
+    rows = spark.createDataFrame([(str(i),) for i in range(50)], "t string").coalesce(1)
+    assert rows.select(p.chat(p.write, F.concat(F.lit("a"), "t"))).first()[0] == "A0"
+    rows.select(p.chat(p.write, F.col("t"))).collect()
+    with open(mark) as f:
+        assert len(f.read()) <= 4  # workers, not rows
+
+
+def test_enrichment_goes_on_where_it_stopped(spark, tmp_path):
+    path, calls = str(tmp_path / "done"), str(tmp_path / "calls")
+    rows = spark.createDataFrame([(i, f"t{i}", "old" if i % 4 == 0 else None) for i in range(20)], "chunk_id int, text string, text_translation string")
+
+    def translate(x):
+        with open(calls, "a") as f:
+            f.write(x + "\n")
+        if x == "t7":
+            raise ValueError(x)
+        return x.upper()
+
+    first = {r.chunk_id: r.text_translation for r in enrich_in_slices(rows, path, translate, 3, wait=0.0).collect()}
+    assert first == {i: "old" if i % 4 == 0 else None if i == 7 else f"T{i}" for i in range(20)}
+    n = len(open(calls).read().split())
+    again = {r.chunk_id: r.text_translation for r in enrich_in_slices(rows, path, translate, 3, wait=0.0).collect()}
+    assert again == first and len(open(calls).read().split()) == n + 3  # the failed text's attempts alone
+
+
+def test_sources_are_named_once(spark):
+    assert answer.ask(spark, None, "  ").startswith("Empty query")
+
+
 def test_enrichment_is_resumable(spark):
     rows = spark.createDataFrame([("a", "t", "done"), ("b", "t", ""), ("c", "bad", None)], "id string, text string, text_translation string")
 
@@ -237,12 +350,12 @@ def test_enrichment_is_resumable(spark):
             raise ValueError(x)
         return x.upper()
 
-    assert {r.id: r.text_translation for r in enrich_missing(rows, translate).collect()} == {"a": "done", "b": "T", "c": None}
+    assert {r.id: r.text_translation for r in enrich_missing(rows, translate, wait=0.0).collect()} == {"a": "done", "b": "T", "c": None}
 
 
 def test_whole_answer(spark):
     built = answer.build(q.corpus(spark, SF))
-    asked = q.asked(spark, SF, 2)
+    asked = q.asked(spark, SF).where("query_id < 2")
     more = json.dumps({"claim_checks": [], "report": "", "needs_more_retrieval": True})
     out = answer.answer(built, asked, Providers(judge=lambda _: more), ["en", "de", "fr", "es"]).collect()
     assert len(out) == 2 and all(r.iteration == 3 and r.status == "inconclusive" and r.n_chunks == 12 for r in out)
@@ -269,6 +382,37 @@ def test_question_stream(spark, tmp_path):
     assert [r.answer for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["X"]
 
 
+def test_only_the_optional_part_may_be_missing(monkeypatch):
+    import builtins
+    import importlib
+    import sys
+
+    import __spark_entry__
+
+    real = builtins.__import__
+
+    def without(*gone):
+        def load(name, *args, **kwargs):
+            if name in gone:
+                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+            return real(name, *args, **kwargs)
+
+        for m in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("hexapla.llm")]:
+            monkeypatch.delitem(sys.modules, m)
+        monkeypatch.setattr(builtins, "__import__", load)
+        return importlib.reload(__spark_entry__)
+
+    try:
+        assert "dense_topk" in without("corpus_pipeline").queries()
+        assert not any(n.startswith("op1_") for n in without("hexapla.llm", "corpus_pipeline").queries())
+        if importlib.util.find_spec("corpus_pipeline"):
+            with pytest.raises(ModuleNotFoundError):
+                without("public_tokenizers")
+    finally:
+        monkeypatch.undo()
+        importlib.reload(__spark_entry__)
+
+
 def test_entry_module(spark):
     import __spark_entry__
 
