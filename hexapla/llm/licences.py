@@ -1,158 +1,259 @@
 """Licence scans by a trained paragraph classifier (native: DataFrame functions only on the data's path).
 
-Each line is a paragraph, and so is each line with those that follow it up to `SPAN` words, a line without words or one
-of more than `WRAPPED` characters, for notices wrapped over lines; there a family counts once for overlapping runs, and
-not where a line of the run has it alone. A multinomial logistic regression on sparse word unigrams and bigrams, trained on notices
-of the families below and on ordinary prose that uses the same words, gives a probability for each family and for
-the unknown class; its temperature is calibrated on held-out variants. A prediction counts when its probability reaches
-`MIN_PROBABILITY` and a template of the family confirms it: at least `MIN_OVERLAP` of the template's distinctive
-words are in the paragraph. As nothing else can count, paragraphs that no template of any family confirms aren't
-classified; there is no other gate. "mit" is a common word in German and a school: it needs a word of `CUES` beside it or,
-in capitals, one of `GRANTS` that isn't.
-
-The weights, some thousand numbers that don't depend on the data, are broadcast and joined to the n-grams of the few
-confirmed paragraphs; n-grams of one paragraph are summed with map-side combine.
+A paragraph is a sentence of a line, or a line with those that follow it, up to `SPAN` words, a line without words or one of
+more than `WRAPPED` characters, for notices wrapped over lines. A multinomial logistic regression on sparse word
+unigrams and bigrams gives a probability for each licence family, for licences outside of them (`UNKNOWN`) and for no
+licence (`NONE`). It learns from `licence_texts` and, for no licence, from lines of the corpus itself: at most `LINES` of those
+`DOCS` documents whose text has the smallest hash, without the lines in which words of licences stand together. Weights that speak for a
+licence by less than `LEAST` are cut off, which makes the table sparse.
+
+Probabilities are calibrated on wordings that were left out as a whole: each wording is scored by a model that saw none of
+its variants, and these scores set the temperature, the least probability of a family, such that `PRECISION` of what
+passes is right with notices of other licences and prose among it, and the least probability of any licence.
+
+A prediction counts when its probability reaches the first and a template of the family confirms it. Either `OVERLAP` of the paragraph's
+bigrams are in the family's full text; or a name of the family stands in a form of short notices that isn't negated. Other paragraphs
+in such a form, around a word for licence, whose probability of any licence reaches the second are counted as unknown licences.
+Full texts are confirmed in whole paragraphs only. A line's own notice answers for the paragraphs that hold it; overlapping ones count once, by the first.
+
+Only lines with a word that the table has something to say for are classified: each weight that speaks for a licence needs such a word,
+so no other line can reach any probability. Weights, some thousand numbers, are broadcast and joined to the n-grams of
+these lines, whose sums are formed with map-side combine.
 
 Defined results: null and empty texts have no licence; all rows of a doc_id count together, and each gets the
-result; rows with a null doc_id count together too.
+result; rows with a null doc_id count together too; of equal probabilities the first family in order counts; an empty table
+gives an empty one; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from functools import cache
-from math import ceil
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MIN_PROBABILITY, MIN_OVERLAP = 0.6, 0.6
-UNKNOWN = "unknown"
-SPAN, WRAPPED = 40, 400  # no template's or notice's wording is longer than SPAN words; wrapped lines are shorter than WRAPPED
-CUES = ("licen", "lizen", "copyright", "permission", "redistribut", "spdx", "warrant")
-GRANTS = "under distributed released published available covered code source unter veröffentlicht verfügbar bajo publicado distribuido sous publié distribué".split()
-#: Usual notices by family, in own words where there is no fixed wording; {} stands for a name or a year.
-NOTICES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0", "This project is released under the Apache 2.0 license", "Distributed under the terms of the Apache License 2.0", "You may obtain a copy of the Apache License at www.apache.org/licenses/LICENSE-2.0"],
-    "mit": ["Released under the MIT License", "SPDX-License-Identifier: MIT", "Licensed under the MIT license", "This code is available under the terms of the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software to deal in the software without restriction"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0-or-later", "Released under the GNU GPL version 3 license", "You can redistribute it and modify it under the terms of the GNU General Public License, either version 3 or any later version", "Licensed under the GPLv3 license"],
-    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0-only", "Released under the GNU GPL version 2 license", "Licensed under the GPLv2 license"],
-    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-3.0-or-later", "This library is released under the LGPL license", "You can redistribute this library under the terms of the GNU Lesser General Public License"],
-    "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "This service is released under the AGPL license"],
-    "bsd": ["Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "Use of this source code is governed by a BSD-style license", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD license", "Released under the BSD 2-Clause license"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0", "Released under the Mozilla Public License 2.0"],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons BY-NC-SA license", "Released under the CC BY-NC-ND 4.0 licence"],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the CC BY-SA 3.0 licence"],
-    "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Released under a CC BY licence"],
-    "cc0": ["Dedicated to the public domain under CC0 1.0", "To the extent possible under law the author has waived all copyright under CC0", "Released under the CC0 public domain licence", "This is free and unencumbered software released into the public domain"],
-    "proprietary": ["Copyright {} {}. All rights reserved", "All rights reserved. No part of this work may be reproduced without permission of the publisher", "This software is proprietary and its license forbids redistribution"],
-}
-#: Short names of the families in the forms of `SHORT_FORMS`.
-SHORT = {
-    "apache-2.0": ["Apache 2.0", "Apache License 2.0"], "mit": ["MIT"], "gpl-3.0": ["GPLv3", "GPL 3", "GNU GPL version 3"], "gpl-2.0": ["GPLv2", "GPL 2", "GNU GPL version 2"], "lgpl": ["LGPL", "LGPL 2.1"], "agpl-3.0": ["AGPL", "AGPL 3.0", "GNU Affero GPL"],
-    "bsd": ["BSD", "BSD 3-Clause"], "mpl-2.0": ["MPL 2.0", "Mozilla Public License 2.0"], "cc-by-nc": ["CC BY-NC 4.0", "CC BY-NC-SA 4.0"], "cc-by-sa": ["CC BY-SA 4.0", "CC BY-SA 3.0"], "cc-by": ["CC BY 4.0", "CC BY 3.0"], "cc0": ["CC0 1.0", "CC0"],
-}
-SHORT_FORMS = ["{}", "Distributed under the {}", "Source code: {}", "Published under {}", "License: {}", "Lizenz: {}", "Veröffentlicht unter {}", "Licencia: {}", "Publicado bajo {}", "Licence : {}", "Publié sous {}"]
-#: Prose with the same words that grants nothing.
-PROSE = ["She lost her driving license near the bridge last week", "The committee discussed copyright in general terms", "Ask the owner for permission before you enter the field", "The warrant was signed by a judge in the morning",
-    "He carries a fishing licence for the lake", "Wealth was redistributed among the villages", "Permission to land was given by the tower", "The warranty of the kettle ended in March", "The poet took some license with the dates", "A licensed plumber repaired the pipes",
-    "Copyright law is taught in the second year", "They applied for a licence to sell wine and beer", "The taxi license costs more each year", "No permission was asked and none was given", "She studies the public domain in economics", "The restaurant is fully licensed and open until late",
-    "Creative commons rooms are open to all students", "You need written permission from your parents", "The police had no warrant to search the house", "Heat is redistributed by the ocean", "Licence fees for television went up", "The license of the pilot was renewed in version two of the form",
-    "Er kam mit dem Zug und mit der Tasche", "Mit freundlichen Grüßen", "Sie sprach mit einer Frau mit Hut", "Eine Lizenz mit dem Namen des Fahrers", "MIT DEM HUND UND MIT DER KATZE", "She studied physics at MIT in Boston", "The Apache lived in the plains of the west", "An Apache helicopter crossed the valley",
-    "The book was written by a friend of the public", "Three forms of the binary star in one source", "The general public has 3 doors and 2 gates", "A gnu stood by the river with 2 or 3 others", "Entry is free of charge and without restriction", "The seats are reserved and all rights of way were kept", "They sent cc by mail to the office",
-    "The creative attribution of the commons was discussed", "The house came into the public domain of the town", "A proprietary recipe of the baker", "The table was reserved for two by the general", "Mozilla met the public in the square"]
-#: Words that distinguish one family; a template match counts these.
-DISTINCTIVE = {
-    "apache-2.0": [["apache"]], "mit": [["mit"], ["hereby", "granted", "free", "charge", "software", "restriction"]], "gpl-3.0": [["gnu", "general", "public", "3"], ["gpl", "3"], ["gplv3"], ["gnu", "gpl", "3"]],
-    "gpl-2.0": [["gnu", "general", "public", "2"], ["gpl", "2"], ["gplv2"], ["gnu", "gpl", "2"]], "lgpl": [["lesser", "general", "public"], ["lgpl"]], "agpl-3.0": [["affero"], ["agpl"]], "bsd": [["bsd"], ["redistribution", "source", "binary", "forms"]],
-    "mpl-2.0": [["mozilla", "public"], ["mpl"]], "cc-by-nc": [["cc", "by", "nc"], ["creative", "commons", "attribution", "noncommercial"]], "cc-by-sa": [["cc", "by", "sa"], ["creative", "commons", "attribution", "sharealike"]],
-    "cc-by": [["cc", "by"], ["creative", "commons", "attribution"]], "cc0": [["cc0"], ["public", "domain"]], "proprietary": [["rights", "reserved"], ["proprietary"]],
-}
+from hexapla.llm.licence_texts import ALONE, FULL, GRANTS, MENTIONS, NAMES, NOTICES, OTHERS, OTHERS_HELD, PROSE
+
+UNKNOWN, NONE = "unknown", "none"
+CLASSES = [*NOTICES, UNKNOWN, NONE]
+SPAN, WRAPPED = 40, 400
+DOCS, LINES = 300, 1500
+LEAST, OVERLAP, FIXED, PRECISION = 0.25, 0.6, 6, 0.98
+STEPS, FOLDS, RIDGE, PRIOR = 200, 3, 2e-5, 8
 _WORD = r"[\p{L}\p{N}]+"
-FAMILIES = [*NOTICES, UNKNOWN]
+#: Function words and words of examples, which are no n-gram on their own.
+FUNCTION = frozenset("""a an and any are as at be been below but by can do either for from had has have he her his i if in into is it its may me my of on or our shall she so such that the their them there these they this those to
+    upon was we were what which who whom will with you your above all following see der die das des dem den ein eine und oder ist zu von im in am auf für sich nach bei los las el la de del en y o un una le les des du et ou on one only or was were has had no not nd example page authors details countries""".split())
+#: Words that negate, and those that give a right or name what gives it.
+NEGATIONS = "not no never nor neither without nicht kein keine keiner no nunca jamais pas sans".split()
+GIVES = "licensed released distributed available published covered permitted granted governed dedicated provided shared under steht unter veröffentlicht lizenziert bajo publicado distribuido sous publié distribué".split()
 
 
-def _words(text: str) -> list[str]:
+def words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
-def _grams(words: list[str]) -> set[str]:
-    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
+def grams(w: list[str]) -> set[str]:
+    """Words and bigrams of which a word isn't a function word or a number."""
+    plain = [x in FUNCTION or x.isdigit() for x in w]
+    return {x for x, p in zip(w, plain, strict=True) if not p} | {f"{a} {b}" for a, b, p, q in zip(w, w[1:], plain, plain[1:], strict=False) if not (p and q)}
 
 
-def _variants() -> tuple[list[set[str]], np.ndarray, np.ndarray]:
-    """Training paragraphs as n-gram sets, their classes, and whether they are held out for calibration."""
-    rows: list[tuple[list[str], int]] = []
-    tails = [[], "see the file for details".split(), "by the authors of this page".split(), "in all countries".split(), "unless stated otherwise".split(), "2019 2024 example".split()]
-    for family, notices in NOTICES.items():
-        for notice in notices:
-            for tail in tails:
-                rows.append((_words(notice.replace("{}", "example")) + tail, FAMILIES.index(family)))
-                rows.append((tail + _words(notice.replace("{}", "2020")), FAMILIES.index(family)))
-        for name in SHORT.get(family, []):
-            for form in SHORT_FORMS:
-                for tail in (tails[0], tails[5]):
-                    rows.append((_words(form.format(name)) + tail, FAMILIES.index(family)))
-    for line in PROSE:
-        for tail in tails:
-            rows += [(_words(line) + tail, len(FAMILIES) - 1), (tail + _words(line), len(FAMILIES) - 1)]
-    held = np.arange(len(rows)) % 4 == 3
-    return [_grams(w) for w, _ in rows], np.array([c for _, c in rows]), held
+def wordings() -> list[tuple[str, str, str]]:
+    """(wording, text, class): variants of one wording have its name."""
+    out = [(n, n.replace("{}", x), family) for family, notices in NOTICES.items() for n in notices for x in ("example", "2020")[: 1 + ("{}" in n)]]
+    for family, names in NAMES.items():
+        out += [(f"{form} {family}", form.format(name), family) for form in GRANTS for name in names]
+        out += [(name, name, family) for name in names if name in ALONE]
+    for family, texts in FULL.items():
+        for t in texts:
+            w = t.split()
+            out += [(t, " ".join(w[a : a + 14]), family) for a in range(0, max(1, len(w) - 6), 7)] + [(t, t, family)]
+    out += [(f"{form} {name}", form.format(name), UNKNOWN) for form in GRANTS[:8] for name in OTHERS] + [(name, name, UNKNOWN) for name in OTHERS]
+    every = [n for names in NAMES.values() for n in names] + OTHERS
+    out += [(form, form.replace("{}", every[(k + 3 * i) % len(every)], 1).replace("{}", every[(k + 7 * i + 1) % len(every)]), NONE) for i, form in enumerate(MENTIONS) for k in range(0, len(every), 3)]
+    return out + [(p, p, NONE) for p in PROSE]
 
 
-@cache
-def model() -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """N-gram weights and intercepts, one number for each of FAMILIES; the temperature is divided out."""
-    grams, y, held = _variants()
-    vocabulary = sorted(set().union(*grams))
-    index = {g: i for i, g in enumerate(vocabulary)}
-    x = np.zeros((len(grams), len(vocabulary) + 1))
-    for r, own in enumerate(grams):
-        x[r, [index[g] for g in own]] = 1
-    x[:, -1] = 1
-    target = np.eye(len(FAMILIES))[y]
-    balance = (1 / np.bincount(y, minlength=len(FAMILIES)))[y] * len(y) / len(FAMILIES)
-    w = np.zeros((x.shape[1], len(FAMILIES)))
-    fit = ~held
-    speed = np.zeros_like(w)
-    for _ in range(400):  # gradient descent with momentum on a smooth convex loss
-        z = x[fit] @ w
+def measured() -> list[tuple[str, str]]:
+    """(text, class) of what no model learns from: other licences of other names."""
+    return [(form.format(name), UNKNOWN) for form in GRANTS[:8] for name in OTHERS_HELD]
+
+
+_TAILS = ["", "see the file for details", "by the authors of this page", "in all countries", "2019 2024 example"]
+
+
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights (features and intercept, classes): Adam's steps on a smooth convex loss."""
+    target = np.eye(len(CLASSES), dtype=np.float32)[y]
+    w, mean, square = (np.zeros((x.shape[1], len(CLASSES)), np.float32) for _ in range(3))
+    weight = weight / weight.sum()
+    for k in range(1, STEPS + 1):
+        z = x @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        g = x[fit].T @ ((target[fit] - p) * balance[fit, None]) / fit.sum() - 1e-4 * w
-        speed = 0.9 * speed + 0.3 * g
-        w += speed
-    z = x[held] @ w
-    losses = {}
-    for t in np.linspace(0.3, 3, 28):
-        s = z / t
-        s = s - s.max(axis=1, keepdims=True)
-        losses[t] = -(s[np.arange(len(s)), y[held]] - np.log(np.exp(s).sum(axis=1))).mean()
-    w = w / min(losses, key=losses.get)
-    return {g: w[i] for g, i in index.items()}, w[-1]
-
-
-def _cued(w: Column) -> Column:
-    found = w.startswith(CUES[0])
-    for c in CUES[1:]:
-        found = found | w.startswith(c)
-    return found
-
-
-def _confirmed(raw: Column, words: Column, hits: Column) -> Column:
-    """The families of which a template has MIN_OVERLAP of its words among `hits`, the templates' words in the paragraph."""
-    named = F.exists(words, _cued) | F.array_contains(raw, "MIT") & F.exists(raw, lambda w: F.lower(w).isin(GRANTS) & (w != F.upper(w)))
-    entries = []
-    for family, templates in DISTINCTIVE.items():
-        hit = F.lit(False)
-        for t in templates:
-            least = len(t) if len(t) < 4 else ceil(MIN_OVERLAP * len(t))
-            own = F.array_contains(hits, t[-1])
-            if least > 1:
-                own = own & (F.size(F.array_intersect(hits, F.array(*map(F.lit, t)))) >= least)
-            hit = hit | (own & named if t == ["mit"] else own)
-        entries.append(F.when(hit, F.lit(family)))
-    return F.array_compact(F.array(*entries))
+        g = x.T @ ((p - target) * weight[:, None]) + RIDGE * w
+        mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
+        w -= 0.1 * (1 - 0.9 * k / STEPS) * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
+    return w
+
+
+def _probabilities(z: np.ndarray, temperature: float) -> np.ndarray:
+    z = z / temperature
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+class Model:
+    """N-gram weights over CLASSES with the temperature divided out, intercepts, and both least probabilities."""
+
+    def __init__(self, lines: tuple[str, ...]):
+        rows = [(name, words(f"{text} {tail}") if k % 2 else words(f"{tail} {text}"), c) for name, text, c in wordings() for k, tail in enumerate(_TAILS if len(text) < 200 else _TAILS[:1])]
+        vocabulary = sorted(set().union(*(grams(w) for _, w, _ in rows)))
+        index = {g: i for i, g in enumerate(vocabulary)}
+        lines = frozenset(lines)
+        rows += [(line, words(line), NONE) for line in sorted(lines)]
+        x = np.zeros((len(rows), len(vocabulary) + 1), np.float32)
+        for r, (_, w, _) in enumerate(rows):
+            x[r, [index[g] for g in grams(w) if g in index]] = 1
+        x[:, -1] = 1
+        y = np.array([CLASSES.index(c) for *_, c in rows])
+        # Classes weigh alike, but for no licence, which is what most paragraphs are.
+        weight = (1 / np.bincount(y, minlength=len(CLASSES)))[y].astype(np.float32)
+        weight[y == len(CLASSES) - 1] *= PRIOR
+        names = {n: i for i, n in enumerate(dict.fromkeys(n for n, *_ in rows))}
+        full = {t for texts in FULL.values() for t in texts}
+        # Passages of full texts and lines of the corpus are known to every model; wordings are left out as a whole.
+        fold = np.array([-1 if n in full or n in lines else names[n] * 7919 % 1009 % FOLDS for n, *_ in rows])
+        left_out = np.zeros((len(rows), len(CLASSES)), np.float32)
+        other = np.zeros((len(measured()), len(vocabulary) + 1), np.float32)
+        for r, (text, _) in enumerate(measured()):
+            other[r, [index[g] for g in grams(words(text)) if g in index]] = 1
+        other[:, -1] = 1
+        beside = np.zeros((len(other), len(CLASSES)), np.float32)
+        for k in range(FOLDS):
+            w = self._sparse(_fit(x[fold != k], y[fold != k], weight[fold != k]))
+            left_out[fold == k] = x[fold == k] @ w
+            beside += other @ w / FOLDS
+        w = self._sparse(_fit(x, y, weight))
+        tried = fold >= 0
+        z, truth = np.concatenate([left_out[tried], beside]), np.concatenate([y[tried], np.full(len(other), CLASSES.index(UNKNOWN))])
+        temperature = min(np.linspace(0.3, 3, 28), key=lambda t: -np.log(_probabilities(z, t)[np.arange(len(z)), truth] + 1e-9).mean())
+        p = _probabilities(z, temperature)
+        best = p.argmax(axis=1)
+        family = best < len(NOTICES)
+        texts = [w for (_, w, _), t in zip(rows, tried, strict=True) if t] + [words(t) for t, _ in measured()]
+        sure = np.array([family[i] and confirms(w, CLASSES[best[i]]) for i, w in enumerate(texts)])
+        noted = np.array([reads_like_notice(w) for w in texts])
+        self.least = min((t for t in np.arange(0.3, 0.91, 0.05) if (best == truth)[sure & (p.max(axis=1) >= t)].mean() >= PRECISION), default=0.9)
+        free = truth == len(CLASSES) - 1
+        self.any = min((t for t in np.arange(0.3, 0.91, 0.05) if (noted & (1 - p[:, -1] >= t))[free].mean() <= 1 - PRECISION), default=0.9)
+        passed = sure & (p.max(axis=1) >= self.least)
+        marked = ~passed & noted & (1 - p[:, -1] >= self.any)
+        beside = np.arange(len(z)) >= len(z) - len(other)
+        #: On wordings left out as a whole, and licences of which no model knows the name.
+        self.held_out = {
+            "notices found": float((passed & (best == truth))[truth < len(NOTICES)].mean()), "of what was found, right": float((best == truth)[passed].mean()), "no licence, taken for one": float((passed | marked)[free].mean()),
+            "other licences, marked": float(marked[beside].mean()), "other licences, taken for a family": float(passed[beside].mean()),
+        }
+        w = w / temperature
+        self.weights = {g: w[i] for g, i in index.items() if np.abs(w[i] - w[i, -1]).max() > 0}
+        self.intercept = w[-1]
+        self.gate = self._gate([w for _, w, c in rows if c == NONE])
+
+    @staticmethod
+    def _sparse(w: np.ndarray) -> np.ndarray:
+        """Each n-gram's weights against those for no licence; what speaks for a licence by less than LEAST speaks for none."""
+        w = w - w[:, -1:]
+        w[:-1][(w[:-1] < LEAST) & (w[:-1] > -LEAST)] = 0
+        w[:-1][(w[:-1] > 0) & (w[:-1] < LEAST)] = 0
+        return w
+
+    def _gate(self, free: list[list[str]]) -> list[str]:
+        """Words one of which every n-gram that speaks for a licence has: of a bigram the one that is rarer in other text."""
+        seen: dict[str, int] = {}
+        for w in free:
+            for x in set(w):
+                seen[x] = seen.get(x, 0) + 1
+        alone = {g for g, w in self.weights.items() if " " not in g and w.max() > 0}
+        pairs = [g.split(" ") for g, w in self.weights.items() if " " in g and w.max() > 0]
+        return sorted(alone | {min(p, key=lambda x: (x in FUNCTION or x.isdigit(), seen.get(x, 0), -len(x), x)) for p in pairs if not alone & set(p)})
+
+
+@cache
+def model(lines: tuple[str, ...] = ()) -> Model:
+    return Model(lines)
+
+
+def sample(docs: DataFrame) -> tuple[str, ...]:
+    """At most LINES lines of DOCS documents that hold no notice: those that a template confirms, or in which two words of licence names stand, aren't taken."""
+    chosen = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").orderBy(F.xxhash64("text"), "text").limit(DOCS)
+    lines = chosen.select(F.explode(F.split("text", "\n", -1)).alias("line")).where(F.char_length("line").between(8, WRAPPED)).distinct().orderBy(F.xxhash64("line"), "line").limit(LINES)
+    known = {w for names in NAMES.values() for n in names for w in words(n)} | {w for n in NOTICES["proprietary"] for w in words(n)} | set(words("licensed licence lizenz copyright permission redistribute spdx warranty"))
+    return tuple(sorted(r.line for r in lines.collect() if len(known & set(words(r.line))) < 2 and not _notice(words(r.line))))
+
+
+def _any_of(known: list[str]) -> str:
+    """A pattern of whole words, by first letter."""
+    by: dict[str, list[str]] = {}
+    for w in known:
+        by.setdefault(w[0], []).append(w[1:])
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(f'{a}(?:{"|".join(sorted(rest, key=len, reverse=True))})' for a, rest in sorted(by.items()))})(?![\p{{L}}\p{{N}}])"
+
+
+#: Forms of a short notice around {}, a family's names, in joined words.
+_SHORT = (
+    rf"(^| )({'|'.join(GIVES)}|redistribute|subject|waived|obtain|use)( \S+){{{{0,8}}}} ({{}})( |$)",  # gives a right under it
+    r"^(the |spdx |this )?(licen[sc]es?|lizenz|licencia|source code|code|software|project)( identifier)?( is| ist| est| es)? (the |a )?({})( |$)",  # states it
+    r"^(the |either )?({})( \S+){{0,3}}$",  # is little more than its name
+)
+#: The same around a word for licence.
+_NOTICED = rf"(^| )({'|'.join(GIVES)})( \S+){{0,8}} (licen[sc]e|lizenz|licencia)( |$)|^(the |spdx )?(licen[sc]e|lizenz|licencia) \S+( \S+){{0,4}}$|^(\S+ ){{1,5}}licen[sc]e( \S+){{0,2}}$"
+_NEGATED = rf"(^| )({'|'.join(dict.fromkeys(NEGATIONS))})( \S+){{0,2}} ({'|'.join(GIVES)})( |$)"
+#: Names beside those of NAMES, as patterns.
+_NAMED = {
+    "apache-2.0": ["apache licen[sc]e", "apache 2"], "gpl-3.0": ["general public license (v|version )?3", "gpl( version)? 3", "version 3 of the gnu general public license"], "gpl-2.0": ["general public license (v|version )?2", "gpl( version)? 2", "version 2 of the gnu general public license"],
+    "lgpl": ["lesser general public license"], "agpl-3.0": ["affero general public license", "agpl"], "bsd": ["bsd style", "bsd [23]", "bsd licen[sc]e"], "mpl-2.0": ["mozilla public license"], "cc-by-nc": ["cc by nc", "creative commons by nc", "attribution noncommercial"],
+    "cc-by-sa": ["cc by sa", "attribution sharealike"], "cc-by": ["cc by(?! (?:nc|sa|nd))", "commons attribution(?! (?:noncommercial|sharealike))"], "cc0": ["cc0", "into the public domain"],
+}
+
+
+def templates() -> list[tuple[str, str, list[str]]]:
+    """(family, pattern of its short notices in joined words, bigrams of its full texts)."""
+    out = []
+    for family in NOTICES:
+        names = {" ".join(words(n)) for n in NAMES.get(family, [])} | {" ".join(words(n.split(":")[1])) for n in NOTICES[family] if n.startswith("SPDX")} | set(_NAMED.get(family, []))
+        pattern = "|".join(f.format("|".join(sorted(names, key=len, reverse=True))) for f in _SHORT)
+        if family == "proprietary":  # its wording is its name
+            pattern = "(^| )(all rights reserved|alle rechte vorbehalten|todos los derechos reservados|tous droits réservés|proprietary and its license)( |$)"
+        out.append((family, pattern, sorted({" ".join(g) for t in FULL.get(family, []) for g in zip(words(t), words(t)[1:], strict=False)})))
+    return out
+
+
+@cache
+def _known() -> dict[str, tuple[re.Pattern, frozenset[str]]]:
+    return {family: (re.compile(pattern), frozenset(full)) for family, pattern, full in templates()}
+
+
+def confirms(w: list[str], family: str) -> bool:
+    """Whether a template of the family confirms the paragraph, as `paragraphs` has it in columns."""
+    pattern, full = _known()[family]
+    pairs, phrase = {" ".join(g) for g in zip(w, w[1:], strict=False)}, " ".join(w)
+    return len(pairs) >= FIXED and len(pairs & full) >= OVERLAP * len(pairs) or bool(pattern.search(phrase)) and not re.search(_NEGATED, phrase)
+
+
+def _notice(w: list[str]) -> bool:
+    return reads_like_notice(w) or any(confirms(w, family) for family in NOTICES)
+
+
+def reads_like_notice(w: list[str]) -> bool:
+    phrase = " ".join(w)
+    return bool(re.search(_NOTICED, phrase)) and not re.search(_NEGATED, phrase)
+
+
+def _split_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), 0)
 
 
 def _following(lines: Column, i: Column, line: Column) -> Column:
@@ -161,55 +262,69 @@ def _following(lines: Column, i: Column, line: Column) -> Column:
     state = lambda text, n, words, ended: F.struct(text.alias("text"), n.cast("int").alias("n"), words.cast("int").alias("words"), ended.alias("ended"))
 
     def add(acc: Column, x: Column) -> Column:
-        words = acc["words"] + F.size(F.split(F.btrim(x), " "))
-        on = state(F.concat_ws("\n", acc["text"], x), acc["n"] + 1, words, words >= SPAN)
+        count = acc["words"] + F.size(F.split(F.btrim(x), " "))
+        on = state(F.concat_ws("\n", acc["text"], x), acc["n"] + 1, count, count >= SPAN)
         return F.when(acc["ended"], acc).when(wordless(x), state(acc["text"], acc["n"], acc["words"], F.lit(True))).otherwise(on)
 
     return F.aggregate(F.slice(lines, i + 2, F.lit(SPAN)), state(F.lit(""), F.lit(0), F.lit(0), wordless(line)), add)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, family, probability) of every paragraph that holds a confirmed licence notice."""
+    """(doc_id, pos, last, family, probability) of every notice: confirmed families, and `UNKNOWN`."""
     spark = docs.sparkSession
-    weights, intercept = model()
-    table = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in weights.items()], "gram string, w array<double>")
-    # Every template needs its last word, so lines without any of these can't be confirmed; of the others the templates' words do.
-    ends = sorted({t[-1] for templates in DISTINCTIVE.values() for t in templates})
-    known = sorted({w for templates in DISTINCTIVE.values() for t in templates for w in t})
-    some = rf"(?<![a-z0-9])[{''.join(sorted({e[0] for e in ends}))}](?:{'|'.join(f'(?<={e[0]}){e[1:]}' for e in ends)})(?![a-z0-9])"
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    lines = lines.select("doc_id", F.xxhash64("text").alias("fp"), F.explode(F.array(F.split("text", "\n", -1))).alias("lines"))
-    lines = lines.select("doc_id", "fp", F.posexplode(F.transform("lines", lambda x, i: F.struct(x.alias("line"), _following(F.col("lines"), i, x).alias("more")))).alias("pos", "at"))
-    lines = lines.select("doc_id", "fp", "pos", F.explode(F.array(F.struct(F.col("pos").alias("last"), F.col("at.line")), F.struct((F.col("pos") + F.col("at.more.n")).alias("last"), F.concat_ws("\n", "at.line", "at.more.text").alias("line")))).alias("u"))
-    lines = lines.select("doc_id", "fp", "pos", "u.last", "u.line").where(F.lower("line").rlike(some))
-    # Generators keep the optimizer from repeating the words' extraction in each condition on them.
-    raw = lines.select("doc_id", "fp", "pos", "last", F.explode(F.array(F.regexp_extract_all("line", F.lit(_WORD), 0))).alias("raw"))
-    words = raw.select("doc_id", "fp", "pos", "last", "raw", F.explode(F.array(F.transform("raw", F.lower))).alias("words"))
-    words = words.select("*", F.explode(F.array(F.array_intersect("words", F.array(*map(F.lit, known))))).alias("hits")).where(F.arrays_overlap("hits", F.array(*map(F.lit, ends))))
-    words = words.select("*", F.explode(F.array(_confirmed(F.col("raw"), F.col("words"), F.col("hits")))).alias("confirmed")).where(F.size("confirmed") > 0)
-    words = words.dropDuplicates(["doc_id", "fp", "pos", "last"])
-    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    grams = words.select("doc_id", "fp", "pos", "last", "confirmed", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
-    hits = grams.join(F.broadcast(table), "gram", "left")  # a few thousand rows, the same for any data
-    sums = [F.sum(F.coalesce(F.get("w", F.lit(k)), F.lit(0.0))).alias(f"z{k}") for k in range(len(FAMILIES))]
-    per = hits.groupBy("doc_id", "fp", "pos", "last").agg(F.first("confirmed").alias("confirmed"), *sums)
-    logits = F.array(*[F.col(f"z{k}") + float(intercept[k]) for k in range(len(FAMILIES))])
-    scored = per.select("doc_id", "fp", "pos", "last", "confirmed", logits.alias("z")).withColumn("top", F.array_max("z"))
-    best = scored.select("doc_id", "fp", "pos", "last", "confirmed", F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position("z", F.col("top")).cast("int")).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("top")))).alias("probability"))
-    good = (F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY) & F.array_contains("confirmed", F.col("family"))
-    # A line's own notice answers for the runs that hold it; of overlapping runs the first counts.
-    by = Window.partitionBy("doc_id", "fp", "family")
-    before = by.orderBy("pos", "last").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.array_distinct(F.collect_list(F.when(F.col("pos") == F.col("last"), F.col("pos"))).over(by))
-    runs = best.where(good).withColumn("own", own).where((F.col("pos") == F.col("last")) | ~F.exists("own", lambda p: p.between(F.col("pos"), F.col("last"))))
-    seen = F.max(F.when(F.col("pos") < F.col("last"), F.col("last"))).over(before)
-    runs = runs.withColumn("seen", seen).where((F.col("pos") == F.col("last")) | F.col("seen").isNull() | (F.col("pos") > F.col("seen")))
-    return runs.select("doc_id", "pos", "family", "probability")
+    learned = model(sample(docs))
+    lists = lambda pairs, kind: F.broadcast(spark.createDataFrame(pairs, kind))  # noqa: E731  some thousand rows at most, the same for any data
+    table = lists([(g, [float(v) for v in w]) for g, w in learned.weights.items()], "gram string, w array<double>")
+    confirm = lists(templates(), "family string, pattern string, full array<string>")
+    some = _any_of(learned.gate)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.lower("text").rlike(some))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("fp"), F.explode(F.array(F.split("text", "\n", -1))).alias("lines"))
+    # What follows a line is put together for lines that pass only, and before rows are made, so that none carries the whole text.
+    here = F.transform("lines", lambda x, i: F.when(F.lower(x).rlike(some), F.struct(i.alias("pos"), x.alias("line"), _following(F.col("lines"), i, x).alias("more"))))
+    rows = rows.select("doc_id", "fp", F.explode(F.filter(here, lambda x: x.isNotNull())).alias("at")).select("doc_id", "fp", "at.*")
+    sentences = F.transform(F.split("line", r"(?<=[.!?;])\s+"), lambda s, i: F.struct(F.col("pos").alias("last"), i.alias("nth"), s.alias("text")))
+    whole = F.struct((F.col("pos") + F.col("more.n")).alias("last"), F.lit(-1).alias("nth"), F.concat_ws("\n", "line", F.nullif("more.text", F.lit(""))).alias("text"))
+    units = rows.select("doc_id", "fp", "pos", F.explode(F.array_distinct(F.concat(sentences, F.array(whole)))).alias("u")).select("doc_id", "fp", "pos", "u.*").where(F.lower("text").rlike(some))
+    units = units.select("doc_id", "fp", "pos", "last", "nth", F.explode(F.array(_split_words(F.col("text")))).alias("words")).where(F.size("words") > 0)
+    # A text that several rows of one doc_id hold counts once.
+    units = units.dropDuplicates(["doc_id", "fp", "pos", "last", "nth"])
+    key = ["doc_id", "fp", "pos", "last", "nth"]
+    shifted = F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))
+    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), shifted, lambda a, b: F.concat_ws(" ", a, b))
+    each = units.select(*key, "words", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
+    sums = [F.sum(F.coalesce(F.get("w", F.lit(k)), F.lit(0.0))).alias(f"z{k}") for k in range(len(CLASSES))]
+    per = each.join(table, "gram").groupBy(*key).agg(F.first("words").alias("words"), *sums)
+    z = F.array(*[F.col(f"z{k}") + float(learned.intercept[k]) for k in range(len(CLASSES))])
+    scored = per.select(*key, "words", z.alias("z")).withColumn("top", F.array_max(F.slice("z", 1, len(CLASSES) - 2)))
+    share = F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.array_max("z")))
+    scored = scored.select(*key, "words", F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position("z", F.col("top")).cast("int")).alias("family"), (F.exp(F.col("top") - F.array_max("z")) / share).alias("probability"), (1 - F.exp(F.element_at("z", -1) - F.array_max("z")) / share).alias("some"))
+    scored = scored.where((F.col("probability") >= float(learned.least)) | (F.col("some") >= float(learned.any)))
+    told = scored.join(confirm, "family")
+    phrase, bigrams = F.array_join("words", " "), F.array_distinct(pairs)
+    fixed = (F.size(bigrams) >= FIXED) & (F.size(F.array_intersect(bigrams, F.col("full"))) >= OVERLAP * F.size(bigrams))
+    short = F.expr("array_join(words, ' ') rlike pattern") & ~phrase.rlike(_NEGATED)
+    good = (F.col("probability") >= float(learned.least)) & (short | fixed & (F.col("nth") == -1))
+    left = (F.col("some") >= float(learned.any)) & phrase.rlike(_NOTICED) & ~phrase.rlike(_NEGATED)
+    found = told.select(*key, F.when(good, F.col("family")).when(left, F.lit(UNKNOWN)).alias("family"), F.when(good, F.col("probability")).otherwise(F.col("some")).alias("probability"), (short & (F.col("pos") == F.col("last"))).alias("line")).where("family IS NOT NULL")
+    best = found.groupBy("doc_id", "fp", "pos", "last", "family").agg(F.max("probability").alias("probability"), F.bool_or(F.col("line") | (F.col("family") == UNKNOWN) & (F.col("pos") == F.col("last"))).alias("line"))
+    # A line's own short notice answers for the runs that hold it.
+    text = Window.partitionBy("doc_id", "fp")
+    own = F.array_distinct(F.collect_list(F.when(F.col("line"), F.col("pos"))).over(Window.partitionBy("doc_id", "fp", "family")))
+    runs = best.withColumn("own", own).where(F.col("line") | ~F.exists("own", lambda p: p.between(F.col("pos"), F.col("last"))))
+    # Of overlapping runs the first counts, whatever the family; a known family answers for unknown ones.
+    known = ~F.col("line") & (F.col("family") != UNKNOWN)
+    seen = F.max(F.when(known, F.col("last"))).over(text.orderBy("pos", F.desc("last"), "family").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("seen", seen).where(F.col("line") | F.col("seen").isNull() | (F.col("pos") > F.col("seen")))
+    named = F.collect_list(F.when(F.col("family") != UNKNOWN, F.struct("pos", "last"))).over(text)
+    runs = runs.withColumn("named", named).where((F.col("family") != UNKNOWN) | ~F.exists("named", lambda s: (s["pos"] <= F.col("last")) & (s["last"] >= F.col("pos"))))
+    return runs.select("doc_id", "pos", "last", "family", "probability")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row for each row of `docs`: doc_id, families (sorted array), n_notices, probability (the largest)."""
-    found = paragraphs(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("family")).alias("families"), F.count("*").alias("n_notices"), F.max("probability").alias("probability"))
+    """One row for each row of `docs`: doc_id, families (sorted array), n_notices of them, n_unknown (notices of other licences), probability (the largest of a family)."""
+    known = F.col("family") != UNKNOWN
+    found = paragraphs(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(known, F.col("family")))).alias("families"), F.count_if(known).alias("n_notices"), F.count_if(~known).alias("n_unknown"), F.max(F.when(known, F.col("probability"))).alias("probability"))
     ids = docs.select(F.col("doc_id").cast("long").alias("id"))
     none = F.array().cast("array<string>")
-    return ids.join(found, F.col("id").eqNullSafe(F.col("doc_id")), "left").select(F.col("id").alias("doc_id"), F.coalesce("families", none).alias("families"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("probability", F.lit(0.0)).alias("probability"))
+    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
+    return ids.join(found, F.col("id").eqNullSafe(F.col("doc_id")), "left").select(F.col("id").alias("doc_id"), F.coalesce("families", none).alias("families"), zero("n_notices", "long"), zero("n_unknown", "long"), zero("probability", "double"))

@@ -519,6 +519,34 @@ def test_awkward_pages(spark):
     assert html_text.extract_pages(df.limit(0)).count() == 0
 
 
+def test_licence_model_on_wordings_left_out():
+    """Measured on whole wordings, and names of licences, that the scoring model never saw."""
+    held = licences.model(()).held_out
+    assert held["notices found"] >= 0.65 and held["of what was found, right"] >= 0.98
+    assert held["no licence, taken for one"] <= 0.02 and held["other licences, taken for a family"] == 0 and held["other licences, marked"] >= 0.9
+
+
+def test_licence_sums_equal_plain_model(spark):
+    """The joined and summed table against the model's weights, line by line, on the tables."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    m = licences.model(licences.sample(docs))
+    want = {}
+    gate = re.compile(licences._any_of(m.gate).replace("\\p{L}\\p{N}", "\\w"))
+    for r in docs.select("doc_id", "text").collect():
+        for line in r.text.split("\n"):
+            for part in {line, *re.split(r"(?<=[.!?;])\s+", line)}:
+                w = licences.words(part)
+                if not gate.search(part.lower()) or not w:
+                    continue
+                z = m.intercept + sum((m.weights[g] for g in licences.grams(w) if g in m.weights), np.zeros(len(licences.CLASSES)))
+                p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+                family = licences.CLASSES[int(p[:-2].argmax())]
+                if p[:-2].max() >= m.least and licences.confirms(w, family):
+                    want.setdefault(r.doc_id, set()).add(family)
+    got = {r.doc_id: set(r.families) for r in licences.scan(docs).collect() if r.families}
+    assert got == want and len(got) >= 20
+
+
 def test_licences(spark):
     rows = [(0, "foo\nLicensed under the Apache License, Version 2.0."), (1, "Released under the MIT License."), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "Licensed under CC BY-NC 4.0."), (4, "He renewed his fishing licence at the office."), (5, None), (6, "SPDX-License-Identifier: BSD-3-Clause\nReleased under the MIT License.")]
     got = {r.doc_id: r.families for r in licences.scan(docs_of(spark, rows)).collect()}
@@ -533,6 +561,15 @@ def test_licences_without_stems(spark):
     assert [got[i] for i, _ in rows] == [[f] for f in found.values()] + [[] for _ in none]
 
 
+def test_licences_named_without_a_grant(spark):
+    rows = [
+        (0, "Our MIT graduates all hold a driving license."), (1, "The essay compares the Apache License with the MIT License and finds neither better."), (2, "This text is NOT licensed under CC BY 4.0."), (3, "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated\ndocumentation files (the Software), to deal in it"),
+        (4, "This program is made available under the terms of the Eclipse Public License 2.0"), (5, "Dieses Werk ist lizenziert unter der GNU General Public License, Version 3."), (6, "Licensed under the Foo Bar License 3.1"), (7, "Prose first. Licensed under CC BY 4.0. More prose that goes on about other things."), (8, "The history of the MIT License began long ago."),
+    ]
+    got = {r.doc_id: (r.families, r.n_unknown) for r in licences.scan(docs_of(spark, rows)).collect()}
+    assert got == {0: ([], 0), 1: ([], 0), 2: ([], 0), 3: (["mit"], 0), 4: ([], 1), 5: (["gpl-3.0"], 0), 6: ([], 1), 7: (["cc-by"], 0), 8: ([], 0)}
+
+
 def test_wrapped_licences(spark):
     gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal\nin the Software without restriction, including without limitation the rights"
