@@ -370,6 +370,39 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean(hit) >= 0.85 and np.mean(false) <= 0.04
 
 
+def test_sentence_margins_equal_plain_sums():
+    rng = random.Random(12)
+    for _ in range(50):
+        words = ["".join(rng.choice("abc") for _ in range(3)) + rng.choice(["", "", "", "."]) for _ in range(rng.randint(1, 100))]
+        value = {w: rng.uniform(-1, 1) for w in words}
+        want, now = [], []
+        for w in words:
+            now.append(value[w])
+            if w[-1] in toxicity.STOPS or len(now) == toxicity.LONG:
+                want.append(sum(now) / len(now) ** 0.5 + 0.5)
+                now = []
+        want += [sum(now) / len(now) ** 0.5 + 0.5] if now else []
+        parts = np.array([value[w] + (toxicity._END if w[-1] in toxicity.STOPS else 0) for w in words])
+        assert toxicity.sentence_margins(parts, 0.5) == pytest.approx(want, abs=1e-6)
+    assert [len(s) for s in toxicity.sentences("one two. three\nfour! " + "xx " * 31)] == [2, 2, 30, 1]
+
+
+def test_sentence_kernel_is_what_the_table_scores():
+    """A trained table's margins against the kernel expansion that it stands for, on sentences with gapped insults."""
+    rng = random.Random(13)
+    plain = [f"w{rng.randrange(300)}a{rng.randrange(9)}z" for _ in range(300)]
+    clean = [" ".join(rng.choice(plain) for _ in range(12)) + "." for _ in range(120)]
+    toxic = [" ".join([*(rng.choice(plain) for _ in range(6)), rng.choice(["moronic fool", "m-o-r-o-n-i-c fool", "morxonic fo0l", "m o r o n i c fool"]), *(rng.choice(plain) for _ in range(6))]) + "." for _ in range(60)]
+    model = toxicity.train([(i, t, int(i >= 120)) for i, t in enumerate(clean + toxic)])
+    top = toxicity.Scorer(model).top(["you mor.onic foool there.", "nothing of the sort here.", ""])
+    z = np.column_stack([top, np.ones(3)]) @ model.logistic
+    assert z[0] > z[1] and (top[2] == model.bias).all()
+    words = toxicity.sentences("moronic fool.")[0]
+    codes, weights = toxicity._subsequences([toxicity.ANCHOR + w for w in words])
+    by_hand = sum(float((model.table[c] * weights).sum()) / n for c, n in zip(codes, toxicity._norms(codes, weights), strict=True)) / 2**0.5
+    assert toxicity.sentence_margins(model.parts(words), 0.0)[0] == pytest.approx(by_hand, rel=1e-4)
+
+
 def test_kernel_equals_enumeration():
     from itertools import combinations
 
