@@ -8,7 +8,7 @@ similarity can match, are joined to a longest increasing chain. With L its lengt
 sequences, similarity is L / (m + n - L), the Jaccard index of shingles aligned in order; `MIN_SIMILARITY` or more
 links two documents. Classes are the connected components of links.
 
-Exact copies (equal word sequences) collapse first, with map-side combine. A vector shared by up to `ALL_PAIRS`
+Exact copies (equal word sequences) collapse first, with map-side combine, and get their text's class last. A vector shared by up to `ALL_PAIRS`
 distinct texts yields all their pairs. A larger group yields a star around the text whose vectors are most common
 over the whole corpus (the hub that edited copies of one original have in it). Stars alone would lose links between
 texts that both differ from their hub, so the rest follows without a cap: members outside the component that most of
@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hexapla.llm.common import connected_components, cut, doc_groups, map_arrow, utf8_buffer
+from hexapla.llm.common import connected_components, cut, doc_groups, map_arrow, spread_join, utf8_buffer
 from hexapla.llm.words import labelled, mix, shingles, word_hashes
 
 SHINGLE, MIN_SIMILARITY = 5, 0.8
@@ -128,25 +128,25 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "doc_id long, fp binary, vectors array<long>")
 
 
-def _candidates(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) from bands (k, value, doc), and the members (k, value, n, doc) of large groups."""
-    sizes = bands.groupBy("k", "value").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(bands.join(sizes, ["k", "value"]))
+def _candidates(bands: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a < b) from `total` bands (k, value, doc), and the members (k, value, n, doc) of large groups."""
+    sizes = cut(bands.groupBy("k", "value").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut(spread_join(bands, sizes, ["k", "value"], total))
     # A document has at most SKETCHES rows here, so a window over it is small.
     fame = F.sum("n").over(Window.partitionBy("doc"))
     famed = cut(shared.withColumn("fame", fame).where(F.col("n") > ALL_PAIRS))
-    hubs = famed.groupBy("k", "value").agg(F.max_by("doc", F.struct("fame", -F.col("doc"))).alias("hub"))
+    hubs = famed.groupBy("k", "value").agg(F.max_by("doc", F.struct("fame", -F.col("doc"))).alias("hub"), F.count("*").alias("n"))
     # Members go to their hub in blocks: fewer rows meet, and no task holds a large group.
     block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK))
     blocks = famed.groupBy("k", "value", block.alias("block")).agg(F.collect_list("doc").alias("docs"))
     parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = blocks.join(hubs, ["k", "value"]).repartition(parts, "k", "value", "block")
+    met = spread_join(blocks, hubs, ["k", "value"], total).repartition(parts, "k", "value", "block")
     star = met.select("hub", F.explode("docs").alias("doc")).where("doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
     small = shared.where(F.col("n") <= ALL_PAIRS).groupBy("k", "value").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
     first = small.select("docs", F.posexplode("docs").alias("i", "a"))
     pairs = first.select("a", F.explode(F.slice("docs", F.col("i") + 2, F.size("docs"))).alias("b"))
     # Similar pairs share about half of their vectors; one shared vector alone is chance.
-    both = pairs.unionByName(star).groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    both = pairs.unionByName(star).groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1 AND a <> b").select("a", "b")
     return both, famed.select("k", "value", "n", "doc")
 
 
@@ -161,21 +161,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(u, v) links between representatives of exact copies, and (doc_id, rep) of all documents with words."""
-    worded = sketched.where("fp IS NOT NULL")
-    reps = worded.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    copied = worded.select("fp", "doc_id").join(reps.where("n > 1").select("fp", "rep"), "fp").select("doc_id", "rep")
+    """(u, v) links between representatives of exact copies, and (fp, rep, n) of all of their n copies."""
     # The vectors of equal word sequences are equal, so any copy's will do.
-    bands = worded.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.first("vectors").alias("vectors")).select("doc", F.posexplode("vectors").alias("k", "value"))
-    pairs, grouped = _candidates(bands)
+    texts = cut(sketched.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("vectors").alias("vectors")))
+    pairs, grouped = _candidates(texts.select(F.col("rep").alias("doc"), F.posexplode("vectors").alias("k", "value")), texts.count() * SKETCHES)
     pairs = cut(pairs)
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(grouped.select("doc")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).join(involved, "doc", "left_semi")
-    texts = cut(texts)
-    found = cut(_verified(pairs, texts).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).join(involved, "doc", "left_semi")
+    whole = cut(whole)
+    found = cut(_verified(pairs, whole).select(F.col("a").alias("u"), F.col("b").alias("v")))
     if grouped.head(1):
-        found = found.unionByName(_across_components(found, grouped, texts))
-    return found, copied
+        found = found.unionByName(_across_components(found, grouped, whole))
+    return found, texts.select("fp", "rep", "n")
 
 
 def _links_in_block(group: pa.Table) -> pa.Table:
@@ -228,14 +225,19 @@ def _across_components(found: DataFrame, grouped: DataFrame, texts: DataFrame) -
     component = connected_components(found).withColumnRenamed("node", "doc")
     members = cut(grouped.join(component, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
     held = members.groupBy("k", "value", "component").agg(F.count("*").alias("m"))
-    most = held.groupBy("k", "value").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.sum("m").alias("all"), F.max("m").alias("top")).where("top < all")
-    open_members = cut(members.join(most, ["k", "value"]))
+    most = held.groupBy("k", "value").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.sum("m").alias("n"), F.max("m").alias("top")).where("top < n").drop("top")
+    open_members = cut(spread_join(members.drop("n"), cut(most), ["k", "value"], members.count()))
     wanted = texts.join(open_members.select("doc").distinct(), "doc", "left_semi").select("doc", "text")
     known = cut(map_arrow(wanted, run, "doc long, text string, minima binary").join(large, "doc"))
-    longest = known.agg(F.avg(F.octet_length("text"))).first()[0] or 0
-    size = int(max(1, min(MEMBERS, BLOCK_BYTES // max(longest, 1))))
-    # Every block of askers meets every block of the group in a task of its own, whatever the group's size.
-    ask_blocks, blocks = F.ceil((F.col("all") - F.col("top")) / size).cast("int"), F.ceil(F.col("all") / size).cast("int")
+    # Every block of askers meets every block of the group in a task of its own, whatever the group's size and that of its texts.
+    bytes_of = known.groupBy("doc").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    needed = lambda number, size: F.greatest(F.ceil(number / MEMBERS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    asking = F.col("component") != F.col("most")
+    weighed = open_members.join(bytes_of, "doc").groupBy("k", "value").agg(
+        needed(F.count_if(asking), F.sum(F.when(asking, F.col("bytes")).otherwise(0))).alias("ask_blocks"), needed(F.count("*"), F.sum("bytes")).alias("blocks"), F.count("*").alias("n"),
+    )
+    open_members = cut(spread_join(open_members.drop("n"), cut(weighed), ["k", "value"], open_members.count()))
+    ask_blocks, blocks = F.col("ask_blocks"), F.col("blocks")
     single = (blocks == 1) & (ask_blocks == 1)
     up_to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     mine = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
@@ -250,9 +252,15 @@ def _across_components(found: DataFrame, grouped: DataFrame, texts: DataFrame) -
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for every distinct non-null doc_id: the smallest doc_id of its class."""
     sketched = cut(sketches(docs))
-    found, copied = links(docs, sketched)
-    edges = found.unionByName(copied.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v"))
-    return sketched.select("doc_id").distinct().join(connected_components(edges), F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+    found, texts = links(docs, sketched)
+    worded = sketched.where("fp IS NOT NULL").select("doc_id", "fp")
+    # A doc_id with several texts links them; other copies share their text's class and are no nodes.
+    several = worded.groupBy("doc_id").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first <> last").select("doc_id")
+    held = worded.join(several, "doc_id", "left_semi").distinct().join(texts, "fp").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    parts = connected_components(found.unionByName(held))
+    own = cut(texts.join(parts, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "rep").alias("class_id")))
+    rows = spread_join(worded, own, ["fp"], worded.count()).select("doc_id", "class_id")
+    return rows.unionByName(sketched.where("fp IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))).groupBy("doc_id").agg(F.coalesce(F.min("class_id"), F.col("doc_id")).alias("class_id"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from hexapla.llm import byte_bpe, decontaminate, entry, html_text, licences, line_dedup, order_minhash, projection_dedup, quality, token_counts, toxicity, words
+from hexapla.llm import byte_bpe, common, decontaminate, entry, html_text, licences, line_dedup, order_minhash, projection_dedup, quality, token_counts, toxicity, words
 from hexapla.llm.common import connected_components, table
 
 SF = "/root/testdata/sf0.001"
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, d string, doc string, fp long, pos int, id long, k int, hit_id long, gone_id long"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, d string, doc string, fp long, pos int, id long, k int, hit_id long, gone_id long, `my col` string, `a.b` int, n long, class_id long, score double"
 
 
 def docs_of(spark, rows):
     """Documents with further columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "d", "doc", 1, 2, 3, 4, 5, 6) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "d", "doc", 1, 2, 3, 4, 5, 6, "m", 7, 8, 9, 0.1) for i, t in rows], DOCS)
 
 
 LONG = "a long line of many words that goes on and on. " * 4000
@@ -63,6 +63,8 @@ def test_line_dedup_equals_plain(spark):
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in got} == {i: (a, b, hashlib.sha256(k.encode()).hexdigest()) for i, (a, b, k) in want.items()}
     kept = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.stage(docs_of(spark, rows)).collect()}
     assert kept == {i: (k, len(k)) for i, (_, _, k) in want.items()}
+    for hot in (1, 12):  # no key is broadcast, and some are
+        assert {r.d.doc_id: r.kept for r in line_dedup.line_dedup(docs_of(spark, rows), hot=hot).collect()} == {i: k for i, (_, _, k) in want.items()}
 
 
 def test_line_dedup_is_native(spark):
@@ -124,7 +126,9 @@ def edited(rng, text, n):
     return " ".join(w)
 
 
-def test_near_copies_equal_all_pairs(spark):
+@pytest.mark.parametrize("hot", [1 << 14, 30])
+def test_near_copies_equal_all_pairs(spark, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT", hot)  # all keys are broadcast, or the most frequent ones
     rng = random.Random(2)
     vocab = [f"w{k}" for k in range(300)]
     base = [" ".join(rng.choice(vocab) for _ in range(120)) for _ in range(8)]
@@ -210,6 +214,10 @@ def test_bpe_equals_tiktoken(spark):
     docs = rank_docs(spark)
     rows = byte_bpe.digest(docs, RANKS, PATTERN).collect()
     assert Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in rows) == Counter((i, len(other.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in AWKWARD)
+    ids = lambda t: np.array(other.encode_ordinary(t or ""), "<u4").tobytes()
+    assert Counter((r.doc_id, r.ids_sha256) for r in rows) == Counter((i, hashlib.sha256(ids(t)).hexdigest()) for i, t in AWKWARD)
+    some = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    assert {r.doc_id: r.ids_sha256 for r in entry.op4_byte_bpe(spark, SF).collect()} == {i: hashlib.sha256(ids(t)).hexdigest() for i, t in some.items()}
     assert all(bytes(r.decoded).decode() == "".join(t or "" for i, t in AWKWARD if i == r.doc_id)[: len(bytes(r.decoded).decode())] for r in byte_bpe.encode(docs, RANKS, PATTERN).collect())
 
 
@@ -625,12 +633,37 @@ def test_awkward_rows_and_clashing_names(spark):
     docs = rank_docs(spark)
     labels = labels_of(spark, [(1, None, None), (None, 1, 1), (7, 1, 0), (7, 0, 1), (99, 1, 1)])
     bench = spark.createDataFrame([(1, None), (None, "x"), (2, ""), (3, "same text twice")], "item_id long, text string")
-    for name, out in runs(spark, docs, labels, bench).items():
-        got = out.collect()
-        assert len(got) == (len(AWKWARD) if name != "stage6" else len(AWKWARD) - 2), name
+    got = {name: out.collect() for name, out in runs(spark, docs, labels, bench).items()}
+    for name, rows in got.items():
+        assert len(rows) == (len(AWKWARD) if name != "stage6" else len(AWKWARD) - 2), name
+    by_id = lambda name: Counter((r.doc_id, *r[1:]) for r in got[name])
+    # Two labelled documents aren't enough: every score is 0.5.
+    assert by_id("quality") == Counter((i, 0.5, 0.5, 0.5, True) for i, _ in AWKWARD)
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert by_id("lines") == Counter((i, (t or "").count("\n") + 1, 0, sha(t)) for i, t in AWKWARD)
+    assert by_id("near") == Counter((i, i, True) for i, _ in AWKWARD)
+    assert Counter((r.doc_id, r.contaminated, tuple(r.item_ids), r.best_ratio) for r in got["leaks"]) == Counter((i, i == 7, (3,) * (i == 7), 1.0 * (i == 7)) for i, _ in AWKWARD)
+    assert all(r.families == [] and r.n_notices == r.n_unknown == 0 and r.probability == 0 for r in got["licences"])
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got["toxic"])
+    for name in ("stage1", "stage2", "stage6"):
+        rows = [r.asDict() for r in got[name]]
+        assert Counter((r["doc_id"], r["text"] or "") for r in rows) == Counter((i, t or "") for i, t in AWKWARD if name != "stage6" or i != 7)
+        assert all((r["my col"], r["a.b"], r["d"], r["fp"], r["score"]) == ("m", 7, "d", 1, 0.1) for r in rows)
     assert {r.doc_id for r in order_minhash.stage(docs).collect()} == {i for i, _ in AWKWARD}
 
 
+def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
+    labels = labels_of(spark, [(1, None, None), (None, 1, 1), (7, 1, 0), (7, 0, 1), (99, 1, 1)])
+    bench = spark.createDataFrame([(1, None), (None, "x"), (2, ""), (3, "same text twice")], "item_id long, text string")
+    for name, some in (("rows", True), ("none", False)):
+        for t, df in (("documents", rank_docs(spark)), ("labels", labels), ("benchmark", bench)):
+            (df if some else df.limit(0)).write.parquet(f"{tmp_path}/{name}/{t}.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/rows").collect()
+    want = Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in AWKWARD if i != 7)  # 7 is a benchmark item
+    assert Counter((r.doc_id, r.decoded_sha256) for r in got) == want
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_empty_tables(spark):
     docs = docs_of(spark, [])
     labels, bench = labels_of(spark, []), spark.createDataFrame([], "item_id long, text string")
