@@ -1,24 +1,28 @@
 """Corpus-wide line deduplication (native: DataFrame functions only).
 
-Line keys are hashed to 128 bits. The hashes are range-partitioned with document and position as secondary
-sort keys, so a key that a third of all lines share is cut over many partitions; each partition is streamed
-once and emits one record for each (key, document). From these, pre-aggregated counts and the largest document
-decide a key. What flows back to a document is a run-length bitmap of its lines, never text.
+Line keys are hashed to 128 bits. The hashes are range-partitioned and sorted by key, document (largest first) and position; each
+partition is streamed: a key's first document keeps its lines, and those that follow lose them once `MIN_DOCS` documents
+have passed. The few keys that hold more than a `HOT`-th of all places (there can't be more than `HOT`) are decided from
+pre-aggregated counts instead and broadcast, so that no task gets all places of a key that a third of all lines share; both
+ways decide alike. What flows back to a document is a run-length bitmap of its lines, never text.
 
 Defined results: a null or empty text is one empty line; lines shorter than `min_length` code points are never
 dropped; a text whose lines all go becomes empty; rows that repeat a doc_id are one document, and each row gets
-the bitmap of its own text; rows with a null doc_id together count as one document below all others; further
-columns pass through, whatever their names.
+the bitmap of its own text; rows with a null doc_id together count as one document below all others; of equal lines
+within a document all stay or all go; an empty table gives an empty one; further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from hexapla.llm.common import cut
 
 #: Characters stripped at both ends of a line.
 STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_LENGTH, MIN_DOCS = 20, 3
+HOT = 1 << 16  # keys of 16 bytes and a document number: 2 MB to broadcast at most
 _NO_ID = -(1 << 63)
 
 
@@ -38,18 +42,24 @@ def _doc(docs: DataFrame) -> DataFrame:
     return whole.select("d", F.coalesce(F.col("d.doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("d.text").alias("fp"))
 
 
-def keep_bitmaps(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS, hot: int = HOT) -> DataFrame:
     """(doc, fp, drops: array<struct<first, n>>): for texts that lose lines, the runs of dropped line numbers."""
-    spark = docs.sparkSession
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = _doc(docs.select("doc_id", "text")).select("doc", "fp", F.posexplode(_lines(F.col("d.text"))).alias("pos", "line"))
     keyed = lines.select("doc", "fp", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_length)
-    hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key", F.lit(11)).alias("h2"), "doc", "fp", "pos")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = hashed.repartitionByRange(parts, "h1", "h2", F.desc("doc")).sortWithinPartitions("h1", "h2", F.desc("doc"), "pos")
-    held = ranged.groupBy("h1", "h2", "doc").agg(F.collect_list(F.struct("fp", "pos")).alias("places"))
-    # Counting by `places` gives both uses of `held` one plan, so the range exchange runs once.
-    keys = held.groupBy("h1", "h2").agg(F.count_if(F.size("places") > 0).alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = held.join(keys, ["h1", "h2"]).where("doc <> keeper").select("doc", F.explode("places").alias("p")).select("doc", "p.fp", "p.pos")
+    places = cut(keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key", F.lit(11)).alias("h2"), "doc", "fp", "pos"))
+    total = places.count()
+    # Fewer than `hot` keys can hold more than total / hot places each, so these are broadcast and their places stay where they are.
+    frequent = cut(places.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") * hot > total).select("h1", "h2"))
+    held = places.join(F.broadcast(frequent), ["h1", "h2"]).select("h1", "h2", "doc").distinct()
+    decided = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
+    lost = places.join(F.broadcast(decided), ["h1", "h2"]).where("doc <> keeper").select("doc", "fp", "pos")
+    # The others are streamed in order: a key's first document keeps its lines; the key counts if it has min_docs of them.
+    ranged = places.join(F.broadcast(frequent), ["h1", "h2"], "left_anti").repartitionByRange(parts, "h1", "h2").sortWithinPartitions("h1", "h2", F.desc("doc"), "pos")
+    key = Window.partitionBy("h1", "h2")
+    nth = ranged.withColumn("nth", F.dense_rank().over(key.orderBy(F.desc("doc"))))
+    met = nth.withColumn("n", F.max("nth").over(key.orderBy(F.desc("doc")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    lost = lost.unionByName(met.where((F.col("nth") > 1) & (F.col("n") >= min_docs)).select("doc", "fp", "pos"))
     ordered = lost.groupBy("doc", "fp").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     # A run begins where the number before isn't dropped too: comparing a sorted list with itself shifted by one.
     firsts = F.filter("at", lambda x, i: (i == 0) | (F.element_at("at", F.greatest(i, F.lit(1))) != x - 1))
@@ -66,9 +76,9 @@ def _kept(lines: Column, drops: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(lines, begin(i) + 1, end(i) - begin(i))))
 
 
-def line_dedup(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS, hot: int = HOT) -> DataFrame:
     """(d: the input row, n_lines, n_dropped, drops, kept: text)."""
-    maps = keep_bitmaps(docs, min_length, min_docs)
+    maps = keep_bitmaps(docs, min_length, min_docs, hot)
     joined = _doc(docs).join(maps.hint("shuffle_hash"), ["doc", "fp"], "left")
     lines = _lines(F.col("d.text"))
     kept = F.when(F.col("drops").isNull(), F.coalesce(F.col("d.text"), F.lit(""))).otherwise(F.array_join(_kept(lines, F.col("drops")), "\n"))
