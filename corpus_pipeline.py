@@ -1,6 +1,13 @@
 """From raw documents to token ids: five of the training-data operators, one after another.
 
 Every stage works on all rows that the one before kept, and all but the last return the columns of `documents`.
+
+Defined results, beside those of the operators' modules: a null or empty text is a document like others (accepted without
+usable labels, one empty line, a class of its own, not contaminated, no tokens); rows with a null doc_id are kept by every stage that
+doesn't reject their text; repeated rows share their fate, as decisions are by text or doc_id; ties are settled by the
+smallest doc_id (near copies), the largest (repeated lines) or a hash; empty tables give empty ones, and without
+labels or benchmark items the stages that need them keep everything; further columns reach the last stage
+unchanged, whatever their names. Lineage is cut after every stage, so a lost executor costs a reread.
 """
 
 from __future__ import annotations
@@ -13,22 +20,27 @@ from hexapla.llm.common import cut, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifiers accept."""
     return quality.stage(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that many of them share; n_chars is counted anew."""
     return line_dedup.stage(docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of every near-duplicate class."""
     return order_minhash.stage(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, whole or paraphrased."""
     return decontaminate.stage(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digests of every document's token ids; one row each."""
     return byte_bpe.digest(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
