@@ -2,31 +2,40 @@
 
 Two classifiers see different views of a document: its content (character classes, repetition, word shape) and
 its page metadata (source, language, declared length, line layout). Each is a logistic regression fitted on
-labelled documents; then, over `ROUNDS`, each labels the unlabelled documents it is most certain of and hands them to
-the other. Both are calibrated on a third of the labelled documents that neither was trained on, and a logistic
-combination of the calibrated views, fitted there too, scores every document.
-
-Training takes at most `LABELLED` labelled and `UNLABELLED` unlabelled documents, chosen by a hash of their id; only
-their feature vectors reach the driver. Defined results: null and empty texts have all-zero content features; null
-metadata is a value of its own; without labels of both kinds every score is 0.5 and every document is accepted;
-repeated rows are treated alone; a doc_id with several labels takes their majority, ties upward.
+labelled documents. Then, over `ROUNDS`, both score every unlabelled document of the table on the executors, and each hands
+those of each kind that it is most certain of, and that it hasn't handed over before, to the other: `SHARE` of the number it was trained on; documents with the same features count
+once. Both views learn from all labelled documents of the sample. Their calibrations are fitted on one half of these, and the
+logistic combination of the calibrated views that scores every document on the other, with the outputs of models that were
+trained without the document's own third.
+
+Training takes at most `LABELLED` labelled documents, chosen by a hash of their id; only their feature vectors and those handed over
+reach the driver. Defined results: null and empty texts have all-zero content features; null
+metadata is a value of its own; without labels of both kinds in every part every score is 0.5 and every document is accepted;
+repeated rows are treated alone; a doc_id with several labels takes their majority, ties upward; of equally certain
+documents those with the smaller hash of the features are handed over; an empty table gives an empty one; missing columns are
+nulls; further columns pass through `stage`, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import zlib
 from pyspark.sql import DataFrame, functions as F
 
-from hexapla.llm.common import doc_groups, map_arrow, utf8_buffer
+from hexapla.llm.common import binary_rows, cut, doc_groups, give_back, map_arrow, matrix_of, utf8_buffer
 from hexapla.llm.words import word_hashes
 
-LABELLED, UNLABELLED, ROUNDS = 6000, 6000, 3
-CERTAIN, SHARE = 0.97, 0.05
+LABELLED, ROUNDS = 6000, 3
+CERTAIN, SHARE = 0.97, 0.1
 ACCEPT = 0.5
 HASHED = 32
+METADATA = 2 * HASHED + 8
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r", b"\n", b".,;:", b"!?", b"%$#*&@~^=+<>", b"|/\\_", b"'\"()[]{}-"]
+CONTENT = len(_CLASSES) + 9
 _LUT = np.full(256, len(_CLASSES), np.int64)  # the rest: non-ASCII and control bytes
 for _k, _chars in enumerate(_CLASSES):
     _LUT[list(_chars)] = _k
@@ -37,7 +46,7 @@ def content_features(column: pa.Array) -> np.ndarray:
     parts = []
     for a, b in doc_groups(offsets):
         parts.append(_content(raw, offsets[a : b + 1]))
-    return np.concatenate(parts) if parts else np.zeros((0, len(_CLASSES) + 9))
+    return np.concatenate(parts) if parts else np.zeros((0, CONTENT))
 
 
 def _content(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -64,7 +73,7 @@ def _content(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def metadata_features(source: list, lang: list, n_chars: list, lines: np.ndarray) -> np.ndarray:
     """Hashed source and language, and the layout of the page."""
-    out = np.zeros((len(source), 2 * HASHED + 8))
+    out = np.zeros((len(source), METADATA))
     for i, (s, x) in enumerate(zip(source, lang, strict=True)):
         out[i, zlib.crc32(repr(s).encode()) % HASHED] = 1
         out[i, HASHED + zlib.crc32(repr(x).encode()) % HASHED] = 1
@@ -77,13 +86,17 @@ def metadata_features(source: list, lang: list, n_chars: list, lines: np.ndarray
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, content: array<double>, metadata: array<double>) of every row."""
+    """(doc_id, content: binary of floats, metadata: binary of floats) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         content, meta = _views(batch)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(content), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.float64()))], ["doc_id", "content", "metadata"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), binary_rows(content.astype("<f4")), binary_rows(meta.astype("<f4"))], ["doc_id", "content", "metadata"])
+
+    return map_arrow(_columns(docs), run, "doc_id long, content binary, metadata binary")
 
-    return map_arrow(_columns(docs), run, "doc_id long, content array<double>, metadata array<double>")
+
+def _stored(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [matrix_of(batch.column(c), "<f4", n).astype(np.float64) for c, n in (("content", CONTENT), ("metadata", METADATA))]
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -128,35 +141,83 @@ class Logistic:
 
 
 class CoTrained:
-    """Both views' classifiers, their calibrations and the combination; None where labels don't allow any."""
-
-    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray]):
-        self.usable = False
-        fold = np.arange(len(y)) % 3 == 0
-        if min((y[~fold] == c).sum() for c in (0, 1)) < 2 or min((y[fold] == c).sum() for c in (0, 1)) < 1:
-            return
-        base = [v[~fold] for v in views]
-        gained: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0)) for _ in views]
-        self.models = [Logistic(v, y[~fold]) for v in base]
-        rate = y[~fold].mean()
-        most = max(1, int(SHARE * len(pool[0])))
-        for _ in range(ROUNDS if len(pool[0]) else 0):
-            for k in (0, 1):
-                p = self.models[k].probability(pool[k])
-                free = np.ones(len(p), bool)
-                free[gained[1 - k][0]] = False
-                good = [i for i in np.argsort(-p)[: int(most * rate) + 1] if p[i] >= CERTAIN and free[i]]
-                bad = [i for i in np.argsort(p)[: int(most * (1 - rate)) + 1] if p[i] <= 1 - CERTAIN and free[i]]
-                old, marks = gained[1 - k]
-                gained[1 - k] = np.concatenate([old, good, bad]).astype(int), np.concatenate([marks, np.ones(len(good)), np.zeros(len(bad))])
+    """Both views' classifiers, their calibrations and the combination; unusable where labels don't allow any."""
+
+    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray):
+        n = np.arange(len(y))
+        self.fold, self.half = n % 3, n // 3 % 2
+        parts = [self.fold != f for f in range(3)] + [self.half == h for h in (0, 1)]
+        self.usable = all((y[p] == c).sum() >= 2 for p in parts for c in (0, 1))
+        self.views, self.y = views, y
+        self.gained: list[list[tuple[float, np.ndarray]]] = [[], []]  # for each view what it learnt from the other
+        if self.usable:
+            self.models = [self._trained(k, np.ones(len(y), bool)) for k in (0, 1)]
+
+    def _trained(self, k: int, rows: np.ndarray) -> Logistic:
+        """View k's classifier of some labelled documents and all that were handed over."""
+        x, y = self.views[k][rows], self.y[rows]
+        if self.gained[k]:
+            x, y = np.concatenate([x, np.array([g[1] for g in self.gained[k]])]), np.concatenate([y, [g[0] for g in self.gained[k]]])
+        return Logistic(x, y, np.concatenate([np.ones(rows.sum()), np.full(len(self.gained[k]), 0.5)]))
+
+    def certain(self, free: DataFrame, taken: set[tuple[int, int]]) -> list[tuple[int, float, int, bytes]]:
+        """(view that hands over, label, hash, features for the other view) of the documents handed over in a round.
+
+        Every partition of `free` is scored whole and sends on its most certain documents only."""
+        models = self.models
+        most = {label: math.ceil(SHARE * (self.y == label).sum()) for label in (1.0, 0.0)}
+        cols = {"view": pa.int32(), "label": pa.float64(), "p": pa.float64(), "fp": pa.int64(), "x": pa.binary()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple[int, float], dict[int, tuple[float, bytes]]] = {(v, label): {} for v in (0, 1) for label in most}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = _stored(batch)
+                fp = batch.column("fp").to_numpy()
+                for (view, label), held in best.items():
+                    p = models[view].probability(x[view])
+                    sure = p if label else 1 - p
+                    order = np.lexsort((fp, -sure))
+                    new = 0
+                    for i in order[sure[order] >= CERTAIN]:
+                        if new == most[label]:
+                            break
+                        if (view, int(fp[i])) not in taken and int(fp[i]) not in held:
+                            held[int(fp[i])] = float(sure[i]), x[1 - view][i].astype("<f4").tobytes()
+                            new += 1
+                    for f in sorted(held, key=lambda f: (-held[f][0], f))[most[label] :]:
+                        del held[f]
+            rows = [(view, label, p, f, x) for (view, label), held in best.items() for f, (p, x) in held.items()]
+            give_back()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(cols.values())], list(cols))
+
+        found = cut(free.mapInArrow(run, "view int, label double, p double, fp long, x binary").dropDuplicates(["view", "label", "fp"]))
+        out = []
+        for view in (0, 1):
+            for label, n in most.items():
+                out += found.where((F.col("view") == view) & (F.col("label") == label)).orderBy(F.desc("p"), "fp").limit(n).collect()
+        return [(r.view, r.label, r.fp, r.x) for r in out]
+
+    def teach(self, free: DataFrame) -> None:
+        """The rounds in which each view learns from what the other is certain of."""
+        taken: set[tuple[int, int]] = set()
+        for _ in range(ROUNDS):
+            for view, label, fp, x in self.certain(free, taken):
+                self.gained[1 - view].append((label, np.frombuffer(x, "<f4").astype(float)))
+                taken.add((view, fp))
+            self.models = [self._trained(k, np.ones(len(self.y), bool)) for k in (0, 1)]
+
+    def finish(self) -> None:
+        """Calibrations on one half of the labelled documents and the combination on the other, by models that weren't trained on them."""
+        z = np.zeros((len(self.y), 2))
+        for f in range(3):
             for k in (0, 1):
-                extra, marks = gained[k]
-                x = np.concatenate([base[k], pool[k][extra]])
-                self.models[k] = Logistic(x, np.concatenate([y[~fold], marks]), np.concatenate([np.ones(len(base[k])), np.full(len(extra), 0.5)]))
-        held = [v[fold] for v in views]
-        self.calibrations = [Logistic(m.logit(v)[:, None], y[fold], ridge=0.1) for m, v in zip(self.models, held, strict=True)]
-        self.combination = Logistic(self._calibrated(held), y[fold], ridge=0.1)
-        self.usable = True
+                z[self.fold == f, k] = self._trained(k, self.fold != f).logit(self.views[k][self.fold == f])
+        one, two = self.half == 0, self.half == 1
+        self.calibrations = [Logistic(z[one, k : k + 1], self.y[one], ridge=0.1) for k in (0, 1)]
+        self.combination = Logistic(np.column_stack([c.logit(z[two, k : k + 1]) for k, c in enumerate(self.calibrations)]), self.y[two], ridge=0.1)
+        del self.views, self.y, self.fold, self.half, self.gained
 
     def _calibrated(self, views: list[np.ndarray]) -> np.ndarray:
         return np.column_stack([c.logit(m.logit(v)[:, None]) for c, m, v in zip(self.calibrations, self.models, views, strict=True)])
@@ -170,46 +231,46 @@ class CoTrained:
         return own[:, 0], own[:, 1], self.combination.probability(z)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[CoTrained, DataFrame]:
+    """The trained views, and the features of all rows that they were trained on."""
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).where("id IS NOT NULL AND quality IS NOT NULL")
-    marked = marked.groupBy("id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    order = F.xxhash64("id", F.lit(9))
-    labelled = marked.orderBy(order, "id").limit(LABELLED)
-    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL")
-    unlabelled = ids.join(marked, "id", "left_anti").distinct().orderBy(order, "id").limit(UNLABELLED).withColumn("quality", F.lit(None).cast("int"))
-    chosen = F.broadcast(labelled.unionByName(unlabelled))  # at most LABELLED + UNLABELLED pairs of numbers
-    sample = docs.join(chosen, docs["doc_id"].cast("long") == chosen["id"]).select(*[docs[c] for c in dict.fromkeys(("doc_id", "text", "source", "lang", "n_chars")) if c in docs.columns])
-    rows = sorted(((r.doc_id, r.content, r.metadata) for r in features(sample).toLocalIterator()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
-    quality = {r.id: r.quality for r in labelled.toLocalIterator()}
-    known, free = [r for r in rows if r[0] in quality], [r for r in rows if r[0] not in quality]
-    view = lambda rs, k: np.array([r[k] for r in rs], float) if rs else np.zeros((0, 1))
-    return CoTrained((view(known, 1), view(known, 2)), np.array([quality[r[0]] for r in known], float), (view(free, 1), view(free, 2)))
+    marked = cut(marked.groupBy("id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality")))
+    every = cut(features(docs))
+    ids = every.select(F.col("doc_id").alias("id")).distinct()
+    chosen = marked.join(ids, "id", "left_semi").orderBy(F.xxhash64("id", F.lit(9)), "id").limit(LABELLED)
+    rows = every.join(F.broadcast(chosen), every["doc_id"] == chosen["id"]).groupBy("id", "quality", "content", "metadata").count()  # at most LABELLED ids
+    known = sorted(rows.collect(), key=lambda r: (zlib.crc32(str(r.id).encode()), r.id, bytes(r.content)))
+    view = lambda k: np.array([np.frombuffer(r[k], "<f4") for r in known], float) if known else np.zeros((0, 1))
+    model = CoTrained((view("content"), view("metadata")), np.array([r.quality for r in known], float))
+    if model.usable:
+        free = every.join(marked, every["doc_id"] == marked["id"], "left_anti").withColumn("fp", F.xxhash64("content", "metadata")).select("fp", "content", "metadata")
+        model.teach(cut(free))
+        model.finish()
+    return model, every
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of `docs`: doc_id, content_score, metadata_score, score, accepted."""
-    return _scored(docs, fit(docs, labels))
-
-
-def _scored(docs: DataFrame, model: CoTrained) -> DataFrame:
+    model, every = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        content, metadata, both = shared.value.scores(*_views(batch))
+        content, metadata, both = shared.value.scores(*_stored(batch))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(content), pa.array(metadata), pa.array(both), pa.array(both >= ACCEPT)], ["doc_id", "content_score", "metadata_score", "score", "accepted"])
 
-    return map_arrow(_columns(docs), run, "doc_id long, content_score double, metadata_score double, score double, accepted boolean")
+    return map_arrow(every, run, "doc_id long, content_score double, metadata_score double, score double, accepted boolean")
 
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The accepted documents in all their columns; decided row by row, without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)[0])
     names = ("doc_id", "text", "source", "lang", "n_chars")
     kinds = {"n_chars": "long", "doc_id": "long"}
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), *[(F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in names])
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        kept = shared.value.scores(*_views(batch))[2] >= ACCEPT
+        content, metadata = (v.astype(np.float32).astype(np.float64) for v in _views(batch))
+        kept = shared.value.scores(content, metadata)[2] >= ACCEPT
         return pa.Table.from_batches([batch.select(["d"])]).filter(pa.array(kept))
 
-    return map_arrow(whole, run, whole.select("d").schema.simpleString()[7:-1].replace("d:", "d ", 1)).select("d.*")
+    return map_arrow(whole, run, whole.select("d").schema).select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
