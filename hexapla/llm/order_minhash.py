@@ -236,7 +236,7 @@ def _across_components(found: DataFrame, grouped: DataFrame, texts: DataFrame) -
     weighed = open_members.join(bytes_of, "doc").groupBy("k", "value").agg(
         needed(F.count_if(asking), F.sum(F.when(asking, F.col("bytes")).otherwise(0))).alias("ask_blocks"), needed(F.count("*"), F.sum("bytes")).alias("blocks"), F.count("*").alias("n"),
     )
-    open_members = cut(spread_join(open_members.drop("n"), cut(weighed), ["k", "value"], open_members.count()))
+    open_members = spread_join(open_members.drop("n"), cut(weighed), ["k", "value"], open_members.count())
     ask_blocks, blocks = F.col("ask_blocks"), F.col("blocks")
     single = (blocks == 1) & (ask_blocks == 1)
     up_to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))

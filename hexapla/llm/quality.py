@@ -234,17 +234,15 @@ class CoTrained:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[CoTrained, DataFrame]:
     """The trained views, and the features of all rows that they were trained on."""
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).where("id IS NOT NULL AND quality IS NOT NULL")
-    marked = cut(marked.groupBy("id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality")))
-    every = cut(features(docs))
-    ids = every.select(F.col("doc_id").alias("id")).distinct()
-    chosen = marked.join(ids, "id", "left_semi").orderBy(F.xxhash64("id", F.lit(9)), "id").limit(LABELLED)
-    rows = every.join(F.broadcast(chosen), every["doc_id"] == chosen["id"]).groupBy("id", "quality", "content", "metadata").count()  # at most LABELLED ids
-    known = sorted(rows.collect(), key=lambda r: (zlib.crc32(str(r.id).encode()), r.id, bytes(r.content)))
+    marked = marked.groupBy("id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
+    every = cut(features(docs).join(marked, F.col("doc_id") == F.col("id"), "left").withColumn("fp", F.xxhash64("content", "metadata")).drop("id"))
+    chosen = every.where("quality IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(LABELLED)
+    rows = every.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "content", "metadata").count()  # at most LABELLED ids
+    known = sorted(rows.collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r.content)))
     view = lambda k: np.array([np.frombuffer(r[k], "<f4") for r in known], float) if known else np.zeros((0, 1))
     model = CoTrained((view("content"), view("metadata")), np.array([r.quality for r in known], float))
     if model.usable:
-        free = every.join(marked, every["doc_id"] == marked["id"], "left_anti").withColumn("fp", F.xxhash64("content", "metadata")).select("fp", "content", "metadata")
-        model.teach(cut(free))
+        model.teach(every.where("quality IS NULL").select("fp", "content", "metadata"))
         model.finish()
     return model, every
 
@@ -258,7 +256,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         content, metadata, both = shared.value.scores(*_stored(batch))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(content), pa.array(metadata), pa.array(both), pa.array(both >= ACCEPT)], ["doc_id", "content_score", "metadata_score", "score", "accepted"])
 
-    return map_arrow(every, run, "doc_id long, content_score double, metadata_score double, score double, accepted boolean")
+    return map_arrow(every.select("doc_id", "content", "metadata"), run, "doc_id long, content_score double, metadata_score double, score double, accepted boolean")
 
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
