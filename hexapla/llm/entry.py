@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from hexapla.llm import byte_bpe, decontaminate, html_text, licences, line_dedup, order_minhash, projection_dedup, quality, token_counts, toxicity
+from hexapla.llm import byte_bpe, decontaminate, html_text, licences, line_dedup, order_minhash, packing, projection_dedup, quality, token_counts, toxicity
 from hexapla.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_license_scan(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_bounded_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
