@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from hexapla.llm import byte_bpe, decontaminate, html_text, licences, line_dedup, order_minhash, packing, projection_dedup, quality, token_counts, toxicity
+from hexapla.llm import byte_bpe, decontaminate, html_text, licences, line_dedup, merkle, order_minhash, packing, projection_dedup, quality, token_counts, toxicity
 from hexapla.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_license_scan(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.without_newlines())
+
+
 def op12_bounded_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -57,4 +61,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE_SQL, "op7_embedding_near_dup": projection_dedup.ORACLE_SQL}
+    return {"op2_line_dedup": line_dedup.ORACLE_SQL, "op7_embedding_near_dup": projection_dedup.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL}
