@@ -246,6 +246,14 @@ def test_decontamination_finds_passages_and_paraphrases(spark):
     assert left.columns == docs_of(spark, rows).columns and left.count() == sum(x == [] for x in got.values())
 
 
+def test_rows_without_an_id_are_judged_each_by_its_text(spark):
+    item = "seven tall herons stood beside the frozen canal while the ferryman counted coins for the morning crossing"
+    rows = [(None, f"before it {item} after it"), (None, "clean words of another text"), (None, None), (None, "clean words of another text"), (1, item), (1, "clean"), (2, "clean")]
+    left = decontaminate.stage(docs_of(spark, rows), spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in left.where("doc_id IS NOT NULL").collect()) == [(2, "clean")]
+    assert sorted(str(r.text) for r in left.where("doc_id IS NULL").collect()) == ["None", "clean words of another text", "clean words of another text"]
+
+
 def test_item_blocks_meet_all_texts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 7)
     docs, bench = table(spark, SF, "documents"), table(spark, SF, "benchmark")
