@@ -247,11 +247,13 @@ def test_decontamination_finds_passages_and_paraphrases(spark):
 
 
 def test_rows_without_an_id_are_judged_each_by_its_text(spark):
-    item = "seven tall herons stood beside the frozen canal while the ferryman counted coins for the morning crossing"
-    rows = [(None, f"before it {item} after it"), (None, "clean words of another text"), (None, None), (None, "clean words of another text"), (1, item), (1, "clean"), (2, "clean")]
+    rng = random.Random(11)
+    prose = lambda n: " ".join(f"v{int(rng.paretovariate(0.4)) % 4000}" for _ in range(n))
+    item, clean = prose(40), prose(60)
+    rows = [(None, f"{prose(50)} {item} {prose(50)}"), (None, clean), (None, None), (None, clean), (1, item), (1, "clean"), (2, "clean"), *((100 + i, prose(rng.randint(0, 300))) for i in range(200))]
     left = decontaminate.stage(docs_of(spark, rows), spark.createDataFrame([(0, item)], "item_id long, text string"))
-    assert sorted((r.doc_id, r.text) for r in left.where("doc_id IS NOT NULL").collect()) == [(2, "clean")]
-    assert sorted(str(r.text) for r in left.where("doc_id IS NULL").collect()) == ["None", "clean words of another text", "clean words of another text"]
+    assert left.where("doc_id IS NOT NULL").count() == 201 and not left.where("doc_id = 1").count()
+    assert sorted(str(r.text) for r in left.where("doc_id IS NULL").collect()) == sorted(["None", clean, clean])
 
 
 def test_item_blocks_meet_all_texts(spark, monkeypatch):
