@@ -8,7 +8,7 @@ from hexapla.config import DEFAULTS as S
 from hexapla.functions import text as tx
 from hexapla.functions.ids import NAMESPACE, uuid5
 from hexapla.functions.lineage import cut
-from hexapla.operators import chunk, cite, index, retrieve, select
+from hexapla.operators import cells, chunk, cite, index, retrieve, select
 from hexapla.operators.providers import Providers
 from hexapla.plans import answer, answer_queries, ingest_queries
 from hexapla.sources import readers, sinks
@@ -142,6 +142,14 @@ def dense_topk_per_lang(spark, sf_dir):
     return retrieve.dense_topk(corpus(spark, sf_dir), asked(spark, sf_dir), S.floor_pool, per="tradition")
 
 
+def vector_cells_topk(spark, sf_dir):
+    """Vectors whose number 100 divides, against all: an index of cells is written and searched exactly."""
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    path = sinks.shared_folder(spark, "cells")
+    cells.write(e, path, n_cells=32, k=S.top_k)
+    return cells.search(spark, path, e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), S.top_k)[0]
+
+
 # --- fusion, rerank, selection ------------------------------------------------------------------------------------
 LANGS = ["en", "de", "fr", "es"]
 
@@ -230,7 +238,7 @@ def flagship(spark, sf_dir):
 
 
 _NAMES = """normalize_text chunk_sentences chunk_with_ids slugify clip_text point_id_uuid5 parse_int_ref embedding_text align_left_join alignment_rate
-missing_enrichment reconcile_counts question_source postings_stats bm25_topk bm25_best_fields dense_topk dense_topk_filtered dense_topk_per_lang
+missing_enrichment reconcile_counts question_source postings_stats bm25_topk bm25_best_fields dense_topk dense_topk_filtered dense_topk_per_lang vector_cells_topk
 rrf_fusion rerank_pool dedup_collapse diversified_select resolve_markers citation_status format_citation suite_summary html_pre_extract hybrid_answer"""
 
 
@@ -327,6 +335,8 @@ def oracle_sql() -> dict[str, str]:
         "dense_topk": f"WITH {_C}, {_Q} {_dense_sql()}",
         "dense_topk_filtered": f"WITH {_C}, {_Q} {_dense_sql(where="c.tradition = 'en' AND c.date_approx BETWEEN 500 AND 5000")}",
         "dense_topk_per_lang": f"WITH {_C}, {_Q} {_dense_sql(per='tradition,', k=S.floor_pool)}",
+        "vector_cells_topk": f"""SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (
+  SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings c, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= {S.top_k}""",
         "rrf_fusion": f"WITH {_C}, {_Q}, {_bm25_sql(_TEXT)}, {_FUSED} SELECT query_id, chunk_id, d_rank, s_rank, rrf, pos FROM fused",
         "rerank_pool": _ALL + "SELECT query_id, chunk_id, pool_pos, score, rank FROM reranked",
         "dedup_collapse": _ALL + "SELECT query_id, chunk_id, rank FROM once",

@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hexapla.functions.ids import uuid5
+from hexapla.functions.lineage import ensure_checkpoint_dir
 from hexapla.functions.text import filled, slug
 from hexapla.operators.index import BUCKETS, FIELDS, Field, field_postings, fields_statistics
 
@@ -22,6 +23,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def replace_table(rows: DataFrame, path: str, fmt: str = "parquet", partition_by: Iterable[str] = ()) -> None:
     """Whole replacement: written aside first, then swapped by renames, so a job that fails leaves the old table. `rows` may read the
     old table. The old one goes last; between the renames a reader finds no table, never a part of one."""

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from hexapla.functions.ids import NAMESPACE
-from hexapla.functions.lineage import ensure_checkpoint_dir
+from hexapla.sources.sinks import shared_folder
 from jobs import corpus_chunks, keyword_stream
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    ensure_checkpoint_dir(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def job1_corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _folder(spark, "corpus_chunks")
+    out = shared_folder(spark, "corpus_chunks")
     for _ in range(2):
         corpus_chunks.run(spark, f"{sf_dir}/documents.parquet", out)
     return corpus_chunks.read_chunks(spark, f"{out}/chunks")
@@ -27,7 +18,7 @@ def job1_corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job2_keyword_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table may be one file, which a stream takes by a pattern only."""
-    out = _folder(spark, "keyword_stream")
+    out = shared_folder(spark, "keyword_stream")
     for _ in range(2):
         keyword_stream.run(spark, f"{sf_dir}/documents.parque[t]", f"{out}/index", f"{out}/checkpoint")
     return keyword_stream.read_vocabulary(spark, f"{out}/index")
