@@ -8,7 +8,7 @@ from hexapla.config import DEFAULTS as S
 from hexapla.functions import text as tx
 from hexapla.functions.ids import NAMESPACE, uuid5
 from hexapla.functions.lineage import cut
-from hexapla.operators import cells, chunk, cite, index, retrieve, select
+from hexapla.operators import blocks, cells, chunk, cite, index, retrieve, select
 from hexapla.operators.providers import Providers
 from hexapla.plans import answer, answer_queries, ingest_queries
 from hexapla.sources import readers, sinks
@@ -128,6 +128,14 @@ def bm25_best_fields(spark, sf_dir):
     return retrieve.ranked(retrieve.best_field(_sparse(spark, sf_dir, (("text", "text"), ("translation", "source_text")))), S.sparse_k, "score")
 
 
+def bm25_blocks_topk(spark, sf_dir):
+    """The rows of bm25_topk, from a stored index in blocks of documents of like language and source."""
+    path = sinks.shared_folder(spark, "blocks")
+    blocks.write(corpus(spark, sf_dir).select("chunk_id", "text", "tradition", "section"), path, (index.Field("text", "text", index.standard),), ("tradition", "section"))
+    terms = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(index.standard(F.col("text")))).alias("term"))
+    return blocks.search(spark, path, terms)[0]
+
+
 # --- dense --------------------------------------------------------------------------------------------------------
 def dense_topk(spark, sf_dir):
     return retrieve.dense_topk(corpus(spark, sf_dir), asked(spark, sf_dir))
@@ -238,7 +246,7 @@ def flagship(spark, sf_dir):
 
 
 _NAMES = """normalize_text chunk_sentences chunk_with_ids slugify clip_text point_id_uuid5 parse_int_ref embedding_text align_left_join alignment_rate
-missing_enrichment reconcile_counts question_source postings_stats bm25_topk bm25_best_fields dense_topk dense_topk_filtered dense_topk_per_lang vector_cells_topk
+missing_enrichment reconcile_counts question_source postings_stats bm25_topk bm25_best_fields bm25_blocks_topk dense_topk dense_topk_filtered dense_topk_per_lang vector_cells_topk
 rrf_fusion rerank_pool dedup_collapse diversified_select resolve_markers citation_status format_citation suite_summary html_pre_extract hybrid_answer"""
 
 
@@ -332,6 +340,7 @@ def oracle_sql() -> dict[str, str]:
         "postings_stats": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{Han}|[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY ALL) GROUP BY term",
         "bm25_topk": f"WITH {_C}, {_bm25_sql(_TEXT)} {_TOP}",
         "bm25_best_fields": f"WITH {_C}, {_bm25_sql({**_TEXT, 'translation': ('source_text', 2.0)})} {_TOP}",
+        "bm25_blocks_topk": f"WITH {_C}, {_bm25_sql(_TEXT)} {_TOP}",
         "dense_topk": f"WITH {_C}, {_Q} {_dense_sql()}",
         "dense_topk_filtered": f"WITH {_C}, {_Q} {_dense_sql(where="c.tradition = 'en' AND c.date_approx BETWEEN 500 AND 5000")}",
         "dense_topk_per_lang": f"WITH {_C}, {_Q} {_dense_sql(per='tradition,', k=S.floor_pool)}",
