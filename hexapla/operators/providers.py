@@ -1,7 +1,7 @@
 """Model-backed stages behind small interfaces, with deterministic stand-ins that need no model.
 
-A provider is a function of one value (or two), run over Arrow batches; `Loaded` makes one of a model that each Python
-worker loads when it first needs it. The stand-ins match the operators' shape, not any model's quality."""
+A provider is a function of one value (or two), run over Arrow batches, or, as `Batch`, of lists of them; `Loaded` makes one of a model that
+each Python worker loads when it first needs it. The stand-ins match the operators' shape, not any model's quality."""
 
 from __future__ import annotations
 
@@ -63,13 +63,37 @@ def echo_analysis(prompt: str) -> str:
     return json.dumps({"expanded_query": question, "medical_concepts": []}, ensure_ascii=False)
 
 
-def _column(f: Callable, kind: str) -> Callable[..., Column]:
+@dataclass(frozen=True)
+class Batch:
+    """A provider of lists: `f` takes as many values as `size`, at most, and gives as many answers. The values of an Arrow batch are
+    taken in order of their length, so those of a call are about as long as each other and little is padded; the answers go back to their
+    rows. Nulls are empty texts; with `longest`, texts are cut at so many characters."""
+
+    f: Callable[..., list]
+    size: int = 32
+    longest: int | None = None
+
+    def over(self, *columns: pd.Series) -> list:
+        texts = [["" if pd.isna(x) else x[: self.longest] for x in c] for c in columns]
+        order = sorted(range(len(texts[0])), key=lambda i: sum(len(t[i]) for t in texts))
+        out: list = [None] * len(order)
+        for a in range(0, len(order), self.size):
+            own = order[a : a + self.size]
+            answers = self.f(*[[t[i] for i in own] for t in texts])
+            if len(answers) != len(own):
+                raise ValueError(f"{len(answers)} answers to {len(own)} values")
+            for i, answer in zip(own, answers, strict=True):
+                out[i] = answer
+        return out
+
+
+def _column(f: Callable | Batch, kind: str) -> Callable[..., Column]:
     """Calls cost, and their answers differ: the optimizer may neither repeat nor move them."""
 
     @F.pandas_udf(kind)
     def one(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(f)
+            yield pd.Series(f.over(s), dtype=object) if isinstance(f, Batch) else s.map(f)
 
     return one.asNondeterministic()
 
@@ -92,8 +116,8 @@ class Loaded:
 
 @dataclass(frozen=True)
 class Providers:
-    embed: Callable[[str], list[float]] = hashed_embedding
-    rerank: Callable[[str, str], float] = overlap
+    embed: Callable[[str], list[float]] | Batch = hashed_embedding
+    rerank: Callable[[str, str], float] | Batch = overlap
     analyse: Callable[[str], str] = echo_analysis
     write: Callable[[str], str] = extractive_draft
     judge: Callable[[str], str] = overlap_judge
@@ -107,7 +131,7 @@ class Providers:
         @F.pandas_udf("double")
         def pairs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             for q, t in batches:
-                yield pd.Series([f(a, b) for a, b in zip(q, t, strict=True)], dtype="float64")
+                yield pd.Series(f.over(q, t) if isinstance(f, Batch) else [f(a, b) for a, b in zip(q, t, strict=True)], dtype="float64")
 
         return pairs.asNondeterministic()(query, text)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hexapla.config import DEFAULTS as S
 from hexapla.functions import text as tx
 from hexapla.operators import chunk, index
-from hexapla.operators.providers import Providers, enrich_missing, overlap
+from hexapla.operators.providers import Batch, Providers, enrich_missing, overlap
 from hexapla.plans import prompts
 from hexapla.sources import readers, sinks
 
@@ -28,6 +28,19 @@ def _case(of: Column, *values: Column) -> Column:
     return out.otherwise(values[-1])
 
 
+# --- models -------------------------------------------------------------------------------------------------------
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """A model of lists that SQL can follow: how often each letter of a to z occurs."""
+    return [[float(t.count(chr(c))) for c in range(97, 123)] for t in texts]
+
+
+def embed_documents(spark, sf_dir):
+    """Every document embedded by a model that takes lists of 32 texts; its vector as text."""
+    vector = Providers(embed=Batch(letter_counts)).embedding(tx.embedding_text(F.lit(None).cast("string"), F.col("text")))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", vector.alias("vector"))
+    return rows.select("doc_id", F.array_join(F.transform("vector", lambda x: x.cast("long").cast("string")), " ").alias("vector"))
+
+
 # --- model answers ------------------------------------------------------------------------------------------------
 def strip_think(spark, sf_dir):
     """Conversation turns with reasoning around them: closed, left open at the start, twice, none."""
@@ -255,7 +268,7 @@ _WORDS = "regexp_extract_all(lower(%s), '\\p{Han}|[\\p{L}\\p{N}]+')"
 _FLAT = "trim(regexp_replace(%s, '\\s+', ' ', 'g'))"
 _TEI_SQL = f"""s AS (SELECT doc_id::VARCHAR AS work, '1' AS section_ref, {_FLAT % "nfc_normalize(text || ' tail')"} AS text, CASE WHEN doc_id % 3 > 0 THEN 'English ' || doc_id ELSE '' END AS text_translation, doc_id % 3 > 0 AS aligned FROM documents
   UNION ALL SELECT doc_id::VARCHAR, '2', source || ' ' || lang, 'second', true FROM documents)"""
-_NAMES = """strip_think read_analysis analyse_questions translation_prompts rerank_overlap enrich_translations jsonl_chunks jsonl_rejects slug_lists chapter_numbers marker_slice newest_file
+_NAMES = """embed_documents strip_think read_analysis analyse_questions translation_prompts rerank_overlap enrich_translations jsonl_chunks jsonl_rejects slug_lists chapter_numbers marker_slice newest_file
 numbered_questions tei_sections tei_alignment ocr_clean han_chunks greek_chunks union_of_works date_fields vector_points keyword_load field_statistics"""
 
 
@@ -269,6 +282,7 @@ def oracle_sql() -> dict[str, str]:
     uuid = _UUID.replace("'doc' || doc_id", "vec_id::VARCHAR")
     han = f"list_filter(list_transform(regexp_extract_all(translate(text, '.;?!', '。；？！'), '(?s)(.{{{S.han_chunk - 1},}}?[。；？！]|.+$)', 1), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10) || chr(12288))), lambda x: x <> '')"
     return {
+        "embed_documents": "SELECT doc_id, array_to_string(list_transform(range(97, 123), lambda c: length(t) - length(replace(t, chr(c::INT), ''))), ' ') AS vector FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
         "strip_think": "SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(13) || chr(10)) AS answer FROM conversations",
         "read_analysis": _READ_ANALYSIS,
         "analyse_questions": "SELECT item_id AS query_id, coalesce(nullif(trim(text), ''), text) AS expanded_query, 'en,de' AS traditions FROM benchmark",
