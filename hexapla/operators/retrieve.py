@@ -38,51 +38,61 @@ def ranked(df: DataFrame, k: int, score: str, by: tuple[str, ...] = ("query_id",
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.dense_k, per: str | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+#: Columns of queries that are filters of their own: one tradition, and bounds of date_approx, null where there is none.
+OWN = ("only", "date_from", "date_to")
+
+
+def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.dense_k, per: str | None = None, settings: Settings = DEFAULTS, own: bool = False) -> DataFrame:
     """(query_id, [per,] chunk_id, score, rank): exact cosine over every row of `corpus` (chunk_id, vector).
 
+    With `own`, each query also has the filters OWN, which are held against the rows' tradition and date_approx beside the products: one scan for
+    all filters. What all queries of a block rule out isn't read.
+
     Queries are taken in blocks of bounded size and broadcast; each Arrow batch is one matrix product and sends on
     at most k rows for each query (and value of `per`), so the shuffle carries candidates only. Vectors meet those of their
     own length; one that is null, empty, or holds nulls or non-finite numbers, on either side, meets none. A zero vector scores 0.
     """
     spark = corpus.sparkSession
     n = -(-queries.count() // settings.query_block) or 1
-    cols = ["chunk_id", "vector", *([per] if per else [])]
+    cols = list(dict.fromkeys(["chunk_id", "vector", *([per] if per else []), *(["tradition", "date_approx"] if own else [])]))
     group_type = corpus.schema[per].dataType.simpleString() if per else "string"
     id_type, query_type = corpus.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     kind = to_arrow_type(queries.schema["query_id"].dataType)
     schema = f"query_id {query_type}, chunk_id {id_type}, score double" + (f", grp {group_type}" if per else "")
     out = None
     for block in range(n):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).select("query_id", "vector").collect()
-        lengths: dict[int, tuple[list, list]] = {}
-        for r in own:
+        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).select("query_id", "vector", *(OWN if own else ())).collect()
+        lengths: dict[int, tuple[list, list, list]] = {}
+        for r in mine:
             if r.vector and None not in r.vector and np.isfinite(r.vector).all():
-                ids, vectors = lengths.setdefault(len(r.vector), ([], []))
+                ids, vectors, filters = lengths.setdefault(len(r.vector), ([], [], []))
                 ids.append(r.query_id)
                 vectors.append(r.vector)
-        asked = {d: (ids, v := np.array(vectors, np.float64), np.sqrt((v * v).sum(axis=1))) for d, (ids, vectors) in lengths.items()}
+                filters.append(tuple(r[2:]))
+        asked = {d: (ids, v := np.array(vectors, np.float64), np.sqrt((v * v).sum(axis=1)), filters) for d, (ids, vectors, filters) in lengths.items()}
         shared = spark.sparkContext.broadcast(asked)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.Table]:
             for batch in batches:
                 sizes = pa.compute.fill_null(pa.compute.list_value_length(batch["vector"]), 0).to_numpy(zero_copy_only=False)
-                for dim, (ids, matrix, norms) in shared.value.items():
+                for dim, (ids, matrix, norms, filters) in shared.value.items():
                     table = pa.Table.from_batches([batch]).take(pa.array(np.flatnonzero(sizes == dim)))
                     if table.num_rows:
                         v = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                         good = np.flatnonzero(np.isfinite(v).all(axis=1))
                         if len(good):
-                            yield from best(table.take(pa.array(good)), v[good], ids, matrix, norms).to_batches()
+                            yield from best(table.take(pa.array(good)), v[good], ids, matrix, norms, filters).to_batches()
 
-        def best(table: pa.Table, v: np.ndarray, ids: list, matrix: np.ndarray, norms: np.ndarray) -> pa.Table:
+        def best(table: pa.Table, v: np.ndarray, ids: list, matrix: np.ndarray, norms: np.ndarray, filters: list) -> pa.Table:
             length = np.sqrt((v * v).sum(axis=1))
             cosine = np.round(v @ matrix.T / np.maximum(length[:, None] * norms[None, :], 1e-300), DIGITS)
             groups = np.array(table[per].to_pylist(), object) if per else np.zeros(table.num_rows, int)
             rows, qs = [], []
+            allowed = _allowed(table, filters) if own else None
             for g in sorted(set(groups.tolist()), key=str):
-                at = np.flatnonzero(groups == g)
+                in_group = np.flatnonzero(groups == g)
                 for q in range(len(ids)):
+                    at = in_group if allowed is None else in_group[allowed[in_group, q]]
                     c = cosine[at, q]
                     # All ties of the k-th stay; the window settles them.
                     rows.append(at[c >= np.partition(c, len(c) - k)[len(c) - k]] if len(at) > k else at)
@@ -91,16 +101,45 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.dense_k,
             out = {"query_id": pa.array([ids[q] for q in qs], kind), "chunk_id": table["chunk_id"].take(pa.array(rows)), "score": pa.array(cosine[rows, qs])}
             return pa.table(out | ({"grp": table[per].take(pa.array(rows))} if per else {}))
 
-        part = corpus.where(F.col("vector").isNotNull()).select(*cols).mapInArrow(run, schema) if asked else spark.createDataFrame([], schema)
+        part = corpus.where(_some([f for _, _, _, filters in asked.values() for f in filters] if own else []) & F.col("vector").isNotNull()).select(*cols).mapInArrow(run, schema) if asked else spark.createDataFrame([], schema)
         out = part if out is None else out.unionByName(part)
     if per:
         out = out.withColumnRenamed("grp", per)
     return ranked(out, k, "score", ("query_id", per) if per else ("query_id",))
 
 
-def dense_and_floors(corpus: DataFrame, queries: DataFrame, per: str, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+def _allowed(table: pa.Table, filters: list[tuple]) -> np.ndarray:
+    """Rows x queries: which rows each query's filters let through; a null passes no filter on it."""
+    tradition = np.array(table["tradition"].to_pylist(), object)
+    date = np.array([np.nan if d is None else d for d in table["date_approx"].to_pylist()], np.float64)
+    out = np.ones((table.num_rows, len(filters)), bool)
+    for f in set(filters):
+        only, first, last = f
+        ok = np.ones(table.num_rows, bool) if only is None else tradition == only
+        if first is not None:
+            ok &= date >= first
+        if last is not None:
+            ok &= date <= last
+        out[:, [q for q, x in enumerate(filters) if x == f]] = ok[:, None]
+    return out
+
+
+def _some(filters: list[tuple]) -> Column:
+    """What at least one of the queries may let through, as the scan can use it."""
+    out = F.lit(True)
+    traditions, first, last = ([f[i] for f in filters] for i in range(3))
+    if filters and None not in traditions:
+        out &= F.col("tradition").isin(sorted(set(traditions)))
+    if filters and None not in first:
+        out &= F.col("date_approx") >= min(first)
+    if filters and None not in last:
+        out &= F.col("date_approx") <= max(last)
+    return out
+
+
+def dense_and_floors(corpus: DataFrame, queries: DataFrame, per: str, settings: Settings = DEFAULTS, own: bool = False) -> tuple[DataFrame, DataFrame]:
     """Top-k of all rows and of each value of `per`, from one scan: the best of all are among the best of each."""
-    each = dense_topk(corpus, queries, max(settings.dense_k, settings.floor_pool), per, settings)
+    each = dense_topk(corpus, queries, max(settings.dense_k, settings.floor_pool), per, settings, own)
     return ranked(each.drop("rank"), settings.dense_k, "score").drop(per), each.where(F.col("rank") <= settings.floor_pool)
 
 

@@ -68,24 +68,12 @@ def _allowed(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.join(_facets(queries), "query_id").where(ok).drop("traditions", "date_from", "date_to")
 
 
-def _dense(corpus: Corpus, queries: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame | None]:
-    """Filtered top-k and floor candidates. Queries with the same hard filter share one search; there are few."""
+def _dense(corpus: Corpus, queries: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Filtered top-k, and floor candidates of the queries with several traditions, from one scan whatever the filters are."""
     only = F.when(F.size("traditions") == 1, F.col("traditions")[0])
-    combos = [r.asDict() for r in _facets(queries).select(only.alias("only"), "date_from", "date_to").distinct().collect()]
-    dense = floors = None
-    for c in combos:
-        mine = queries.where(only.eqNullSafe(F.lit(c["only"])) & F.col("date_from").eqNullSafe(F.lit(c["date_from"]).cast("int")) & F.col("date_to").eqNullSafe(F.lit(c["date_to"]).cast("int")))
-        cond = retrieve.facets(traditions=[c["only"]] if c["only"] else None, date_from=c["date_from"], date_to=c["date_to"])
-        rows = corpus.chunks if cond is None else corpus.chunks.where(cond)
-        if c["only"] is None:
-            found, per = retrieve.dense_and_floors(rows, mine, "tradition", settings)
-            wanted = mine.select("query_id", F.posexplode("traditions").alias("floor_no", "tradition"))
-            per = per.join(wanted, ["query_id", "tradition"]).select("query_id", "chunk_id", "floor_no", "rank")
-            floors = per if floors is None else floors.unionByName(per)
-        else:
-            found = retrieve.dense_topk(rows, mine, settings.dense_k, settings=settings)
-        dense = found if dense is None else dense.unionByName(found)
-    return dense, floors
+    dense, per = retrieve.dense_and_floors(corpus.chunks, queries.withColumn("only", only), "tradition", settings, own=True)
+    wanted = queries.where(F.size("traditions") != 1).select("query_id", F.posexplode("traditions").alias("floor_no", "tradition"))
+    return dense, per.join(wanted, ["query_id", "tradition"]).select("query_id", "chunk_id", "floor_no", "rank")
 
 
 def keyword_scores(corpus: Corpus, queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
