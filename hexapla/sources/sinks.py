@@ -11,6 +11,7 @@ from hexapla.functions.ids import uuid5
 from hexapla.functions.lineage import ensure_checkpoint_dir
 from hexapla.functions.text import filled, slug
 from hexapla.operators.index import BUCKETS, FIELDS, Field, field_postings, fields_statistics
+from hexapla.sources.named_files import named_files
 
 
 def _files(spark: SparkSession, path: str):
@@ -138,8 +139,14 @@ def markdown(question: Column, started: Column, trace: Column, answer: Column) -
 
 
 def write_documents(rows: DataFrame, path: str) -> None:
-    """(name, document): one text file for each row, named so, in its own folder; for the answers of a batch."""
-    rows.select("name", F.col("document").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+    """(name, document): one Markdown file for each row, named so; for the answers of a batch."""
+    named_files(rows, path, ".md")
+
+
+def write_trace_files(traces: DataFrame, path: str) -> None:
+    """One file for each run (trace, question, started, and what else it has), named by its time, question and trace, with one JSON object."""
+    line = F.concat(F.to_json(F.struct(*traces.columns)), F.lit("\n"))
+    named_files(traces.select(trace_name(F.col("started"), F.col("question"), F.col("trace")).alias("name"), line.alias("document")), path, ".jsonl")
 
 
 #: Columns of a suite's summaries, in order.
@@ -177,7 +184,7 @@ def suite_totals(rows: DataFrame) -> DataFrame:
 def write_suite(rows: DataFrame, path: str) -> None:
     """A suite's folder: tab-separated and Markdown summaries, and a page for each question (columns answer, question besides)."""
     rows.select(*SUITE_COLUMNS).coalesce(1).sortWithinPartitions("n").write.mode("overwrite").csv(f"{path}/summary.tsv", sep="\t", header=True)  # one row per question
-    suite_table(rows).coalesce(1).write.mode("overwrite").text(f"{path}/summary.md")
+    write_documents(suite_table(rows).select(F.lit("summary").alias("name"), F.concat("value", F.lit("\n")).alias("document")), path)
     name = F.concat(F.lpad(F.col("n").cast("string"), 2, "0"), F.lit("_"), slug(F.col("id"), 40))
     write_documents(rows.select(name.alias("name"), suite_page(F.col("answer")).alias("document")), f"{path}/pages")
 

@@ -301,7 +301,8 @@ def test_suite_folder(spark, tmp_path):
     table = "\n".join(r.value for r in spark.read.text(str(tmp_path / "summary.md")).collect()).split("\n")
     assert table[0].startswith("| # | id | status") and table[2].startswith("| 1 | a | error | 0.1 |") and table[3] == "| 2 | b c | ok | 1.5 | x,y | 1,2 | true | 1 |"
     assert spark.read.csv(str(tmp_path / "summary.tsv"), sep="\t", header=True).columns == sinks.SUITE_COLUMNS
-    assert sorted(p.name for p in (tmp_path / "pages").iterdir() if p.is_dir()) == ["name=01_a", "name=02_b-c"]
+    pages = {p.name: p.read_text() for p in (tmp_path / "pages").iterdir()}
+    assert sorted(pages) == ["01_a.md", "02_b-c.md"] and pages["02_b-c.md"].startswith("# [b c] p\n\n**Q:** Q2") and pages["01_a.md"].endswith("(no answer)\n")
 
 
 def test_model_is_loaded_once_per_worker(spark, tmp_path):
