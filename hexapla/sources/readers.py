@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import copy
 import re
 import unicodedata
-import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -119,57 +118,162 @@ TEI_SKIPPED = frozenset("note bibl ref head gap milestone figure label teiHeader
 TEI_SECTIONS = ("div[@subtype='section']", "div[@type='textpart']", "div1[@type='section']", "div1", "div[@n]")
 
 
-def _local(root: ET.Element) -> ET.Element:
-    root = copy.deepcopy(root)
-    for e in root.iter():
-        if isinstance(e.tag, str):
-            e.tag = e.tag.rpartition("}")[2]
-    return root
-
-
-def _flat(e: ET.Element) -> Iterator[str]:
-    """Text of an element; a skipped child is passed over and its tail goes on with the text before it."""
-    now = e.text or ""
-    for child in e:
-        if child.tag in TEI_SKIPPED or not isinstance(child.tag, str):
-            now += child.tail or ""
-        else:
-            yield now
-            yield from _flat(child)
-            now = child.tail or ""
-    yield now
-
-
-def tei_sections(xml: str) -> list[tuple[str, str]]:
-    root = _local(ET.fromstring(xml))
-    body = root.find(".//body")
-    body = root if body is None else body
-    for path in TEI_SECTIONS:
-        found = body.findall(f".//{path}")
-        if found:
-            break
-    out = []
-    for s in found:
-        if not (s.get("n") or "").strip():
-            continue
-        text = unicodedata.normalize("NFC", " ".join(_flat(s))).replace("﻿", "").replace("​", "")
-        out.append((s.get("n").strip(), re.sub(r"\s+", " ", text).strip()))
-    return out
-
-
-def read_tei(files: DataFrame) -> DataFrame:
-    """(work, side, section_ref, ord, text) from (work, side, xml): sections with text, the first of each number."""
+def _kinds(tag: str, attributes: dict[str, str]) -> list[bool]:
+    """Which of TEI_SECTIONS an element is."""
+    return [tag == "div" and attributes.get("subtype") == "section", tag == "div" and attributes.get("type") == "textpart", tag == "div1" and attributes.get("type") == "section", tag == "div1", tag == "div" and "n" in attributes]
+
+
+class _Walk:
+    """One pass over a document's events, whatever its size; nothing but the text of open sections is held."""
+
+    def __init__(self, xml: str | bytes):
+        self.depth, self.body = 0, 0  # depth of the first body element below the root, once it is open
+        self.had_body = False
+        # Names without their namespaces; declared encodings count for bytes only.
+        self.parser = expat.ParserCreate("utf-8" if isinstance(xml, str) else None, "}")
+        self.parser.StartElementHandler, self.parser.EndElementHandler = self._start, self._end
+        self.parser.SkippedEntityHandler = self._entity
+        self.xml = xml
+
+    def _entity(self, name: str, is_parameter: bool) -> None:
+        if not is_parameter:
+            raise ValueError(f"undefined entity &{name};")
+
+    def _start(self, name: str, attributes: dict[str, str]) -> None:
+        tag, self.depth = name.rpartition("}")[2], self.depth + 1
+        self.start(tag, attributes)
+        if tag == "body" and self.depth > 1 and not self.had_body:
+            self.body, self.had_body = self.depth, True
+
+    def _end(self, name: str) -> None:
+        if self.body == self.depth:
+            self.body = 0
+        self.end(name.rpartition("}")[2])
+        self.depth -= 1
+
+    def steps(self, size: int = 1 << 20) -> Iterator[None]:
+        for a in range(0, len(self.xml), size):
+            part = self.xml[a : a + size]
+            self.parser.Parse(part.encode() if isinstance(part, str) else part, False)
+            yield
+        self.parser.Parse(b"", True)
+        yield
+
+
+class _Count(_Walk):
+    """Numbers of elements of each kind in the body and in all."""
+
+    def __init__(self, xml: str | bytes):
+        self.inside, self.all = [0] * len(TEI_SECTIONS), [0] * len(TEI_SECTIONS)
+        super().__init__(xml)
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        if self.depth > 1:
+            for i, hit in enumerate(_kinds(tag, attributes)):
+                self.all[i] += hit
+                self.inside[i] += hit and self.body > 0
+
+    def end(self, tag: str) -> None:
+        pass
+
+
+class _Sections(_Walk):
+    """Sections of one kind as their elements end: (ord, n, text). A skipped child's content goes, and what follows it continues the text before."""
+
+    def __init__(self, xml: str | bytes, kind: int, in_body: bool):
+        self.kind, self.in_body = kind, in_body
+        self.open: list[dict] = []
+        self.done: list[tuple[int, str, str]] = []
+        self.n = 0
+        super().__init__(xml)
+        self.parser.CharacterDataHandler = self._text
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        for s in self.open:
+            if s["skip"] or tag in TEI_SKIPPED:
+                s["skip"] += 1
+            else:
+                s["text"].append(" ")
+        if self.depth > 1 and (self.body or not self.in_body) and _kinds(tag, attributes)[self.kind] and (n := (attributes.get("n") or "").strip()):
+            self.open.append({"depth": self.depth, "ord": self.n, "n": n, "skip": 0, "text": []})
+            self.n += 1
+
+    def _text(self, data: str) -> None:
+        for s in self.open:
+            if not s["skip"]:
+                s["text"].append(data)
+
+    def end(self, tag: str) -> None:
+        if self.open and self.open[-1]["depth"] == self.depth:
+            s = self.open.pop()
+            text = unicodedata.normalize("NFC", "".join(s["text"])).translate({0xFEFF: None, 0x200B: None})
+            self.done.append((s["ord"], s["n"], re.sub(r"\s+", " ", text).strip()))
+        for s in self.open:
+            if s["skip"]:
+                s["skip"] -= 1
+            else:
+                s["text"].append(" ")
+
+
+def tei_sections(xml: str | bytes) -> Iterator[tuple[int, str, str]]:
+    """(ord, n, text) of the numbered sections, of the first of TEI_SECTIONS that the body (the whole, if there is none) has, as
+    they end. The first pass finds which that is, and whether the document is well-formed at all."""
+    count = _Count(xml)
+    for _ in count.steps():
+        pass
+    found = count.inside if count.had_body else count.all
+    kind = next((i for i, n in enumerate(found) if n), None)
+    if kind is None:
+        return
+    walk = _Sections(xml, kind, count.had_body)
+    for _ in walk.steps():
+        yield from walk.done
+        walk.done.clear()
+
+
+def parse_tei(files: DataFrame) -> DataFrame:
+    """(work, side, section_ref, ord, text, error) from (work, side, xml: string or binary): every numbered section with text, or a row with the error of a
+    file that isn't well-formed or is null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["work", "side", "section_ref", "ord", "text", "error"]
         for b in batches:
-            rows = [(w, s, n, i, t) for w, s, x in zip(b["work"], b["side"], b["xml"], strict=True) for i, (n, t) in enumerate(tei_sections(x)) if t]
-            yield pd.DataFrame(rows, columns=["work", "side", "section_ref", "ord", "text"])
+            rows: list[tuple] = []
+            for work, side, xml in zip(b["work"], b["side"], b["xml"], strict=True):
+                try:
+                    if xml is None:
+                        raise ValueError("no content")
+                    for i, n, text in tei_sections(xml):
+                        if text:
+                            rows.append((work, side, n, i, text, None))
+                        if len(rows) >= 1000:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+                except (expat.ExpatError, ValueError) as e:
+                    rows.append((work, side, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=columns)
+
+    return files.select("work", "side", "xml").mapInPandas(run, "work string, side string, section_ref string, ord int, text string, error string")
 
-    rows = files.select("work", "side", "xml").mapInPandas(run, "work string, side string, section_ref string, ord int, text string")
+
+def read_tei(files: DataFrame) -> DataFrame:
+    """(work, side, section_ref, ord, text): sections with text, the first of each number; files that don't parse give none (see tei_rejects)."""
     w = Window.partitionBy("work", "side", "section_ref").orderBy("ord")
+    rows = parse_tei(files).where("error IS NULL").drop("error")
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def tei_rejects(files: DataFrame) -> DataFrame:
+    """(work, side, error) of the files that don't parse."""
+    return parse_tei(files).where("error IS NOT NULL").select("work", "side", "error")
+
+
+def tei_files(spark: SparkSession, path: str, side: str) -> DataFrame:
+    """(work, side, xml) of a folder of files, their bytes as they are; the work is the file's name without its end."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]*)\.xml$", 1).alias("work"), F.lit(side).alias("side"), F.col("content").alias("xml"))
+
+
 def align(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Left rows with the right side's text as text_translation, '' where it has none."""
     other = right.select(*on, F.col("text").alias("text_translation"), F.lit(True).alias("_hit"))
