@@ -86,42 +86,67 @@ def stem(w: str) -> str:
     return w
 
 
-def english(text: Column) -> Column:
-    """Standard words without possessives and stop words, stemmed."""
+def english_words(text: Column) -> Column:
+    """Standard words without possessives and stop words, not yet stemmed."""
     stops = StopWordsRemover.loadDefaultStopWords("english")
     bare = F.regexp_replace(F.lower(text), r"['’]s\b", "")
+    return F.filter(F.regexp_extract_all(bare, F.lit(WORD), 0), lambda w: ~w.isin(stops))
+
+
+def english(text: Column) -> Column:
+    """Standard words without possessives and stop words, stemmed."""
 
     @F.pandas_udf("array<string>")
     def stems(s: pd.Series) -> pd.Series:
         return s.map(lambda ws: None if ws is None else [stem(w) for w in ws])
 
-    words = F.filter(F.regexp_extract_all(bare, F.lit(WORD), 0), lambda w: ~w.isin(stops))
-    return stems(words)
+    return stems(english_words(text))
+
+
+def stem_dictionary(words: DataFrame) -> DataFrame:
+    """(term, stem) of the distinct values of `term`: each word is stemmed once, however often it occurs."""
+
+    @F.pandas_udf("string")
+    def stems(s: pd.Series) -> pd.Series:
+        return s.map(stem)
+
+    return words.select("term").distinct().withColumn("stem", stems("term"))
 
 
 @dataclass(frozen=True)
 class Field:
-    """How a field is searched: its column, its analyzer and its boost."""
+    """How a field is searched: its column, its analyzer and its boost. `words`: what the analyzer stems, for analyzers that do;
+    postings then take the stems from a dictionary of the distinct words."""
 
     name: str
     column: str
     analyzer: Callable[[Column], Column]
     boost: float = 1.0
+    words: Callable[[Column], Column] | None = None
 
 
 #: The searchable fields of a chunk; other columns are kept whole and filtered on.
-FIELDS = (Field("translation", "text_translation", english, 2.0), Field("text", "text", standard), Field("section", "section", standard))
+FIELDS = (Field("translation", "text_translation", english, 2.0, english_words), Field("text", "text", standard), Field("section", "section", standard))
 
 
 def _analyzed(docs: DataFrame, fields: Iterable[Field]) -> DataFrame:
-    each = [F.struct(F.lit(f.name).alias("field"), f.analyzer(F.col(f.column)).alias("terms")) for f in fields]
+    """Terms of each field, of those with `words` before they are stemmed: their number is the same."""
+    each = [F.struct(F.lit(f.name).alias("field"), (f.words or f.analyzer)(F.col(f.column)).alias("terms")) for f in fields]
     return docs.select("chunk_id", F.explode(F.array(*each)).alias("f")).select("chunk_id", "f.field", "f.terms").where(F.size("terms") > 0)
 
 
 def field_postings(docs: DataFrame, fields: Iterable[Field] = FIELDS) -> DataFrame:
     """(field, chunk_id, term, tf, dl) of all fields, from one pass over the texts."""
+    fields = tuple(fields)
     one = _analyzed(docs, fields).select("field", "chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return one.groupBy("field", "chunk_id", "dl", "term").agg(F.count("*").alias("tf")).select("field", "chunk_id", "term", "tf", "dl")
+    found = one.groupBy("field", "chunk_id", "dl", "term").agg(F.count("*").alias("tf")).select("field", "chunk_id", "term", "tf", "dl")
+    stemmed = [f.name for f in fields if f.words]
+    if not stemmed:
+        return found
+    # Words of a text are counted before they meet the dictionary, which is joined as its size allows.
+    words = found.where(F.col("field").isin(stemmed))
+    met = words.join(stem_dictionary(words), "term").groupBy("field", "chunk_id", "dl", "stem").agg(F.sum("tf").alias("tf"))
+    return found.where(~F.col("field").isin(stemmed)).unionByName(met.select("field", "chunk_id", F.col("stem").alias("term"), "tf", "dl"))
 
 
 def fields_statistics(docs: DataFrame, fields: Iterable[Field] = FIELDS) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,23 +12,25 @@ from hexapla.config import ANALYSIS, DEFAULTS, Settings
 from hexapla.functions.ids import trace_id
 from hexapla.functions.lineage import cut
 from hexapla.functions.text import parsed, rerank_text, strip_think
-from hexapla.operators import cite, index, retrieve, select
+from hexapla.operators import blocks, cite, index, retrieve, select
 from hexapla.operators.index import FIELDS, Field
 from hexapla.operators.providers import Providers
 from hexapla.plans import prompts
 from hexapla.sources import sinks
 
+_EVERY = 1 << 31
 NOTHING_FOUND = "No passage in the corpus bears on this question."
 
 
 @dataclass
 class Corpus:
-    """Chunks (chunk_id, tradition, source_text, text, text_translation, vector, ...) and their keyword index."""
+    """Chunks (chunk_id, tradition, source_text, text, text_translation, vector, ...) and their keyword index: postings, or a folder of blocks."""
 
     chunks: DataFrame
-    postings: DataFrame
-    stats: DataFrame
+    postings: DataFrame | None
+    stats: DataFrame | None
     fields: tuple[Field, ...] = FIELDS
+    blocks: str | None = None
 
 
 def build(chunks: DataFrame, fields: Iterable[Field] = FIELDS) -> Corpus:
@@ -41,6 +44,11 @@ def stored(chunks: DataFrame, path: str, fields: Iterable[Field] = FIELDS) -> Co
     return Corpus(chunks, *sinks.read_index(chunks.sparkSession, path), tuple(fields))
 
 
+def in_blocks(chunks: DataFrame, path: str, fields: Iterable[Field] = FIELDS) -> Corpus:
+    """With the index in blocks that blocks.write has left at `path`; keyword searches then skip what can't be among the best."""
+    return Corpus(chunks, None, None, tuple(fields), path)
+
+
 def analyse(questions: DataFrame, providers: Providers, traditions: list[str], languages: list[str] | None = None) -> DataFrame:
     """Adds expanded_query, medical_concepts, traditions, relevant_languages and date bounds; what a missing, null or unreadable
     answer leaves out is the question itself, no concepts, all traditions, all languages and no bounds."""
@@ -87,13 +95,26 @@ def keyword_scores(corpus: Corpus, queries: DataFrame, settings: Settings = DEFA
     return out
 
 
+def keyword_top(corpus: Corpus, queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the best rows by their best boosted field."""
+    if corpus.blocks is None:
+        scores = retrieve.best_field(keyword_scores(corpus, queries, settings), settings, corpus.fields)
+    else:
+        each = [queries.select("query_id", F.lit(f.name).alias("field"), F.explode(F.array_distinct(f.analyzer(F.col("expanded_query")))).alias("term")) for f in corpus.fields]
+        # A filter rules out rows only after they are scored, so all are asked for.
+        found = blocks.search(queries.sparkSession, corpus.blocks, reduce(DataFrame.unionByName, each), _EVERY if settings.filter_sparse else settings.sparse_k, corpus.fields, settings=settings)[0]
+        if not settings.filter_sparse:
+            return found
+        scores = found.drop("rank")
+    if settings.filter_sparse:
+        scores = _allowed(scores.join(corpus.chunks.select("chunk_id", "tradition", "date_approx"), "chunk_id"), queries).select("query_id", "chunk_id", "score")
+    return retrieve.ranked(scores, settings.sparse_k, "score")
+
+
 def search(corpus: Corpus, queries: DataFrame, providers: Providers, settings: Settings = DEFAULTS) -> DataFrame:
     """Selected chunks of every query (query_id, text, expanded_query, traditions, date_from, date_to, vector), source_n in order."""
     dense, floors = _dense(corpus, queries, settings)
-    scores = retrieve.best_field(keyword_scores(corpus, queries, settings), settings, corpus.fields)
-    if settings.filter_sparse:
-        scores = _allowed(scores.join(corpus.chunks.select("chunk_id", "tradition", "date_approx"), "chunk_id"), queries).select("query_id", "chunk_id", "score")
-    sparse = retrieve.ranked(scores, settings.sparse_k, "score")
+    sparse = keyword_top(corpus, queries, settings)
     fused = cut(retrieve.fuse(dense, sparse, settings))
     pooled = retrieve.pool(fused, floors, settings).join(fused.select("query_id", "chunk_id", "rrf"), ["query_id", "chunk_id"], "left")
     full = pooled.join(corpus.chunks.drop("vector"), "chunk_id").join(queries.select("query_id", F.col("text").alias("question"), "traditions"), "query_id")

@@ -31,12 +31,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def replace_table(rows: DataFrame, path: str, fmt: str = "parquet", partition_by: Iterable[str] = ()) -> None:
+def replace_table(rows: DataFrame, path: str, fmt: str = "parquet", partition_by: Iterable[str] = (), **options: str) -> None:
     """Whole replacement: written aside first, then swapped by renames, so a job that fails leaves the old table. `rows` may read the
     old table. The old one goes last; between the renames a reader finds no table, never a part of one."""
     spark = rows.sparkSession
     mark = uuid.uuid4().hex
-    rows.write.format(fmt).partitionBy(*partition_by).save(f"{path}.new-{mark}")
+    rows.write.format(fmt).options(**options).partitionBy(*partition_by).save(f"{path}.new-{mark}")
     fs, at = _files(spark, path)
     new, old = (_files(spark, f"{path}.{k}-{mark}")[1] for k in ("new", "old"))
     had = fs.exists(at)
@@ -65,14 +65,22 @@ def points(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("vector").isNotNull()).withColumn("point_id", uuid5(F.col("chunk_id").cast("string")))
 
 
-def write_points(chunks: DataFrame, path: str) -> None:
-    """Vectors with payload by tradition and sorted by date, so that filters skip files; rows that are there already and
-    aren't given anew stay, as ids say which they are."""
+#: Fields with an index of their own beside the partitions and the order of dates: Bloom filters, by which readers skip row groups.
+INDEXED = ("language", "source_text", "chapter_num")
+
+
+def point_options(columns: Iterable[str]) -> dict[str, str]:
+    return {f"parquet.bloom.filter.{k}#{c}": v for c in INDEXED if c in set(columns) for k, v in (("enabled", "true"), ("expected.ndv", "20000"))}
+
+
+def write_points(chunks: DataFrame, path: str, **options: str) -> None:
+    """Vectors with payload by tradition and sorted by date, so that filters skip files, with Bloom filters on INDEXED; rows that are there already and
+    aren't given anew stay, as ids say which they are. `options` are the Parquet writer's."""
     spark, new = chunks.sparkSession, points(chunks)
     if exists(spark, path):
         new = new.unionByName(spark.read.parquet(path).join(new.select("point_id"), "point_id", "left_anti"), allowMissingColumns=True)
     dealt = new.repartition("tradition", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).sortWithinPartitions("tradition", "date_approx")
-    replace_table(dealt, path, partition_by=["tradition"])
+    replace_table(dealt, path, partition_by=["tradition"], **point_options(dealt.columns) | options)
 
 
 def loadable(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
