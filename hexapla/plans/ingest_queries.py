@@ -41,6 +41,13 @@ def embed_documents(spark, sf_dir):
     return rows.select("doc_id", F.array_join(F.transform("vector", lambda x: x.cast("long").cast("string")), " ").alias("vector"))
 
 
+def embed_questions(spark, sf_dir):
+    """Every question embedded by a model of single texts."""
+    vector = Providers(embed=lambda t: letter_counts([t])[0]).embedding(F.col("text"))
+    rows = _t(spark, sf_dir, "benchmark").select("item_id", vector.alias("vector"))
+    return rows.select("item_id", F.array_join(F.transform("vector", lambda x: x.cast("long").cast("string")), " ").alias("vector"))
+
+
 # --- model answers ------------------------------------------------------------------------------------------------
 def strip_think(spark, sf_dir):
     """Conversation turns with reasoning around them: closed, left open at the start, twice, none."""
@@ -268,10 +275,20 @@ _WORDS = "regexp_extract_all(lower(%s), '\\p{Han}|[\\p{L}\\p{N}]+')"
 _FLAT = "trim(regexp_replace(%s, '\\s+', ' ', 'g'))"
 _TEI_SQL = f"""s AS (SELECT doc_id::VARCHAR AS work, '1' AS section_ref, {_FLAT % "nfc_normalize(text || ' tail')"} AS text, CASE WHEN doc_id % 3 > 0 THEN 'English ' || doc_id ELSE '' END AS text_translation, doc_id % 3 > 0 AS aligned FROM documents
   UNION ALL SELECT doc_id::VARCHAR, '2', source || ' ' || lang, 'second', true FROM documents)"""
-_NAMES = """embed_documents strip_think read_analysis analyse_questions translation_prompts rerank_overlap enrich_translations jsonl_chunks jsonl_rejects slug_lists chapter_numbers marker_slice newest_file
+_NAMES = """embed_documents embed_questions jsonl_strict strip_think read_analysis analyse_questions translation_prompts rerank_overlap enrich_translations jsonl_chunks jsonl_rejects slug_lists chapter_numbers marker_slice newest_file
 numbered_questions tei_sections tei_alignment ocr_clean han_chunks greek_chunks union_of_works date_fields vector_points keyword_load field_statistics"""
 
 
+def jsonl_strict(spark, sf_dir):
+    """Documents written as JSON lines, with blank lines among them, and read back strictly."""
+    d = _t(spark, sf_dir, "documents")
+    line = F.to_json(F.struct(F.concat(F.lit("d"), "doc_id").alias("chunk_id"), F.col("lang").alias("language"), F.col("n_chars").cast("int").alias("char_count"), "text"))
+    path = sinks.shared_folder(spark, "jsonl")
+    d.select(F.explode(F.array(line, F.lit(" "))).alias("value")).write.text(path)
+    rows, _ = readers.read_chunks(spark, path, strict=True)
+    return rows.select("chunk_id", "language", "char_count", F.char_length("text").alias("n"))
+
+
 def queries() -> dict:
     return {n: globals()[n] for n in _NAMES.split()}
 
@@ -283,6 +300,8 @@ def oracle_sql() -> dict[str, str]:
     han = f"list_filter(list_transform(regexp_extract_all(translate(text, '.;?!', '。；？！'), '(?s)(.{{{S.han_chunk - 1},}}?[。；？！]|.+$)', 1), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10) || chr(12288))), lambda x: x <> '')"
     return {
         "embed_documents": "SELECT doc_id, array_to_string(list_transform(range(97, 123), lambda c: length(t) - length(replace(t, chr(c::INT), ''))), ' ') AS vector FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
+        "embed_questions": "SELECT item_id, array_to_string(list_transform(range(97, 123), lambda c: length(text) - length(replace(text, chr(c::INT), ''))), ' ') AS vector FROM benchmark",
+        "jsonl_strict": "SELECT 'd' || doc_id AS chunk_id, lang AS language, n_chars::INT AS char_count, length(text)::INT AS n FROM documents WHERE trim(text) <> ''",
         "strip_think": "SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(13) || chr(10)) AS answer FROM conversations",
         "read_analysis": _READ_ANALYSIS,
         "analyse_questions": "SELECT item_id AS query_id, coalesce(nullif(trim(text), ''), text) AS expanded_query, 'en,de' AS traditions FROM benchmark",

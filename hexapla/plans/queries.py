@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hexapla.config import DEFAULTS as S
@@ -136,6 +138,15 @@ def bm25_blocks_topk(spark, sf_dir):
     return blocks.search(spark, path, terms)[0]
 
 
+def bm25_filtered_topk(spark, sf_dir):
+    """Keyword search under each question's own filters: one language for every other question, and a least length for all."""
+    fields = (index.Field("text", "text", index.standard),)
+    built = answer.build(corpus(spark, sf_dir).select("chunk_id", "text", "tradition", "date_approx"), fields)
+    only = F.when(F.col("item_id") % 2 == 0, F.array(F.lit("en"))).otherwise(F.array(F.lit("de"), F.lit("fr")))
+    asked_for = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("expanded_query"), only.alias("traditions"), F.lit(500).alias("date_from"), F.lit(None).cast("int").alias("date_to"))
+    return answer.keyword_top(built, asked_for, replace(S, filter_sparse=True))
+
+
 # --- dense --------------------------------------------------------------------------------------------------------
 def dense_topk(spark, sf_dir):
     return retrieve.dense_topk(corpus(spark, sf_dir), asked(spark, sf_dir))
@@ -246,7 +257,7 @@ def flagship(spark, sf_dir):
 
 
 _NAMES = """normalize_text chunk_sentences chunk_with_ids slugify clip_text point_id_uuid5 parse_int_ref embedding_text align_left_join alignment_rate
-missing_enrichment reconcile_counts question_source postings_stats bm25_topk bm25_best_fields bm25_blocks_topk dense_topk dense_topk_filtered dense_topk_per_lang vector_cells_topk
+missing_enrichment reconcile_counts question_source postings_stats bm25_topk bm25_best_fields bm25_blocks_topk bm25_filtered_topk dense_topk dense_topk_filtered dense_topk_per_lang vector_cells_topk
 rrf_fusion rerank_pool dedup_collapse diversified_select resolve_markers citation_status format_citation suite_summary html_pre_extract hybrid_answer"""
 
 
@@ -341,6 +352,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_topk": f"WITH {_C}, {_bm25_sql(_TEXT)} {_TOP}",
         "bm25_best_fields": f"WITH {_C}, {_bm25_sql({**_TEXT, 'translation': ('source_text', 2.0)})} {_TOP}",
         "bm25_blocks_topk": f"WITH {_C}, {_bm25_sql(_TEXT)} {_TOP}",
+        "bm25_filtered_topk": f"WITH {_C}, {_bm25_sql(_TEXT)}, allowed AS (SELECT s.* FROM scores s JOIN corpus c ON s.chunk_id = c.chunk_id WHERE (query_id % 2 = 1 OR c.tradition = 'en') AND c.date_approx >= 500) {_TOP.replace('FROM scores', 'FROM allowed')}",
         "dense_topk": f"WITH {_C}, {_Q} {_dense_sql()}",
         "dense_topk_filtered": f"WITH {_C}, {_Q} {_dense_sql(where="c.tradition = 'en' AND c.date_approx BETWEEN 500 AND 5000")}",
         "dense_topk_per_lang": f"WITH {_C}, {_Q} {_dense_sql(per='tradition,', k=S.floor_pool)}",
