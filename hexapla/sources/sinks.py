@@ -14,13 +14,14 @@ from hexapla.operators.index import BUCKETS, FIELDS, Field, field_postings, fiel
 from hexapla.sources.named_files import named_files
 
 
-def _files(spark: SparkSession, path: str):
+def hadoop_files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, where = _files(spark, path)
+    fs, where = hadoop_files(spark, path)
     return fs.exists(where)
 
 
@@ -37,8 +38,8 @@ def replace_table(rows: DataFrame, path: str, fmt: str = "parquet", partition_by
     spark = rows.sparkSession
     mark = uuid.uuid4().hex
     rows.write.format(fmt).options(**options).partitionBy(*partition_by).save(f"{path}.new-{mark}")
-    fs, at = _files(spark, path)
-    new, old = (_files(spark, f"{path}.{k}-{mark}")[1] for k in ("new", "old"))
+    fs, at = hadoop_files(spark, path)
+    new, old = (hadoop_files(spark, f"{path}.{k}-{mark}")[1] for k in ("new", "old"))
     had = fs.exists(at)
     if had and not fs.rename(at, old) or not fs.rename(new, at):
         if had and not fs.exists(at):
