@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -36,16 +37,19 @@ class NamedFilesWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]):
         self.path, self.suffix = options["path"].rstrip("/"), options.get("suffix", "")
         self.staged = f"_staged-{uuid.uuid4().hex}"
+        store, root = _open(self.path)
+        # Made here, once: a task that outlives the job's failure finds it gone and writes nothing.
+        store.create_dir(f"{root}/{self.staged}", recursive=True)
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         store, root = _open(self.path)
         own = f"{root}/{self.staged}/{uuid.uuid4().hex}"
+        store.create_dir(own, recursive=False)
         files = []
         for row in iterator:
             name = row["name"]
             if not name or "/" in name or name.startswith((".", "_")):
                 raise ValueError(f"not a file's name: {name!r}")
-            store.create_dir(own, recursive=True)
             at = f"{own}/{len(files)}"
             with store.open_output_stream(at) as out:
                 out.write((row["document"] or "").encode())
@@ -70,8 +74,11 @@ class NamedFilesWriter(DataSourceWriter):
         self._sweep(*_open(self.path))
 
     def _sweep(self, store: fs.FileSystem, root: str) -> None:
-        if store.get_file_info(f"{root}/{self.staged}").type == fs.FileType.Directory:
-            store.delete_dir(f"{root}/{self.staged}")
+        for _ in range(5):  # a task may add a file while its folder goes
+            if store.get_file_info(f"{root}/{self.staged}").type != fs.FileType.Directory:
+                break
+            with suppress(OSError):
+                store.delete_dir(f"{root}/{self.staged}")
 
 
 class NamedFiles(DataSource):
