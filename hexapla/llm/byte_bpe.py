@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hexapla.llm.common import map_arrow
 
-CACHE_ENTRIES, CACHED_LENGTH = 450_000, 48
+CACHE_ENTRIES, CACHED_LENGTH = 350_000, 48
 #: Two bitmap levels of 256 bits hold 65,536 ranks; a larger vocabulary only widens the upper one.
 WIDTH = 8
 MASK = (1 << WIDTH) - 1
@@ -109,24 +109,29 @@ class Codec:
         self.tokens = {v: k for k, v in self.ranks.items()}
         # White space as the tiktoken library has it, without U+001C to U+001F.
         self.split = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.young: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers, a third of a list's memory
+        self.old: dict[str, bytes] = {}
 
-    def _missing(self, piece: str) -> list[int]:
+    def _missing(self, piece: str) -> bytes:
         if (ids := self.old.get(piece)) is None:
-            ids = merge(piece.encode(), self.ranks)
+            found = merge(piece.encode(), self.ranks)
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= CACHED_LENGTH:
             if len(self.young) >= CACHE_ENTRIES:
                 self.old, self.young = self.young, {}
             self.young[piece] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         pieces = self.split(text)
         found = list(map(self.young.get, pieces))
         if None in found:
             found = [self.young.get(p) or self._missing(p) if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
-        return list(chain.from_iterable(found))
+        return b"".join(found)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -168,10 +173,10 @@ def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         codec = _codec(shared.value, pattern)
         n, ids_sha, decoded_sha = [], [], []
         for scalar in batch.column("text"):
-            ids = codec.encode(scalar.as_py() or "")
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-            decoded_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            ids = codec.packed(scalar.as_py() or "")
+            n.append(len(ids) // 4)
+            ids_sha.append(hashlib.sha256(ids).hexdigest())
+            decoded_sha.append(hashlib.sha256(codec.decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
