@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,6 +49,13 @@ def give_back() -> None:
         trim(0)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect what no plan refers to any more: Spark deletes shuffle files and checkpoints of past rounds only when their handles are collected, and
+    a driver with memory to spare may not do so for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def binary_rows(matrix: np.ndarray) -> pa.Array:
     """A matrix as one binary value a row, without a copy for each."""
     matrix = np.ascontiguousarray(matrix)
@@ -84,13 +92,14 @@ def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int) ->
     return rows.join(many, on).unionByName(rows.join(many.select(*on), on, "left_anti").join(few, on))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, tidy: bool = False) -> DataFrame:
     """(node, component) for every node of `edges` (u, v: long); component is its smallest reachable node.
 
     Alternates large-star and small-star steps until the edge set is a forest of stars. Only minima are
     aggregated, with map-side combine, and the joins that carry them back can be split when a node is hot;
     no task holds the neighbours of one node. The number of steps is about the square of the logarithm of the longest
     path, and there is no limit to it: every step but the last lowers some node's neighbour. Self-loops keep their node as a component of its own.
+    `tidy`: the files of a round go with it (see let_go).
     """
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     pairs = cut(pairs)
@@ -107,6 +116,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
         pairs = cut(small)
+        if tidy:
+            del both, low, large, small
+            let_go(pairs.sparkSession)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hexapla.llm.common import connected_components, cut, doc_groups, map_arrow, spread_join, utf8_buffer
+from hexapla.llm.common import connected_components, cut, doc_groups, let_go, map_arrow, spread_join, utf8_buffer
 from hexapla.llm.words import labelled, mix, shingles, word_hashes
 
 SHINGLE, MIN_SIMILARITY = 5, 0.8
@@ -170,6 +170,7 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).join(involved, "doc", "left_semi")
     whole = cut(whole)
     found = cut(_verified(pairs, whole).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    let_go(found.sparkSession)
     if grouped.head(1):
         found = found.unionByName(_across_components(found, grouped, whole))
     return found, texts.select("fp", "rep", "n")
@@ -222,13 +223,14 @@ def _across_components(found: DataFrame, grouped: DataFrame, texts: DataFrame) -
         return pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text"), pa.array(minima, pa.binary())], ["doc", "text", "minima"])
 
     large = grouped.groupBy("doc").agg(F.collect_list(F.struct("k", "value")).alias("large"))  # SKETCHES at most
-    component = connected_components(found).withColumnRenamed("node", "doc")
+    component = connected_components(found, tidy=True).withColumnRenamed("node", "doc")
     members = cut(grouped.join(component, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
     held = members.groupBy("k", "value", "component").agg(F.count("*").alias("m"))
     most = held.groupBy("k", "value").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.sum("m").alias("n"), F.max("m").alias("top")).where("top < n").drop("top")
     open_members = cut(spread_join(members.drop("n"), cut(most), ["k", "value"], members.count()))
     wanted = texts.join(open_members.select("doc").distinct(), "doc", "left_semi").select("doc", "text")
     known = cut(map_arrow(wanted, run, "doc long, text string, minima binary").join(large, "doc"))
+    let_go(known.sparkSession)
     # Every block of askers meets every block of the group in a task of its own, whatever the group's size and that of its texts.
     bytes_of = known.groupBy("doc").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"))
     needed = lambda number, size: F.greatest(F.ceil(number / MEMBERS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
@@ -257,7 +259,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # A doc_id with several texts links them; other copies share their text's class and are no nodes.
     several = worded.groupBy("doc_id").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first <> last").select("doc_id")
     held = worded.join(several, "doc_id", "left_semi").distinct().join(texts, "fp").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    parts = connected_components(found.unionByName(held))
+    parts = connected_components(found.unionByName(held), tidy=True)
     own = cut(texts.join(parts, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "rep").alias("class_id")))
     rows = spread_join(worded, own, ["fp"], worded.count()).select("doc_id", "class_id")
     return rows.unionByName(sketched.where("fp IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))).groupBy("doc_id").agg(F.coalesce(F.min("class_id"), F.col("doc_id")).alias("class_id"))
