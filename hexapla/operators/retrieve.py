@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from hexapla.config import DEFAULTS, Settings
+from hexapla.functions.lineage import cut
 from hexapla.operators.index import BUCKETS, FIELDS, Field
 
 DIGITS = 6
@@ -88,11 +89,11 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.dense_k,
             cosine = np.round(v @ matrix.T / np.maximum(length[:, None] * norms[None, :], 1e-300), DIGITS)
             groups = np.array(table[per].to_pylist(), object) if per else np.zeros(table.num_rows, int)
             rows, qs = [], []
-            allowed = _allowed(table, filters) if own else None
+            ok = allowed(table, filters) if own else None
             for g in sorted(set(groups.tolist()), key=str):
                 in_group = np.flatnonzero(groups == g)
                 for q in range(len(ids)):
-                    at = in_group if allowed is None else in_group[allowed[in_group, q]]
+                    at = in_group if ok is None else in_group[ok[in_group, q]]
                     c = cosine[at, q]
                     # All ties of the k-th stay; the window settles them.
                     rows.append(at[c >= np.partition(c, len(c) - k)[len(c) - k]] if len(at) > k else at)
@@ -108,7 +109,7 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = DEFAULTS.dense_k,
     return ranked(out, k, "score", ("query_id", per) if per else ("query_id",))
 
 
-def _allowed(table: pa.Table, filters: list[tuple]) -> np.ndarray:
+def allowed(table: pa.Table, filters: list[tuple]) -> np.ndarray:
     """Rows x queries: which rows each query's filters let through; a null passes no filter on it."""
     tradition = np.array(table["tradition"].to_pylist(), object)
     date = np.array([np.nan if d is None else d for d in table["date_approx"].to_pylist()], np.float64)
@@ -139,7 +140,7 @@ def _some(filters: list[tuple]) -> Column:
 
 def dense_and_floors(corpus: DataFrame, queries: DataFrame, per: str, settings: Settings = DEFAULTS, own: bool = False) -> tuple[DataFrame, DataFrame]:
     """Top-k of all rows and of each value of `per`, from one scan: the best of all are among the best of each."""
-    each = dense_topk(corpus, queries, max(settings.dense_k, settings.floor_pool), per, settings, own)
+    each = cut(dense_topk(corpus, queries, max(settings.dense_k, settings.floor_pool), per, settings, own))
     return ranked(each.drop("rank"), settings.dense_k, "score").drop(per), each.where(F.col("rank") <= settings.floor_pool)
 
 
@@ -190,6 +191,18 @@ def pool(fused: DataFrame, floors: DataFrame | None = None, settings: Settings =
     return head.unionByName(added)
 
 
+#: Candidates that are broadcast at once.
+BROADCAST_ROWS = 200_000
+
+
+def with_chunks(pooled: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Candidates with their chunks' columns. They are broadcast in parts of bounded size, so texts are read where they are and none but theirs moves."""
+    pooled = cut(pooled)
+    parts = -(-pooled.count() // BROADCAST_ROWS) or 1
+    each = [F.broadcast(pooled.where(F.pmod(F.xxhash64("query_id", "chunk_id"), F.lit(parts)) == p)).join(chunks, "chunk_id") for p in range(parts)]
+    return reduce(DataFrame.unionByName, each)
+
+
 def rerank(pooled: DataFrame, score: Column) -> DataFrame:
     """All rows with `score` and `rank`: highest score first, pool order among equals."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "pool_pos")

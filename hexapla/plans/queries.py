@@ -10,7 +10,7 @@ from hexapla.config import DEFAULTS as S
 from hexapla.functions import text as tx
 from hexapla.functions.ids import NAMESPACE, uuid5
 from hexapla.functions.lineage import cut
-from hexapla.operators import blocks, cells, chunk, cite, index, retrieve, select
+from hexapla.operators import blocks, cells, chunk, cite, index, keyword, retrieve, select
 from hexapla.operators.providers import Providers
 from hexapla.plans import answer, answer_queries, ingest_queries
 from hexapla.sources import readers, sinks
@@ -19,14 +19,15 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks: language as tradition, lang/source as source, vectors where there are any."""
-    d, e = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "embeddings")
-    rows = d.join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left")
+def corpus(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
+    """Documents as chunks: language as tradition, lang/source as source, vectors where there are any; without `vectors` texts needn't meet them."""
+    rows, e = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "embeddings")
+    if vectors:
+        rows = rows.join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left")
     none = F.lit(None).cast("string")
     return rows.select(
         F.col("doc_id").alias("chunk_id"), F.col("lang").alias("tradition"), F.col("lang").alias("language"), F.concat_ws("/", "lang", "source").alias("source_text"), F.col("n_chars").cast("int").alias("date_approx"),
-        F.col("source").alias("section"), none.alias("section_ref"), none.alias("chapter_ref"), none.alias("source_urn"), none.alias("date_label"), "text", none.alias("text_translation"), "vector",
+        F.col("source").alias("section"), none.alias("section_ref"), none.alias("chapter_ref"), none.alias("source_urn"), none.alias("date_label"), "text", none.alias("text_translation"), *(["vector"] if vectors else []),
     )
 
 
@@ -114,20 +115,24 @@ def postings_stats(spark, sf_dir):
     return index.postings(d, "text", index.standard(F.col("text"))).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def _sparse(spark, sf_dir, columns=(("text", "text"),)):
-    fields = [index.Field(name, column, index.standard) for name, column in columns]
-    c = corpus(spark, sf_dir).select("chunk_id", "text", "source_text")
+def _sparse(spark, sf_dir, columns=(("text", "text", 1.0),)):
+    fields = [index.Field(name, column, index.standard, boost) for name, column, boost in columns]
+    return keyword.search(keyword.texts(corpus(spark, sf_dir, vectors=False).select("chunk_id", "text", "source_text"), fields), _terms(spark, sf_dir, fields), S.sparse_k, fields)
+
+
+def _terms(spark, sf_dir, fields) -> DataFrame:
+    names = F.explode(F.array(*[F.lit(f.name) for f in fields])).alias("field")
     terms = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(index.standard(F.col("text")))).alias("term"))
-    return retrieve.bm25_scores(index.field_postings(c, fields), index.fields_statistics(c, fields), terms)
+    return terms.select("query_id", "term", names)
 
 
 def bm25_topk(spark, sf_dir):
-    return retrieve.ranked(_sparse(spark, sf_dir).drop("field"), S.sparse_k, "score")
+    return _sparse(spark, sf_dir)
 
 
 def bm25_best_fields(spark, sf_dir):
     """Two whole columns, the second one boosted as a translation is."""
-    return retrieve.ranked(retrieve.best_field(_sparse(spark, sf_dir, (("text", "text"), ("translation", "source_text")))), S.sparse_k, "score")
+    return _sparse(spark, sf_dir, (("text", "text", 1.0), ("translation", "source_text", 2.0)))
 
 
 def bm25_blocks_topk(spark, sf_dir):
@@ -141,7 +146,7 @@ def bm25_blocks_topk(spark, sf_dir):
 def bm25_filtered_topk(spark, sf_dir):
     """Keyword search under each question's own filters: one language for every other question, and a least length for all."""
     fields = (index.Field("text", "text", index.standard),)
-    built = answer.build(corpus(spark, sf_dir).select("chunk_id", "text", "tradition", "date_approx"), fields)
+    built = answer.build(corpus(spark, sf_dir, vectors=False).select("chunk_id", "text", "tradition", "date_approx"), fields)
     only = F.when(F.col("item_id") % 2 == 0, F.array(F.lit("en"))).otherwise(F.array(F.lit("de"), F.lit("fr")))
     asked_for = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("expanded_query"), only.alias("traditions"), F.lit(500).alias("date_from"), F.lit(None).cast("int").alias("date_to"))
     return answer.keyword_top(built, asked_for, replace(S, filter_sparse=True))
@@ -184,7 +189,6 @@ def rrf_fusion(spark, sf_dir):
 
 def rerank_pool(spark, sf_dir):
     found, per = retrieve.dense_and_floors(corpus(spark, sf_dir), asked(spark, sf_dir), "tradition")
-    found, per = cut(found), cut(per)  # a few rows for each question, read again and again
     floors = per.select("query_id", "chunk_id", _floor_no().alias("floor_no"), "rank").where("floor_no IS NOT NULL")
     pooled = retrieve.pool(cut(retrieve.fuse(found, bm25_topk(spark, sf_dir))), floors)
     known = per.select("query_id", "chunk_id", "score").unionByName(found.select("query_id", "chunk_id", "score")).distinct().withColumnRenamed("score", "cosine")
@@ -192,7 +196,7 @@ def rerank_pool(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    return rerank_pool(spark, sf_dir).join(corpus(spark, sf_dir).drop("vector"), "chunk_id")
+    return retrieve.with_chunks(rerank_pool(spark, sf_dir), corpus(spark, sf_dir, vectors=False))
 
 
 def dedup_collapse(spark, sf_dir):
@@ -246,7 +250,7 @@ def html_pre_extract(spark, sf_dir):
 
 def hybrid_answer(spark, sf_dir):
     """The whole way from questions to cited answers."""
-    built = answer.build(corpus(spark, sf_dir))
+    built = answer.build(corpus(spark, sf_dir, vectors=False), vectors=corpus(spark, sf_dir))
     out = answer.answer(built, asked(spark, sf_dir), Providers(), LANGS)
     return out.select("query_id", "n_chunks", F.size("in_range").alias("n_cited"), "passed", "status", "iteration", "answer")
 
