@@ -1,8 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words are hashed to `BUCKETS` terms. A first pass over all passages (windows of `PASSAGE` words) counts in how many
-each term occurs. The latent space is an index, fitted on the passages of about `SAMPLE_DOCS` whole documents (all of
-them in a smaller corpus; the choice depends on their id and text): their TF-IDF matrix A is multiplied by a random
+each term occurs. The latent space is an index, fitted on the passages of all documents: their TF-IDF matrix A is multiplied by a random
 test matrix, as AᵀAΩ, in one sweep whose partial sums are added up on the executors, and the Nyström form of the
 randomised SVD turns the sum into right singular vectors, by which terms get whitened latent vectors. The search then
 slides windows as long as the benchmark items over every whole text and compares them with all items by cosine.
@@ -35,7 +34,7 @@ from hexapla.llm.words import word_hashes
 
 BUCKETS, RANK, OVERSAMPLED, PASSAGE = 1 << 14, 40, 8, 32
 STEP = 8  # words between window starts
-SAMPLE_DOCS, SWEEPS = 20_000, 32  # SWEEPS: partial sums of the sample, whatever the number of the corpus' partitions
+SWEEP_DOCS, SWEEPS = 20_000, 32  # documents of a partial sum, at least, if there are more than SWEEPS: small partitions share one
 MIN_COSINE, VERBATIM, PARAPHRASE, ANSWERED = 0.5, 0.75, 0.5, 0.8
 SHORT, RARE, LONGEST, ITEM_BLOCK = 8, 5, 128, 4000
 LENGTHS = (16, 32, 64, 128)
@@ -118,9 +117,7 @@ def term_weights(docs: DataFrame) -> np.ndarray:
 def latent_terms(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
     """(BUCKETS, rank) whitened latent vectors of terms, idf included."""
     width = RANK + OVERSAMPLED
-    share = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
-    chance = F.pmod(F.xxhash64("text", "doc_id", F.lit(5)), F.lit(10**9))
-    docs = docs.select("doc_id", "text").where(chance < F.lit(math.ceil(share * 10**9))).repartition(SWEEPS)
+    docs = docs.select("text").coalesce(max(SWEEPS, docs.count() // SWEEP_DOCS))  # nothing is shuffled but the sums
     omega = np.random.default_rng(7).standard_normal((BUCKETS, width)).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast((idf.astype(np.float32), omega))
 

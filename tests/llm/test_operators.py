@@ -697,3 +697,20 @@ def test_pipeline(spark):
     assert sorted(r.doc_id for r in last.collect()) == sorted(r.doc_id for r in docs.collect())
     good = {r.doc_id for r in table(spark, SF, "labels").where("quality = 1").collect()}
     assert good - {r.doc_id for r in corpus_pipeline.keep_good(spark, table(spark, SF, "documents"), SF).collect()} == set()
+
+
+def test_latent_space_is_fitted_on_every_document(spark):
+    """More documents than a partial sum takes; the vectors are those of all passages, summed in one piece."""
+    from hexapla.llm import decontaminate
+
+    n = 25_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha w"), F.col("id") % 50, F.lit(" v"), F.col("id") % 7).alias("text")).repartition(6)
+    seen = []
+    whole = decontaminate._per_partition
+    decontaminate._per_partition = lambda d, *a: seen.append(d.count()) or whole(d, *a)
+    try:
+        idf = decontaminate.term_weights(docs)
+        latent = decontaminate.latent_terms(docs, idf)
+    finally:
+        decontaminate._per_partition = whole
+    assert seen == [n, n] and latent.shape[1] > 1
