@@ -1,4 +1,4 @@
-"""Scalar text functions as Column expressions; an Arrow function only for NFC and character references."""
+"""Scalar text functions as Column expressions; Arrow functions only for NFC and character references."""
 
 from __future__ import annotations
 
@@ -6,12 +6,17 @@ import html
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 
-@F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+@F.arrow_udf(T.StringType())
+def nfc(s: pa.Array) -> pa.Array:
+    """Only texts that NFC changes are copied, one at a time."""
+    there = pc.fill_null(pc.invert(pc.string_is_ascii(s)), False).to_numpy(zero_copy_only=False)
+    new = {i: unicodedata.normalize("NFC", x) for i in there.nonzero()[0].tolist() if not unicodedata.is_normalized("NFC", x := s[i].as_py())}
+    return pc.replace_with_mask(s, pa.array([i in new for i in range(len(s))]), pa.array(new.values(), s.type)) if new else s
 
 
 @F.pandas_udf(T.StringType())

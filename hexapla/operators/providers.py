@@ -14,7 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -90,10 +93,12 @@ class Batch:
 def _column(f: Callable | Batch, kind: str) -> Callable[..., Column]:
     """Calls cost, and their answers differ: the optimizer may neither repeat nor move them."""
 
-    @F.pandas_udf(kind)
-    def one(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(f.over(s), dtype=object) if isinstance(f, Batch) else s.map(f)
+    arrow = to_arrow_type({"string": StringType(), "array<double>": ArrayType(DoubleType())}[kind])
+
+    @F.arrow_udf(kind)
+    def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for s in batches:  # values leave their batch one at a time, as prompts may be long
+            yield pa.array(f.over(s.to_pandas()) if isinstance(f, Batch) else (f(x.as_py()) for x in s), arrow)
 
     return one.asNondeterministic()
 
