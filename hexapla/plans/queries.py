@@ -138,7 +138,7 @@ def bm25_best_fields(spark, sf_dir):
 def bm25_blocks_topk(spark, sf_dir):
     """The rows of bm25_topk, from a stored index in blocks of documents of like language and source."""
     path = sinks.shared_folder(spark, "blocks")
-    blocks.write(corpus(spark, sf_dir).select("chunk_id", "text", "tradition", "section"), path, (index.Field("text", "text", index.standard),), ("tradition", "section"))
+    blocks.write(corpus(spark, sf_dir, vectors=False).select("chunk_id", "text", "tradition", "section"), path, (index.Field("text", "text", index.standard),), ("tradition", "section"))
     terms = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(index.standard(F.col("text")))).alias("term"))
     return blocks.search(spark, path, terms)[0]
 
