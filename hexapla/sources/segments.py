@@ -1,7 +1,8 @@
 """A stored keyword index that grows by batches.
 
 One table, partitioned by batch and kind, holds what each batch brought: postings, documents (a row for each field a document has), the
-rows of older batches that it replaced or deleted, and the differences it makes to the field statistics. A batch is one write with
+rows of older batches that it replaced or deleted, and the differences it makes to the field statistics, in parts that are summed up. Postings are grouped where
+the texts are read: a row has a term and those of some thousand neighbouring texts that hold it, as arrays. Rows of one posting each are read as well. A batch is one write with
 dynamic partition overwrite, so writing it again, after a failure, replaces it. A reader takes the postings without those replaced
 since, and the sums of the differences. Batches of like size are merged into one: live rows move to the youngest
 of them in one write, which leaves an empty row in the partitions of the others.
@@ -13,20 +14,28 @@ sort last stays; a chunk_id loaded again replaces its document as a whole, and i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hexapla.functions.lineage import cut
+from hexapla.operators.blocks import coded, last_rows
 from hexapla.operators.index import FIELDS, Field
+from hexapla.operators.keyword import _SUMMED
+from hexapla.operators.retrieve import BROADCAST_ROWS
 from hexapla.sources.sinks import exists
 
 KINDS = ("posting", "document", "replaced", "statistics")
+_COLUMNS = ["chunk_id", "field", "term", "tf", "dl", "of", "ids", "tfs", "dls", "batch", "kind"]
 
 
 def _schema(id_type: str) -> str:
-    return f"chunk_id {id_type}, field string, term string, tf long, dl long, of int, batch int, kind string"
+    return f"chunk_id {id_type}, field string, term string, tf long, dl long, of int, ids array<{id_type}>, tfs array<int>, dls array<int>, batch int, kind string"
 
 
 def _read(spark: SparkSession, path: str, id_type: str | None = None) -> DataFrame:
@@ -41,17 +50,56 @@ def _write(rows: DataFrame, path: str) -> None:
     rows.hint("rebalance", "batch", "kind").sortWithinPartitions("batch", "kind", "field", "term").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "kind").parquet(path)
 
 
-def _live(table: DataFrame, kind: str) -> DataFrame:
-    """Rows of a kind that no later batch replaced. The replaced are many only where much was loaded again."""
-    rows = table.where((F.col("kind") == kind) & F.col("chunk_id").isNotNull())
+def _gone(table: DataFrame, group: list[int] | None = None) -> tuple[DataFrame, int]:
+    """(chunk_id, batch) that later batches replaced, in `group` only if it is given; and their number, or one more than are broadcast. They are many only where much was loaded again."""
     gone = table.where((F.col("kind") == "replaced") & F.col("chunk_id").isNotNull()).select("chunk_id", F.col("of").alias("batch"))
-    return rows.join(gone, ["chunk_id", "batch"], "left_anti")
+    gone = gone.where(F.col("batch").isin(group)) if group is not None else gone
+    return gone, gone.limit(BROADCAST_ROWS + 1).count()
 
 
-def _differences(added: DataFrame, gone: DataFrame) -> DataFrame:
-    """(field, tf: documents, dl: their length) of what comes less what goes."""
-    signed = added.select("field", F.lit(1).cast("long").alias("tf"), "dl").unionByName(gone.select("field", F.lit(-1).cast("long").alias("tf"), (-F.col("dl")).alias("dl")))
-    return signed.groupBy("field").agg(F.sum("tf").alias("tf"), F.sum("dl").alias("dl"))
+def _live(table: DataFrame, kind: str) -> DataFrame:
+    """Rows of a kind that no later batch replaced; of postings, one for each text."""
+    rows = table.where((F.col("kind") == kind) & (F.col("chunk_id").isNotNull() | F.col("ids").isNotNull()))
+    if kind == "posting":
+        of = f"array<struct<chunk_id: {table.schema['chunk_id'].dataType.simpleString()}, tf: bigint, dl: bigint>>"
+        each = F.when(F.col("ids").isNotNull(), F.arrays_zip("ids", "tfs", "dls").cast(of)).otherwise(F.array(F.struct("chunk_id", "tf", "dl")).cast(of))
+        rows = rows.select("field", "term", "of", "batch", "kind", F.inline(each))
+    gone, n = _gone(table)
+    if n == 0:
+        return rows
+    return rows.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, ["chunk_id", "batch"], "left_anti")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], fields: tuple[Field, ...], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows of the table, of postings, documents and a part of the statistics, for about _SUMMED words at a time."""
+    kinds = {"chunk_id": id_type, "field": pa.string(), "term": pa.string(), "tf": pa.int64(), "dl": pa.int64(), "ids": pa.list_(id_type), "tfs": pa.list_(pa.int32()), "dls": pa.list_(pa.int32()), "kind": pa.string()}
+
+    def made(n: int, columns: dict) -> pa.RecordBatch:
+        known = {c: pa.repeat(pa.scalar(v, kinds[c]), n) if isinstance(v, str) else v for c, v in columns.items()}
+        return pa.RecordBatch.from_arrays([known[c] if c in known else pa.nulls(n, kind) for c, kind in kinds.items()], list(kinds))
+
+    for batch in batches:
+        lengths = [pc.fill_null(pc.list_value_length(batch.column(f"w{i}")), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(fields))]
+        work = np.concatenate([[0], np.cumsum(np.sum(lengths, axis=0))])
+        a = 0
+        while a < batch.num_rows:
+            z = max(a + 1, int(np.searchsorted(work, work[a] + _SUMMED, side="right")) - 1)
+            rows = batch.slice(a, z - a)
+            for i, f in enumerate(fields):
+                dl = lengths[i][a:z]
+                some = np.flatnonzero(dl)
+                if not len(some):
+                    continue
+                yield made(len(some), {"kind": "document", "field": f.name, "chunk_id": rows["chunk_id"].take(pa.array(some)), "dl": pa.array(dl[some])})
+                yield made(1, {"kind": "statistics", "field": f.name, "tf": pa.array([len(some)], pa.int64()), "dl": pa.array([int(dl.sum())], pa.int64())})
+                terms, code = coded(rows[f"w{i}"].flatten(), bool(f.words))
+                key, tf = np.unique((code * len(dl) + np.repeat(np.arange(len(dl)), dl))[code >= 0], return_counts=True)
+                term, row = key // len(dl), key % len(dl)
+                begin = np.flatnonzero(np.diff(term, prepend=-1))
+                at = pa.array(np.append(begin, len(key)), pa.int32())
+                lists = [pa.ListArray.from_arrays(at, x) for x in (rows["chunk_id"].take(pa.array(row)), pa.array(tf, pa.int32()), pa.array(dl[row], pa.int32()))]
+                yield made(len(begin), {"kind": "posting", "field": f.name, "term": terms.take(pa.array(term[begin])), "ids": lists[0], "tfs": lists[1], "dls": lists[2]})
+            a = z
 
 
 def load(rows: DataFrame, path: str, batch: int, fields: Iterable[Field] = FIELDS) -> None:
@@ -59,34 +107,37 @@ def load(rows: DataFrame, path: str, batch: int, fields: Iterable[Field] = FIELD
     spark, fields = rows.sparkSession, tuple(fields)
     id_type = rows.schema["chunk_id"].dataType.simpleString()
     before = _read(spark, path, id_type).where(F.col("batch") < batch)
-    columns = list(dict.fromkeys(f.column for f in fields))
-    one = rows.where(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.max(F.struct(*[F.col(c) for c in columns])).alias("row")).select("chunk_id", *[F.col("row")[c].alias(c) for c in columns])
-    words = one.select("chunk_id", F.explode(F.array(*[F.struct(F.lit(f.name).alias("field"), f.analyzer(F.col(f.column)).alias("terms")) for f in fields])).alias("f")).select("chunk_id", "f.field", F.coalesce("f.terms", F.array().cast("array<string>")).alias("terms"))
-    words = cut(words)  # analysed once
-    documents = words.where(F.size("terms") > 0).select("chunk_id", "field", F.size("terms").cast("long").alias("dl"))
-    postings = words.select("chunk_id", "field", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term")).groupBy("field", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    old = cut(_live(before, "document").join(words.select("chunk_id").distinct(), "chunk_id", "left_semi"))
-    _put(postings, documents, old, path, batch)
+    one = last_rows(rows, list(dict.fromkeys(f.column for f in fields)))
+    words = one.select("chunk_id", *[(f.words or f.analyzer)(F.col(f.column)).alias(f"w{i}") for i, f in enumerate(fields)])
+    kind = to_arrow_type(rows.schema["chunk_id"].dataType)
+    brought = words.mapInArrow(lambda batches: _grouped(batches, fields, kind), f"chunk_id {id_type}, field string, term string, tf long, dl long, ids array<{id_type}>, tfs array<int>, dls array<int>, kind string")
+    _put(brought, cut(_live(before, "document").join(one.select("chunk_id").distinct(), "chunk_id", "left_semi")) if exists(spark, path) else before, path, batch)
 
 
 def delete(ids: DataFrame, path: str, batch: int) -> None:
     """Documents whose chunk_id is in `ids` go, as batch number `batch`."""
     before = _read(ids.sparkSession, path).where(F.col("batch") < batch)
     old = cut(_live(before, "document").join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi"))
-    none = old.limit(0)
-    _put(none.select("field", "chunk_id", "dl", "term", "tf"), none.select("chunk_id", "field", "dl"), old, path, batch)
+    _put(None, old, path, batch)
 
 
-def _put(postings: DataFrame, documents: DataFrame, old: DataFrame, path: str, batch: int) -> None:
+def _put(brought: DataFrame | None, old: DataFrame, path: str, batch: int) -> None:
+    """Writes what a batch brought, and that it replaced the documents `old`."""
+    less = old.groupBy("field").agg((-F.count("*")).alias("tf"), (-F.sum("dl")).alias("dl"))
     parts = [
-        postings.withColumn("kind", F.lit("posting")),
-        documents.withColumn("kind", F.lit("document")),
+        *([] if brought is None else [brought]),
         old.select("chunk_id", F.col("batch").alias("of")).distinct().withColumn("kind", F.lit("replaced")),
-        _differences(documents, old).withColumn("kind", F.lit("statistics")),
-        _empty(documents.sparkSession, documents, [(batch, kind) for kind in KINDS]).drop("batch"),  # what an earlier attempt wrote of any kind goes
+        less.withColumn("kind", F.lit("statistics")),
+        _empty(old.sparkSession, old, [(batch, kind) for kind in KINDS]).drop("batch"),  # what an earlier attempt wrote of any kind goes
     ]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).withColumn("batch", F.lit(batch))
-    _write(rows.select("chunk_id", "field", "term", "tf", "dl", "of", "batch", "kind"), path)
+    _write(_whole_rows(rows), path)
+
+
+def _whole_rows(rows: DataFrame) -> DataFrame:
+    """All columns of the table; those that no part has are null."""
+    kinds = {"term": "string", "ids": f"array<{rows.schema['chunk_id'].dataType.simpleString()}>", "tfs": "array<int>", "dls": "array<int>"}
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in _COLUMNS])
 
 
 def _empty(spark: SparkSession, like: DataFrame, places: list[tuple[int, str]]) -> DataFrame:
@@ -125,13 +176,16 @@ def merge(spark: SparkSession, path: str, fan: int = 4) -> list[list[int]]:
 def merge_batches(spark: SparkSession, path: str, group: list[int]) -> None:
     table, target = _read(spark, path), max(group)
     own = F.col("batch").isin(group)
-    live = _live(table, "posting").where(own).unionByName(_live(table, "document").where(own))
+    if _gone(table, group)[1]:
+        live = _live(table, "posting").where(own).unionByName(_live(table, "document").where(own), allowMissingColumns=True)
+    else:  # groups of postings stay as they are
+        live = table.where(own & F.col("kind").isin("posting", "document") & (F.col("chunk_id").isNotNull() | F.col("ids").isNotNull()))
     hidden = table.where(own & (F.col("kind") == "replaced") & F.col("chunk_id").isNotNull() & ~F.col("of").isin(group))
     sums = table.where(own & (F.col("kind") == "statistics") & F.col("field").isNotNull()).groupBy("field").agg(F.sum("tf").alias("tf"), F.sum("dl").alias("dl")).withColumn("kind", F.lit("statistics"))
     empty = _empty(spark, table, [(b, kind) for b in group for kind in KINDS])
     moved = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [live.drop("batch"), hidden.drop("batch"), sums]).withColumn("batch", F.lit(target))
     rows = moved.unionByName(empty, allowMissingColumns=True)
-    _write(cut(rows.select("chunk_id", "field", "term", "tf", "dl", "of", "batch", "kind")), path)
+    _write(cut(_whole_rows(rows)), path)
 
 
 def vocabulary(postings: DataFrame) -> DataFrame:

@@ -153,3 +153,17 @@ def test_command_lines(tmp_path):
         done = subprocess.run([sys.executable, "-m", f"jobs.{name}", f"{SF}/documents.parque[t]", *[str(tmp_path / name / p) for p in paths]], cwd=ROOT, env=os.environ | {"PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.ui.enabled=false pyspark-shell", "PYTHONPATH": ROOT}, capture_output=True, text=True, timeout=300)
         assert done.returncode == 0, done.stderr[-2000:]
         assert f"{name}: " in done.stderr
+
+
+def test_postings_are_stored_in_groups_and_single_ones_are_read(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = spark.createDataFrame([(i, "all any") for i in range(500)], "chunk_id long, text string").coalesce(1)
+    segments.load(docs, path, 0, TEXT)
+    table = spark.read.parquet(path)
+    assert table.where("kind = 'posting' AND term IS NOT NULL").count() == 2
+    assert segments.read(spark, path)[0].count() == 1000
+    segments.load(docs.where("chunk_id < 3").withColumn("text", F.lit("new")), path, 1, TEXT)
+    segments.merge_batches(spark, path, [0, 1])  # some were replaced: postings one by one
+    found, statistics = segments.read(spark, path)
+    assert {(r.term, r["count"]) for r in found.groupBy("term").count().collect()} == {("all", 497), ("any", 497), ("new", 3)}
+    assert [tuple(r) for r in statistics.collect()] == [("text", 500, (497 * 2 + 3) / 500)]
