@@ -27,6 +27,8 @@ CACHE_ENTRIES, CACHED_LENGTH = 350_000, 48
 #: Two bitmap levels of 256 bits hold 65,536 ranks; a larger vocabulary only widens the upper one.
 WIDTH = 8
 MASK = (1 << WIDTH) - 1
+BITS = [1 << i for i in range(MASK + 1)]
+SINGLE = [bytes([i]) for i in range(256)]
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -40,61 +42,92 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     get = ranks.get
     n = len(piece)
-    parts = [piece[i : i + 1] for i in range(n)]
+    parts = [SINGLE[b] for b in piece]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    live = [-1] * n  # rank of the pair that begins here
+    # Rank of the pair that begins here; -1: none.
+    live = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+    live.append(-1)
+    pending = 0  # pairs with a rank; what is queued when there are none left is stale
     top = 0  # a bit for each word that isn't zero
     words: dict[int, int] = {}  # a bit for each rank that has a bucket
     buckets: dict[int, list[int]] = {}  # heaps of positions, some of them stale
-    for i in range(n - 1):
-        if (r := get(piece[i : i + 2])) is not None:
-            live[i] = r
+    for i, r in enumerate(live):
+        if r >= 0:
+            pending += 1
             if r in buckets:
                 buckets[r].append(i)
             else:
                 buckets[r] = [i]
                 w = r >> WIDTH
-                words[w] = words.get(w, 0) | 1 << (r & MASK)
-                top |= 1 << w
-    while top:
+                if w in words:
+                    words[w] |= BITS[r & MASK]
+                else:
+                    words[w] = BITS[r & MASK]
+                    top |= 1 << w
+    while pending:
         w = (top & -top).bit_length() - 1
         m = words[w]
-        rank = w << WIDTH | (m & -m).bit_length() - 1
+        low = m & -m
+        rank = w << WIDTH | low.bit_length() - 1
         bucket = buckets[rank]
         lower = False
         while bucket and not lower:
-            at = heappop(bucket)
+            at = heappop(bucket) if len(bucket) > 1 else bucket.pop()
             if live[at] != rank:
                 continue
             gone = after[at]
             joined = parts[at] = parts[at] + parts[gone]
-            live[gone] = live[at] = -1
-            right, left = after[gone], before[at]
-            after[at] = right
-            fresh = []
+            pending -= 1
+            live[at] = -1
+            if live[gone] >= 0:
+                live[gone] = -1
+                pending -= 1
+            right = after[at] = after[gone]
+            left = before[at]
             if right < n:
                 before[right] = at
                 if (r := get(joined + parts[right])) is not None:
-                    fresh.append((r, at))
+                    live[at] = r
+                    pending += 1
+                    if r < rank:
+                        lower = True
+                    if r in buckets:
+                        heappush(buckets[r], at)
+                    else:
+                        buckets[r] = [at]
+                        v = r >> WIDTH
+                        if v in words:
+                            words[v] |= BITS[r & MASK]
+                        else:
+                            words[v] = BITS[r & MASK]
+                            top |= 1 << v
             if left >= 0:
-                live[left] = -1
+                if live[left] >= 0:
+                    pending -= 1
                 if (r := get(parts[left] + joined)) is not None:
-                    fresh.append((r, left))
-            for r, i in fresh:
-                live[i] = r
-                lower |= r < rank
-                if r in buckets:
-                    heappush(buckets[r], i)
+                    live[left] = r
+                    pending += 1
+                    if r < rank:
+                        lower = True
+                    if r in buckets:
+                        heappush(buckets[r], left)
+                    else:
+                        buckets[r] = [left]
+                        v = r >> WIDTH
+                        if v in words:
+                            words[v] |= BITS[r & MASK]
+                        else:
+                            words[v] = BITS[r & MASK]
+                            top |= 1 << v
                 else:
-                    buckets[r] = [i]
-                    v = r >> WIDTH
-                    words[v] = words.get(v, 0) | 1 << (r & MASK)
-                    top |= 1 << v
+                    live[left] = -1
         if not bucket:
             del buckets[rank]
-            m = words[w] & ~(1 << (rank & MASK))
-            words[w] = m
-            if not m:
+            m = words[w] & ~BITS[rank & MASK]
+            if m:
+                words[w] = m
+            else:
+                del words[w]
                 top &= ~(1 << w)
     out, i = [], 0
     while i < n:
@@ -106,7 +139,9 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     def __init__(self, raw: bytes, pattern: str):
         self.ranks = parse_ranks(raw)
-        self.tokens = {v: k for k, v in self.ranks.items()}
+        self.tokens: list[bytes | None] = [None] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.ranks.items():
+            self.tokens[rank] = token
         # White space as the tiktoken library has it, without U+001C to U+001F.
         self.split = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.young: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers, a third of a list's memory
@@ -126,8 +161,10 @@ class Codec:
         """The ids as little-endian unsigned 32-bit integers."""
         pieces = self.split(text)
         found = list(map(self.young.get, pieces))
-        if None in found:
-            found = [self.young.get(p) or self._missing(p) if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self.young.get(pieces[at]) or self._missing(pieces[at])
         return b"".join(found)
 
     def encode(self, text: str) -> list[int]:
