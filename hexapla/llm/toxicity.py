@@ -69,10 +69,11 @@ def letters(token: str) -> str:
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
+    """A row for each word: its letters' codes, then zeros."""
+    x = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
     out = np.zeros((len(words), width), np.int64)
-    for i, w in enumerate(words):
-        x = np.frombuffer(w.encode("utf-32-le"), np.uint32).astype(np.int64)
-        out[i, : len(x)] = np.where((x >= 97) & (x <= 122), x - 96, np.where(x == ord(ANCHOR), LETTERS - 1, 27 + x % (LETTERS - 28)))
+    out[np.arange(width) < size[:, None]] = np.where((x >= 97) & (x <= 122), x - 96, np.where(x == ord(ANCHOR), LETTERS - 1, 27 + x % (LETTERS - 28)))
     return out
 
 

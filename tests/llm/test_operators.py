@@ -380,6 +380,18 @@ def test_quality_on_held_out_labels(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_letter_codes_of_many_words_are_made_at_once(monkeypatch):
+    """A call a word was half of the scoring's time."""
+    some = ["idiot", "", "^großé", "中文𝒳", "ñ", "x" * 25, "ab^c"]
+    want = np.zeros((len(some), 25), np.int64)
+    for i, w in enumerate(some):
+        want[i, : len(w)] = [x - 96 if 97 <= x <= 122 else toxicity.LETTERS - 1 if chr(x) == toxicity.ANCHOR else 27 + x % (toxicity.LETTERS - 28) for x in map(ord, w)]
+    calls, read = [], np.frombuffer
+    monkeypatch.setattr(toxicity.np, "frombuffer", lambda *a, **k: calls.append(1) or read(*a, **k))
+    assert (toxicity._codes(some, 25) == want).all() and len(calls) == 1
+    assert toxicity._codes([], 0).shape == (0, 0) and toxicity._codes([""], 3).tolist() == [[0, 0, 0]]
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     got = toxicity.score(docs, labels).where("held_out").join(labels, "doc_id").collect()
